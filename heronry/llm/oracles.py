@@ -33,3 +33,29 @@ copies AS (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)
 SELECT doc_id, source, lang, text, round(rate, 6) AS rate, copy::BIGINT AS copy, md5('order42:' || coalesce(doc_id::VARCHAR, '-') || ':' || copy::VARCHAR) AS order_key
 FROM copies
 """
+
+_WORDS = "regexp_extract_all({x}, '[^\\x20\\x09-\\x0D]+')"
+
+SQL["op4_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls, {_WORDS.format(x="coalesce(text, '')")} AS ws FROM documents),
+lines AS (SELECT doc_id, host, t, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+real AS (SELECT *, {_KEY.format(x="line")} AS k, len({_WORDS.format(x="line")}) AS w FROM lines),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM real WHERE w > 0 GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT t) AS n_all FROM d GROUP BY host),
+often AS (SELECT host, k, count(DISTINCT t) AS n FROM real WHERE w > 0 GROUP BY host, k),
+over_limit AS (SELECT host, k FROM often JOIN hosts USING (host) WHERE n >= 10 AND n >= 0.05 * n_all),
+common AS (SELECT doc_id, sum(w)::BIGINT AS n_common_words FROM real JOIN over_limit USING (host, k) WHERE w > 0 GROUP BY doc_id),
+wins AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS p, ws FROM d WHERE len(ws) >= 8),
+keyed AS (SELECT doc_id, p, array_to_string(ws[p:p + 7], ' ') AS g FROM wins),
+twice AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM keyed),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM twice WHERE n >= 2) GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_common_words, 0)::BIGINT AS n_common_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN common USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_common_words > 0 AND (n_words - n_common_words < 20 OR n_words - n_common_words < 0.3 * n_words)) AS kept
+FROM base
+"""

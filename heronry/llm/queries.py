@@ -14,6 +14,26 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.secret_crf import find_secrets
+
+    return find_secrets(_read(spark, sf_dir, "documents"), sample=20_000)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.quality import quality_table
+
+    out = quality_table(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words")
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.near_simhash import simhash_components
+
+    out = simhash_components(_read(spark, sf_dir, "documents"), radius=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronry.llm.mixing import mix_sources
 
@@ -28,6 +48,27 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.fingerprints import count_near, fingerprint_with_edits
+    from heronry.llm.store import written
+
+    out = written(fingerprint_with_edits(_read(spark, sf_dir, "documents")), "fingerprints")
+    near = count_near(out.select("doc_id", "fingerprint"), radius=3, every=50)
+    return out.join(near.groupBy("doc_id").agg(F.first("n_near").alias("n_near")), "doc_id", "left")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), size=2048, end_id=0)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.classifier import score_quality
+
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), sample=4000, threshold=0.7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
