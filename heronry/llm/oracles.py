@@ -59,3 +59,15 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_common_words > 0 AND (n_words - n_common_words < 20 OR n_words - n_common_words < 0.3 * n_words)) AS kept
 FROM base
 """
+
+SQL["op1_suffix_tree_dedup"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(x="coalesce(text, '')")} AS ws FROM documents),
+wins AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS p, ws FROM d WHERE len(ws) >= 20),
+keyed AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 19], ' ')) AS g FROM wins),
+ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS r FROM keyed),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM ranked WHERE r > 1),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS q FROM d),
+left_ AS (SELECT words.doc_id, string_agg(w, ' ' ORDER BY q) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, q) GROUP BY words.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_ USING (doc_id)
+"""

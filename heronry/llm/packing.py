@@ -13,7 +13,10 @@ place that follows from a rank, are found by the executors.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,61 +28,74 @@ from pyspark.sql import functions as F
 from heronry.llm import buffers as B
 from heronry.llm.store import written
 
+LITTLE = sys.byteorder == "little"
+
 #: Words and word stems whose ids a worker remembers; at this many it starts anew. Results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 _ENCODERS: dict[str, WordEncoder] = {}
+#: Lower-case letters that normalisation leaves as they are and that make one token group when they stand together.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if printable, else one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class WordEncoder:
-    """Ids of texts, found word by word.
+class WordEncoder(dict):
+    """Ids of texts, found word by word and remembered.
 
     The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its words
     one after another. Case is dropped too, and a comma or full stop after a letter is a token of its own, so that most
-    words are met again as a stem seen before.
+    words are met again as a stem seen before. A stem of plain letters is one group for the model, which is asked for it
+    without the normalising and splitting that leave it as it is; all others take the whole way.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.stems: dict[bytes, bytes] = {}
-        self.tails = {t: self._encode([t])[0] for t in (b".", b",")}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
-
-    def _learn(self, missing: list[bytes]) -> None:
-        if len(self.words) + len(missing) > REMEMBERED:
-            self.words.clear()
+        self.tails = {t: self._whole(t) for t in (b".", b",")}
+
+    def _whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _stem(self, stem: bytes) -> bytes:
+        if stem.isalpha():  # ASCII letters, and they are low
+            return array("I", [t.id for t in self.model.tokenize(stem.decode())]).tobytes()
+        if _PLAIN(stem.decode()):
+            return array("I", [t.id for t in self.model.tokenize(stem.decode("latin-1").translate(self.letters))]).tobytes()
+        return self._whole(stem)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if b"<|" in word:  # may hold a special token, which is told apart by case
+            out = self[word] = self._whole(word)
+            return out
+        stem = word.lower()
+        tail = b""
+        if stem[-1:] in self.tails and stem[-2:-1].isalpha():
+            tail = self.tails[stem[-1:]]
+            stem = stem[:-1]
+        out = self.stems.get(stem)
+        if out is None:
+            out = self.stems[stem] = self._stem(stem)
+        out = self[word] = out + tail
+        return out
+
+    def encode(self, text: bytes) -> bytes:
+        """32-bit ids of a text, in the machine's byte order."""
+        if len(self) > REMEMBERED:
+            self.clear()
         if len(self.stems) > REMEMBERED:
             self.stems.clear()
-        split = {}
-        for w in missing:
-            if b"<|" in w:  # may hold a special token, which is told apart by case
-                self.words[w] = self._encode([w])[0]
-                continue
-            low = w.lower()
-            tail = low[-1:] if low[-1:] in self.tails and low[-2:-1].isalpha() else b""
-            split[w] = (low[: len(low) - len(tail)], tail)
-        new = list({s for s, _ in split.values()} - self.stems.keys())
-        self.stems.update(zip(new, self._encode(new), strict=True))
-        for w, (stem, tail) in split.items():
-            self.words[w] = self.stems[stem] + (self.tails[tail] if tail else b"")
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]  # bytes: the six ASCII blanks
-        needed = set().union(*split)
-        missing = [w for w in needed if w not in self.words]
-        if missing:
-            self._learn(missing)
-            if missing and len(self.words) < len(needed):  # it started anew
-                self._learn([w for w in needed if w not in self.words])
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        return b"".join(map(self.__getitem__, text.split()))  # bytes: the six ASCII blanks
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -97,15 +113,16 @@ def _cut(path: str | None, size: int, end_id: int):
             import public_tokenizers
 
         encoder = _encoder(path or public_tokenizers.path("word_bpe_49k.json"))
-        end = np.array([end_id], "<u4").tobytes()
+        end = array("I", [end_id]).tobytes()
         part = TaskContext.get().partitionId()
         met = np.zeros(size + 1, np.int64)
         for batch in batches:
             for at, stop, data, offsets in B.pieces(batch.column("text")):
                 raw, edges = data.tobytes(), offsets.tolist()
                 row, start, crc, length = [], [], [], []
-                for i, ids in enumerate(encoder.encode([raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])):
-                    ids += end
+                for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    ids = encoder.encode(raw[a:b]) + end
+                    ids = ids if LITTLE else np.frombuffer(ids, ">u4").astype("<u4").tobytes()
                     for k in range(0, len(ids), 4 * size):
                         piece = ids[k : k + 4 * size]
                         row.append(i)

@@ -14,12 +14,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.suffix_trees import drop_repeats
+
+    return drop_repeats(_read(spark, sf_dir, "documents"), depth=20)
+
+
 def op2_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronry.llm.secret_crf import find_secrets
 
     return find_secrets(_read(spark, sf_dir, "documents"), sample=20_000)
 
 
+def op3_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.sparse_suffixes import repeated_passages
+
+    return repeated_passages(_read(spark, sf_dir, "documents"), least=50)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronry.llm.quality import quality_table
 
