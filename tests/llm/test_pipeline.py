@@ -48,7 +48,8 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     line = "the very same line of words stands in many documents"
-    rows = [(i, f"{t}\n{line}" if t and len(words(t)) > 40 else t, lang, s, n) for i, t, lang, s, n in corpus(150, seed=9)]
+    rows = [(i, f"{t}\n{line}" if t and len(words(t)) > 40 else t, lang, s) for i, t, lang, s, _ in corpus(150, seed=9)]
+    rows = [(*r, len(r[1] or "")) for r in rows]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.piece, r.start, r.length) for r in out) == brute(rows)
