@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from heronry.functions.numeric import portable_random
 from heronry.operators.series import normal_test  # noqa: F401  (re-exported for callers that mask normal stretches)
 
-_ALL = Window.partitionBy("series_id")
+def _all():
+    return Window.partitionBy("series_id")
 
 
 def inside() -> Column:
@@ -25,12 +26,12 @@ def _where(condition: Column, value: Column | str = "x") -> Column:
 
 def _value(name: str, context: int, seed: int) -> Column:
     x, idx, a, b = F.col("x"), F.col("idx"), F.col("a"), F.col("b")
-    mean = F.avg("x").over(_ALL)
+    mean = F.avg("x").over(_all())
     train = _where(idx < F.col("te"))
-    mu, sd = F.avg(train).over(_ALL), F.stddev_pop(train).over(_ALL)
+    mu, sd = F.avg(train).over(_all()), F.stddev_pop(train).over(_all())
     sd = F.when(sd > 0, sd).otherwise(F.lit(1.0))
-    top = F.max(x).over(_ALL)
-    left, right = F.max(_where(idx == a - 1)).over(_ALL), F.max(_where(idx == b)).over(_ALL)
+    top = F.max(x).over(_all())
+    left, right = F.max(_where(idx == a - 1)).over(_all()), F.max(_where(idx == b)).over(_all())
     first, last = F.coalesce(left, right), F.coalesce(right, left)
     if name == "identity":
         return x
@@ -40,11 +41,11 @@ def _value(name: str, context: int, seed: int) -> Column:
         return mean
     if name == "local_mean":
         near = ((idx >= a - context) & (idx < a)) | ((idx >= b) & (idx < b + context))
-        return F.coalesce(F.avg(_where(near)).over(_ALL), mean)
+        return F.coalesce(F.avg(_where(near)).over(_all()), mean)
     if name == "linear":
         return F.coalesce(first + (last - first) * (idx - a + 1) / (b - a + 1).cast("double"), mean)
     if name == "gaussian":
-        spread = F.stddev_pop("x").over(_ALL)
+        spread = F.stddev_pop("x").over(_all())
         spread = F.when(spread > 0, spread).otherwise(F.lit(1e-8))
         u, v = portable_random(F.lit(seed), F.col("series_id"), idx, F.lit("u")), portable_random(F.lit(seed), F.col("series_id"), idx, F.lit("v"))
         return mean + spread * F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(6.283185307179586) * v)
@@ -53,7 +54,7 @@ def _value(name: str, context: int, seed: int) -> Column:
     if name == "z_zero":
         return mu
     if name == "out_of_dist_high":
-        return F.lit(100.0) * F.max(F.abs((x - mu) / sd)).over(_ALL) * sd + mu
+        return F.lit(100.0) * F.max(F.abs((x - mu) / sd)).over(_all()) * sd + mu
     if name == "inverse":
         return ((top - mu) / sd - (x - mu) / sd) * sd + mu
     raise ValueError(f"unknown masking operator {name!r}")

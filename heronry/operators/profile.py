@@ -128,7 +128,8 @@ def detection(scores: DataFrame, layouts: DataFrame) -> DataFrame:
     j = scores.join(layouts, "series_id")
     normal = {b: F.when(normal_test(F.lit(0) if b == "b0" else F.col("w")), F.col("score")) for b in ("b0", "bw")}
     inside = (F.col("idx") >= F.col("s0")) & (F.col("idx") < F.col("s1"))
-    peak = F.min_by("idx", F.struct(-F.col("score"), F.col("idx"))).filter(F.col("idx") >= F.col("te")) if hasattr(F.min_by("idx", "idx"), "filter") else F.min_by(F.when(F.col("idx") >= F.col("te"), F.col("idx")), F.when(F.col("idx") >= F.col("te"), F.struct(-F.col("score"), F.col("idx"))))
+    test = F.col("idx") >= F.col("te")
+    peak = F.min_by(F.when(test, F.col("idx")), F.when(test, F.struct(-F.col("score"), F.col("idx"))))
     out = j.groupBy("series_id", "n", "te", "s0", "s1", "w").agg(F.max(F.when(inside, F.col("score"))).alias("max_anom"), *[F.percentile(v, F.lit(0.99)).alias(f"thr_{b}") for b, v in normal.items()], *[F.median(v).alias(f"med_{b}") for b, v in normal.items()], peak.alias("argmax0"))
     for b in ("b0", "bw"):
         out = out.withColumn(f"p1_{b}", F.col("max_anom") > F.col(f"thr_{b}"))
