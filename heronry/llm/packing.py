@@ -31,7 +31,7 @@ from heronry.llm.store import written
 LITTLE = sys.byteorder == "little"
 
 #: Words and word stems whose ids a worker remembers; at this many it starts anew. Results don't depend on it.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 _ENCODERS: dict[str, WordEncoder] = {}
 #: Lower-case letters that normalisation leaves as they are and that make one token group when they stand together.
