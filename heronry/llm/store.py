@@ -26,6 +26,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows that go to Python at once. Texts are long, and a worker holds a few batches of them.
+ROWS = 2500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of this session to ROWS rows; a session that set fewer keeps its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > ROWS:
+        spark.conf.set(key, str(ROWS))
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

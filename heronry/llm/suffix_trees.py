@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from heronry.llm import anchors as A
 from heronry.llm import buffers as B
-from heronry.llm.store import written
+from heronry.llm.store import small_batches, written
 
-#: Words of a suffix that its order shows one by one; what follows is told apart by 128 bits of the whole.
-SHOWN = 5
+#: Words of a suffix that its order shows one by one, by 16 bits each; suffixes are told apart by 96 bits of the whole.
+SHOWN = 3
 _U = np.uint64
 
 
@@ -50,6 +50,12 @@ def _per_text(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.
         yield at, end, data, starts, ends, doc, B.span_hashes(data, starts, ends)
 
 
+def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of a few texts, so that what a step holds doesn't follow the length of texts."""
+    for at, end, _, _ in B.pieces(batch.column("text")):
+        yield batch.slice(at, end - at)
+
+
 def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different grams each text selects, and whether it selects one twice."""
     for batch in batches:
@@ -73,24 +79,24 @@ def _sort_out(depth: int):
     """Texts without candidates are done; copies lose all that windows cover; the others go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            copy = batch.column("copy").to_numpy(zero_copy_only=False)
-            open_ = np.array(batch.column("grams").is_valid()) & ~copy
-            n, removed, kept = [], [], []
-            for text, c, o in zip(batch.column("text").to_pylist(), copy.tolist(), open_.tolist(), strict=True):
-                if o:
-                    n.append(None), removed.append(None), kept.append(None)
-                    continue
-                ws = text.encode().split()
-                gone = c and len(ws) >= depth
-                n.append(len(ws)), removed.append(len(ws) if gone else 0), kept.append(_kept_hash([] if gone else ws))
-            mask = pa.array(open_)
-            text = pa.compute.if_else(mask, batch.column("text"), pa.scalar(None, batch.column("text").type))
-            grams = pa.compute.if_else(mask, batch.column("grams"), pa.scalar(None, batch.column("grams").type))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "row")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), text, grams],
-                ["doc_id", "row", "n_words", "n_removed", "kept_sha256", "text", "grams"],
-            )
+        for whole in batches:
+            for batch in _small(whole):
+                copy = batch.column("copy").to_numpy(zero_copy_only=False)
+                open_ = np.array(batch.column("grams").is_valid()) & ~copy
+                n, removed, kept = [], [], []
+                for text, c, o in zip(batch.column("text").to_pylist(), copy.tolist(), open_.tolist(), strict=True):
+                    if o:
+                        n.append(None), removed.append(None), kept.append(None)
+                        continue
+                    ws = text.encode().split()
+                    gone = c and len(ws) >= depth
+                    n.append(len(ws)), removed.append(len(ws) if gone else 0), kept.append(_kept_hash([] if gone else ws))
+                stay = pa.array([i if o else None for i, o in enumerate(open_.tolist())], pa.int64())
+                text, grams = batch.column("text").take(stay), batch.column("grams").take(stay)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("doc_id", "row")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), text, grams],
+                    ["doc_id", "row", "n_words", "n_removed", "kept_sha256", "text", "grams"],
+                )
 
     return run
 
@@ -114,9 +120,9 @@ def _suffixes(depth: int):
                 for a, b, held in zip(edge[:-1], edge[1:], lists, strict=True):
                     live[a:b] = np.isin(grams[a:b], np.array(held, np.int64))
                 runs, owner = runs[live], owner[live]
-                shown = np.stack([(hashes[runs + k] >> _U(32)).astype(">u4") for k in range(SHOWN)], axis=1) if len(runs) else np.zeros((0, SHOWN), ">u4")
+                shown = np.stack([(hashes[runs + k] >> _U(48)).astype(">u2") for k in range(SHOWN)], axis=1)
                 whole = np.stack([sums.get(runs, depth, lane).astype(">u8") for lane in (0, 1)], axis=1)
-                key = np.concatenate((shown.view(np.uint8).reshape(len(runs), -1), whole.view(np.uint8).reshape(len(runs), -1)), axis=1)
+                key = np.concatenate((shown.view(np.uint8).reshape(len(runs), -1), whole.view(np.uint8).reshape(len(runs), -1)[:, :12]), axis=1)
                 width = key.shape[1]
                 keys = pa.Array.from_buffers(pa.binary(), len(runs), [None, pa.py_buffer((np.arange(len(runs) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(key))])
                 first = np.searchsorted(doc, np.arange(end - at))
@@ -186,14 +192,15 @@ def _subtrees(depth: int):
 
 def _remove(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, removed, kept, spans = [], [], [], []
-            for text, at in zip(batch.column("text").to_pylist(), batch.column("pos").to_pylist(), strict=True):
-                ws = text.encode().split()
-                gone = B.covered(np.unique(np.array(at or [], np.int64)), depth, len(ws))
-                n.append(len(ws)), removed.append(int(gone.sum()))
-                kept.append(_kept_hash([w for w, g in zip(ws, gone.tolist(), strict=True) if not g]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        for whole in batches:
+            for batch in _small(whole):
+                n, removed, kept = [], [], []
+                for text, at in zip(batch.column("text").to_pylist(), batch.column("pos").to_pylist(), strict=True):
+                    ws = text.encode().split()
+                    gone = B.covered(np.unique(np.array(at or [], np.int64)), depth, len(ws))
+                    n.append(len(ws)), removed.append(int(gone.sum()))
+                    kept.append(_kept_hash([w for w, g in zip(ws, gone.tolist(), strict=True) if not g]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
@@ -209,6 +216,7 @@ def repeated_windows(docs: DataFrame, *, depth: int = A.REACH, id_col: str = "do
     """
     if depth < A.REACH:
         raise ValueError(f"a window has {A.REACH} words at least, as many as select a gram")
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("k1", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "k1"))
@@ -217,6 +225,7 @@ def repeated_windows(docs: DataFrame, *, depth: int = A.REACH, id_col: str = "do
     short = base.select((F.shiftright("k1", 16)).alias("content"), _tag("row").alias("tag"), "text")
     selected = short.select(F.col("content").alias("own"), "text").mapInArrow(_select, "gram long, own long, twice boolean")
     often = selected.groupBy("gram").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.max("twice").alias("t")).where("a <> b OR t").select("gram")
+    often = written(often, "grams")  # a table of its own, so that Spark can split a gram that many texts select
     grams = short.select(F.col("tag").alias("own"), "text").mapInArrow(_select, "gram long, own long, twice boolean").select("gram", F.col("own").alias("tag")).join(often, "gram", "left_semi")
 
     # the first row of each text; a null id comes after all others
