@@ -240,3 +240,34 @@ def test_claims_votes_and_replay(spark):
     assert {r.question_id: r.route for r in I.route(qs, cw).collect()} == {"1": "grounded", "2": "free", "3": "free", "4": "fallback"}
     sl = I.missing_slots(spark.createDataFrame([(1, "", "x")], "k int, p string, q string"), "k", ["p", "q"]).first()
     assert sl.missing == ["p"]
+
+
+def test_isolation_forest_and_kmeans_find_a_spike(spark):
+    from heronry.operators import forest as O
+
+    rng = np.random.default_rng(3)
+    x = np.sin(np.arange(400) * 2 * np.pi / 50) + 0.05 * rng.normal(size=400)
+    x[300:305] += 4
+    series, lay = make(spark, {1: x}, te=200, s0=300, s1=305, w=10)
+    for score in (O.isolation_forest(series, lay, trees=40, group=7), O.kmeans_distance(series, lay)):
+        s = score.orderBy("idx").toPandas()
+        assert len(s) == 400 and 285 <= int(s.score.idxmax()) <= 315
+    a = O.isolation_forest(series, lay, trees=20, group=5).orderBy("idx").toPandas().score
+    b = O.isolation_forest(series, lay, trees=20, group=20).orderBy("idx").toPandas().score
+    assert np.allclose(a, b)  # the same trees, however they are dealt out
+    assert O.expected_path(np.array([1, 2])).tolist() == [0.0, 1.0]
+
+
+def test_checked_tables(spark):
+    from heronry.operators import tables as B
+
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    right = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, w double")
+    assert B.join_checked(left, right, ["k"], validate="m:1").count() == 3
+    with pytest.raises(Exception, match="is not unique"):
+        B.join_checked(left, right, ["k"]).collect()
+    assert B.union_all(left, right).columns == ["k", "v", "w"]
+    assert [r.v for r in B.first_rows(left, ["k"], "v").orderBy("k").collect()] == ["a", "b"]
+    assert [r.v for r in B.index_with_overflow(left, 2, "v", text="v").collect()] == ["a", "b", "... 1 more"]
+    with pytest.raises(Exception, match="several values"):
+        B.pivot_strict(left.withColumn("x", F.lit(1.0)).withColumn("c", F.lit("p")), "k", "c", "x", ["p"]).collect()
