@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.llm import buffers as B
+from heronry.llm.store import small_batches
 
 BUCKETS = 1 << 17
 #: Buckets of the two words that mark repetition.
@@ -130,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", sampl
     Rows whose label or id is null are left out; of several labels of an id the least counts. Without labelled
     documents the model scores 0.5. The sample's ids are broadcast: there are ``sample`` of them at most.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

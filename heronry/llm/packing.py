@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.llm import buffers as B
-from heronry.llm.store import written
+from heronry.llm.store import small_batches, written
 
 LITTLE = sys.byteorder == "little"
 
@@ -215,6 +215,7 @@ def pack(docs: DataFrame, *, size: int = 2048, end_id: int = 0, tokenizer: str |
     task and length.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long"

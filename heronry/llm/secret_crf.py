@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.llm import buffers as B
+from heronry.llm.store import small_batches
 
 # Fixed patterns and their least lengths.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -286,6 +287,7 @@ def find_secrets(docs: DataFrame, *, field: Field | None = None, sample: int = 2
     Defined cases: a null text counts as empty and has no spans; rows with equal or null ids are scanned each; an empty
     table gives an empty table; other columns are left out. Without a ``field`` one is fitted to ``docs``.
     """
+    small_batches(docs.sparkSession)
     if field is None:
         field = fit(docs, sample=sample, id_col=id_col, text_col=text_col)
     kind = docs.schema[id_col].dataType.simpleString()

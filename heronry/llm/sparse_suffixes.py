@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from heronry.llm import anchors as A
 from heronry.llm import buffers as B
-from heronry.llm.store import written
+from heronry.llm.store import small_batches, written
 
 #: Words beside a suffix that a match may be extended by.
 BESIDE = A.SPAN - 1
@@ -215,22 +215,24 @@ def repeated_passages(docs: DataFrame, *, least: int = 50, id_col: str = "doc_id
     depth = least - A.SPAN + 1
     if depth < A.GRAM:
         raise ValueError(f"passages of fewer than {A.SPAN + A.GRAM - 1} words select no suffix for certain")
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", F.xxhash64("text"))).withColumn("tag", F.shiftright("row", 24))
     kept = base.select("tag", "text").mapInArrow(_emit(depth), "suffix long, tag long")
-    often = kept.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix")
+    # lists of suffixes are tables of their own, so that Spark can split one that many texts hold
+    often = written(kept.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix"), "often")
     held = kept.join(often, "suffix", "left_semi").groupBy("tag").agg(F.collect_set("suffix").alias("suffixes"))
     texts = written(base.join(held, "tag").dropDuplicates(["tag", "row"]).select("doc_id", "row", "text", "suffixes"), "open-texts")
 
     marks = written(texts.select("row", "text", "suffixes").mapInArrow(_marks(depth), "suffix long, row long, pos int"), "marks")
     # rows of one id and text are one by now, so what still repeats is counted anew
-    real = marks.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix")
+    real = written(marks.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix"), "real")
     beside = Window.partitionBy("row").orderBy("pos")
     first = F.coalesce(F.col("pos") > F.lag("pos").over(beside) + depth, F.lit(True))
     last = F.coalesce(F.lead("pos").over(beside) > F.col("pos") + depth, F.lit(True))
     marks = written(marks.join(real, "suffix", "left_semi").select("suffix", "row", "pos", first.alias("first"), last.alias("last")), "chains")
-    at_ends = marks.where("first OR last").select("suffix").distinct()
+    at_ends = written(marks.where("first OR last").select("suffix").distinct(), "at-ends")
     wanted = marks.join(at_ends, "suffix", "left_semi").groupBy("row").agg(F.collect_list("pos").alias("pos"))
     sides = texts.select("doc_id", "row", "text").join(wanted, "row").select("doc_id", "row", "pos", "text").mapInArrow(_with_sides(depth), f"left binary, right binary, doc_id {kind}, row long, pos int")
     sides = written(sides, "sides")

@@ -126,8 +126,8 @@ def _suffixes(depth: int):
                 width = key.shape[1]
                 keys = pa.Array.from_buffers(pa.binary(), len(runs), [None, pa.py_buffer((np.arange(len(runs) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(key))])
                 first = np.searchsorted(doc, np.arange(end - at))
-                ids = [batch.column(c).slice(at, end - at).take(pa.array(owner)) for c in ("doc_id", "row")]
-                yield pa.RecordBatch.from_arrays([keys, *ids, pa.array((runs - first[owner]).astype(np.int32))], ["key", "doc_id", "row", "pos"])
+                ids = [batch.column(c).slice(at, end - at).take(pa.array(owner)) for c in ("doc_id", "mark")]
+                yield pa.RecordBatch.from_arrays([keys, *ids, pa.array((runs - first[owner]).astype(np.int32))], ["key", "doc_id", "mark", "pos"])
 
     return run
 
@@ -141,13 +141,13 @@ def deep_nodes(shared: np.ndarray, depth: int) -> list[tuple[int, int]]:
 
 def _subtrees(depth: int):
     """Repeats of each group, and the group's first and last suffix."""
-    names = ["kind", "part", "key", "doc_id", "row", "pos"]
+    names = ["kind", "part", "key", "doc_id", "mark", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
 
         def edge(kind: int, row: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), *(row.column(c) for c in ("key", "doc_id", "row", "pos"))], names)
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), *(row.column(c) for c in ("key", "doc_id", "mark", "pos"))], names)
 
         root: pa.RecordBatch | None = None  # the first leaf of the node that the next batch may continue
         last: pa.RecordBatch | None = None
@@ -171,15 +171,15 @@ def _subtrees(depth: int):
                 inside[a : b + 1] = True
             repeats = same & (inside | (leaf < 0))
             table = pa.concat_tables([pa.Table.from_batches([root]), pa.Table.from_batches([batch])]).combine_chunks()
-            who = table.select(["doc_id", "row", "pos"])
+            who = table.select(["doc_id", "mark", "pos"])
             mine, theirs = who.take(pa.array(np.flatnonzero(repeats) + 1)), who.take(pa.array(leaf[repeats] + 1))
             # a row that occurs twice doesn't repeat itself
-            itself = np.ones(len(mine), bool)
-            for c in ("row", "pos"):
+            itself = np.array([x == y for x, y in zip(mine.column("doc_id").to_pylist(), theirs.column("doc_id").to_pylist(), strict=True)], bool)
+            for c in ("mark", "pos"):
                 itself &= mine.column(c).to_numpy() == theirs.column(c).to_numpy()
             mine = mine.filter(pa.array(~itself)).combine_chunks()
             if len(mine):
-                cols = [pa.array(np.zeros(len(mine), np.int32)), pa.array(np.full(len(mine), part, np.int32)), pa.nulls(len(mine), pa.binary()), *(mine.column(c).chunk(0) for c in ("doc_id", "row", "pos"))]
+                cols = [pa.array(np.zeros(len(mine), np.int32)), pa.array(np.full(len(mine), part, np.int32)), pa.nulls(len(mine), pa.binary()), *(mine.column(c).chunk(0) for c in ("doc_id", "mark", "pos"))]
                 yield pa.RecordBatch.from_arrays(cols, names)
             last = batch.slice(len(batch) - 1)
             if leaf[-1] >= 0:
@@ -209,10 +209,15 @@ def _tag(row: str) -> Column:
     return F.shiftright(F.col(row), 24)
 
 
+def _mark() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.col("row").bitwiseAND(F.lit((1 << 24) - 1))).alias("mark")
+
+
 def repeated_windows(docs: DataFrame, *, depth: int = A.REACH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, repeats). Rows of ``docs``, done or open (with text); (row, pos) of each window of open rows that starts earlier too.
+    """(rows, repeats). Rows of ``docs``, done or open (with text); (doc_id, mark, pos) of each window of open rows that starts earlier too.
 
-    ``row`` is 64 bits of id and text: rows equal in both are one document and are treated alike.
+    ``row`` is 64 bits of id and text: rows equal in both are one document and are treated alike. ``mark`` tells apart
+    rows of one id, by 24 bits, and rows without an id, by all 64.
     """
     if depth < A.REACH:
         raise ValueError(f"a window has {A.REACH} words at least, as many as select a gram")
@@ -239,14 +244,14 @@ def repeated_windows(docs: DataFrame, *, depth: int = A.REACH, id_col: str = "do
     rows = written(marked.select("doc_id", "row", "copy", "grams", "text").mapInArrow(_sort_out(depth), schema), "rows")
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = rows.where("text IS NOT NULL").select("doc_id", "row", "text", "grams").mapInArrow(_suffixes(depth), f"key binary, doc_id {kind}, row long, pos int")
-    order = [F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("row"), F.col("pos")]
-    tree = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_subtrees(depth), f"kind int, part int, key binary, doc_id {kind}, row long, pos int")
+    suffixes = rows.where("text IS NOT NULL").select("doc_id", _mark(), "text", "grams").mapInArrow(_suffixes(depth), f"key binary, doc_id {kind}, mark long, pos int")
+    order = [F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("mark"), F.col("pos")]
+    tree = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_subtrees(depth), f"kind int, part int, key binary, doc_id {kind}, mark long, pos int")
     tree = written(tree, "subtrees")
     # a group's first suffix repeats when an earlier group ends with the same key: two rows a group
-    heads, tails = tree.where("kind = 1"), tree.where("kind = 2").select("key", F.col("part").alias("p"), F.col("row").alias("r"), F.col("pos").alias("s"))
-    across = heads.join(tails, "key").where("p < part AND NOT (r = row AND s = pos)").select("row", "pos")
-    return rows, tree.where("kind = 0").select("row", "pos").union(across)
+    heads, tails = tree.where("kind = 1"), tree.where("kind = 2").select("key", F.col("part").alias("p"), F.col("doc_id").alias("d"), F.col("mark").alias("r"), F.col("pos").alias("s"))
+    across = heads.join(tails, "key").where("p < part AND NOT (d <=> doc_id AND r = mark AND s = pos)").select("doc_id", "mark", "pos")
+    return rows, tree.where("kind = 0").select("doc_id", "mark", "pos").union(across)
 
 
 def drop_repeats(docs: DataFrame, *, depth: int = A.REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,7 +264,8 @@ def drop_repeats(docs: DataFrame, *, depth: int = A.REACH, id_col: str = "doc_id
     rows, repeats = repeated_windows(docs, depth=depth, id_col=id_col, text_col=text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"
-    lists = repeats.groupBy("row").agg(F.collect_list("pos").alias("pos"))
-    open_ = rows.where("text IS NOT NULL").select("doc_id", "row", "text").join(lists, "row", "left")
+    lists = repeats.groupBy(F.col("doc_id").alias("__id"), "mark").agg(F.collect_list("pos").alias("pos"))
+    open_ = rows.where("text IS NOT NULL").select("doc_id", _mark(), "text")
+    open_ = open_.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (open_["mark"] == lists["mark"]), "left")
     cleaned = open_.select("doc_id", "text", "pos").mapInArrow(_remove(depth), schema)
     return rows.where("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(cleaned)
