@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,19 +161,36 @@ def sentinels(series: DataFrame, layouts: DataFrame, *, value: float = -999.0) -
     return near.select("series_id", "idx", (F.col("x") == value).alias("exact"), part.alias("part"))
 
 
-def outlier_ratio(series: DataFrame, *, reach: int = 25) -> DataFrame:
-    """(series_id, idx, ratio): distance to the median of the points ``reach`` or less away, over their MAD; NULL for 0 / 0, infinity for the rest over 0."""
-    w = Window.partitionBy("series_id").orderBy("idx").rowsBetween(-reach, reach)
-    near = series.withColumn("v", F.array_sort(F.collect_list("x").over(w)))
+def rolling_outliers(x: np.ndarray, reach: int) -> np.ndarray:
+    """Distance of each value to the median of those ``reach`` or less away, over their median absolute deviation."""
+    wide = np.concatenate((np.full(reach, np.nan), x, np.full(reach, np.nan)))
+    near = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1)
+    m = np.nanmedian(near, axis=1)
+    d = np.nanmedian(np.abs(near - m[:, None]), axis=1)
+    off = np.abs(x - m)
+    return np.where(d > 0, off / np.where(d > 0, d, 1.0), np.where(off > 0, np.inf, 0.0))
 
-    def median(v: Column) -> Column:
-        n = F.size(v)
-        return (F.get(v, ((n - 1) / 2).cast("int")) + F.get(v, (n / 2).cast("int"))) / 2
 
-    near = near.withColumn("m", median(F.col("v")))
-    near = near.withColumn("d", median(F.array_sort(F.transform("v", lambda y: F.abs(y - F.col("m"))))))
-    off = F.abs(F.col("x") - F.col("m"))
-    return near.select("series_id", "idx", F.when(F.col("d") > 0, off / F.col("d")).when(off > 0, F.lit(float("inf"))).otherwise(F.lit(0.0)).alias("ratio"))
+def outlier_ratio(series: DataFrame, *, reach: int = 25, block: int = 20_000) -> DataFrame:
+    """(series_id, idx, ratio) of :func:`rolling_outliers`; 0 where a value is its median, infinity where only it is off.
+
+    Median deviations of a moving window have no window function of their own, so series are packed and cut into blocks
+    with ``reach`` points of their neighbours on either side, each an array job.
+    """
+    from heronry.operators.series import pack
+
+    packed = pack(series).withColumn("at", F.explode(F.expr(f"sequence(0, size(xs) - 1, {block})")))
+    first = F.greatest(F.col("at") - reach, F.lit(0))
+    cut = packed.select("series_id", "at", (F.col("at") - first).alias("skip"), F.least(F.lit(block), F.size("xs") - F.col("at")).alias("n"), F.slice("xs", first + 1, F.col("at") - first + block + reach).alias("xs"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                out = rolling_outliers(np.asarray(r.xs, float), reach)[r.skip : r.skip + r.n]
+                yield pd.DataFrame({"series_id": r.series_id, "idx": np.arange(r.at, r.at + r.n), "ratio": out})
+
+    kind = series.schema["series_id"].dataType.simpleString()
+    return cut.mapInPandas(run, f"series_id {kind}, idx long, ratio double")
 
 
 def twin_check(indices: DataFrame, variants: DataFrame, ratios: DataFrame, *, least: float = 5.0) -> DataFrame:

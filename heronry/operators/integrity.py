@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,15 +26,34 @@ def occurrences(text: Column, term: Column) -> Column:
 def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, doc_id, score, rn): documents by how often the query's words occur in them; a word asked twice counts twice.
 
-    ``docs``: (doc_id, text); ``queries``: (query_id, query). Substrings count, case doesn't, zero scores are dropped,
-    equal scores go by id. Query words are few and broadcast behind Spark's size check; each text is read once.
+    ``docs``: (doc_id, text); ``queries``: (query_id, query), a list that the driver holds, as it is what a user asks.
+    Substrings count, case doesn't, zero scores are dropped, equal scores go by id. Each text is searched once for each
+    different word of all queries; a batch of texts only passes on its best k rows of each query, which hold the best k.
     """
-    terms = queries.select("query_id", F.explode(F.split(F.lower(F.trim("query")), r"\s+")).alias("term")).where("term <> ''").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("m"))
-    packed = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "m")).alias("terms"))
-    low = docs.select("doc_id", F.lower("text").alias("_t"))
-    hits = low.join(packed, F.exists("terms", lambda t: F.contains(F.col("_t"), t["term"])))
-    scored = hits.select("query_id", "doc_id", F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: s + t["m"] * occurrences(F.col("_t"), t["term"])).alias("score")).where("score > 0")
-    return scored.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rn") <= k)
+    import numpy as np
+    import pandas as pd
+
+    terms = queries.select("query_id", F.explode(F.split(F.lower(F.trim("query")), r"\s+")).alias("term")).where("term <> ''").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("m")).collect()
+    words, ids = sorted({t.term for t in terms}), sorted({t.query_id for t in terms})
+    weight = np.zeros((len(words), len(ids)), np.int64)
+    at_word, at_id = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
+    for t in terms:
+        weight[at_word[t.term], at_id[t.query_id]] = t.m
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(ids):
+                continue
+            batch = batch.sort_values("doc_id", kind="stable")
+            counts = np.array([[t.count(w) for w in words] for t in batch["text"].fillna("")], np.int64).reshape(len(batch), len(words))
+            scores = counts @ weight
+            order = np.argsort(-scores, axis=0, kind="stable")[:k]
+            rows = pd.DataFrame({"query_id": np.repeat(np.array(ids, dtype=object)[None], len(order), axis=0).ravel(), "doc_id": batch["doc_id"].to_numpy()[order].ravel(), "score": np.take_along_axis(scores, order, axis=0).ravel()})
+            yield rows[rows["score"] > 0]
+
+    kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", F.lower("text").alias("text")).mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score long")
+    return found.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rn") <= k)
 
 
 def retrieval_scores(gold: DataFrame) -> DataFrame:

@@ -271,3 +271,18 @@ def test_checked_tables(spark):
     assert [r.v for r in B.index_with_overflow(left, 2, "v", text="v").collect()] == ["a", "b", "... 1 more"]
     with pytest.raises(Exception, match="several values"):
         B.pivot_strict(left.withColumn("x", F.lit(1.0)).withColumn("c", F.lit("p")), "k", "c", "x", ["p"]).collect()
+
+
+def test_outlier_ratio_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=130)
+    x[50:60] = 1.0
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "series_id long, idx long, x double")
+    want = []
+    for i in range(130):
+        near = x[max(0, i - 5) : i + 6]
+        d, off = np.median(np.abs(near - np.median(near))), abs(x[i] - np.median(near))
+        want.append(off / d if d > 0 else (np.inf if off > 0 else 0.0))
+    for block in (30, 1000):
+        got = E.outlier_ratio(df, reach=5, block=block).orderBy("idx").toPandas().ratio
+        assert np.allclose(got, want)
