@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,21 +151,24 @@ def spread_to_points(attr: DataFrame, segs: DataFrame) -> DataFrame:
 def kernel_shap(evaluated: DataFrame) -> DataFrame:
     """Shapley values by weighted least squares, from rows (series_id, z: array of 0/1, weight, f): (series_id, seg, value).
 
-    Needs a small dense solve for each series (at most 64 unknowns), so each series is one pandas group; the evaluation
-    of coalitions before it is plain joins.
+    A series has at most 64 unknowns and a bounded number of draws, so its rows are packed into one and many series are
+    solved in a batch; the evaluation of coalitions before it is plain joins.
     """
     import numpy as np
     import pandas as pd
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        z = np.stack(group["z"].to_numpy()).astype(float)
-        w = np.sqrt(group["weight"].to_numpy(float))
-        a = np.column_stack((np.ones(len(z)), z)) * w[:, None]
-        beta = np.linalg.lstsq(a, group["f"].to_numpy(float) * w, rcond=None)[0][1:]
-        return pd.DataFrame({"series_id": group["series_id"].iloc[0], "seg": np.arange(len(beta)), "value": beta})
+    packed = evaluated.groupBy("series_id").agg(F.collect_list(F.struct("z", "weight", "f")).alias("r")).select("series_id", F.size(F.get("r", 0)["z"]).alias("k"), F.flatten(F.transform("r", lambda x: x["z"])).alias("z"), F.transform("r", lambda x: x["weight"]).alias("weight"), F.transform("r", lambda x: x["f"]).alias("f"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                z, w = np.asarray(r.z, float).reshape(-1, r.k), np.sqrt(np.asarray(r.weight, float))
+                a = np.column_stack((np.ones(len(z)), z)) * w[:, None]
+                beta = np.linalg.lstsq(a, np.asarray(r.f, float) * w, rcond=None)[0][1:]
+                yield pd.DataFrame({"series_id": r.series_id, "seg": np.arange(r.k), "value": beta})
 
     kind = evaluated.schema["series_id"].dataType.simpleString()
-    return evaluated.groupBy("series_id").applyInPandas(solve, f"series_id {kind}, seg long, value double")
+    return packed.mapInPandas(solve, f"series_id {kind}, seg long, value double")
 
 
 def coalitions(sized: DataFrame, draws: int, *, seed: int = 7) -> DataFrame:

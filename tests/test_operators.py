@@ -286,3 +286,27 @@ def test_outlier_ratio_in_blocks(spark):
     for block in (30, 1000):
         got = E.outlier_ratio(df, reach=5, block=block).orderBy("idx").toPandas().ratio
         assert np.allclose(got, want)
+
+
+def test_deliberation_refinement_and_choices(spark):
+    from heronry.operators import lifecycle as L
+
+    rv = spark.createDataFrame([("r1", "A", 4.0), ("r2", "B", 4.0)], "reviewer string, target string, credits double")
+    scores, n, done = L.deliberate(rv, lambda r, s, n: r.union(spark.createDataFrame([(f"x{n}", "A", 25.0)], r.schema)), rounds=4, enough=0.7)
+    assert (n, done) == (2, True) and {r.target: r.score for r in scores.collect()} == {"A": 7.0, "B": 2.0}
+    rows = spark.createDataFrame([(1, 0), (2, 2), (3, 9)], "k int, v int")
+    out = L.refine(rows, lambda d: d.where("v > 0"), lambda d, n: d.withColumn("v", F.col("v") - 1), "k", rounds=3)
+    assert {r.k: (r.v, r.round) for r in out.collect()} == {1: (0, 0), 2: (0, 2), 3: (6, 3)}
+    tasks = spark.createDataFrame([("a", "d1"), ("b", "d2")], "task_key string, default string")
+    hist = spark.createDataFrame([("a", "h")], "task_key string, chosen string")
+    assert {r.chosen for r in L.choose(tasks, "deterministic").collect()} == {"d1", "d2"}
+    with pytest.raises(Exception, match="no recorded choice for b"):
+        L.choose(tasks, "replay", history=hist).collect()
+    ranked = spark.createDataFrame([("a", "x", 1.0, 1), ("a", "y", 2.0, 2), ("a", "z", 2.0, 3), ("b", "x", None, 1)], "task_key string, ref string, value double, seq int")
+    assert L.choose(tasks.where("task_key = 'a'"), "dynamic", ranked=ranked).first().chosen == "y"
+    with pytest.raises(Exception, match="cold start"):
+        L.choose(tasks, "dynamic", ranked=ranked).collect()
+    m = spark.createDataFrame([({"acc": 0.9}, {"acc": 0.8}), ({"acc": 0.9}, {"acc": 0.8, "f1": 0.1})], "m map<string,double>, f map<string,double>")
+    assert [r.ok for r in m.select(L.meets_floor(F.col("m"), F.col("f")).alias("ok")).collect()] == [True, False]
+    assert L.condition_grid(spark, {"a": [1, 1.0], "b": ["x"]}).count() == 2
+    assert [r.sentence for r in L.sentences(spark.createDataFrame([(1, "One. Two!\nThree")], "id int, text string")).orderBy("pos").collect()] == ["One.", "Two!", "Three"]
