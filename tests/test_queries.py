@@ -1,8 +1,10 @@
 """Every query with SQL gives the SQL's rows on the smallest tables."""
 
 import os
+from numbers import Number
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -16,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not here")
 def normal(df):
     df = df[sorted(df.columns)].astype(object)
     for c in df.columns:
-        df[c] = df[c].map(lambda v: "NULL" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else repr(float(v) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v))
+        df[c] = df[c].map(lambda v: "NULL" if v is None or v is pd.NaT or v is pd.NA or v != v else repr(float(v) + 0.0) if isinstance(v, Number) and not isinstance(v, (bool, np.bool_)) else str(v))
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
