@@ -53,7 +53,7 @@ def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", F.lower("text").alias("text")).mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score long")
-    return found.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rn") <= k)
+    return found.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long")).where(F.col("rn") <= k)
 
 
 def retrieval_scores(gold: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def skill_search(skills: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame
     usable = skills.where(F.col("status").isin("active", "deprecated")).select("skill", F.lower("text").alias("t"))
     hit = words.join(usable, F.exists("ws", lambda w: F.contains(F.col("t"), w)))
     scored = hit.select("query_id", "skill", F.size(F.filter("ws", lambda w: F.contains(F.col("t"), w))).alias("score"))
-    return scored.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "skill"))).where(F.col("rn") <= k)
+    return scored.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "skill")).cast("long")).where(F.col("rn") <= k)
 
 
 def health_sweep(skills: DataFrame, statuses: Sequence[str]) -> DataFrame:

@@ -128,12 +128,10 @@ u AS (SELECT *, CASE WHEN sd > 0 THEN sd ELSE 1.0 END AS sdd, coalesce(lf, rt) A
 h AS (SELECT *, max(abs((x - mu) / sdd)) OVER (PARTITION BY series_id) AS hi FROM u),
 o AS (SELECT series_id, idx, x, idx >= a AND idx < b AS m, unnest([{{'op': 'identity', 'y': x}}, {{'op': 'zero', 'y': 0.0}}, {{'op': 'global_mean', 'y': mean}}, {{'op': 'local_mean', 'y': coalesce(near, mean)}}, {{'op': 'linear', 'y': coalesce(f_ + (g_ - f_) * (idx - a + 1) / (b - a + 1)::DOUBLE, mean)}},
  {{'op': 'z_zero', 'y': mu}}, {{'op': 'out_of_dist_high', 'y': 100 * hi * sdd + mu}}, {{'op': 'inverse', 'y': top - x + mu}}, {{'op': 'noise100', 'y': (u3 * 200 - 100) * sdd + mu}}, {{'op': 'gaussian', 'y': mean + (CASE WHEN spread > 0 THEN spread ELSE 1e-8 END) * sqrt(-2 * ln(1 - u1)) * cos(6.283185307179586 * u2)}}]) AS t FROM h)
-SELECT series_id, idx, t.op AS op, round(CASE WHEN m THEN t.y ELSE x END, 9) AS masked FROM o WHERE m OR idx % 10 = 0""")
+SELECT series_id, idx, t.op AS op, round(CASE WHEN m THEN t.y ELSE x END, 9) AS masked FROM o""")
 def mask_operators(spark: SparkSession, d: str) -> DataFrame:
-    """All pointwise masking operators on one region a series; of the points outside it every tenth is shown."""
-    pts = A.points(spark, d)
-    out = M.mask_all(pts, DETERMINISTIC)
-    return out.join(A.regions(spark, d).select("series_id", "a", "b"), "series_id").where(M.inside() | (F.col("idx") % 10 == 0)).select("series_id", "idx", "op", F.round("masked", 9).alias("masked"))
+    """All pointwise masking operators on one region a series."""
+    return M.mask_all(A.points(spark, d), DETERMINISTIC).select("series_id", "idx", "op", F.round("masked", 9).alias("masked"))
 
 
 @query(f"""{PT_SQL}, hs AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY idx) AS k, row_number() OVER (PARTITION BY series_id ORDER BY ('0x' || substr(md5('7:' || series_id || ':' || idx), 1, 12))::BIGINT, idx) AS rr FROM q WHERE idx >= a AND idx < b)
@@ -296,9 +294,9 @@ OUT_SQL = """ow AS (SELECT series_id, idx, x, list(x) OVER (PARTITION BY series_
 orr AS (SELECT series_id, idx, CASE WHEN dd > 0 THEN off / dd WHEN off > 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS ratio FROM od)"""
 
 
-@query(f"WITH {A.S_SQL}, {OUT_SQL} SELECT series_id, idx, round(ratio, 6) AS ratio FROM orr WHERE ratio >= 3")
+@query(f"WITH {A.S_SQL}, {OUT_SQL} SELECT series_id, idx, round(ratio, 6) AS ratio FROM orr")
 def outlier_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return E.outlier_ratio(A.series(spark, d)).where("ratio >= 3").select("series_id", "idx", r6(F.col("ratio")).alias("ratio"))
+    return E.outlier_ratio(A.series(spark, d)).select("series_id", "idx", r6(F.col("ratio")).alias("ratio"))
 
 
 @query(f"""WITH {A.S_SQL}, {A.L_SQL}, {A.META_SQL}, {OUT_SQL}, ix AS (SELECT name_group, idx FROM orr JOIN meta ON num = series_id WHERE variant = 'plain' AND ratio >= 5), j AS (SELECT m.num AS series_id, m.length, ix.idx, o.ratio FROM meta m JOIN ix USING (name_group) LEFT JOIN orr o ON o.series_id = m.num AND o.idx = ix.idx WHERE variant <> 'plain'),
@@ -317,9 +315,9 @@ def constant_windows(spark: SparkSession, d: str) -> DataFrame:
     return E.constant_windows(A.series(spark, d).withColumn("x", F.floor(F.col("x") / 40)), 4)
 
 
-@query(f"""WITH {A.S_SQL}, c AS (SELECT series_id, idx, x, list_concat(coalesce(list(x) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 3 PRECEDING), []), coalesce(list(x) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 3 FOLLOWING AND 12 FOLLOWING), [])) AS v FROM s) SELECT series_id, idx, round(abs(x - list_median(v)), 6) AS dev FROM c WHERE idx % 10 = 0""")
+@query(f"""WITH {A.S_SQL}, c AS (SELECT series_id, idx, x, list_concat(coalesce(list(x) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 3 PRECEDING), []), coalesce(list(x) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 3 FOLLOWING AND 12 FOLLOWING), [])) AS v FROM s) SELECT series_id, idx, round(abs(x - list_median(v)), 6) AS dev FROM c""")
 def local_deviation(spark: SparkSession, d: str) -> DataFrame:
-    return E.local_deviation(A.series(spark, d)).where("idx % 10 = 0").select("series_id", "idx", r6(F.col("dev")).alias("dev"))
+    return E.local_deviation(A.series(spark, d)).select("series_id", "idx", r6(F.col("dev")).alias("dev"))
 
 
 @query(f"""WITH {A.S_SQL}, {A.L_SQL}, {A.META_SQL} SELECT coalesce(domain, 'total') AS domain, count_if(variant = 'plain') AS plain, count_if(variant = 'DISTORTED') AS DISTORTED, count_if(variant = 'NOISE') AS NOISE, count(*) AS total FROM meta GROUP BY ROLLUP (domain)""")

@@ -167,9 +167,9 @@ def rma_rra(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {A.S_SQL}, v AS (SELECT series_id, idx, ('0x' || substr(md5('7:' || series_id || ':' || idx), 1, 12))::BIGINT / 281474976710656.0 AS rnd, abs((x - avg(x) OVER p) / nullif(stddev_pop(x) OVER p, 0)) AS z, pow(x - sum(x) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 2) AS res FROM s WINDOW p AS (PARTITION BY series_id))
-SELECT series_id, idx, round(rnd / sum(rnd) OVER q, 6) AS random, round(1.0 / count(*) OVER q, 6) AS uniform, round(z / sum(z) OVER q, 6) AS abs_z, round(res / sum(res) OVER q, 6) AS residual FROM v WINDOW q AS (PARTITION BY series_id) QUALIFY idx % 5 = 0""")
+SELECT series_id, idx, round(rnd / sum(rnd) OVER q, 6) AS random, round(1.0 / count(*) OVER q, 6) AS uniform, round(z / sum(z) OVER q, 6) AS abs_z, round(res / sum(res) OVER q, 6) AS residual FROM v WINDOW q AS (PARTITION BY series_id)""")
 def baselines(spark: SparkSession, d: str) -> DataFrame:
-    return X.baselines(A.series(spark, d)).where("idx % 5 = 0").select("series_id", "idx", *[r6(F.col(c)).alias(c) for c in ("random", "uniform", "abs_z", "residual")])
+    return X.baselines(A.series(spark, d)).select("series_id", "idx", *[r6(F.col(c)).alias(c) for c in ("random", "uniform", "abs_z", "residual")])
 
 
 SEG_SQL = """om AS (SELECT series_id, greatest(s0 - w + 1, te) AS lo, least(s1 + w - 1, n) AS hi FROM l), sg AS (SELECT series_id, seg, lo + seg AS a, lo + seg + 1 AS b FROM (SELECT *, unnest(range(0, hi - lo)) AS seg FROM om))"""

@@ -67,13 +67,13 @@ def tiered_verification(spark: SparkSession, d: str) -> DataFrame:
 _NK = "regexp_replace(regexp_replace(regexp_replace(lower({x}), '[_\\s]+', '', 'g'), '^distorted', ''), '^noise', '')"
 
 
-@query(f"WITH s AS (SELECT n_nationkey AS num, {_NK.format(x='n_name')} AS key FROM nation), m AS (SELECT c_custkey AS mention_id, CASE c_custkey % 3 WHEN 0 THEN 'DISTORTED' || n_name WHEN 1 THEN 'file of ' || n_name || ' x' ELSE n_name END AS mention, c_custkey % 2 = 0 AS is_reference FROM customer JOIN nation ON c_nationkey = n_nationkey), u AS (SELECT DISTINCT mention, is_reference FROM m WHERE is_reference), k AS (SELECT *, {_NK.format(x='mention')} AS mk FROM u), h AS (SELECT mention, num, 2 AS p FROM k JOIN s ON mk = key UNION ALL SELECT mention, num, 3 FROM k JOIN s ON contains(mk, key)), b AS (SELECT mention, arg_min({{'n': num, 'p': p}}, p * 1000 + num) AS b FROM h GROUP BY 1) SELECT mention, b.n AS num, CASE b.p WHEN 2 THEN 'reference' ELSE 'part' END AS how FROM b")
+@query(f"WITH s AS (SELECT n_nationkey AS num, {_NK.format(x='n_name')} AS key FROM nation), m AS (SELECT c_custkey AS mention_id, CASE c_custkey % 3 WHEN 0 THEN 'DISTORTED' || n_name WHEN 1 THEN 'file of ' || n_name || ' x' ELSE n_name END AS mention, c_custkey % 3 = 0 AS is_reference FROM customer JOIN nation ON c_nationkey = n_nationkey), u AS (SELECT DISTINCT mention, is_reference FROM m), k AS (SELECT *, {_NK.format(x='mention')} AS mk FROM u), h AS (SELECT mention, num, CASE WHEN is_reference THEN 2 ELSE 1 END AS p FROM k JOIN s ON mk = key UNION ALL SELECT mention, num, 3 FROM k JOIN s ON contains(mk, key)), b AS (SELECT mention, arg_min({{'n': num, 'p': p}}, p * 1000 + num) AS b FROM h GROUP BY 1) SELECT mention, b.n AS num, CASE b.p WHEN 1 THEN 'key' WHEN 2 THEN 'reference' ELSE 'part' END AS how FROM b")
 def match_names(spark: SparkSession, d: str) -> DataFrame:
     """Mentions of nations, with prefixes and inside other words."""
     n = table(spark, d, "nation")
     c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("c_custkey")
-    m = c.where(k % 2 == 0).select(F.when(k % 3 == 0, F.concat(F.lit("DISTORTED"), "n_name")).when(k % 3 == 1, F.concat(F.lit("file of "), "n_name", F.lit(" x"))).otherwise(F.col("n_name")).alias("mention"), F.lit(True).alias("is_reference")).distinct()
+    m = c.select(F.when(k % 3 == 0, F.concat(F.lit("DISTORTED"), "n_name")).when(k % 3 == 1, F.concat(F.lit("file of "), "n_name", F.lit(" x"))).otherwise(F.col("n_name")).alias("mention"), (k % 3 == 0).alias("is_reference")).distinct()
     return L.match_names(m, n.select(F.col("n_nationkey").alias("num"), F.col("n_name").alias("name")))
 
 

@@ -59,10 +59,10 @@ def retirement(spark: SparkSession, d: str) -> DataFrame:
     return T.retirement(s, s.where("kind = 'model'"))
 
 
-@query(f"{SP}, b AS (SELECT DISTINCT component, component_version AS version FROM sp WHERE component IS NOT NULL AND trace_id % 2 = 0), a AS (SELECT DISTINCT component, component_version AS version FROM sp WHERE component IS NOT NULL AND kind = 'selection') SELECT count(*) AS before, count(a.version) AS kept, round(coalesce(count(a.version) / nullif(count(*), 0)::DOUBLE, 1), 6) AS survival FROM b LEFT JOIN a USING (component, version)")
+@query(f"{SP}, b AS (SELECT DISTINCT component, component_version AS version FROM sp WHERE component IS NOT NULL AND kind = 'human'), a AS (SELECT DISTINCT component, component_version AS version FROM sp WHERE component IS NOT NULL AND kind = 'selection') SELECT count(*) AS before, count(a.version) AS kept, round(coalesce(count(a.version) / nullif(count(*), 0)::DOUBLE, 1), 6) AS survival FROM b LEFT JOIN a USING (component, version)")
 def swap_survival(spark: SparkSession, d: str) -> DataFrame:
     s = A.spans(spark, d).where(F.col("component").isNotNull()).withColumnRenamed("component_version", "version")
-    return T.swap_survival(s.where("trace_id % 2 = 0"), s.where("kind = 'selection'")).withColumn("survival", r6(F.col("survival")))
+    return T.swap_survival(s.where("kind = 'human'"), s.where("kind = 'selection'")).withColumn("survival", r6(F.col("survival")))
 
 
 @query("SELECT p_brand AS component, max(p_type) AS version FROM part WHERE p_size % 5 <> 0 GROUP BY 1")
@@ -95,9 +95,9 @@ def swap_decision(spark: SparkSession, d: str) -> DataFrame:
     return T.swap_decision(j, min_gain=0.001).select("component", "decision")
 
 
-@query("WITH v AS (SELECT 'j' || (l_suppkey % 9) AS judge, l_orderkey AS case_id, l_discount >= 0.05 AS passed FROM lineitem WHERE l_linenumber = 1), l AS (SELECT o_orderkey AS case_id, o_totalprice > 200000 AS label FROM orders), c AS (SELECT judge, count(*) AS n, avg((passed = label)::INT) AS agreement, count_if(passed AND NOT label) AS false_pass, count_if(NOT passed AND label) AS false_fail FROM v JOIN l USING (case_id) GROUP BY 1) SELECT judge, n, round(agreement, 6) AS agreement, false_pass, false_fail, n >= 30 AND agreement >= 0.5 AS usable FROM c")
+@query("WITH v AS (SELECT 'j' || (l_suppkey % 9) AS judge, l_orderkey AS case_id, l_discount >= 0.05 AS passed FROM lineitem), l AS (SELECT o_orderkey AS case_id, o_totalprice > 200000 AS label FROM orders), c AS (SELECT judge, count(*) AS n, avg((passed = label)::INT) AS agreement, count_if(passed AND NOT label) AS false_pass, count_if(NOT passed AND label) AS false_fail FROM v JOIN l USING (case_id) GROUP BY 1) SELECT judge, n, round(agreement, 6) AS agreement, false_pass, false_fail, n >= 30 AND agreement >= 0.5 AS usable FROM c")
 def judge_calibration(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("j"), F.col("l_suppkey") % 9).alias("judge"), F.col("l_orderkey").alias("case_id"), (F.col("l_discount") >= 0.05).alias("passed"))
+    v = table(spark, d, "lineitem").select(F.concat(F.lit("j"), F.col("l_suppkey") % 9).alias("judge"), F.col("l_orderkey").alias("case_id"), (F.col("l_discount") >= 0.05).alias("passed"))
     lab = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_totalprice") > 200000).alias("label"))
     return T.judge_calibration(v, lab, agreement=0.5).withColumn("agreement", r6(F.col("agreement")))
 
@@ -136,16 +136,16 @@ def distill_dedup_split(spark: SparkSession, d: str) -> DataFrame:
 # --- retrieval and claims
 
 STOP = ("the", "and")
-Q_SQL = "q AS (SELECT item_id AS query_id, list_transform(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+')[1:6], lambda y: y <> ''), lambda y: y) AS ts FROM benchmark)"
+Q_SQL = "q AS (SELECT item_id AS query_id, list_transform(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda y: y <> ''), lambda y: y) AS ts FROM benchmark)"
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.lower(F.trim("text")), r"\s+"), 1, 6), " ").alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"WITH {Q_SQL}, s AS (SELECT query_id, doc_id, list_sum(list_transform(ts, lambda y: (length(lower(text)) - length(replace(lower(text), y, ''))) // length(y)))::BIGINT AS score FROM q CROSS JOIN documents), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM s WHERE score > 0) SELECT query_id, doc_id, score, rn FROM k WHERE rn <= 5")
 def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The five documents that hold a question's first words most often: the limit is the feature."""
+    """The five documents that hold a question's words most often: the limit is the feature."""
     return I.keyword_topk(table(spark, d, "documents").select("doc_id", "text"), _queries(spark, d), 5)
 
 
@@ -225,12 +225,12 @@ def asof_view(spark: SparkSession, d: str) -> DataFrame:
     return I.as_of_view(A.data_points(spark, d), F.lit(AS_OF).cast("date")).withColumn("published_at", F.col("published_at").cast("string"))
 
 
-@query("WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderkey % 5 = 0), r AS (SELECT o_custkey, o_orderdate AS t, max(o_totalprice) AS price FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY ALL) SELECT o_orderkey, price AS price_asof FROM o ASOF LEFT JOIN r ON o.o_custkey = r.o_custkey AND o.o_orderdate >= r.t")
+@query("WITH r AS (SELECT o_custkey, o_orderdate + INTERVAL 1 DAY AS t, max(o_totalprice) AS price FROM orders GROUP BY ALL) SELECT o_orderkey, price AS price_asof FROM orders o ASOF LEFT JOIN r ON o.o_custkey = r.o_custkey AND o.o_orderdate >= r.t")
 def asof_join(spark: SparkSession, d: str) -> DataFrame:
-    """Each sampled order with its customer's last other order up to its day: a condition of the example, not a filter of the operator."""
+    """Each order with its customer's last one of an earlier day."""
     o = table(spark, d, "orders")
-    right = o.where("o_orderkey % 5 <> 0").groupBy("o_custkey", F.col("o_orderdate").alias("t")).agg(F.max("o_totalprice").alias("price"))
-    return I.as_of_join(o.where("o_orderkey % 5 = 0").select("o_orderkey", "o_custkey", "o_orderdate"), right, "o_custkey", "o_orderdate", "t", ["price"]).select("o_orderkey", "price_asof")
+    right = o.groupBy("o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("t")).agg(F.max("o_totalprice").alias("price"))
+    return I.as_of_join(o.select("o_orderkey", "o_custkey", "o_orderdate"), right, "o_custkey", "o_orderdate", "t", ["price"]).select("o_orderkey", "price_asof")
 
 
 @query(f"WITH {A.POINT_SQL}, k AS (SELECT CASE WHEN published_at IS NULL THEN 'unknown_timestamp' WHEN published_at > DATE '{AS_OF}' THEN 'unpublished' WHEN restated_at > DATE '{AS_OF}' THEN 'restated' WHEN period_end > DATE '{AS_OF}' THEN 'future_observation' WHEN published_at < period_end THEN 'future_observation' ELSE 'clean' END AS leak FROM pt) SELECT leak, count(*) AS n FROM k GROUP BY 1")
