@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one array step handles. A longer document is a step of its own.
-STEP_BYTES = 1_000_000
+STEP_BYTES = 250_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
