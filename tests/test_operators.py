@@ -310,3 +310,16 @@ def test_deliberation_refinement_and_choices(spark):
     assert [r.ok for r in m.select(L.meets_floor(F.col("m"), F.col("f")).alias("ok")).collect()] == [True, False]
     assert L.condition_grid(spark, {"a": [1, 1.0], "b": ["x"]}).count() == 2
     assert [r.sentence for r in L.sentences(spark.createDataFrame([(1, "One. Two!\nThree")], "id int, text string")).orderBy("pos").collect()] == ["One.", "Two!", "Three"]
+
+
+def test_keyword_counts_are_those_of_str_count(spark):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("ab "), 60)) for _ in range(40)] + [None, "", "AaA"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    qs = {1: "aa aa ab", 2: "aba b", 3: "zz", 4: " "}
+    got = I.keyword_topk(docs, spark.createDataFrame(list(qs.items()), "query_id int, query string"), 4)
+    want = set()
+    for q, s in qs.items():
+        scores = sorted((-sum((t or "").lower().count(w) for w in s.split()), i) for i, t in enumerate(texts))
+        want |= {(q, i, -v, k + 1) for k, (v, i) in enumerate([x for x in scores if x[0] < 0][:4])}
+    assert {tuple(r) for r in got.collect()} == want
