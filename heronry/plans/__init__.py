@@ -1,6 +1,6 @@
 """Named queries over the star-schema tables."""
 
-from heronry.plans import detection, evaluation, extra, lifecycle, trajectory  # noqa: F401
+from heronry.plans import detection, evaluation, extra, lifecycle, streamed, trajectory  # noqa: F401
 from heronry.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
