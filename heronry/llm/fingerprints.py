@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -149,61 +148,76 @@ def _hex_halves(col: Column) -> list[Column]:
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
-    """radius + 2 blocks of bits, as even as can be; at least two are equal within the radius."""
-    edge = np.linspace(0, BITS, radius + 3).astype(int)
+    """radius // 2 + 1 blocks of bits, as even as can be; within the radius one of them differs in one bit at most."""
+    edge = np.linspace(0, BITS, radius // 2 + 2).astype(int)
     return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
 
 
-def _block_keys(bits: np.ndarray, radius: int) -> np.ndarray:
-    """n x blocks hashes of each block of n x 128 bits."""
-    return np.stack([B.mix(np.packbits(np.pad(bits[:, a:b], ((0, 0), (64 - (b - a), 0))), axis=1).view(">u8")[:, 0].astype(_U)) for a, b in _blocks(radius)], axis=1)
-
-
 def _bits(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.stack((hi, lo), axis=1).astype(">i8").view(np.uint8).reshape(-1, BITS // 8), axis=1)
 
 
-def _permute(radius: int):
-    tables = list(combinations(range(radius + 2), 2))
+def _bucket(bits: np.ndarray, t: int) -> np.ndarray:
+    """A hash of n x width bits (one block) and of the block's table."""
+    padded = np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(">u8").astype(_U)
+    key = np.full(len(bits), t + 1, _U)
+    for k in range(padded.shape[1]):
+        key = B.mix(key + B.mix(padded[:, k] + _U(k + 1)))
+    return key.view(np.int64)
+
+
+def _permute(radius: int, probes: bool):
+    """A row for each table an entry is in, or, for queries, also for each bucket one bit of the block away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = _block_keys(_bits(batch.column("hi").to_numpy(zero_copy_only=False), batch.column("lo").to_numpy(zero_copy_only=False)), radius)
-            for t, (a, b) in enumerate(tables):
-                bucket = B.mix(keys[:, a] + _U(3) * keys[:, b] + _U(t)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), t, np.int32)), *(batch.column(c) for c in ("hi", "lo", "n", "q"))], ["bucket", "t", "hi", "lo", "n", "q"])
+            bits = _bits(batch.column("hi").to_numpy(zero_copy_only=False), batch.column("lo").to_numpy(zero_copy_only=False))
+            for t, (a, b) in enumerate(_blocks(radius)):
+                for flip in range(-1, b - a if probes else 0):
+                    block = bits[:, a:b].copy()
+                    if flip >= 0:
+                        block[:, flip] ^= 1
+                    yield pa.RecordBatch.from_arrays([pa.array(_bucket(block, t)), pa.array(np.full(len(bits), t, np.int32)), *(batch.column(c) for c in ("hi", "lo", "n"))], ["bucket", "t", "hi", "lo", "n"])
 
     return run
 
 
+#: Pairs that are compared at once, and entries of a bucket that one task holds.
+PAIRS = 500_000
+DENSE = 1000
+
+
 def _scan(radius: int):
-    tables = np.array(list(combinations(range(radius + 2), 2)))
-    names = ("bucket", "t", "hi", "lo", "n", "q")
+    """Rows sorted by bucket and part, entries before queries: for each query the entries it counts."""
+    blocks = _blocks(radius)
+    names = ("bucket", "part", "q", "t", "hi", "lo", "n")
+
+    def near(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.bitwise_count(rows["hi"][i] ^ rows["hi"][j]).astype(np.int64) + np.bitwise_count(rows["lo"][i] ^ rows["lo"][j])
+        hit = apart <= radius
+        i, j = i[hit], j[hit]
+        if not len(i):
+            return i, j
+        off = _bits(rows["hi"][i], rows["lo"][i]) ^ _bits(rows["hi"][j], rows["lo"][j])
+        meets = np.stack([off[:, a:b].sum(axis=1) <= 1 for a, b in blocks], axis=1)
+        here = np.argmax(meets, axis=1) == rows["t"][i]  # a pair counts in its first table
+        return i[here], j[here]
 
     def found(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        bucket, q, n = rows["bucket"], rows["q"], rows["n"]
-        count = np.zeros(len(bucket), np.int64)
-        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-        asked = np.add.reduceat(q.astype(np.int64), edge[:-1]) > 0
-        live = np.flatnonzero(np.repeat(asked & (np.diff(edge) > 1), np.diff(edge)))
-        bits = np.packbits(_bits(rows["hi"], rows["lo"]), axis=1)
-        k, step = bucket[live], 1
-        while step < len(k):
-            same = np.flatnonzero(k[step:] == k[:-step])
-            if not len(same):
-                break
-            i, j = live[same], live[same + step]
-            some = q[i] | q[j]
-            i, j = i[some], j[some]
-            near = _ONES[bits[i] ^ bits[j]].sum(axis=1, dtype=np.int64) <= radius
-            i, j = i[near], j[near]
-            if len(i):
-                equal = _block_keys(np.unpackbits(bits[i], axis=1), radius) == _block_keys(np.unpackbits(bits[j], axis=1), radius)
-                here = np.argmax(equal[:, tables[:, 0]] & equal[:, tables[:, 1]], axis=1) == rows["t"][i]  # a pair counts in its first table
-                i, j = i[here], j[here]
-                np.add.at(count, i[q[i]], n[j[q[i]]])
-                np.add.at(count, j[q[j]], n[i[q[j]]])
-            step += 1
+        q = rows["q"]
+        cut = (rows["bucket"][1:] != rows["bucket"][:-1]) | (rows["part"][1:] != rows["part"][:-1])
+        group = np.concatenate(([0], np.cumsum(cut)))
+        first = np.append(np.flatnonzero(np.append(True, cut)), len(q))
+        asks = np.flatnonzero(q)
+        held = np.bincount(group[~q], minlength=len(first) - 1)[group[asks]]
+        asks, held = asks[held > 0], held[held > 0]
+        count = np.zeros(len(q), np.int64)
+        step = np.cumsum(held) // PAIRS
+        for a, b in zip(*(np.searchsorted(step, np.unique(step), side) for side in ("left", "right")), strict=True):
+            i = np.repeat(asks[a:b], held[a:b])
+            at = np.arange(len(i)) - np.repeat(np.cumsum(held[a:b]) - held[a:b], held[a:b])
+            i, j = near(rows, i, first[group[i]] + at)
+            np.add.at(count, i, rows["n"][j])
         out = np.flatnonzero(count)
         return pa.RecordBatch.from_arrays([pa.array(rows["hi"][out]), pa.array(rows["lo"][out]), pa.array(count[out])], ["hi", "lo", "n"])
 
@@ -215,7 +229,8 @@ def _scan(radius: int):
                 rows = {c: np.concatenate((held[c], rows[c])) for c in names}
             if not len(rows["bucket"]):
                 continue
-            last = int(np.flatnonzero(rows["bucket"] != rows["bucket"][-1])[-1]) + 1 if rows["bucket"][0] != rows["bucket"][-1] else 0
+            other = np.flatnonzero((rows["bucket"] != rows["bucket"][-1]) | (rows["part"] != rows["part"][-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             held = {c: v[last:].copy() for c, v in rows.items()}
             if last:
                 yield found({c: v[:last] for c, v in rows.items()})
@@ -225,19 +240,27 @@ def _scan(radius: int):
     return run
 
 
-def count_near(prints: DataFrame, *, radius: int = 3, every: int = 50) -> DataFrame:
+def count_near(prints: DataFrame, *, radius: int = 11, every: int = 50) -> DataFrame:
     """(doc_id, n_near) for rows of ``prints`` (doc_id, fingerprint) whose id is divisible by ``every``.
 
     ``n_near`` counts the other rows within ``radius`` bits, equal fingerprints included. Fingerprints are dealt to one
-    table for each choice of two of radius + 2 blocks, permuted to the front, and sorted; within the radius two blocks
-    at least are equal, so all are found. Copies are one entry with a count, and only buckets that hold a query are
-    compared. Null ids are no queries.
+    table for each of radius // 2 + 1 blocks, permuted to the front; within the radius one block at least differs in no
+    more than one bit, so a query that looks into its own bucket of each table and into those one bit away finds all.
+    Copies are one entry with a count. Buckets of more than DENSE entries are dealt out in parts, and their queries go to
+    each part. Null ids are no queries.
     """
     hi, lo = _hex_halves(F.col("fingerprint"))
     asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     keyed = prints.select("doc_id", asked.alias("q"), hi.alias("hi"), lo.alias("lo"))
     entries = written(keyed.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("q").alias("q")), "entries")
-    tables = entries.mapInArrow(_permute(radius), "bucket long, t int, hi long, lo long, n long, q boolean")
-    others = tables.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_scan(radius), "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("others"))
-    counts = entries.where("q").select("hi", "lo", (F.col("n") - 1).alias("same")).join(others, ["hi", "lo"], "left")
-    return keyed.where("q").join(counts, ["hi", "lo"]).select("doc_id", (F.col("same") + F.coalesce("others", F.lit(0))).alias("n_near"))
+    row = "bucket long, t int, hi long, lo long, n long"
+    tables = entries.select("hi", "lo", "n").mapInArrow(_permute(radius, False), row)
+    probes = entries.where("q").select("hi", "lo", "n").mapInArrow(_permute(radius, True), row)
+    dense = written(tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > DENSE).select("bucket", F.ceil(F.col("held") / DENSE).cast("int").alias("parts")), "dense")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = tables.join(dense, "bucket", "left").select("bucket", F.pmod(F.xxhash64("hi", "lo"), parts).cast("int").alias("part"), F.lit(False).alias("q"), "t", "hi", "lo", "n")
+    asks = probes.join(dense, "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("q"), "t", "hi", "lo", "n")
+    met = dealt.unionByName(asks).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "q").mapInArrow(_scan(radius), "hi long, lo long, n long")
+    # a query's own entry is among those it finds
+    counts = met.groupBy("hi", "lo").agg((F.sum("n") - 1).alias("n_near"))
+    return keyed.where("q").join(counts, ["hi", "lo"]).select("doc_id", "n_near")

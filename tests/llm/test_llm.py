@@ -356,6 +356,28 @@ def test_fingerprints(spark, docs, rows):
         assert fingerprint_with_edits(t).count() == t.count()
 
 
+def test_search_finds_near_copies(spark, monkeypatch):
+    """Planted copies with one word replaced: the query's radius finds nine in ten, radius 3 under half."""
+    from heronry.llm import fingerprints, queries
+
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(3000)]
+    texts = []
+    for k in range(60):
+        base = [rng.choice(vocab) for _ in range(200)]
+        copy = list(base)
+        copy[rng.randrange(200)] = "replaced"
+        texts += [(50 * k, " ".join(base)), (50 * k + 1, " ".join(copy))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(queries, "_read", lambda *_: docs)
+    near = {r.doc_id: r.n_near for r in queries.op8_simhash_fingerprints(spark, "").where("n_near IS NOT NULL").select("doc_id", "n_near").collect()}
+    assert len(near) == 60 and max(near.values()) == 1 and sum(near.values()) >= 54
+    prints = fingerprints.fingerprint_with_edits(docs).select("doc_id", "fingerprint")
+    assert sum(r.n_near for r in fingerprints.count_near(prints, radius=3).collect()) < 30
+    monkeypatch.setattr(fingerprints, "DENSE", 2)  # every bucket of more entries in parts: same counts
+    assert {r.doc_id: r.n_near for r in fingerprints.count_near(prints, radius=11).collect()} == near
+
+
 # --- op9
 
 
