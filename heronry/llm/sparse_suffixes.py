@@ -9,6 +9,8 @@ words from there on are the same in all its copies.
    to the right. In either order a suffix shares most with a neighbour, so comparing neighbours extends each match as
    far left and right as any copy allows. SPAN - 1 words on either side are enough: a longer match would hold another
    retained suffix, which is extended itself.
+   A suffix needs no words to its left if all its holders have the same retained suffix the same way before it: that
+   one is extended for all of them. The same holds on the right.
 3. Extended matches of a document that touch are one span.
 
 So each span is words that occur elsewhere, every passage of ``least`` words or more that repeats is inside one, and no
@@ -21,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.llm import anchors as A
@@ -105,7 +108,7 @@ def _beside(codes: np.ndarray, doc: np.ndarray, at: np.ndarray, owner: np.ndarra
 
 
 def _with_sides(depth: int):
-    """For listed positions: keys of the suffix followed by the words on its left, and on its right."""
+    """For listed positions: keys of the suffix followed by the words on its left, and on its right, where asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +121,9 @@ def _with_sides(depth: int):
                 sums = B.Windows(hashes)
                 whole = np.stack([sums.get(chosen, depth, lane) for lane in (0, 1)], axis=1).astype(">u8").view(np.uint8).reshape(len(pos), 16)
                 codes = np.maximum(hashes >> _U(40), _U(1)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
+                asked = [batch.column(c).slice(at, end - at).flatten() for c in ("l", "r")]
                 sides = (_fixed_binary(np.concatenate((whole, _beside(codes, doc, p, owner, s).reshape(len(pos), -1)), axis=1)) for p, s in ((chosen - 1, -1), (chosen + depth, 1)))
+                sides = [pc.if_else(wants, keys, pa.scalar(None, pa.binary())) for wants, keys in zip(asked, sides, strict=True)]
                 ids = [batch.column(c).slice(at, end - at).take(pa.array(owner)) for c in ("doc_id", "row")]
                 yield pa.RecordBatch.from_arrays([*sides, *ids, pa.array(pos.astype(np.int32))], ["left", "right", "doc_id", "row", "pos"])
 
@@ -229,22 +234,30 @@ def repeated_passages(docs: DataFrame, *, least: int = 50, id_col: str = "doc_id
     # rows of one id and text are one by now, so what still repeats is counted anew
     real = written(marks.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix"), "real")
     beside = Window.partitionBy("row").orderBy("pos")
-    first = F.coalesce(F.col("pos") > F.lag("pos").over(beside) + depth, F.lit(True))
-    last = F.coalesce(F.lead("pos").over(beside) > F.col("pos") + depth, F.lit(True))
-    marks = written(marks.join(real, "suffix", "left_semi").select("suffix", "row", "pos", first.alias("first"), last.alias("last")), "chains")
-    at_ends = written(marks.where("first OR last").select("suffix").distinct(), "at-ends")
-    wanted = marks.join(at_ends, "suffix", "left_semi").groupBy("row").agg(F.collect_list("pos").alias("pos"))
-    sides = texts.select("doc_id", "row", "text").join(wanted, "row").select("doc_id", "row", "pos", "text").mapInArrow(_with_sides(depth), f"left binary, right binary, doc_id {kind}, row long, pos int")
+    marks = marks.join(real, "suffix", "left_semi")
+
+    def link(of, sign: int) -> Column:
+        """The next suffix of the chain on one side and how far off it is; null at the chain's end."""
+        gap = (of("pos").over(beside) - F.col("pos")) * sign
+        return F.when(gap <= depth, F.xxhash64(of("suffix").over(beside), gap))
+
+    linked = written(marks.select("suffix", "row", "pos", link(F.lag, -1).alias("before"), link(F.lead, 1).alias("after")), "chains")
+
+    def differs(side: str) -> Column:
+        return F.max(F.col(side).isNull()) | (F.min(side) != F.max(side))
+
+    # suffixes whose holders differ in what they chain to
+    open_ = written(linked.groupBy("suffix").agg(differs("before").alias("l"), differs("after").alias("r")).where("l OR r"), "open-suffixes")
+    wanted = linked.join(open_, "suffix").groupBy("row").agg(F.collect_list("pos").alias("pos"), F.collect_list("l").alias("l"), F.collect_list("r").alias("r"))
+    sides = texts.select("doc_id", "row", "text").join(wanted, "row").select("doc_id", "row", "pos", "l", "r", "text").mapInArrow(_with_sides(depth), f"left binary, right binary, doc_id {kind}, row long, pos int")
     sides = written(sides, "sides")
-    left, right = (_extended(sides, s, kind).groupBy("row", "pos").agg(F.first("doc_id").alias("doc_id"), F.max_by("with_id", "shared").alias("with_id"), F.max("shared").alias("n")) for s in ("left", "right"))
-    # a chain's ends, each with its extension; within a chain the words need none
-    firsts = marks.where("first").select("row", "pos").join(left, ["row", "pos"])
-    lasts = marks.where("last").select("row", "pos").join(right, ["row", "pos"])
-    ends = firsts.select("row", "doc_id", F.col("pos").alias("p"), (F.col("pos") - F.col("n")).alias("a"), F.lit(None).cast("int").alias("b"), "with_id").unionByName(lasts.select("row", "doc_id", F.col("pos").alias("p"), F.lit(None).cast("int").alias("a"), (F.col("pos") + depth + F.col("n")).alias("b"), "with_id"))
-    turn = F.array_sort(F.collect_list(F.struct("p", F.col("a").isNull().alias("closes"), "a", "b", "with_id")))
-    chains = ends.groupBy("row").agg(F.first("doc_id").alias("doc_id"), turn.alias("t"))
-    pairs = F.transform(F.filter(F.transform("t", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~y["x"]["closes"]), lambda y: F.struct(y["x"]["a"].alias("a"), F.coalesce(F.try_element_at("t", y["i"] + 2)["b"], y["x"]["p"] + depth).alias("b"), y["x"]["with_id"].alias("with_id")))
-    lists = chains.select("doc_id", F.array_sort(pairs).alias("s"))
+    left, right = (_extended(sides.where(F.col(s).isNotNull()), s, kind).select("row", "doc_id", "pos", (F.col("pos") - F.when(F.lit(s == "left"), F.col("shared")).otherwise(0)).alias("a"), (F.col("pos") + depth + F.when(F.lit(s == "right"), F.col("shared")).otherwise(0)).alias("b"), "with_id") for s in ("left", "right"))
+    # each document's extended matches; within a chain the other suffixes only join them
+    extended = left.unionByName(right).groupBy("row", "pos").agg(F.first("doc_id").alias("doc_id"), F.min("a").alias("a"), F.max("b").alias("b"), F.min_by("with_id", F.struct("a", -F.col("b"))).alias("with_id"))
+    chain = F.sum(F.col("before").isNull().cast("int")).over(beside.rowsBetween(Window.unboundedPreceding, 0))
+    chained = linked.select("row", "pos", chain.alias("chain")).join(extended, ["row", "pos"])
+    chains = chained.groupBy("row", "chain").agg(F.first("doc_id").alias("doc_id"), F.min("a").alias("a"), F.max("b").alias("b"), F.min_by("with_id", F.struct("a", -F.col("b"))).alias("with_id"))
+    lists = chains.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("a", "b", "with_id"))).alias("s"))
     # touching matches become one: fold the sorted list
     start = F.array().cast(f"array<struct<a:int,b:int,with_id:{kind}>>")
 

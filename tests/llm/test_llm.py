@@ -330,6 +330,25 @@ def test_sparse_suffixes(spark, docs, rows):
     assert repeated_passages(same.union(spark.createDataFrame([(2, "z " + long)], "doc_id long, text string"))).select("doc_id", "start_word", "end_word").orderBy("doc_id").collect() == [(1, 0, 80), (2, 1, 81)]
 
 
+def test_passages_whose_parts_stand_elsewhere(spark):
+    """A and B share a passage, its tail or head also stands in C, at other places of the chain than in B."""
+    from heronry.llm.sparse_suffixes import repeated_passages
+
+    rng = random.Random(8)
+    words_ = lambda k: [f"x{rng.randrange(10**6)}" for _ in range(k)]
+    texts, want = [], []
+    for k in range(200):
+        passage, j = words_(50), rng.randrange(1, 14)
+        part = passage[j:] if k % 2 else passage[:-j]
+        texts += [words_(30) + passage + words_(30), words_(30) + passage + words_(30), words_(30) + part + words_(30)]
+        want += [(3 * k, 30, 80), (3 * k + 1, 30, 80)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = {}
+    for r in repeated_passages(docs).collect():
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    assert [w for w in want if not any(a <= w[1] and w[2] <= b for a, b in spans.get(w[0], []))] == []
+
+
 # --- op8
 
 
