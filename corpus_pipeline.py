@@ -18,8 +18,8 @@ from heronry.llm.store import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others stay as they are."""
-    return keep_good(docs)
+    """Rejected documents go, and lines over the limit; ``n_chars`` is that of the text that is left."""
+    return keep_good(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

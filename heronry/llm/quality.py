@@ -101,22 +101,8 @@ def _content(text_col: str) -> tuple:
     return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
-def quality_table(docs: DataFrame, *, min_docs: int = 10, max_share: float = 0.05, min_left: float = 0.3, min_words: int = 20, max_repeat_percent: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, host, k1, k2, the base counts, n_common_words, base_failed, kept.
-
-    Line frequency: lines are normalised (blanks at the ends stripped, A-Z lowered), hashed, and counted by host over
-    documents with different texts, so that exact copies count once. A line is over the limit when it is in at least
-    ``min_docs`` documents and at least ``max_share`` of the documents of its host. Lines over the limit are removed;
-    a document of which fewer than ``min_words`` words or less than ``min_left`` of the words remain is rejected. One
-    that loses no line isn't.
-
-    Defined cases: a null text has no words and fails the base rules; the null host is a host; rows with equal or null
-    ids are judged each by its own text; an empty table gives an empty table.
-
-    Texts are read once, in Arrow batches; line hashes are written to the shared folder with the counts, and all joins
-    after that move hashes only. Counts are sums that combine before each shuffle, so a line, a text or a host may have
-    a third of the rows.
-    """
+def _judged(docs: DataFrame, *, min_docs: int = 10, max_share: float = 0.05, min_left: float = 0.3, min_words: int = 20, max_repeat_percent: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """:func:`quality_table`, and ``bad``: the keys of a text's lines over the limit, or null."""
     small_batches(docs.sparkSession)
     k1, k2 = _content(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -128,7 +114,7 @@ def quality_table(docs: DataFrame, *, min_docs: int = 10, max_share: float = 0.0
     hosts = stats.select("host", "k1", "k2").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     over = often.join(hosts, "host").where(F.col("n") >= F.lit(max_share) * F.col("all")).select("host", "line")
-    removed = lines.join(over, ["host", "line"]).groupBy("host", "k1", "k2").agg(F.sum("w").alias("n_common_words"))
+    removed = lines.join(over, ["host", "line"]).groupBy("host", "k1", "k2").agg(F.sum("w").alias("n_common_words"), F.collect_set("line").alias("bad"))
     out = stats.drop("line_keys", "line_words").join(removed, ["host", "k1", "k2"], "left")
     common = F.coalesce(F.col("n_common_words"), F.lit(0)).cast("long")
     left = F.col("n_words") - common
@@ -137,12 +123,59 @@ def quality_table(docs: DataFrame, *, min_docs: int = 10, max_share: float = 0.0
     return out.withColumn("n_common_words", common).withColumn("base_failed", base).withColumn("kept", ~base & ~depleted)
 
 
+def quality_table(docs: DataFrame, **rules) -> DataFrame:
+    """One row per row of ``docs``: doc_id, host, k1, k2, the base counts, n_common_words, base_failed, kept.
+
+    Line frequency: lines are normalised (blanks at the ends stripped, A-Z lowered), hashed, and counted by host over
+    documents with different texts, so that exact copies count once. A line is over the limit when it is in at least
+    ``min_docs`` documents and at least ``max_share`` of the documents of its host. Lines over the limit count as removed
+    (:func:`keep_good` removes them); a document of which fewer than ``min_words`` words or less than ``min_left`` of the words remain is rejected. One
+    that loses no line isn't.
+
+    Defined cases: a null text has no words and fails the base rules; the null host is a host; rows with equal or null
+    ids are judged each by its own text; an empty table gives an empty table.
+
+    Texts are read once, in Arrow batches; line hashes are written to the shared folder with the counts, and all joins
+    after that move hashes only. Counts are sums that combine before each shuffle, so a line, a text or a host may have
+    a third of the rows.
+    """
+    return _judged(docs, **rules).drop("bad")
+
+
+def _drop_lines(text: str, bad: list[int]) -> str:
+    """The text without the lines whose keys are on the list."""
+    raw = text.encode()
+    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    starts, ends, _ = B.words(data, offsets)
+    ls, le, _ = _lines(data, offsets)
+    first, stop = np.searchsorted(starts, ls), np.searchsorted(starts, le)
+    full = np.flatnonzero(stop > first)
+    keys = B.span_hashes(B.lower_ascii(data), starts[first[full]], ends[stop[full] - 1]).view(np.int64)
+    gone = set(full[np.isin(keys, np.array(bad, np.int64))].tolist())
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+
+
+def _cleaned(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = batch.column(len(batch.schema) - 1)
+            columns, names = batch.columns[:-1], batch.schema.names[:-1]
+            if bad.null_count < len(bad):
+                at = names.index(text_col)
+                texts = [t if b is None else _drop_lines(t, b) for t, b in zip(columns[at].to_pylist(), bad.to_pylist(), strict=True)]
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules: float) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_table` keeps, with their own columns.
+    """The rows of ``docs`` that :func:`quality_table` keeps, with their own columns and without lines over the limit.
 
-    The verdict depends on host and text alone, so rejected pairs of both are taken away by an anti join on hashes.
+    Verdict and lines depend on host and text alone, so both are joined by hashes of these.
     """
-    verdicts = quality_table(docs, id_col=id_col, text_col=text_col, host_col=host_col, **rules)
-    rejected = verdicts.where(~F.col("kept")).select(F.col("host").alias("__h"), F.col("k1").alias("__a"), F.col("k2").alias("__b")).distinct()
+    verdicts = _judged(docs, id_col=id_col, text_col=text_col, host_col=host_col, **rules)
+    changed = verdicts.where(~F.col("kept") | F.col("bad").isNotNull()).select(F.col("host").alias("__h"), F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("kept").alias("__kept"), F.col("bad").alias("__bad")).dropDuplicates(["__h", "__a", "__b"])
     a, b = _content(text_col)
-    return docs.join(rejected, (F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("__h")) & (a == F.col("__a")) & (b == F.col("__b")), "left_anti")
+    met = docs.join(changed, (F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("__h")) & (a == F.col("__a")) & (b == F.col("__b")), "left")
+    return met.where(F.coalesce("__kept", F.lit(True))).select(*docs.columns, "__bad").mapInArrow(_cleaned(text_col), docs.schema)

@@ -66,3 +66,21 @@ def test_pipeline(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_first_stage_removes_lines_over_the_limit(spark):
+    """A line in 12 documents of a host, 5 of them rejected: the other 7 lose it though fewer than ten hold it then."""
+    import corpus_pipeline
+
+    line = "Read more on  our site"
+    rows = []
+    for i in range(12):
+        own = " ".join(f"w{i}x{k}" for k in range(25 if i < 7 else 5))
+        text = f"{own}\n \n{line.upper() if i % 2 else line} \nlast é line {i}"
+        rows.append((i, text, "en", "s", len(text)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert sorted(out) == list(range(7))
+    for i, r in out.items():
+        own = rows[i][1].split("\n")
+        assert r.text == "\n".join([own[0], own[1], own[3]]) and r.n_chars == len(r.text)
