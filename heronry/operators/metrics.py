@@ -171,7 +171,7 @@ def kernel_shap(evaluated: DataFrame) -> DataFrame:
     return packed.mapInPandas(solve, f"series_id {kind}, seg long, value double")
 
 
-def coalitions(sized: DataFrame, draws: int, *, seed: int = 7) -> DataFrame:
+def coalitions(sized: DataFrame, draws: Column | int, *, seed: int = 7) -> DataFrame:
     """(series_id, d, z, weight) from rows (series_id, k): all and none with weight 1e6, then draws of size j with p ~ (k - 1) / (j (k - j))."""
     from heronry.functions.numeric import portable_random
 

@@ -16,9 +16,9 @@ from heronry.plans.registry import query, table
 
 @query()
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
-    """Detection by an isolation forest of windows, 50 trees."""
+    """Detection by an isolation forest of windows, 200 trees."""
     lay = A.layouts(spark, d)
-    return P.detection(O.isolation_forest(A.series(spark, d), lay, trees=50), lay).select("series_id", "p1_b0", "p1_bw", "argmax0")
+    return P.detection(O.isolation_forest(A.series(spark, d), lay, trees=200), lay).select("series_id", "p1_b0", "p1_bw", "argmax0")
 
 
 @query()

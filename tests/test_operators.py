@@ -323,3 +323,18 @@ def test_keyword_counts_are_those_of_str_count(spark):
         scores = sorted((-sum((t or "").lower().count(w) for w in s.split()), i) for i, t in enumerate(texts))
         want |= {(q, i, -v, k + 1) for k, (v, i) in enumerate([x for x in scores if x[0] < 0][:4])}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_queries_run_the_references_parameters(spark, monkeypatch):
+    from heronry.plans import QUERIES, evaluation, extra
+
+    seen, real = {}, extra.O.isolation_forest
+    monkeypatch.setattr(extra.O, "isolation_forest", lambda *a, **k: seen.update(k) or real(*a, **k))
+    QUERIES["isolation_forest"](spark, "/root/testdata/sf0.001")
+    assert seen["trees"] == 200
+    coalitions, held = evaluation.X.coalitions, []
+    monkeypatch.setattr(evaluation.X, "coalitions", lambda sized, draws: held.append((sized, coalitions(sized, draws))) or held[-1][1])
+    QUERIES["kernel_shap"](spark, "/root/testdata/sf0.001")
+    (sized, drawn), = held
+    k, n = {r.series_id: r.k for r in sized.collect()}, {r.series_id: r["count"] for r in drawn.groupBy("series_id").count().collect()}
+    assert n == {i: 2 + (2 * x + 2048 if x > 1 else 0) for i, x in k.items()}
