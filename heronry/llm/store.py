@@ -8,19 +8,22 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folder that is set where the session names none.
+#: Folder that is set where a session on one machine names none.
 OWN_DIR = "file:///tmp/checkpoints"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; sets one where there is none."""
+    """The shared folder of this session. Only a session on one machine (master ``local``) gets one set; others must name it."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"{OWN_DIR}/{sc.applicationId}"
         sc.setCheckpointDir(found)
     return found
@@ -28,6 +31,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 #: Rows that go to Python at once. Texts are long, and a worker holds a few batches of them.
 ROWS = 2500
+BATCH_BYTES = "16m"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -36,6 +40,7 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > ROWS:
         spark.conf.set(key, str(ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -54,3 +59,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_table(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001 - as above
+        pass
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written once to the warehouse, in buckets of ``key``: joins on it move the other side only."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).saveAsTable(table)
+    atexit.register(_drop_table, spark, table)
+    return spark.table(table)

@@ -1,271 +1,465 @@
 """Substring dedup over words, by prefix-partitioned suffix trees.
 
 A word window that starts earlier too (in a document of smaller id, or earlier in the same one) is a repeat, and words
-that a repeat covers are removed. Windows are the suffixes of the corpus cut at ``depth`` words, so repeats are what
-lies below the internal nodes of that depth in the corpus' suffix tree, all leaves but the first.
-
-1. Candidates. Each window selects a gram by its content (:mod:`anchors`). A window that occurs twice selects a gram
-   that is selected twice; all other windows are let go at once. Exact copies of a text are let go too: each of their
-   windows starts earlier in the first copy.
-2. Partitions. Remaining suffixes are sorted by their words. Spark cuts the order into ranges of even, memory-sized
-   groups from a sample; a range is a set of prefixes, longer where a prefix is frequent. As the order goes on with
-   document and position, one suffix that a third of all documents hold is cut into several groups as well.
-3. Subtrees. Each group is its sorted suffixes and the depths its neighbours share. Internal nodes of full depth are
-   maximal runs of such neighbours; their leaves but the first are repeats. The few nodes that span two groups are
-   joined by the first and last suffix of each group.
+that a repeat covers are removed. Suffixes stand in the order of their words, each word a 16-bit symbol, and are read
+to REACH words beyond the ``depth`` asked for; 32 bits of the whole window confirm that windows with equal symbols are
+equal. A repeat is a leaf, other than the first, below an internal node of ``depth`` words or more.
+
+1. Packs. Documents are packed into rows of some megabytes, compressed, in a table with buckets, so that later steps
+   bring their results to the texts and never move texts again.
+2. Prefix counts. Each pack tells the prefixes (of PREFIX words) of its suffixes, once each. A suffix whose prefix no
+   other pack has is a leaf above ``depth`` in all subtrees but its own pack's, and stays at home.
+3. Groups. The remaining suffixes are counted by prefix. A prefix of more than GROUP suffixes is made longer, six bits
+   at a time, until each holds fewer; neighbours are then joined up to GROUP. One prefix that can't be cut (a passage in
+   very many packs) is dealt out by pack. A group is about GROUP * 64 bytes at any corpus size.
+4. Subtrees. A pack sends one suffix, its first, for each different window. A group sorts its suffixes, takes the words
+   that neighbours share, and finds the internal nodes from these depths. Leaves but the first go back to their packs.
+5. Packs mark their own later copies of each window, add what came back, and cut the covered words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from heronry.llm import anchors as A
 from heronry.llm import buffers as B
-from heronry.llm.store import small_batches, written
+from heronry.llm.store import bucketed, small_batches, written
+
+#: Bytes of text in a pack; a longer document is a pack of its own.
+PACK = 2_000_000
+#: Words of the prefixes that are counted first.
+PREFIX = 8
+#: Words that a sort key holds beyond ``depth``.
+REACH = 4
+#: Suffixes of a group, at most; each takes about 64 bytes.
+GROUP = 1_000_000
+#: Prefixes that one task compares at once.
+BUCKET = 1_000_000
+#: Bits of the first counted prefix, and by how many an overfull one grows.
+FIRST_BITS, MORE_BITS = 10, 6
 
-#: Words of a suffix that its order shows one by one, by 16 bits each; suffixes are told apart by 96 bits of the whole.
-SHOWN = 3
 _U = np.uint64
+_NO_ID = (1 << 63) - 1
 
 
-def _kept_hash(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def squeeze(a: np.ndarray, sorted_: bool = False) -> bytes:
+    """An integer array in few bytes: differences if sorted, in byte planes, compressed."""
+    if sorted_ and len(a):
+        a = np.concatenate((a[:1], np.diff(a)))
+    planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
+    return zstandard.compress(planes.tobytes(), 3)
 
 
-def _grams48(sums: B.Windows, at: np.ndarray) -> np.ndarray:
-    """48 bits of each gram: enough to find candidates, among which whole windows are compared."""
-    return (sums.get(at, A.GRAM) >> _U(16)).astype(np.int64)
+def stretch(raw: bytes, dtype: type, sorted_: bool = False) -> np.ndarray:
+    """The array of :func:`squeeze`."""
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(size, -1)
+    a = np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+    return np.cumsum(a, dtype=dtype) if sorted_ and len(a) else a
 
 
-def _per_text(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for at, end, data, offsets in B.pieces(batch.column("text")):
-        starts, ends, doc = B.words(data, offsets)
-        yield at, end, data, starts, ends, doc, B.span_hashes(data, starts, ends)
+# --- packs
 
 
-def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of a few texts, so that what a step holds doesn't follow the length of texts."""
-    for at, end, _, _ in B.pieces(batch.column("text")):
-        yield batch.slice(at, end - at)
+def _pack_up(kind: str, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple[int, int, object, bytes]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            held.sort(key=lambda d: d[:2])
+            text = b"".join(d[3] for d in held)
+            lengths, ranks, marks = (np.array(x, np.int64) for x in ([len(d[3]) for d in held], [d[0] for d in held], [d[1] for d in held]))
+            row = [[number], [[d[2] for d in held]], [zstandard.compress(text, 9)], [squeeze(lengths)], [squeeze(ranks)], [squeeze(marks)], [len(text.split())]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
+
+        names = ["pack", "ids", "text", "lengths", "ranks", "marks", "n_words"]
+        id_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
+        types = [pa.int64(), pa.list_(id_type), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                raw = (text or "").encode()
+                if held and size + len(raw) > most:
+                    yield flush()
+                    number, held, size = number + 1, [], 0
+                mark = int.from_bytes(hashlib.blake2b(raw, digest_size=4).digest())
+                held.append((_NO_ID if doc_id is None else doc_id, mark, doc_id, raw))
+                size += len(raw)
+        if held:
+            yield flush()
+
+    return run
 
 
-def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different grams each text selects, and whether it selects one twice."""
+class Pack:
+    """Words of a pack's documents, in the order of (id, mark), and its windows."""
+
+    def __init__(self, row: dict, depth: int) -> None:
+        self.row, self.depth = row, depth
+        self.raw = zstandard.decompress(row["text"])
+        self.lengths, self.ranks, self.marks = (stretch(row[c], np.int64) for c in ("lengths", "ranks", "marks"))
+        offsets = np.concatenate(([0], np.cumsum(self.lengths)))
+        data = np.frombuffer(self.raw, np.uint8)
+        hashes, doc, at, n = [], [], 0, len(self.lengths)
+        while at < n:  # texts in steps: what a step holds is several times its bytes
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + B.STEP_BYTES, "right")) - 1)
+            piece = data[offsets[at] : offsets[end]]
+            s, e, d = B.words(piece, offsets[at : end + 1] - offsets[at])
+            hashes.append(B.span_hashes(piece, s, e))
+            doc.append(d + at)
+            at = end
+        self.hashes, self.doc = np.concatenate(hashes), np.concatenate(doc)
+        self.first = np.searchsorted(self.doc, np.arange(n + 1))
+        self.symbol = (self.hashes >> _U(48)).astype(np.uint16)
+        self.symbol[self.symbol == 0] = 1  # 0 is what comes after a document's last word
+        self.sums = B.Windows(self.hashes)
+        self.at = B.whole_windows(self.doc, depth)
+
+    def prefixes(self, low_bits: int, bucket_bits: int) -> np.ndarray:
+        """The prefix of each window: bucket, first symbol, and more bits of its words' hash; 16 + low_bits bits."""
+        low = self.sums.get(self.at, min(PREFIX, self.depth)) >> _U(64 - low_bits)
+        rest = _U(low_bits - bucket_bits)
+        return ((low >> rest) << (rest + _U(16))) | (self.symbol[self.at].astype(_U) << rest) | (low & ((_U(1) << rest) - _U(1)))
+
+    def leaders(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each window (index into ``at``) the first equal one of the pack, and whether it is another place.
+
+        Rows of equal id and mark are one document, so the same place in two of them isn't another.
+        """
+        one, two = self.sums.get(self.at, self.depth), self.sums.get(self.at, self.depth, 1)
+        order = np.lexsort((np.arange(len(one)), two, one))
+        new = np.ones(len(one), bool)
+        new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+        lead = np.empty(len(one), np.int64)
+        lead[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))]
+        place = self.at - self.first[self.doc[self.at]]
+        d, e = self.doc[self.at], self.doc[self.at[lead]] if len(lead) else lead
+        other = (place != place[lead]) | (self.ranks[d] != self.ranks[e]) | (self.marks[d] != self.marks[e]) if len(lead) else np.zeros(0, bool)
+        return lead, other
+
+    def keys(self, windows: np.ndarray) -> np.ndarray:
+        """Sort keys: the symbols of ``depth`` words, 32 bits of the window, and the symbols of REACH more words."""
+        p = self.at[windows]
+        out = np.empty((len(p), self.depth + 2 + REACH), ">u2")
+        for k in range(self.depth):
+            out[:, k] = self.symbol[p + k]
+        check = self.sums.get(p, self.depth, 1)
+        out[:, self.depth], out[:, self.depth + 1] = (check >> _U(48)).astype(np.uint16), ((check >> _U(32)) & _U(0xFFFF)).astype(np.uint16)
+        for k in range(REACH):
+            q = p + self.depth + k
+            inside = q < self.first[self.doc[p] + 1]
+            out[:, self.depth + 2 + k] = np.where(inside, self.symbol[np.minimum(q, len(self.symbol) - 1)], 0)
+        return out
+
+    def lead_bits(self, windows: np.ndarray) -> np.ndarray:
+        """The first four symbols of each window, as one number."""
+        p = self.at[windows]
+        out = np.zeros(len(p), _U)
+        for k in range(4):
+            out = (out << _U(16)) | (self.symbol[p + k].astype(_U) if k < self.depth else _U(0))
+        return out
+
+
+def _packs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[Pack]:
     for batch in batches:
-        for at, end, _, _, _, doc, hashes in _per_text(batch):
-            sums = B.Windows(hashes)
-            _, chosen = A.minimisers(sums, doc)
-            chosen = np.unique(chosen)
-            grams, owner = _grams48(sums, chosen), doc[chosen]
-            order = np.lexsort((grams, owner))
-            grams, owner = grams[order], owner[order]
-            first = np.append(True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1]))[: len(grams)]
-            edge = np.append(np.flatnonzero(first), len(grams))
-            own = batch.column("own").slice(at, end - at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[edge[:-1]]), own.take(pa.array(owner[edge[:-1]])), pa.array(np.diff(edge) > 1)],
-                ["gram", "own", "twice"],
-            )
-
-
-def _sort_out(depth: int):
-    """Texts without candidates are done; copies lose all that windows cover; the others go on."""
+        for k in range(len(batch)):
+            yield Pack(batch.slice(k, 1).to_pylist()[0], depth)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _small(whole):
-                copy = batch.column("copy").to_numpy(zero_copy_only=False)
-                open_ = np.array(batch.column("grams").is_valid()) & ~copy
-                n, removed, kept = [], [], []
-                for text, c, o in zip(batch.column("text").to_pylist(), copy.tolist(), open_.tolist(), strict=True):
-                    if o:
-                        n.append(None), removed.append(None), kept.append(None)
-                        continue
-                    ws = text.encode().split()
-                    gone = c and len(ws) >= depth
-                    n.append(len(ws)), removed.append(len(ws) if gone else 0), kept.append(_kept_hash([] if gone else ws))
-                stay = pa.array([i if o else None for i, o in enumerate(open_.tolist())], pa.int64())
-                text, grams = batch.column("text").take(stay), batch.column("grams").take(stay)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("doc_id", "row")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), text, grams],
-                    ["doc_id", "row", "n_words", "n_removed", "kept_sha256", "text", "grams"],
-                )
 
-    return run
+# --- prefix counts
 
 
-def _suffixes(depth: int):
-    """A row for each candidate suffix: its sort key, document and position."""
+def _tell(depth: int, low_bits: int, bucket_bits: int):
+    """Each bucket's different prefixes of each pack, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, end, _, _, _, doc, hashes in _per_text(batch):
-                sums = B.Windows(hashes)
-                runs, chosen = A.minimisers(sums, doc)
-                fits = runs + depth <= len(doc)  # a longer window goes by the gram of its first words
-                runs, chosen = runs[fits], chosen[fits]
-                fits = doc[runs + depth - 1] == doc[runs]
-                runs, chosen = runs[fits], chosen[fits]
-                grams, owner = _grams48(sums, chosen), doc[runs]
-                edge = np.searchsorted(owner, np.arange(end - at + 1))
-                live = np.zeros(len(runs), bool)
-                lists = batch.column("grams").slice(at, end - at).to_pylist()
-                for a, b, held in zip(edge[:-1], edge[1:], lists, strict=True):
-                    live[a:b] = np.isin(grams[a:b], np.array(held, np.int64))
-                runs, owner = runs[live], owner[live]
-                shown = np.stack([(hashes[runs + k] >> _U(48)).astype(">u2") for k in range(SHOWN)], axis=1)
-                whole = np.stack([sums.get(runs, depth, lane).astype(">u8") for lane in (0, 1)], axis=1)
-                key = np.concatenate((shown.view(np.uint8).reshape(len(runs), -1), whole.view(np.uint8).reshape(len(runs), -1)[:, :12]), axis=1)
-                width = key.shape[1]
-                keys = pa.Array.from_buffers(pa.binary(), len(runs), [None, pa.py_buffer((np.arange(len(runs) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(key))])
-                first = np.searchsorted(doc, np.arange(end - at))
-                ids = [batch.column(c).slice(at, end - at).take(pa.array(owner)) for c in ("doc_id", "mark")]
-                yield pa.RecordBatch.from_arrays([keys, *ids, pa.array((runs - first[owner]).astype(np.int32))], ["key", "doc_id", "mark", "pos"])
+        for pack in _packs(batches, depth):
+            told = np.unique(pack.prefixes(low_bits, bucket_bits))
+            bucket = (told >> _U(16 + low_bits - bucket_bits)).astype(np.int64)
+            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(told)], len(told))
+            buckets = bucket[cut[:-1]]
+            blobs = [squeeze(told[a:b], True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array([pack.row["pack"]] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "pack", "told"])
 
     return run
 
 
-def deep_nodes(shared: np.ndarray, depth: int) -> list[tuple[int, int]]:
-    """Internal nodes of ``depth`` or more in a subtree: first and last leaf of each maximal run of suffixes whose neighbours share as much."""
-    deep = np.concatenate(([False], shared >= depth, [False]))
-    change = np.flatnonzero(deep[1:] != deep[:-1])
-    return list(zip(change[::2].tolist(), change[1::2].tolist(), strict=True))
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pack, a bit for each prefix it told: whether another pack told it too. Rows come sorted by bucket."""
+    now, packs, blobs = None, [], []
+
+    def flush() -> pa.RecordBatch:
+        lists = [stretch(b, _U, True) for b in blobs]
+        edge = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        told = np.concatenate(lists)
+        order = np.argsort(told, kind="stable")
+        same = told[order][1:] == told[order][:-1]
+        met = np.zeros(len(told), bool)
+        met[order[1:]] |= same
+        met[order[:-1]] |= same
+        out = [(p, met[a:b]) for p, a, b in zip(packs, edge[:-1], edge[1:], strict=True)]
+        out = [(p, np.packbits(m).tobytes()) for p, m in out if m.any()]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([now] * len(out), pa.int64()), pa.array([zstandard.compress(m) for _, m in out], pa.binary())], ["pack", "bucket", "bits"])
+
+    for batch in batches:
+        for bucket, pack, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "pack", "told")), strict=True):
+            if bucket != now and blobs:
+                yield flush()
+                packs, blobs = [], []
+            now = bucket
+            packs.append(pack)
+            blobs.append(blob)
+    if blobs:
+        yield flush()
+
+
+def _open_windows(pack: Pack, low_bits: int, bucket_bits: int) -> np.ndarray:
+    """The pack's first window of each kind whose prefix stands in another pack too."""
+    mine = pack.prefixes(low_bits, bucket_bits)
+    told, which = np.unique(mine, return_inverse=True)
+    bucket = (told >> _U(16 + low_bits - bucket_bits)).astype(np.int64)
+    met = np.zeros(len(told), bool)
+    for item in pack.row["flags"] or []:
+        a, b = np.searchsorted(bucket, [item["bucket"], item["bucket"] + 1])
+        met[a:b] = np.unpackbits(np.frombuffer(zstandard.decompress(item["bits"]), np.uint8))[: b - a]
+    lead, _ = pack.leaders()
+    return np.flatnonzero(met[which] & (lead == np.arange(len(lead))))
+
+
+# --- groups
 
 
-def _subtrees(depth: int):
-    """Repeats of each group, and the group's first and last suffix."""
-    names = ["kind", "part", "key", "doc_id", "mark", "pos"]
+def _count(depth: int, low_bits: int, bucket_bits: int, bits: int, only: np.ndarray | None):
+    """Suffixes by the first ``bits`` bits of their words, below the prefixes ``only`` (MORE_BITS shorter)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        sums: dict[int, int] = {}
+        for pack in _packs(batches, depth):
+            lead = pack.lead_bits(_open_windows(pack, low_bits, bucket_bits)) >> _U(64 - bits)
+            if only is not None:
+                lead = lead[np.isin(lead >> _U(MORE_BITS), only)]
+            for p, n in zip(*(x.tolist() for x in np.unique(lead, return_counts=True)), strict=True):
+                sums[p] = sums.get(p, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.uint64()).view(pa.int64()), pa.array(list(sums.values()), pa.int64())], ["prefix", "n"])
 
-        def edge(kind: int, row: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), *(row.column(c) for c in ("key", "doc_id", "mark", "pos"))], names)
+    return run
 
-        root: pa.RecordBatch | None = None  # the first leaf of the node that the next batch may continue
-        last: pa.RecordBatch | None = None
-        for batch in batches:
-            if not len(batch):
+
+def cut_groups(cells: list[tuple[int, int, int]], group: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bounds of the groups (64 bits), and into how many parts each is dealt, from (prefix, bits, suffixes)."""
+    bounds, parts, held = [], [], 0
+    for low, n in sorted((p << (64 - bits), n) for p, bits, n in cells):
+        if not bounds or held + n > group:
+            bounds.append(low)
+            parts.append(1)
+            held = 0
+        held += n
+        parts[-1] = max(1, -(-held // group))
+    if bounds:
+        bounds[0] = 0
+    return np.array(bounds, _U), np.array(parts, np.int64)
+
+
+def _send(depth: int, low_bits: int, bucket_bits: int, bounds: np.ndarray, parts: np.ndarray):
+    """A row for each pack and group: the pack's suffixes of the group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in _packs(batches, depth):
+            mine = _open_windows(pack, low_bits, bucket_bits)
+            if not len(mine):
                 continue
-            if root is None:
-                root = last = batch.slice(0, 1)
-                yield edge(1, root)
-            key = batch.column("key")
-            width = len(key[0].as_py())
-            raw = np.frombuffer(b"".join(key.to_pylist()), np.uint8).reshape(len(batch), width)
-            before = np.concatenate((np.frombuffer(last.column("key")[0].as_py(), np.uint8)[None], raw[:-1]))
-            same = (raw == before).all(axis=1)
-            leaf = np.full(len(batch), -1)  # first leaf of a leaf's node, in this batch; -1: in an earlier one
-            heads = np.where(~same, np.arange(len(batch)), -1)
-            leaf = np.maximum.accumulate(heads)
-            nodes = deep_nodes(np.where(same[1:], depth, 0), depth)
-            inside = np.zeros(len(batch), bool)
-            for a, b in nodes:
-                inside[a : b + 1] = True
-            repeats = same & (inside | (leaf < 0))
-            table = pa.concat_tables([pa.Table.from_batches([root]), pa.Table.from_batches([batch])]).combine_chunks()
-            who = table.select(["doc_id", "mark", "pos"])
-            mine, theirs = who.take(pa.array(np.flatnonzero(repeats) + 1)), who.take(pa.array(leaf[repeats] + 1))
-            # a row that occurs twice doesn't repeat itself
-            itself = np.array([x == y for x, y in zip(mine.column("doc_id").to_pylist(), theirs.column("doc_id").to_pylist(), strict=True)], bool)
-            for c in ("mark", "pos"):
-                itself &= mine.column(c).to_numpy() == theirs.column(c).to_numpy()
-            mine = mine.filter(pa.array(~itself)).combine_chunks()
-            if len(mine):
-                cols = [pa.array(np.zeros(len(mine), np.int32)), pa.array(np.full(len(mine), part, np.int32)), pa.nulls(len(mine), pa.binary()), *(mine.column(c).chunk(0) for c in ("doc_id", "mark", "pos"))]
-                yield pa.RecordBatch.from_arrays(cols, names)
-            last = batch.slice(len(batch) - 1)
-            if leaf[-1] >= 0:
-                root = batch.slice(int(leaf[-1]), 1)
-        if last is not None:
-            yield edge(2, last)
+            lead = pack.lead_bits(mine)
+            order = np.argsort(lead, kind="stable")
+            mine, group = mine[order], np.searchsorted(bounds, lead[order], "right") - 1
+            cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+            rows = []
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                w = mine[a:b]
+                p = pack.at[w]
+                doc = pack.doc[p]
+                g = int(group[a])
+                rows.append((g, zlib.crc32(b"%d" % pack.row["pack"]) % int(parts[g]), pack.row["pack"], squeeze(pack.keys(w).view(np.uint16).reshape(-1)), squeeze(pack.ranks[doc]), squeeze(pack.marks[doc]), squeeze((p - pack.first[doc]).astype(np.int32)), squeeze(w.astype(np.int32))))
+            types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], ["group", "part", "pack", "keys", "ranks", "marks", "places", "windows"])
 
     return run
 
 
-def _remove(depth: int):
+_SENT = "group int, part int, pack long, keys binary, ranks binary, marks binary, places binary, windows binary"
+
+
+# --- subtrees
+
+
+def shared_words(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Words that each sorted key shares with the one before, for all but the first.
+
+    Keys are ``depth`` symbols, two of the check, and symbols of further words; at a symbol 0 the document ends.
+    """
+    a, b = keys[:-1], keys[1:]
+    same = a == b
+    same[:, depth + 2 :] &= a[:, depth + 2 :] > 0
+    n = np.where(same.all(axis=1), keys.shape[1], same.argmin(axis=1))
+    return np.where(n >= depth + 2, n - 2, np.minimum(n, depth - 1))
+
+
+def outer_nodes(shared: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first leaf, last leaf, depth) of the internal nodes of ``least`` words or more that no other such node holds.
+
+    ``shared`` has -1 for the first leaf. A node is a longest run of leaves whose neighbours share ``least`` words; its
+    depth, the least they share, is the length of a repeat that can't be longer to the right in all its places.
+    """
+    deep = np.concatenate((shared >= least, [False])).astype(np.int8)
+    first = np.flatnonzero(np.diff(deep) > 0)
+    last = np.flatnonzero(np.diff(deep) < 0)
+    return first, last, np.minimum.reduceat(shared, np.stack((first + 1, last + 1), axis=1).reshape(-1).clip(max=len(shared) - 1))[::2] if len(first) else first
+
+
+def subtree(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and the words each shares with the one before (-1 for the first)."""
+    width = keys.shape[1]
+    padded = np.zeros((len(keys), -(-width // 4) * 4), ">u2")
+    padded[:, :width] = keys
+    columns = padded.view(">u8").astype(_U)
+    order = np.lexsort(columns.T[::-1])
+    return order, np.concatenate(([-1], shared_words(keys[order], depth)))
+
+
+def _grow(depth: int, split: np.ndarray):
+    """Leaves but the first of all nodes of ``depth``; and of groups dealt out in parts, the first leaf of each window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _small(whole):
-                n, removed, kept = [], [], []
-                for text, at in zip(batch.column("text").to_pylist(), batch.column("pos").to_pylist(), strict=True):
-                    ws = text.encode().split()
-                    gone = B.covered(np.unique(np.array(at or [], np.int64)), depth, len(ws))
-                    n.append(len(ws)), removed.append(int(gone.sum()))
-                    kept.append(_kept_hash([w for w, g in zip(ws, gone.tolist(), strict=True) if not g]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        now, rows = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            get = {c: np.concatenate([stretch(r[c], t) for r in rows]) for c, t in (("ranks", np.int64), ("marks", np.int64), ("places", np.int32), ("windows", np.int32))}
+            keys = np.concatenate([stretch(r["keys"], np.uint16).reshape(-1, depth + 2 + REACH).view(">u2") for r in rows])
+            owner = np.repeat(np.arange(len(rows)), [len(stretch(r["windows"], np.int32)) for r in rows])
+            order, shared = subtree(keys, depth)
+            first, last, _ = outer_nodes(shared, depth)
+            inside = B.covered(first, last - first + 1, len(shared))
+            leaves = order[inside]
+            node = np.repeat(np.arange(len(first)), last - first + 1)
+            by_place = np.lexsort((get["places"][leaves], get["marks"][leaves], get["ranks"][leaves], node))
+            head = leaves[by_place[np.searchsorted(node, np.arange(len(first)))]]  # the earliest leaf of each node
+            lead = head[node]
+            repeats = leaves[(get["ranks"][leaves] != get["ranks"][lead]) | (get["marks"][leaves] != get["marks"][lead]) | (get["places"][leaves] != get["places"][lead])]
+            if len(repeats):
+                by = np.argsort(owner[repeats], kind="stable")
+                repeats = repeats[by]
+                cut = np.append(np.flatnonzero(np.append(True, owner[repeats][1:] != owner[repeats][:-1])), len(repeats))
+                packs = [rows[owner[repeats[a]]]["pack"] for a in cut[:-1]]
+                lists = [squeeze(np.sort(get["windows"][repeats[a:b]]), True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                n = len(packs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(packs, pa.int64()), pa.array(lists, pa.binary()), *(pa.nulls(n, t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names)
+            if split[now[0]] > 1:
+                heads = np.concatenate((head, order[~inside]))
+                cols = [pa.array([k.tobytes() for k in keys[heads][:, : depth + 2]], pa.binary()), *(pa.array(get[c][heads]) for c in ("ranks", "marks", "places", "windows"))]
+                n = len(heads)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array([rows[o]["pack"] for o in owner[heads]], pa.int64()), pa.nulls(n, pa.binary()), *cols], names)
+
+        names = ["kind", "pack", "list", "key", "rank", "mark", "place", "window"]
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and now != (row["group"], row["part"]):
+                    yield from flush()
+                    rows = []
+                now = row["group"], row["part"]
+                rows.append(row)
+        if rows:
+            yield from flush()
 
     return run
 
 
-def _tag(row: str) -> Column:
-    return F.shiftright(F.col(row), 24)
+def _one_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [squeeze(np.array([w], np.int32)) for w in batch.column("window").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("pack"), pa.array(lists, pa.binary())], ["pack", "list"])
 
 
-def _mark() -> Column:
-    return F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.col("row").bitwiseAND(F.lit((1 << 24) - 1))).alias("mark")
+def _cut(depth: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in _packs(batches, depth):
+            lead, other = pack.leaders()
+            came = np.zeros(len(lead), bool)
+            for blob in pack.row["lists"] or []:
+                came[stretch(blob, np.int32, True)] = True
+            gone = pack.at[other | came[lead]] if len(lead) else pack.at
+            covered = B.covered(gone, depth, len(pack.hashes))
+            edge = np.concatenate(([0], np.cumsum(pack.lengths))).tolist()
+            n, removed, kept = [], [], []
+            for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                ws, off = pack.raw[a:b].split(), covered[pack.first[k] : pack.first[k + 1]]
+                n.append(len(ws))
+                removed.append(int(off.sum()))
+                left = ws if not removed[-1] else [w for w, g in zip(ws, off.tolist(), strict=True) if not g]
+                kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
+            ids = pa.array(pack.row["ids"], {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
+    return run
 
-def repeated_windows(docs: DataFrame, *, depth: int = A.REACH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, repeats). Rows of ``docs``, done or open (with text); (doc_id, mark, pos) of each window of open rows that starts earlier too.
 
-    ``row`` is 64 bits of id and text: rows equal in both are one document and are treated alike. ``mark`` tells apart
-    rows of one id, by 24 bits, and rows without an id, by all 64.
-    """
-    if depth < A.REACH:
-        raise ValueError(f"a window has {A.REACH} words at least, as many as select a gram")
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("k1", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "k1"))
-
-    # 48 bits of the text and 40 of the row: counts and lists for candidates only, of which rows are told apart below
-    short = base.select((F.shiftright("k1", 16)).alias("content"), _tag("row").alias("tag"), "text")
-    selected = short.select(F.col("content").alias("own"), "text").mapInArrow(_select, "gram long, own long, twice boolean")
-    often = selected.groupBy("gram").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.max("twice").alias("t")).where("a <> b OR t").select("gram")
-    often = written(often, "grams")  # a table of its own, so that Spark can split a gram that many texts select
-    grams = short.select(F.col("tag").alias("own"), "text").mapInArrow(_select, "gram long, own long, twice boolean").select("gram", F.col("own").alias("tag")).join(often, "gram", "left_semi")
-
-    # the first row of each text; a null id comes after all others
-    names = base.select("doc_id", "k1", F.xxhash64(F.lit(1), "text").alias("k2"), "row")
-    first = names.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("f"))
-    copies = names.join(first, ["k1", "k2"]).where(F.col("row") != F.col("f.row")).select(_tag("row").alias("tag"), F.col("row").alias("copy"))
-    marks = copies.unionByName(grams, allowMissingColumns=True).groupBy("tag").agg(F.collect_set("copy").alias("copies"), F.collect_set("gram").alias("grams"))
-    marked = base.select("doc_id", "row", "text", _tag("row").alias("tag")).join(marks, "tag", "left")
-    marked = marked.withColumn("copy", F.coalesce(F.array_contains("copies", F.col("row")), F.lit(False))).withColumn("grams", F.when(F.size("grams") > 0, F.col("grams")))
-    schema = f"doc_id {kind}, row long, n_words long, n_removed long, kept_sha256 string, text string, grams array<long>"
-    rows = written(marked.select("doc_id", "row", "copy", "grams", "text").mapInArrow(_sort_out(depth), schema), "rows")
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = rows.where("text IS NOT NULL").select("doc_id", _mark(), "text", "grams").mapInArrow(_suffixes(depth), f"key binary, doc_id {kind}, mark long, pos int")
-    order = [F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("mark"), F.col("pos")]
-    tree = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_subtrees(depth), f"kind int, part int, key binary, doc_id {kind}, mark long, pos int")
-    tree = written(tree, "subtrees")
-    # a group's first suffix repeats when an earlier group ends with the same key: two rows a group
-    heads, tails = tree.where("kind = 1"), tree.where("kind = 2").select("key", F.col("part").alias("p"), F.col("doc_id").alias("d"), F.col("mark").alias("r"), F.col("pos").alias("s"))
-    across = heads.join(tails, "key").where("p < part AND NOT (d <=> doc_id AND r = mark AND s = pos)").select("doc_id", "mark", "pos")
-    return rows, tree.where("kind = 0").select("doc_id", "mark", "pos").union(across)
-
-
-def drop_repeats(docs: DataFrame, *, depth: int = A.REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs``.
+def drop_repeats(docs: DataFrame, *, depth: int = 20, pack: int = PACK, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs``. Ids are integers.
 
     Defined cases: a null text has no words; of texts shorter than a window nothing is removed; rows of equal id and
     text are one document, and rows of equal id and different texts stand in the order of a hash; null ids come after
     all others; an empty table gives an empty table; other columns are left out.
+
+    The driver holds the bounds of the groups, one for each ``group`` suffixes.
     """
-    rows, repeats = repeated_windows(docs, depth=depth, id_col=id_col, text_col=text_col)
+    spark = docs.sparkSession
+    if depth < 4 or not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError("a window has four words at least, and ids are integers")
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"
-    lists = repeats.groupBy(F.col("doc_id").alias("__id"), "mark").agg(F.collect_list("pos").alias("pos"))
-    open_ = rows.where("text IS NOT NULL").select("doc_id", _mark(), "text")
-    open_ = open_.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (open_["mark"] == lists["mark"]), "left")
-    cleaned = open_.select("doc_id", "text", "pos").mapInArrow(_remove(depth), schema)
-    return rows.where("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(cleaned)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    packs = bucketed(narrow.mapInArrow(_pack_up(kind, pack), f"pack long, ids array<{kind}>, text binary, lengths binary, ranks binary, marks binary, n_words long"), "packs", "pack", parts)
+    total = packs.agg(F.sum("n_words")).first()[0] or 0
+
+    low_bits = min(46, max(16, total.bit_length() + 2))
+    bucket_bits = min(low_bits, max((4 * parts - 1).bit_length(), (total // BUCKET).bit_length()))
+    told = packs.select("pack", "text", "lengths", "ranks", "marks").mapInArrow(_tell(depth, low_bits, bucket_bits), "bucket long, pack long, told binary")
+    shared = told.repartition(max(parts, total // (16 * BUCKET)), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "pack long, bucket long, bits binary")
+    flags = written(shared.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags")), "flags")
+    open_ = packs.join(flags.hint("merge"), "pack").select("pack", "text", "lengths", "ranks", "marks", "flags")
+
+    cells: list[tuple[int, int, int]] = []
+    bits, only, size = FIRST_BITS, None, group
+    while only is None or len(only):
+        counts = open_.mapInArrow(_count(depth, low_bits, bucket_bits, bits, only), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).collect()
+        if only is None:  # small tables have smaller groups, so that all tasks have some
+            size = min(group, max(1000, sum(r.n for r in counts) // (4 * parts)))
+        full = [r.prefix for r in counts if r.n > size and bits + MORE_BITS <= 64]
+        cells += [(r.prefix % (1 << bits), bits, r.n) for r in counts if r.prefix not in set(full)]
+        only, bits = np.array(full, np.int64).view(_U), bits + MORE_BITS
+    bounds, split = cut_groups(cells, size)
+
+    lists = None
+    if len(bounds):
+        sent = open_.mapInArrow(_send(depth, low_bits, bucket_bits, bounds, split), _SENT)
+        grown = sent.repartition(max(parts, int(split.sum()) // 4), "group", "part").sortWithinPartitions("group", "part").mapInArrow(_grow(depth, split), "kind int, pack long, list binary, key binary, rank long, mark long, place int, window int")
+        grown = written(grown, "subtrees")
+        lists = grown.where("kind = 0").select("pack", "list")
+        if (split > 1).any():
+            heads = grown.where("kind = 1").select("key", "pack", "rank", "mark", "place", "window")
+            least = heads.groupBy("key").agg(F.min(F.struct("rank", "mark", "place")).alias("f"))
+            later = heads.join(least, "key").where(F.struct("rank", "mark", "place") != F.col("f")).select("pack", "window")
+            lists = lists.unionByName(later.mapInArrow(_one_window, "pack long, list binary"))
+        lists = lists.groupBy("pack").agg(F.collect_list("list").alias("lists"))
+    back = packs.join(lists.hint("merge"), "pack", "left") if lists is not None else packs.withColumn("lists", F.lit(None).cast("array<binary>"))
+    return back.select("ids", "text", "lengths", "ranks", "marks", "lists").mapInArrow(_cut(depth, kind), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")

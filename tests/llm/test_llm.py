@@ -281,7 +281,9 @@ def test_suffix_trees(spark, docs, rows):
     from heronry.llm.suffix_trees import drop_repeats
 
     assert sorted(map(tuple, drop_repeats(docs).collect())) == windows_brute(rows)
-    assert sorted(map(tuple, drop_repeats(docs, depth=25).collect())) == windows_brute(rows, 25)
+    for small in ({"pack": 3000}, {"pack": 3000, "group": 40}, {"pack": 1}):  # many packs; prefixes made longer, and some dealt out in parts
+        assert sorted(map(tuple, drop_repeats(docs, **small).collect())) == windows_brute(rows)
+    assert sorted(map(tuple, drop_repeats(docs, depth=25, pack=3000).collect())) == windows_brute(rows, 25)
     for t in odd_tables(spark):
         assert drop_repeats(t).count() == t.count()
     long = " ".join(f"w{k}" for k in range(30))
@@ -289,6 +291,42 @@ def test_suffix_trees(spark, docs, rows):
     assert sorted((r.doc_id or 9, r.n_removed) for r in drop_repeats(twice).collect()) == [(1, 0), (1, 0), (2, 30), (9, 30)]
 
 
+def test_subtrees_have_nodes_of_all_depths():
+    """Shared words of neighbours in a subtree, and its outer nodes, against comparing words."""
+    from heronry.llm.suffix_trees import REACH, cut_groups, outer_nodes, subtree
+
+    rng = np.random.default_rng(2)
+    depth = 20
+    words_ = rng.integers(1, 4, (400, depth + REACH)).astype(np.uint16)
+    words_[:, :17] = words_[0, :17]  # neighbours share 17 words or more
+    words_[200:, 3:] = words_[200:, 3:][rng.integers(0, 40, 200)]
+    words_[rng.random(400) < 0.1, depth + 1 :] = 0  # the document ends
+    words_[398:] = np.arange(50, 50 + depth + REACH)
+    words_[399, -1] = 9
+    check = np.array([zlib.crc32(w[:depth].tobytes()) for w in words_])
+    keys = np.concatenate((words_[:, :depth], (check >> 16)[:, None], (check & 0xFFFF)[:, None], words_[:, depth:]), axis=1).astype(">u2")
+    order, shared = subtree(keys, depth)
+    assert shared[0] == -1
+
+    def common(a, b):
+        n = 0
+        while n < len(a) and a[n] == b[n] and a[n] > 0:
+            n += 1
+        return n
+
+    for k in range(1, 400):
+        assert shared[k] == common(words_[order[k - 1]], words_[order[k]])
+    assert set(shared[1:].tolist()) >= {17, 18, 19, 20, 21, 22, 23, 24}
+    first, last, deep = outer_nodes(shared, depth)
+    groups = {}
+    for w in words_:
+        groups.setdefault(w[:depth].tobytes(), []).append(w)
+    want = sorted((len(g), min(common(x, y) for x in g for y in g if x is not y)) for g in groups.values() if len(g) > 1)
+    assert sorted(zip((last - first + 1).tolist(), deep.tolist())) == want and max(deep) > depth
+    bounds, parts = cut_groups([(3, 10, 5), (0, 10, 4), (7, 16, 900), (1, 10, 7)], 10)
+    assert bounds.tolist() == [0, 7 << 48, 1 << 54, 3 << 54] and parts.tolist() == [1, 90, 1, 1]
+
+
 # --- op3
 
 
