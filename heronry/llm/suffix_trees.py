@@ -34,11 +34,11 @@ from heronry.llm import buffers as B
 from heronry.llm.store import bucketed, small_batches, written
 
 #: Bytes of text in a pack; a longer document is a pack of its own.
-PACK = 2_000_000
+PACK = 4_000_000
 #: Words of the prefixes that are counted first.
 PREFIX = 8
 #: Words that a sort key holds beyond ``depth``.
-REACH = 4
+REACH = 2
 #: Suffixes of a group, at most; each takes about 64 bytes.
 GROUP = 1_000_000
 #: Prefixes that one task compares at once.
@@ -138,7 +138,7 @@ class Pack:
         Rows of equal id and mark are one document, so the same place in two of them isn't another.
         """
         one, two = self.sums.get(self.at, self.depth), self.sums.get(self.at, self.depth, 1)
-        order = np.lexsort((np.arange(len(one)), two, one))
+        order = np.argsort(one, kind="stable")  # should two windows share 64 bits, copies between them are met in their group
         new = np.ones(len(one), bool)
         new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
         lead = np.empty(len(one), np.int64)
@@ -195,33 +195,48 @@ def _tell(depth: int, low_bits: int, bucket_bits: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each pack, a bit for each prefix it told: whether another pack told it too. Rows come sorted by bucket."""
-    now, packs, blobs = None, [], []
+def _shared(rest: int):
+    """For each pack, a bit for each prefix it told: whether another pack told it too. Rows come sorted by bucket.
 
-    def flush() -> pa.RecordBatch:
-        lists = [stretch(b, _U, True) for b in blobs]
-        edge = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-        told = np.concatenate(lists)
-        order = np.argsort(told, kind="stable")
-        same = told[order][1:] == told[order][:-1]
-        met = np.zeros(len(told), bool)
-        met[order[1:]] |= same
-        met[order[:-1]] |= same
-        out = [(p, met[a:b]) for p, a, b in zip(packs, edge[:-1], edge[1:], strict=True)]
-        out = [(p, np.packbits(m).tobytes()) for p, m in out if m.any()]
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([now] * len(out), pa.int64()), pa.array([zstandard.compress(m) for _, m in out], pa.binary())], ["pack", "bucket", "bits"])
+    Last come counts of such prefixes by the first bits of their first word (pack NULL), to guess which are frequent.
+    """
 
-    for batch in batches:
-        for bucket, pack, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "pack", "told")), strict=True):
-            if bucket != now and blobs:
-                yield flush()
-                packs, blobs = [], []
-            now = bucket
-            packs.append(pack)
-            blobs.append(blob)
-    if blobs:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, packs, blobs = None, [], []
+        often = np.zeros(1 << FIRST_BITS, np.int64)
+
+        def flush() -> pa.RecordBatch:
+            lists = [stretch(b, _U, True) for b in blobs]
+            edge = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+            told = np.concatenate(lists)
+            order = np.argsort(told, kind="stable")
+            same = told[order][1:] == told[order][:-1]
+            met = np.zeros(len(told), bool)
+            met[order[1:]] |= same
+            met[order[:-1]] |= same
+            symbol = (told[met] >> _U(rest)) & _U(0xFFFF)
+            np.add.at(often, (symbol >> _U(16 - FIRST_BITS)).astype(np.int64), 1)
+            out = [(p, met[a:b]) for p, a, b in zip(packs, edge[:-1], edge[1:], strict=True)]
+            out = [(p, np.packbits(m).tobytes()) for p, m in out if m.any()]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([now] * len(out), pa.int64()), pa.array([zstandard.compress(m) for _, m in out], pa.binary()), pa.nulls(len(out), pa.int64())], names)
+
+        names = ["pack", "bucket", "bits", "n"]
+
+        for batch in batches:
+            for bucket, pack, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "pack", "told")), strict=True):
+                if bucket != now and blobs:
+                    yield flush()
+                    packs, blobs = [], []
+                now = bucket
+                packs.append(pack)
+                blobs.append(blob)
+        if blobs:
+            yield flush()
+        if often.any():
+            cells = np.flatnonzero(often)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(cells), pa.int64()), pa.array(cells), pa.nulls(len(cells), pa.binary()), pa.array(often[cells])], names)
+
+    return run
 
 
 def _open_windows(pack: Pack, low_bits: int, bucket_bits: int) -> np.ndarray:
@@ -240,18 +255,25 @@ def _open_windows(pack: Pack, low_bits: int, bucket_bits: int) -> np.ndarray:
 # --- groups
 
 
-def _count(depth: int, low_bits: int, bucket_bits: int, bits: int, only: np.ndarray | None):
-    """Suffixes by the first ``bits`` bits of their words, below the prefixes ``only`` (MORE_BITS shorter)."""
+def _count(depth: int, low_bits: int, bucket_bits: int, bits: int, only: np.ndarray | None, deep: np.ndarray):
+    """Suffixes by the first ``bits`` bits of their words, below the prefixes ``only`` (MORE_BITS shorter).
+
+    Below the prefixes ``deep`` (of ``bits``) they are counted by MORE_BITS more at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, int] = {}
+        sums: dict[tuple[int, int], int] = {}
         for pack in _packs(batches, depth):
-            lead = pack.lead_bits(_open_windows(pack, low_bits, bucket_bits)) >> _U(64 - bits)
+            lead = pack.lead_bits(_open_windows(pack, low_bits, bucket_bits))
+            short = lead >> _U(64 - bits)
             if only is not None:
-                lead = lead[np.isin(lead >> _U(MORE_BITS), only)]
-            for p, n in zip(*(x.tolist() for x in np.unique(lead, return_counts=True)), strict=True):
-                sums[p] = sums.get(p, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.uint64()).view(pa.int64()), pa.array(list(sums.values()), pa.int64())], ["prefix", "n"])
+                mine = np.isin(short >> _U(MORE_BITS), only)
+                lead, short = lead[mine], short[mine]
+            more = np.isin(short, deep)
+            for n_bits, found in ((bits, short[~more]), (bits + MORE_BITS, lead[more] >> _U(64 - bits - MORE_BITS if len(deep) else 0))):
+                for p, n in zip(*(x.tolist() for x in np.unique(found, return_counts=True)), strict=True):
+                    sums[p, n_bits] = sums.get((p, n_bits), 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in sums], pa.uint64()).view(pa.int64()), pa.array([b for _, b in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["prefix", "bits", "n"])
 
     return run
 
@@ -434,19 +456,24 @@ def drop_repeats(docs: DataFrame, *, depth: int = 20, pack: int = PACK, group: i
     low_bits = min(46, max(16, total.bit_length() + 2))
     bucket_bits = min(low_bits, max((4 * parts - 1).bit_length(), (total // BUCKET).bit_length()))
     told = packs.select("pack", "text", "lengths", "ranks", "marks").mapInArrow(_tell(depth, low_bits, bucket_bits), "bucket long, pack long, told binary")
-    shared = told.repartition(max(parts, total // (16 * BUCKET)), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "pack long, bucket long, bits binary")
-    flags = written(shared.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags")), "flags")
+    shared = told.repartition(max(parts, total // (16 * BUCKET)), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(low_bits - bucket_bits), "pack long, bucket long, bits binary, n long")
+    shared = written(shared, "shared")
+    flags = shared.where("pack IS NOT NULL").groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags"))
     open_ = packs.join(flags.hint("merge"), "pack").select("pack", "text", "lengths", "ranks", "marks", "flags")
+    guess = shared.where("pack IS NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    size = min(group, max(1000, sum(r.n for r in guess) // (4 * parts)))  # small tables have smaller groups, so that all tasks have some
 
     cells: list[tuple[int, int, int]] = []
-    bits, only, size = FIRST_BITS, None, group
+    only, bits = None, FIRST_BITS
+    deep = np.array([r.bucket for r in guess if 2 * r.n > size], np.int64).astype(_U)
     while only is None or len(only):
-        counts = open_.mapInArrow(_count(depth, low_bits, bucket_bits, bits, only), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).collect()
-        if only is None:  # small tables have smaller groups, so that all tasks have some
-            size = min(group, max(1000, sum(r.n for r in counts) // (4 * parts)))
-        full = [r.prefix for r in counts if r.n > size and bits + MORE_BITS <= 64]
-        cells += [(r.prefix % (1 << bits), bits, r.n) for r in counts if r.prefix not in set(full)]
-        only, bits = np.array(full, np.int64).view(_U), bits + MORE_BITS
+        counts = open_.mapInArrow(_count(depth, low_bits, bucket_bits, bits, only, deep), "prefix long, bits int, n long").groupBy("prefix", "bits").agg(F.sum("n").alias("n")).collect()
+        over = [r for r in counts if r.n > size and r.bits + MORE_BITS <= 64]
+        cells += [(r.prefix % (1 << r.bits), r.bits, r.n) for r in counts if not (r.n > size and r.bits + MORE_BITS <= 64)]
+        # those counted at once by more bits were twice as long already; shorter ones catch up with them
+        bits = max((r.bits for r in over), default=bits) + MORE_BITS
+        only = np.array([(r.prefix % (1 << r.bits)) << (bits - MORE_BITS - r.bits) | k for r in over for k in range(1 << (bits - MORE_BITS - r.bits))], _U)
+        deep = np.zeros(0, _U)
     bounds, split = cut_groups(cells, size)
 
     lists = None
