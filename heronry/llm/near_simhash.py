@@ -1,17 +1,19 @@
 """SimHash near-duplicates, with pigeonring filtering of candidate pairs.
 
-Fingerprints differ in at most ``radius`` bits when linked. Their 64 bits are cut into eight segments that stand in a
-ring. If the whole ring has at most r differences, then some segment starts a chain of which every prefix of l
-segments has at most l * r / 8 (pigeonring principle): :func:`ring_passes` requires such a chain before the full
-Hamming distance is taken. Candidates meet on equal segments: at radius r at least 8 - r segments are equal, so the
-fingerprints are dealt to one table for each choice of 8 - r segments and meet in a bucket of all bits chosen (32 bits
-at radius 4), which keeps buckets small however many fingerprints there are.
+Fingerprints differ in at most ``radius`` bits when linked. Their 64 bits are cut into radius + 1 segments that stand in
+a ring. If the whole ring has at most r differences, then some segment starts a chain of which every prefix of l segments
+has at most l * r / (r + 1) of them, that is l - 1 (pigeonring principle). The ring decides who meets: a fingerprint is
+filed under the first two segments of the chain from each start, and asks, for each start, under its own two segments and
+under those that a chain within budget can hold, with one more difference in the second. Pairs that meet must keep to the
+budget of each longer prefix before the full Hamming distance is taken.
+
+A difference is a bit that one of the two has and the other hasn't, so it is enough to ask with one more bit set: the one
+that lacks the bit finds the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,12 @@ from heronry.llm import buffers as B
 from heronry.llm.components import component_roots, local_roots
 from heronry.llm.store import small_batches, written
 
-SEGMENTS = 8
-#: A bucket of more fingerprints is dealt again by its other bits before pairs are compared.
-DENSE = 512
+#: Fingerprints of one bucket that a task holds; a bucket with more is dealt out, and its questions go to each part.
+BLOCK = 1000
+#: Pairs that are compared at once.
+PAIRS = 500_000
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_U = np.uint64
 
 
 def shingle_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = 4) -> np.ndarray:
@@ -58,136 +61,111 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, end - at) for c in ("doc_id", "k1", "k2")] + [pa.array(fp)], ["doc_id", "k1", "k2", "fp"])
 
 
-def ring_passes(diff: np.ndarray, radius: int) -> np.ndarray:
-    """Which rows of differing bits (n x 8 bytes) have a chain within proportional budgets."""
-    d = _ONES[diff]
-    alive = np.ones(d.shape, bool)
-    total = np.zeros(d.shape, np.uint8)
-    for length in range(1, SEGMENTS + 1):
-        total += np.roll(d, 1 - length, axis=1)
-        alive &= total <= length * radius // SEGMENTS
-        if not alive.any():
-            break
-    return alive.any(axis=1)
-
-
-def near_pairs(fps: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
-    """Which candidate pairs (i, j) of uint64 fingerprints lie within the radius."""
-    diff = (fps[i] ^ fps[j]).view(np.uint8).reshape(-1, 8)
-    passed = np.flatnonzero(ring_passes(diff, radius))
-    out = np.zeros(len(i), bool)
-    out[passed] = _ONES[diff[passed]].sum(axis=1, dtype=np.int64) <= radius
-    return out
-
-
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return cut, np.diff(np.append(cut, len(keys)))
+def segments(radius: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of each segment of the ring."""
+    edge = np.linspace(0, 64, radius + 2).astype(int).tolist()
+    return [(a, b - a) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _pairs_in_runs(k: np.ndarray, at: np.ndarray, fps: np.ndarray, radius: int) -> tuple[list, list]:
-    """All near pairs inside the runs of equal ``k``: each member with the next, the next but one, and so on."""
-    u, v, step = [], [], 1
-    while step < len(k):
-        same = np.flatnonzero(k[step:] == k[:-step])
-        if not len(same):
-            break
-        i, j = at[same], at[same + step]
-        good = near_pairs(fps, i, j, radius)
-        u.append(i[good])
-        v.append(j[good])
-        step += 1
-    return u, v
+def chain_masks(radius: int) -> np.ndarray:
+    """The bits of the chain of each length (1 to all segments, second axis) from each start (first axis)."""
+    ones = np.array([((1 << n) - 1) << a for a, n in segments(radius)], _U)
+    ring = np.stack([np.roll(ones, -k) for k in range(len(ones))])
+    return np.bitwise_or.accumulate(ring, axis=1)
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs that connect the fingerprints of each bucket as all its near pairs would.
-
-    ``keys`` is sorted. A small bucket compares all its members. A dense one, where that would grow with the square, is
-    dealt again by its other bits.
-    """
-    cut, size = _runs(keys)
-    small = size <= dense
-    in_small = np.repeat(small, size)
-    u, v = _pairs_in_runs(keys[in_small], np.flatnonzero(in_small), fps, radius)
-    for c, s in zip(cut[~small].tolist(), size[~small].tolist(), strict=True):
-        a, b = _dense_links(fps[c : c + s], radius)
-        u.append(a + c)
-        v.append(b + c)
-    return (np.concatenate(u), np.concatenate(v)) if u else (np.zeros(0, np.int64),) * 2
-
-
-def _dense_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect a dense set of distinct fingerprints.
-
-    Two fingerprints within the radius are equal once ``radius`` of the four-bit segments, those that differ, are
-    masked. Each choice of such a mask, among segments in which the set varies at all, sorts the set anew; equal
-    neighbours differ in 4 * radius bits at most and are compared.
-    """
-    nibbles = [np.uint64(0xF) << np.uint64(4 * k) for k in range(16)]
-    varying = [x for x in nibbles if len(np.unique(fps & x)) > 1]
-    u = v = np.zeros(0, np.int64)
-    for chosen in combinations(varying, min(radius, len(varying))):
-        masked = fps & ~np.bitwise_or.reduce(np.array(chosen, np.uint64))
-        order = np.argsort(masked, kind="stable")
-        more_u, more_v = _pairs_in_runs(masked[order], order, fps, radius)
-        u, v = _forest(np.concatenate([u, *more_u]), np.concatenate([v, *more_v]), len(fps))
-    return u, v
+def within_chain(diff: np.ndarray, start: np.ndarray, masks: np.ndarray, lengths: range) -> np.ndarray:
+    """Indices of the differences whose chain from ``start`` keeps to the budget l - 1 of each length l."""
+    at = np.arange(len(diff))
+    for n in lengths:
+        at = at[np.bitwise_count(diff[at] & masks[start[at], n - 1]) < n]
+    return at
 
 
-def _forest(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges with the components of u-v: one for each node that isn't a root."""
-    root = local_roots(u, v, n)
-    node = np.flatnonzero(root != np.arange(n))
-    return node, root[node]
+def _bucket(first: np.ndarray, second: np.ndarray, start: int) -> np.ndarray:
+    """61 bits of two segments and the start's number, which takes the lowest three."""
+    key = B.mix(first + B.mix(second + _U(start + 1)))
+    return ((key & ~_U(7)) | _U(start)).view(np.int64)
 
 
-def _deal(radius: int):
-    choices = list(combinations(range(SEGMENTS), SEGMENTS - radius))
+def _file(radius: int, asks: bool):
+    """A row for each bucket in which a fingerprint is filed, or in which it asks."""
+    ring = segments(radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            parts = fps.view(np.uint8).reshape(-1, 8)
-            for t, chosen in enumerate(choices):
-                key = np.full(len(fps), t, np.uint64)
-                for s in chosen:
-                    key = (key << np.uint64(8)) | parts[:, s].astype(np.uint64)
-                key = B.mix(key) if len(chosen) > 7 else key
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps)], ["bucket", "fp"])
+            fps = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+            for start, (a, n) in enumerate(ring):
+                low, bits = ring[(start + 1) % len(ring)]
+                first, second = (fps >> _U(a)) & _U((1 << n) - 1), (fps >> _U(low)) & _U((1 << bits) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(_bucket(first, second, start)), pa.array(fps.view(np.int64))], ["bucket", "fp"])
+                for k in range(bits if asks and radius else 0):
+                    lacks = np.flatnonzero((second >> _U(k)) & _U(1) == 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(_bucket(first[lacks], second[lacks] | _U(1 << k), start)), pa.array(fps[lacks].view(np.int64))], ["bucket", "fp"])
 
     return run
 
 
-def _link(radius: int, dense: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k = held_f = np.zeros(0, np.int64)
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the same nodes with the same components, no more than nodes."""
+    both, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    root = local_roots(at[: len(u)], at[len(u) :], len(both))
+    node = np.flatnonzero(root != np.arange(len(both)))
+    return both[node], both[root[node]]
+
 
-        def links(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            u, v = bucket_links(k, f.view(np.uint64), radius, dense=dense)
-            both, at = np.unique(np.concatenate((f[u], f[v])), return_inverse=True)
-            node, root = _forest(at[: len(u)], at[len(u) :], len(both))
-            return pa.RecordBatch.from_arrays([pa.array(both[node]), pa.array(both[root])], ["u", "v"])
+def _meet(radius: int):
+    """Rows sorted by bucket, part and kind, those filed before those that ask: links of what meets there.
 
+    A task holds the filed ones of one part and a batch of those that ask.
+    """
+    masks = chain_masks(radius)
+    names = ("bucket", "part", "asks", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
         for batch in batches:
-            k = np.concatenate((held_k, batch.column("bucket").to_numpy(zero_copy_only=False)))
-            f = np.concatenate((held_f, batch.column("fp").to_numpy(zero_copy_only=False)))
-            if not len(k):
+            if not len(batch):
                 continue
-            last = int(np.searchsorted(k, k[-1], "left"))  # the last bucket may go on
-            held_k, held_f = k[last:].copy(), f[last:].copy()
-            if last:
-                yield links(k[:last], f[:last])
-        if len(held_k):
-            yield links(held_k, held_f)
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            if held is not None:
+                rows = {c: np.concatenate((held[c], rows[c])) for c in names}
+            asks, fps = rows["asks"], rows["fp"].view(_U)
+            cut = np.append(True, (rows["bucket"][1:] != rows["bucket"][:-1]) | (rows["part"][1:] != rows["part"][:-1]))
+            group, first = np.cumsum(cut) - 1, np.flatnonzero(cut)
+            filed = np.bincount(group[~asks], minlength=len(first))
+            last = np.flatnonzero((group == group[-1]) & ~asks)
+            held = {c: v[last].copy() for c, v in rows.items()}
+            who = np.flatnonzero(asks)
+            n = filed[group[who]]
+            who, n = who[n > 0], n[n > 0]
+            step = np.cumsum(n) // PAIRS
+            for a, b in zip(*(np.searchsorted(step, np.unique(step), side) for side in ("left", "right")), strict=True):
+                i = np.repeat(who[a:b], n[a:b])
+                j = first[group[i]] + np.arange(len(i)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+                diff = fps[i] ^ fps[j]
+                met = within_chain(diff, (rows["bucket"][i] & 7), masks, range(1, radius + 2))  # the last chain is the whole ring
+                met = met[diff[met] > 0]
+                if len(met):
+                    u, v = _forest(fps[i[met]], fps[j[met]])
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     return run
 
 
-def hamming_links(fps: DataFrame, *, radius: int = 4, dense: int = DENSE) -> DataFrame:
-    """(u, v): links whose components are those of all pairs of distinct ``fp`` values within ``radius`` bits."""
-    tables = fps.select("fp").mapInArrow(_deal(radius), "bucket long, fp long")
-    return tables.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_link(radius, dense), "u long, v long").distinct()
+def hamming_links(fps: DataFrame, *, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """(u, v): links whose components are those of all pairs of distinct ``fp`` values within ``radius`` bits (0 to 7)."""
+    if not 0 <= radius <= 7:
+        raise ValueError("the radius is 0 to 7")
+    filed = fps.select("fp").mapInArrow(_file(radius, False), "bucket long, fp long")
+    asking = fps.select("fp").mapInArrow(_file(radius, True), "bucket long, fp long")
+    hot = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    hot = written(hot.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-buckets")
+    parts = F.coalesce("parts", F.lit(1))
+    filed = filed.join(hot, "bucket", "left").select("bucket", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"), F.lit(False).alias("asks"), "fp")
+    asking = asking.join(hot, "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("asks"), "fp")
+    dealt = filed.unionByName(asking).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "asks")
+    return dealt.mapInArrow(_meet(radius), "u long, v long").distinct()
 
 
 def simhash_components(docs: DataFrame, *, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
