@@ -1,14 +1,18 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Bulk-synchronous best fit: documents are dealt into ranges by length and gaps (the room left in open sequences) by
-size. In each superstep the longest range that is left meets its successors among the gaps: the smallest gap size that
-holds the length, then the next. All documents of the range are matched at once; where a gap size has fewer gaps than
-the range has documents, the lower ranks get them, and where no gap is left the rest open new sequences. Gaps are
-updated, and the next range follows. That is best-fit decreasing.
-
-A superstep only needs how many documents a range has, and intervals of sequence numbers for each gap size. So what the
-driver sweeps is a histogram of at most ``size`` lengths and the runs made of it, at any corpus size; ranks, and the
-place that follows from a rank, are found by the executors.
+Bulk-synchronous best fit. Two tables change from superstep to superstep: the pieces without a place, and the gaps, the
+room left in each open sequence. A superstep
+
+1. opens sequences for the pieces that no gap holds: as many as these need at least,
+2. range-sorts pieces and gaps together by size, the largest first,
+3. sweeps each range: a piece meets its successor, the smallest gap that is large enough and not yet taken. Pieces
+   that meet the same gap are told apart by rank: the first gets it, the next gets the next larger one,
+4. sweeps over the ranges: pieces a range could not place, by rank, meet the gaps that ranges of larger sizes had
+   left, the nearest first. The sweep needs two counts a range; pieces and gaps then join by the number of their match,
+5. updates the gaps. A gap that holds any piece left several times takes as many at once.
+
+Supersteps go on until no piece is left. All tables between them are written. The driver holds a few numbers for each
+range and superstep.
 """
 
 from __future__ import annotations
@@ -114,8 +118,7 @@ def _cut(path: str | None, size: int, end_id: int):
 
         encoder = _encoder(path or public_tokenizers.path("word_bpe_49k.json"))
         end = array("I", [end_id]).tobytes()
-        part = TaskContext.get().partitionId()
-        met = np.zeros(size + 1, np.int64)
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, stop, data, offsets in B.pieces(batch.column("text")):
                 raw, edges = data.tobytes(), offsets.tolist()
@@ -129,78 +132,165 @@ def _cut(path: str | None, size: int, end_id: int):
                         start.append(k // 4)
                         length.append(len(piece) // 4)
                         crc.append(zlib.crc32(piece))
-                row, start, length = np.array(row), np.array(start, np.int64), np.array(length, np.int64)
-                order = np.argsort(length, kind="stable")
-                sorted_ = length[order]
-                rank = np.empty_like(length)
-                rank[order] = met[sorted_] + np.arange(len(order)) - np.searchsorted(sorted_, sorted_, "left")
-                met += np.bincount(length, minlength=size + 1)
+                start, key = np.array(start, np.int64), np.arange(number, number + len(row))
+                number += len(row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row + at)), pa.array((start // size).astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(rank)],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
+                    [batch.column("doc_id").take(pa.array(np.array(row, np.int64) + at)), pa.array((start // size).astype(np.int32)), pa.array(start), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(key)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "key"],
                 )
 
     return run
 
 
-def sweep(counts: np.ndarray, size: int) -> np.ndarray:
-    """The runs of a packing: rows (length, first rank, first sequence, pieces a sequence, offset), sorted.
+#: Pieces and gaps of a range, about.
+RANGE = 100_000
+_LEFT = "kind int, span int, rank long, key long, size long, sequence long, nth int, tokens long"
+_NAMES = [c.split()[0] for c in _LEFT.split(", ")]
 
-    ``counts[l]`` pieces have length l. The piece of rank r in a run goes to sequence first + (r - rank) // pieces, at
-    offset + (r - rank) % pieces * length.
+
+def sweep_range(sizes: list[int], keys: list[int], sequences: list[int | None], tokens: list[int]) -> tuple[list, list, list]:
+    """Matches (key, size, sequence, n-th of its gap), pieces left and gaps left of one range, in order.
+
+    A row with a sequence is a gap that can take ``tokens`` pieces; others are pieces. Rows come by size, the largest
+    first, and of equal sizes gaps first: so the latest gap met is the smallest that holds a piece.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    runs, fresh = [], 0
-    for length in range(size, 0, -1):
-        left, rank, gap = int(counts[length]), 0, length
-        while left:
-            while gap < size and not gaps.get(gap):
-                gap += 1
-            if gap >= size:
-                each = size // length
-                need = -(-left // each)
-                first, stop, gap = fresh, fresh + need, size
-                fresh = stop
-            else:
-                first, stop = gaps[gap].pop()
-                each = gap // length
-                need = -(-left // each)
-                if stop - first > need:
-                    gaps[gap].append((first + need, stop))
-                    stop = first + need
-            placed = min(left, (stop - first) * each)
-            runs.append((length, rank, first, each, size - gap))
-            whole = placed // each
-            if whole and gap > each * length:
-                gaps.setdefault(gap - each * length, []).append((first, first + whole))
-            if placed > whole * each:
-                gaps.setdefault(gap - (placed - whole * each) * length, []).append((first + whole, first + whole + 1))
-            rank += placed
-            left -= placed
-    return np.array(sorted(runs), np.int64).reshape(-1, 5)
-
-
-def _place(runs: np.ndarray, size: int):
-    lengths, ranks = np.ascontiguousarray(runs[:, 0]), np.ascontiguousarray(runs[:, 1])
-    first_run = np.searchsorted(lengths, np.arange(size + 2))
+    matches, left, stack = [], [], []
+    for size, key, sequence, n in zip(sizes, keys, sequences, tokens, strict=True):
+        if sequence is not None:
+            stack.append([sequence, n, n, size])
+        elif stack:
+            gap = stack[-1]
+            matches.append((key, size, gap[0], gap[2] - gap[1]))
+            gap[1] -= 1
+            if not gap[1]:
+                stack.pop()
+        else:
+            left.append((key, size))
+    return matches, left, [(s, size, m, n - m) for s, m, n, size in reversed(stack)]  # the smallest first
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one range: matches (kind 0), pieces left (1) and gaps left (2), the latter two ranked."""
+    span = TaskContext.get().partitionId()
+    table = [list(c) for c in ((), (), (), ())]
+    for batch in batches:
+        for held, name in zip(table, ("size", "key", "sequence", "tokens"), strict=True):
+            held += batch.column(name).to_pylist()
+    matches, left, gaps = sweep_range(*table)
+    n = len(matches) + len(left) + len(gaps)
+    before = np.cumsum([0, *(g[2] for g in gaps)])[:-1].tolist()
+    columns = (
+        [0] * len(matches) + [1] * len(left) + [2] * len(gaps),
+        [span] * n,
+        [None] * len(matches) + list(range(len(left))) + before,
+        [m[0] for m in matches] + [x[0] for x in left] + [None] * len(gaps),
+        [m[1] for m in matches] + [x[1] for x in left] + [g[1] for g in gaps],
+        [m[2] for m in matches] + [None] * len(left) + [g[0] for g in gaps],
+        [m[3] for m in matches] + [None] * len(left) + [g[3] for g in gaps],
+        [None] * (len(matches) + len(left)) + [g[2] for g in gaps],
+    )
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _NAMES)
+
+
+def sweep_ranges(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Which ranks meet: (range of pieces, first rank, range of gaps, first rank, how many), from (pieces, gaps) left in each range."""
+    stack: list[list[int]] = []  # range, first rank not taken, ranks
+    out = []
+    for span in sorted(counts):
+        pieces, gaps = counts[span]
+        at = 0
+        while at < pieces and stack:
+            top = stack[-1]
+            n = min(pieces - at, top[2] - top[1])
+            out.append((span, at, top[0], top[1], n))
+            at += n
+            top[1] += n
+            if top[1] == top[2]:
+                stack.pop()
+        if gaps:
+            stack.append([span, 0, gaps])
+    return out
+
+
+def _number(meets: list[tuple[int, int, int, int, int]]):
+    """Gives each piece left and each taken place of a gap left the number of its match."""
+    table = np.array(meets, np.int64).reshape(-1, 5)
+    first = np.cumsum(table[:, 4]) - table[:, 4]
+
+    names = ["kind", "key", "size", "sequence", "nth", "match"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False)
-            at = np.empty(len(length), np.int64)
-            for one in np.unique(length):
-                mine = length == one
-                lo, hi = first_run[one], first_run[one + 1]
-                at[mine] = lo + np.searchsorted(ranks[lo:hi], rank[mine], "right") - 1
-            since, each = rank - ranks[at], runs[at, 3]
-            sequence, offset = runs[at, 2] + since // each, runs[at, 4] + since % each * length
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            kind, span, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "span", "rank"))
+            nth, tokens = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("nth", "tokens"))
+            for (pieces, p, gaps, g, n), at in zip(table.tolist(), first.tolist(), strict=True):
+                mine = np.flatnonzero((kind == 1) & (span == pieces) & (rank >= p) & (rank < p + n))
+                low = np.maximum(rank, g)
+                held = np.where((kind == 2) & (span == gaps), np.minimum(rank + tokens, g + n) - low, 0).clip(min=0)
+                theirs = np.repeat(np.arange(len(held)), held)
+                place = low[theirs] + np.arange(len(theirs)) - np.repeat(np.cumsum(held) - held, held)
+                both = np.concatenate((mine, theirs))
+                if len(both):
+                    match = np.concatenate((at + rank[mine] - p, at + place - g))
+                    number = np.concatenate((nth[mine], nth[theirs] + place - rank[theirs])).astype(np.int32)
+                    took = batch.take(pa.array(both))
+                    yield pa.RecordBatch.from_arrays([*(took.column(c) for c in names[:4]), pa.array(number), pa.array(match)], names)
 
     return run
 
 
+def _needed(left: DataFrame, least: int, size: int) -> int:
+    """How many sequences pieces longer than ``least`` need at least, if no gap holds any of them."""
+    over = left.where(F.col("size") > least)
+    fit = [F.ceil(F.count(F.when(F.col("size") > size // (k + 1), 1)) / F.lit(k)) for k in (1, 2, 3, 4, 6, 8)]  # of longer ones k fit at most
+    return int(over.agg(F.coalesce(F.greatest(F.ceil(F.sum("size") / size), *fit), F.lit(0))).first()[0])
+
+
+def place(pieces: DataFrame, size: int, parts: int) -> DataFrame | None:
+    """(key, size, sequence, step, nth) for each row of ``pieces`` (key, size); None if there are none."""
+    spark = pieces.sparkSession
+    left, gaps = pieces.select("key", "size"), spark.createDataFrame([], "sequence long, room long")
+    opened, step, done = 0, 0, []
+    room = 0
+    n_left, longest = left.agg(F.count(F.lit(1)), F.max("size")).first()
+    n_gaps = 0
+    while n_left:
+        if longest > room:
+            new = _needed(left, room, size)
+            gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence"), F.lit(size).cast("long").alias("room")))
+            opened, n_gaps = opened + new, n_gaps + new
+        takes = F.greatest(F.lit(1), F.floor(F.col("room") / F.lit(longest))).cast("long")
+        rows = left.select("size", "key", F.lit(None).cast("long").alias("sequence"), F.lit(1).cast("long").alias("tokens")).unionByName(gaps.select(F.col("room").alias("size"), F.lit(None).cast("long").alias("key"), "sequence", takes.alias("tokens")))
+        order = [F.col("size").desc(), F.col("sequence").asc_nulls_last(), F.col("key")]
+        ranges = min(parts, 1 + (n_left + n_gaps) // RANGE)
+        swept = written(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _LEFT), "swept")
+        counts = {r.span: (r.p or 0, r.g or 0) for r in swept.where("kind > 0").groupBy("span").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("p"), F.sum("tokens").alias("g")).collect()}
+        meets = sweep_ranges(counts)
+        here = swept.where("kind = 0").select("key", "size", "sequence", F.lit(step).alias("step"), "nth")
+        unplaced = swept.where("kind = 1").select("key", "size")
+        if meets:
+            met = swept.where("kind > 0").mapInArrow(_number(meets), "kind int, key long, size long, sequence long, nth int, match long")
+            across = met.where("kind = 1").select("key", "size", "match").join(met.where("kind = 2").select("sequence", "nth", "match"), "match")
+            here = here.unionByName(across.select("key", "size", "sequence", F.lit(step).alias("step"), "nth"))
+        here = written(here, "placed")
+        if meets:
+            unplaced = unplaced.join(here.select("key"), "key", "left_anti")
+        left = written(unplaced, "left")
+        taken = here.groupBy("sequence").agg(F.sum("size").alias("taken"))
+        gaps = gaps.join(taken, "sequence", "left").select("sequence", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room"))
+        done.append(here)
+        n_left, longest, shortest = left.agg(F.count(F.lit(1)), F.max("size"), F.min("size")).first()
+        if n_left:
+            gaps = written(gaps.where(F.col("room") >= shortest), "gaps")
+            n_gaps, room = gaps.agg(F.count(F.lit(1)), F.coalesce(F.max("room"), F.lit(0))).first()
+        step += 1
+    out = None
+    for d in done:
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def pack(docs: DataFrame, *, size: int = 2048, end_id: int = 0, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one for each piece of each row of ``docs``.
 
@@ -210,26 +300,16 @@ def pack(docs: DataFrame, *, size: int = 2048, end_id: int = 0, tokenizer: str |
     Defined cases: a null or empty text has the end id only; rows with equal or null ids are documents of their own;
     an empty table gives an empty table; other columns are left out.
 
-    Texts are tokenised once, where they are read, and only pieces without their ids are written on. A piece's rank
-    among those of its length is its rank in its task plus the pieces of earlier tasks, a window over one row for each
-    task and length.
+    Texts are tokenised once, where they are read, and only pieces without their ids are written on.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long"
-    cut = written(narrow.mapInArrow(_cut(tokenizer, size, end_id), schema), "pieces")
-    by_part = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
-    before = by_part.select("part", "length", "n", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    before = written(before, "piece-ranks")
-    counts = np.zeros(size + 1, np.int64)
-    for length, n in before.groupBy("length").agg(F.sum("n")).collect():  # at most `size` rows
-        counts[length] = n
-    runs = sweep(counts, size)
-    ranked = cut.join(before.drop("n"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    out = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    if not len(runs):
-        return spark.createDataFrame([], out)
-    return ranked.mapInArrow(_place(runs, size), out)
+    cut = written(narrow.mapInArrow(_cut(tokenizer, size, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, key long"), "pieces")
+    placed = place(cut.select("key", F.col("length").alias("size")), size, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if placed is None:
+        return spark.createDataFrame([], f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # a sequence holds ``size`` pieces at most
+    offset = F.sum("size").over(Window.partitionBy("sequence").orderBy("step", "nth")) - F.col("size")
+    return cut.join(placed.select("key", F.col("sequence").alias("sequence_id"), offset.alias("offset")), "key").drop("key")
