@@ -1,14 +1,18 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field that finds more.
 
-Tokens are tagged outside (0), secret begin (1) or inside (2). Features are the token's shape, the words and
-characters beside it, and the file it stands in. The field is trained in numpy on windows of a bounded sample in which
-the fixed patterns supply the tags, and decoded by Viterbi over all tokens of every text.
+Tokens are tagged outside (0), secret begin (1) or inside (2). Features are the token's shape, the two words on either
+side (hashed), the characters beside it, and the file it stands in. The field is trained in numpy on windows of a bounded
+sample and decoded by Viterbi over all tokens of every text. Its tags come from the fixed patterns, and from secrets made
+for fitting: random keys, passwords and codes that stand in the sample's own texts behind words the patterns don't know
+(:func:`made_window`), next to numbers, paths, dates and names that are none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +33,10 @@ KINDS = ("assign", "access", "hex", "crf")
 
 #: Words that, standing before a token, say what it is.
 CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "login", "private", "access")
-#: Tokens on either side of a training window's middle, and windows of one document at most.
-REACH, PER_DOC = 8, 24
+#: Tokens on either side of a training window's middle, windows of one document at most, and of those made for fitting.
+REACH, PER_DOC, MADE = 8, 24, 8
+#: Neighbouring words that features tell, and buckets of their hashes.
+NEAR, HASHED = (-2, -1, 1, 2), 1024
 
 
 def _class(*chars: str) -> np.ndarray:
@@ -112,6 +118,23 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, file_edges:
     return x
 
 
+def neighbours(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, file_edges: np.ndarray) -> np.ndarray:
+    """The bucket of each token's neighbouring words (NEAR x tokens), HASHED where the text has none there."""
+    n = len(starts)
+    low = B.lower_ascii(data)
+    word = (B.span_hashes(low, starts, ends) >> np.uint64(40)).astype(np.int64) % HASHED
+    # a word that looks like a code is told by its looks: it won't be met again
+    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
+    word[digits[ends] > digits[starts]] = 0
+    text = np.searchsorted(file_edges, starts, "right")
+    out = np.full((len(NEAR), n), HASHED, np.int16)
+    for row, by in zip(out, NEAR, strict=True):
+        if abs(by) < n:
+            here, there = (slice(-by, None), slice(None, by)) if by < 0 else (slice(None, -by), slice(by, None))
+            row[here] = np.where(text[here] == text[there], word[there], HASHED)
+    return out
+
+
 def base_spans(data: bytes) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the fixed patterns in bytes, leftmost and without overlap in each kind, by start and kind."""
     out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(data) if m.end(2) - m.start(2) >= LEAST_VALUE]
@@ -132,31 +155,130 @@ def _tags(starts: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
     return tags
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Words that announce a secret in windows made for fitting; the fixed patterns know none of them.
+ANNOUNCE = ("pwd", "passphrase", "pass", "credential", "credentials", "bearer", "auth", "authorization", "login", "private key", "access key", "signing key", "encryption key", "license key", "client id", "session", "cookie", "webhook", "pin", "unlock code", "key")
+_JOIN = ("=", "=", ": ", ": ", " = ", " is ", " ", " -> ", '="', ": '", ' is "')
+
+
+def _made_secret(rng: random.Random) -> str:
+    alnum = _LETTERS + _LETTERS.upper() + "0123456789" * 2
+    some = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
+    kind = rng.randrange(8)
+    if kind == 0:
+        return some(alnum, 16, 44)
+    if kind == 1:
+        return some(alnum + "+/", 20, 60)
+    if kind == 2:
+        return "-".join(some(_LETTERS.upper() + "0123456789" * 3, 4, 6) for _ in range(rng.randint(3, 5)))
+    if kind == 3:
+        return some(_LETTERS, 2, 4) + rng.choice("_-") + some(alnum, 16, 40)
+    if kind == 4:
+        return some(alnum, 4, 8) + some("0123456789", 1, 3) + some(_LETTERS.upper(), 1, 3)
+    if kind == 5:
+        return some(_LETTERS.upper() + "0123456789", 16, 32)
+    if kind == 6:
+        return ".".join(some(alnum + "_-", 12, 40) for _ in range(3))
+    return some(alnum, 3, 7) + rng.choice("!@#$%^&*") + some(alnum, 3, 7) + some("0123456789", 1, 3)
+
+
+def _made_other(rng: random.Random) -> str:
+    """What looks a little like a secret and is none."""
+    digit = lambda a, b: "".join(rng.choice("0123456789") for _ in range(rng.randint(a, b)))
+    word = lambda: "".join(rng.choice(_LETTERS) for _ in range(rng.randint(3, 9)))
+    return (
+        lambda: digit(2, 12),
+        lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
+        lambda: f"{word()}/{word()}/{word()}.{rng.choice(('html', 'py', 'txt', 'mp3'))}",
+        lambda: f"{word()}.{word()}@{word()}.com",
+        lambda: f"v{rng.randint(0, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}",
+        lambda: f"{word().upper()}-{digit(2, 4)}",
+        lambda: f"+{digit(2, 2)} {digit(3, 3)} {digit(6, 8)}",
+        lambda: ".".join(digit(1, 3) for _ in range(4)),
+        lambda: word() + word().title() + rng.choice(("", "2", "Id")),
+        lambda: f"https://{word()}.com/{word()}/{digit(3, 6)}",
+        lambda: word(),
+        lambda: word().title() + " " + word(),
+    )[rng.randrange(12)]()
+
+
+def made_window(text: str, rng: random.Random, announce: tuple[str, ...] = ANNOUNCE) -> tuple[str, list[tuple[int, int]]]:
+    """A stretch of the text with a secret in it, or something that is none, and the secret's span (none: empty)."""
+    at = rng.randrange(max(1, len(text) - 400))
+    words = text[at : at + 400].split(" ")[1:-1] or ["a"]
+    cut = rng.randint(0, len(words))
+    before, after = " ".join(words[:cut]), " ".join(words[cut:])
+    before += rng.choice(("\n", " ", " ")) if before else ""
+    hidden = rng.random() < 0.6
+    if rng.random() < 0.85 or hidden:
+        word = rng.choice(announce)
+        word = rng.choice((word, word, word.upper(), word.title(), word.replace(" ", "_")))
+        join = rng.choice(_JOIN)
+        before += word + join
+        quote = join[-1] if join[-1] in "\"'" else ""
+        after = quote + rng.choice(("\n", " ", " ")) + after
+    else:
+        after = " " + after
+    value = _made_secret(rng) if hidden else _made_other(rng)
+    start = len(before)
+    return before + value + after, [(start, start + len(value))] if hidden else []
+
+
+def _tagged(raw: bytes, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, neighbours and tags of a text's tokens, and the tokens; ``spans`` (bytes) are secrets as well."""
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends = tokens(data)
+    tags = _tags(starts, ends, raw)
+    for a, b in spans:
+        i, j = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b)
+        tags[i:j] = 2
+        tags[i : i + 1] = 1
+    edges = np.array([0, len(data)])
+    return features(data, starts, ends, edges), neighbours(data, starts, ends, edges), tags, np.stack((starts, ends))
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training windows: around tagged tokens, around other tokens with digits, and one plain one, of sampled texts."""
+    """Training windows of sampled texts: about tagged tokens, about others with digits, a plain one, and made ones."""
+    width = 2 * REACH + 1
+
+    def cut(raw: bytes, spans: list[tuple[int, int]], most: int) -> tuple[list, list, list]:
+        x, near, tags, (starts, ends) = _tagged(raw, spans)
+        if len(starts) < width:
+            return [], [], []
+        if spans:
+            middle = np.searchsorted(starts, [a for a, _ in spans])
+        else:
+            digits = np.flatnonzero(x[2 + len(_LENGTHS)] & (tags == 0) & (ends - starts >= 4))
+            middle = np.concatenate((np.flatnonzero(tags == 1)[: most // 2], digits[: most // 4], [len(starts) // 2]))
+        rows = np.clip(middle, REACH, len(starts) - REACH - 1)[:, None] + np.arange(-REACH, REACH + 1)
+        return [x.T[r].tobytes() for r in rows], [near.T[r].tobytes() for r in rows], [tags[r].tobytes() for r in rows]
+
     for batch in batches:
         for text in batch.column("text").to_pylist():
             raw = (text or "").encode()
-            data = np.frombuffer(raw, np.uint8)
-            if not len(data):
+            if not raw:
                 continue
-            starts, ends = tokens(data)
-            if len(starts) < 2 * REACH + 1:
-                continue
-            tags = _tags(starts, ends, raw)
-            x = features(data, starts, ends, np.array([0, len(data)]))
-            digits = np.flatnonzero(x[2 + len(_LENGTHS)] & (tags == 0) & (ends - starts >= 4))
-            middle = np.concatenate((np.flatnonzero(tags == 1)[: PER_DOC // 2], digits[: PER_DOC // 4], [len(starts) // 2]))
-            middle = np.clip(middle, REACH, len(starts) - REACH - 1)
-            rows = middle[:, None] + np.arange(-REACH, REACH + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([x.T[r].tobytes() for r in rows], pa.binary()), pa.array([tags[r].tobytes() for r in rows], pa.binary())], ["x", "y"])
+            got = [cut(raw, [], PER_DOC)]
+            rng = random.Random(zlib.crc32(raw))
+            for _ in range(MADE):
+                made, spans = made_window(text, rng)
+                got.append(cut(made.encode(), [(len(made[:a].encode()), len(made[:b].encode())) for a, b in spans], 2))
+            x, near, y = ([v for g in got for v in g[k]] for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(near, pa.binary()), pa.array(y, pa.binary())], ["x", "near", "y"])
 
 
 class Field:
-    """Weights: features x 3 for tokens, 3 x 3 for neighbours."""
+    """Weights: features x 3, neighbouring words (NEAR x buckets) x 3, and 3 x 3 from tag to tag."""
 
-    def __init__(self, emit: np.ndarray, move: np.ndarray) -> None:
-        self.emit, self.move = emit, move
+    def __init__(self, emit: np.ndarray, words: np.ndarray, move: np.ndarray) -> None:
+        self.emit, self.words, self.move = emit, words, move
+
+    def scores(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Tokens x 3, of features x tokens and NEAR x tokens."""
+        out = x.T.astype(self.emit.dtype) @ self.emit
+        for table, at in zip(self.words, near, strict=True):
+            out += table[at]
+        return out
 
     def viterbi(self, scores: np.ndarray) -> np.ndarray:
         """Best tags of one chain."""
@@ -196,56 +318,72 @@ class Field:
         return tags
 
 
-def train(x: np.ndarray, y: np.ndarray, *, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Field:
-    """Maximum likelihood with an L2 penalty, by Adam over all windows (n x length x features, n x length)."""
+def likelihood(field: Field, x: np.ndarray, near: np.ndarray, y: np.ndarray, decay: float) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Mean negative log-likelihood of windows with an L2 penalty, and its gradient, by forward and backward sums.
+
+    ``x``: n x length x features; ``near``: n x length x NEAR; ``y``: n x length.
+    """
     n, length, width = x.shape
-    x = x.astype(np.float32)
-    truth = np.eye(3, dtype=np.float32)[y]
-    emit, move = np.zeros((width, 3), np.float32), np.zeros((3, 3), np.float32)
-    want_e = np.einsum("ntf,ntk->fk", x, truth)
-    want_m = np.einsum("nti,ntj->ij", truth[:, :-1], truth[:, 1:])
-    state = [np.zeros_like(w) for w in (emit, move, emit, move)]
+    kind = field.emit.dtype
+    flat = x.reshape(-1, width).astype(kind)
+    s = flat @ field.emit
+    for k, table in enumerate(field.words):
+        s += table[near[:, :, k].reshape(-1)]
+    s = s.reshape(n, length, 3)
+    fwd, bwd = np.empty_like(s), np.zeros_like(s)
+    fwd[:, 0] = s[:, 0]
+    for t in range(1, length):
+        z = fwd[:, t - 1, :, None] + field.move
+        top = z.max(axis=1)
+        fwd[:, t] = top + np.log(np.exp(z - top[:, None]).sum(axis=1)) + s[:, t]
+    for t in range(length - 2, -1, -1):
+        z = field.move + (s[:, t + 1] + bwd[:, t + 1])[:, None]
+        top = z.max(axis=2)
+        bwd[:, t] = top + np.log(np.exp(z - top[..., None]).sum(axis=2))
+    top = fwd[:, -1].max(axis=1)
+    norm = top + np.log(np.exp(fwd[:, -1] - top[:, None]).sum(axis=1))
+    truth = np.eye(3, dtype=kind)[y]
+    path = (s * truth).sum(axis=(1, 2)) + field.move[y[:, :-1], y[:, 1:]].sum(axis=1)
+    loss = float((norm - path).mean() + decay / 2 * sum((w * w).sum() for w in (field.emit, field.words, field.move)))
+    wrong = (np.exp(fwd + bwd - norm[:, None, None]) - truth).reshape(-1, 3)
+    edge = np.exp(fwd[:, :-1, :, None] + field.move + (s + bwd)[:, 1:, None] - norm[:, None, None, None]).sum(axis=(0, 1))
+    seen = np.zeros((3, 3), kind)
+    np.add.at(seen, (y[:, :-1].reshape(-1), y[:, 1:].reshape(-1)), 1)
+    words = np.stack([np.stack([np.bincount(near[:, :, k].reshape(-1), wrong[:, c], HASHED + 1) for c in range(3)], axis=1) for k in range(len(NEAR))])
+    return loss, (flat.T @ wrong / n + decay * field.emit, (words / n).astype(kind) + decay * field.words, (edge - seen) / n + decay * field.move)
+
+
+def train(x: np.ndarray, near: np.ndarray, y: np.ndarray, *, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Field:
+    """Maximum likelihood with an L2 penalty, by Adam over all windows."""
+    field = Field(np.zeros((x.shape[2], 3), np.float32), np.zeros((len(NEAR), HASHED + 1, 3), np.float32), np.zeros((3, 3), np.float32))
+    weights = (field.emit, field.words, field.move)
+    state = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     for step in range(1, rounds + 1):
-        s = x.reshape(-1, width) @ emit
-        s = s.reshape(n, length, 3)
-        fwd, bwd = np.empty_like(s), np.zeros_like(s)
-        fwd[:, 0] = s[:, 0]
-        for t in range(1, length):
-            z = fwd[:, t - 1, :, None] + move
-            top = z.max(axis=1)
-            fwd[:, t] = top + np.log(np.exp(z - top[:, None]).sum(axis=1)) + s[:, t]
-        for t in range(length - 2, -1, -1):
-            z = move + (s[:, t + 1] + bwd[:, t + 1])[:, None]
-            top = z.max(axis=2)
-            bwd[:, t] = top + np.log(np.exp(z - top[..., None]).sum(axis=2))
-        top = fwd[:, -1].max(axis=1)
-        norm = top + np.log(np.exp(fwd[:, -1] - top[:, None]).sum(axis=1))
-        node = np.exp(fwd + bwd - norm[:, None, None])
-        edge = np.exp(fwd[:, :-1, :, None] + move + (s + bwd)[:, 1:, None] - norm[:, None, None, None])
-        grads = (x.reshape(-1, width).T @ (node.reshape(-1, 3)) - want_e) / n + decay * emit, (edge.sum(axis=(0, 1)) - want_m) / n + decay * move
-        for k, (w, g) in enumerate(zip((emit, move), grads, strict=True)):
-            state[k] = 0.9 * state[k] + 0.1 * g
-            state[k + 2] = 0.99 * state[k + 2] + 0.01 * g * g
-            w -= rate * (state[k] / (1 - 0.9**step)) / (np.sqrt(state[k + 2] / (1 - 0.99**step)) + 1e-8)
-    return Field(emit, move)
+        _, grads = likelihood(field, x, near, y, decay)
+        for w, g, (mean, square) in zip(weights, grads, state, strict=True):
+            mean += 0.1 * (g - mean)
+            square += 0.01 * (g * g - square)
+            w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    return field
 
 
 def fit(docs: DataFrame, *, sample: int = 20_000, windows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
     """A field fitted to at most ``windows`` windows of the ``sample`` rows with the least hash of their id.
 
-    None where the sample has no tagged token. The ids of the sample are broadcast: there are ``sample`` at most.
+    None where the sample has no window. The ids of the sample are broadcast: there are ``sample`` at most.
     """
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     cheap = r"(?i)(passw|secret|token|api_?key)|AKIA[A-Z0-9]{8}|[0-9a-f]{24}"
-    rows = rows.where(F.col("text").rlike(cheap) | (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(16)) == 0))
-    got = rows.select("text").mapInArrow(_windows, "x binary, y binary").orderBy(F.xxhash64("x", "y"), "x", "y").limit(windows).toArrow()
+    rows = rows.where(F.col("text").rlike(cheap) | (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(8)) == 0))
+    got = rows.select("text").mapInArrow(_windows, "x binary, near binary, y binary").orderBy(F.xxhash64("x", "y"), "x", "near", "y").limit(windows).toArrow()
     length = 2 * REACH + 1
     if not len(got):
         return None
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), bool).reshape(-1, length, N_FEATURES)
+    near = np.frombuffer(b"".join(got.column("near").to_pylist()), np.int16).reshape(-1, length, len(NEAR))
     y = np.frombuffer(b"".join(got.column("y").to_pylist()), np.int8).reshape(-1, length)
-    return train(x, y) if (y > 0).any() else None
+    return train(x, near, y)
 
 
 def scan_texts(texts: list[bytes], field: Field | None) -> list[list[tuple[int, int, int]]]:
@@ -258,17 +396,18 @@ def scan_texts(texts: list[bytes], field: Field | None) -> list[list[tuple[int,
         starts, ends = tokens(data)
         if len(starts):
             text = np.searchsorted(edges, starts, "right") - 1
-            scores = features(data, starts, ends, edges).T.astype(np.float32) @ field.emit
-            tags = field.decode(scores, text)
+            tags = field.decode(field.scores(features(data, starts, ends, edges), neighbours(data, starts, ends, edges)), text)
             # an inside tag without a beginning starts a span too
-            begin = (tags > 0) & ((tags == 1) | np.append(True, (tags[:-1] == 0) | (text[1:] != text[:-1])))
-            for i in np.flatnonzero(begin):
-                j = i + 1
-                while j < len(tags) and tags[j] == 2 and text[j] == text[i]:
-                    j += 1
-                a, b = int(starts[i]), int(ends[j - 1])
-                if not any(s <= a and b <= e for s, e, k in spans if k < 3):
-                    spans.append((a, b, 3))
+            same = np.append(False, text[1:] == text[:-1])
+            goes_on = (tags == 2) & same & np.append(False, tags[:-1] > 0)
+            first = np.flatnonzero((tags > 0) & ~goes_on)
+            last = np.flatnonzero((tags > 0) & ~np.append(goes_on[1:], False))
+            # spans inside one of the patterns' are known: of the pattern spans that begin no later, the furthest end
+            begins = np.array([a for a, _, _ in spans], np.int64)
+            reach = np.maximum.accumulate(np.array([b for _, b, _ in spans], np.int64)) if spans else begins
+            k = np.searchsorted(begins, starts[first], "right") - 1
+            known = (k >= 0) & (reach[k] >= ends[last]) if spans else np.zeros(len(first), bool)
+            spans = spans + [(int(a), int(b), 3) for a, b in zip(starts[first[~known]], ends[last[~known]], strict=True)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if spans:
         points = np.concatenate(([0], np.cumsum(B.code_points(data))))
