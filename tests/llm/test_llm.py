@@ -231,23 +231,48 @@ def test_simhash_components(spark, docs, rows):
         assert keep_one_per_group(t).columns == t.columns
 
 
-def test_links_connect_as_all_pairs_do_also_in_dense_sets():
+def fingerprint_set(n=60):
+    """Random fingerprints, and many about one point."""
+    rng = np.random.default_rng(5)
+    one = np.uint64(1)
+    near = np.uint64(0xABCD12345678EF00) ^ (one << rng.integers(0, 64, 4 * n).astype(np.uint64)) ^ (one << rng.integers(0, 40, 4 * n).astype(np.uint64)) ^ (rng.integers(0, 3, 4 * n).astype(np.uint64) << np.uint64(20))
+    return np.unique(np.concatenate((near, rng.integers(0, 1 << 63, n).astype(np.uint64), np.array([0, 1, 3, 2**64 - 1], np.uint64))))
+
+
+def test_links_connect_as_all_pairs_do_also_in_hot_buckets(spark):
     from heronry.llm.components import local_roots
-    from heronry.llm.near_simhash import bucket_links, near_pairs, ring_passes
+    from heronry.llm.near_simhash import hamming_links
 
-    rng = np.random.default_rng(5)
-    near = np.uint64(0xABCD12345678EF00) ^ (np.uint64(1) << rng.integers(0, 32, 150).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 150).astype(np.uint64)) ^ (rng.integers(0, 3, 150).astype(np.uint64) << np.uint64(20))
-    fps = np.unique(np.concatenate((near, rng.integers(0, 1 << 63, 60).astype(np.uint64))))
+    fps = fingerprint_set()
     i, j = np.triu_indices(len(fps), 1)
-    dist = np.array([bin(int(fps[a] ^ fps[b])).count("1") for a, b in zip(i, j)])
-    for radius in (2, 4):
-        assert (near_pairs(fps, i, j, radius) == (dist <= radius)).all()
-        diff = (fps[i] ^ fps[j]).view(np.uint8).reshape(-1, 8)
-        assert ring_passes(diff, radius)[dist <= radius].all()
+    dist = np.bitwise_count(fps[i] ^ fps[j])
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    at = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+    for radius, block in ((0, 1000), (1, 7), (2, 1000), (4, 1000), (4, 7)):
         want = local_roots(i[dist <= radius], j[dist <= radius], len(fps))
-        for dense in (8, 10_000):
-            u, v = bucket_links(np.zeros(len(fps), np.int64), fps, radius, dense=dense)
-            assert (local_roots(u, v, len(fps)) == want).all()
+        links = hamming_links(table, radius=radius, block=block).collect()
+        assert all(bin(x.u % 2**64 ^ x.v % 2**64).count("1") > 0 for x in links)
+        got = local_roots(np.array([at[x.u] for x in links], int), np.array([at[x.v] for x in links], int), len(fps))
+        assert (got == want).all(), (radius, block)
+
+
+def test_the_ring_lets_all_near_pairs_meet_and_prunes():
+    """Each near pair has a chain; of random pairs that meet in one segment few keep to the budgets of longer chains."""
+    from heronry.llm.near_simhash import chain_masks, within_chain
+
+    rng = np.random.default_rng(9)
+    for radius in (1, 2, 4, 7):
+        masks = chain_masks(radius)
+        diff = np.zeros(3000, np.uint64)
+        for _ in range(radius):
+            diff |= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+        starts = [set(within_chain(diff, np.full(3000, s), masks, range(1, radius + 2)).tolist()) for s in range(radius + 1)]
+        assert set.union(*starts) == set(range(3000))
+    masks = chain_masks(4)
+    diff = rng.integers(0, 1 << 63, 400_000).astype(np.uint64) & ~masks[0, 0]  # the first segment is equal
+    start = np.zeros(len(diff), int)
+    left = [len(within_chain(diff, start, masks, range(1, n + 1))) for n in (1, 2, 3)]
+    assert left[0] == len(diff) and left[1] < 0.01 * left[0] and left[2] < 0.1 * left[1]
 
 
 def test_component_roots(spark):
@@ -316,7 +341,7 @@ def test_subtrees_have_nodes_of_all_depths():
 
     for k in range(1, 400):
         assert shared[k] == common(words_[order[k - 1]], words_[order[k]])
-    assert set(shared[1:].tolist()) >= {17, 18, 19, 20, 21, 22, 23, 24}
+    assert set(shared[1:].tolist()) >= {17, 18, 19, 20, 21, 22}
     first, last, deep = outer_nodes(shared, depth)
     groups = {}
     for w in words_:
@@ -442,7 +467,7 @@ def test_packing(spark, docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from heronry.llm.packing import pack, sweep
+    from heronry.llm.packing import pack
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     odd = [(1001, "It's 12,5 DON'T. Σας ΟΔΟΣ. <|endoftext|> <|EndOfText|>. é. ẛ̣, İ.", "en", "s", 1)]
@@ -464,22 +489,60 @@ def test_packing(spark, docs, rows):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want = {k: (64 * k, len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(ids[p : p + 64] for p in range(0, len(ids), 64))}
         assert got[i] == want, i
-    # best-fit decreasing, one by one
-    lengths = sorted((r.length for r in out), reverse=True)
-    gaps = []
-    for n in lengths:
-        fit = [g for g in gaps if g >= n]
-        if fit:
-            gaps.remove(min(fit))
-            gaps.append(min(fit) - n)
-        else:
-            gaps.append(64 - n)
-    assert len(by_seq) == len(gaps)
-    assert len(sweep(np.zeros(65, int), 64)) == 0
+    lengths = [r.length for r in out]
+    assert len(by_seq) <= best_fit(lengths, 64) * 1.02
     for t in odd_tables(spark):
         assert pack(t).count() == t.count()
 
 
+def best_fit(lengths, size):
+    """How many sequences best-fit decreasing opens, one piece after another."""
+    import bisect
+
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        room = gaps.pop(k) if k < len(gaps) else size
+        bisect.insort(gaps, room - n)
+    return len(gaps)
+
+
+def test_supersteps_match_as_best_fit_does(spark, monkeypatch):
+    """Every piece gets one place, none overlap, and no more sequences are opened than one by one (2 % more at most)."""
+    from heronry.llm import packing
+
+    rng = random.Random(4)
+    mixes = {
+        "halves": [rng.randint(900, 1200) for _ in range(300)],
+        "third alike": [700] * 400 + [rng.randint(1, 2048) for _ in range(800)],
+        "tiny": [1] * 5000 + [rng.randint(1, 30) for _ in range(500)],
+        "long tail": [min(2048, int(rng.paretovariate(0.8) * 40)) for _ in range(2000)],
+        "whole": [2048] * 20,
+        "one": [5],
+    }
+    monkeypatch.setattr(packing, "RANGE", 400)  # several ranges, so that matches cross them
+    for name, lengths in mixes.items():
+        pieces = spark.createDataFrame(list(enumerate(lengths)), "key long, size long")
+        out = packing.place(pieces, 2048, 4).collect()
+        assert sorted((r.key, r.size) for r in out) == list(enumerate(lengths)), name
+        assert len({(r.sequence, r.step, r.nth) for r in out}) == len(out), name
+        held = {}
+        for r in out:
+            held[r.sequence] = held.get(r.sequence, 0) + r.size
+        assert max(held.values()) <= 2048 and sorted(held) == list(range(len(held))), name
+        assert len(held) <= best_fit(lengths, 2048) * 1.02, (name, len(held), best_fit(lengths, 2048))
+
+
+def test_a_sweep_gives_each_piece_the_smallest_gap_left():
+    from heronry.llm.packing import sweep_range, sweep_ranges
+
+    # gaps of 9 (two pieces), 5 and 3; pieces of 6, 5, 4, 4, 2, 1
+    rows = [(9, None, 0, 2), (6, 10, None, 1), (5, None, 1, 1), (5, 11, None, 1), (4, 12, None, 1), (4, 13, None, 1), (3, None, 2, 1), (2, 14, None, 1), (1, 15, None, 1)]
+    matches, left, gaps = sweep_range(*map(list, zip(*rows)))
+    assert matches == [(10, 6, 0, 0), (11, 5, 1, 0), (12, 4, 0, 1), (14, 2, 2, 0)] and left == [(13, 4), (15, 1)] and gaps == []
+    assert sweep_ranges({0: (0, 3), 1: (2, 4), 2: (6, 0), 3: (1, 1)}) == [(1, 0, 0, 0, 2), (2, 0, 1, 0, 4), (2, 4, 0, 2, 1)]
+
+
 # --- op10
 
 
@@ -542,11 +605,79 @@ def test_secrets(spark, docs, rows):
         assert find_secrets(t).count() == t.count()
 
 
+def test_the_field_finds_secrets_that_no_pattern_matches(spark):
+    """Secrets of forms and behind words of their own, in texts that weren't fitted: nine in ten found, nine in ten right."""
+    from heronry.llm.secret_crf import find_secrets, fit
+
+    rng = random.Random(77)
+    vocab = ["".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(2, 9))) for _ in range(800)]
+
+    def prose(k):
+        extra = [f"{rng.randint(1, 10**6)}", f"20{rng.randint(10, 29)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"{rng.choice(vocab)}@{rng.choice(vocab)}.org", f"v{rng.randint(1, 9)}.{rng.randint(0, 30)}", f"https://{rng.choice(vocab)}.net/{rng.choice(vocab)}"]
+        return " ".join(rng.choice(extra) if rng.random() < 0.03 else rng.choice(vocab) for _ in range(k))
+
+    alnum = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    code = lambda n: "".join(rng.choice(alnum) for _ in range(n))
+    train = spark.createDataFrame([(i, prose(rng.randint(40, 200))) for i in range(1500)], "doc_id long, text string").repartition(4)
+    field = fit(train, windows=8000)
+    texts, want = [], {}
+    for i in range(400):
+        text = prose(rng.randint(30, 120))
+        if i % 2:
+            before, value = [("Signing key: ", code(32)), ("bearer ", code(40)), ("login=", code(6) + "7" + code(5)), ("sk_live_", code(24)), ("pwd is ", code(14)), ("license key ", "-".join(code(5).upper() for _ in range(4)))][i % 6]
+            head = text + " " + before
+            if before == "sk_live_":
+                head, value = text + " ", before + value
+            text, want[i] = head + value + "\n" + prose(40), (len(head), len(head) + len(value))
+        texts.append((i, text))
+        assert not secrets_brute(text)
+    out = find_secrets(spark.createDataFrame(texts, "doc_id long, text string"), field=field).collect()
+    found = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in out}
+    assert sum(r.n_crf for r in out) > 0 and all(r.n_crf == len(found[r.doc_id]) for r in out)
+    hit = sum(any(a < want[i][1] and b > want[i][0] for a, b in found[i]) for i in want)
+    exact = sum(want[i] in found[i] for i in want)
+    right = sum(any(a < want[i][1] and b > want[i][0] for i in [i] if i in want) for i, spans in found.items() for a, b in spans)
+    all_ = sum(map(len, found.values()))
+    print("recall", hit / len(want), "exact", exact / len(want), "precision", right / all_)
+    assert hit >= 0.9 * len(want) and exact >= 0.8 * len(want) and right >= 0.9 * all_
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    from heronry.llm.secret_crf import HASHED, NEAR, Field, likelihood
+
+    rng = np.random.default_rng(3)
+    n, length, width = 5, 6, 7
+    x, y = rng.random((n, length, width)) < 0.4, rng.integers(0, 3, (n, length))
+    near = rng.choice([0, 5, HASHED], (n, length, len(NEAR))).astype(np.int16)
+    field = Field(rng.normal(size=(width, 3)), rng.normal(size=(len(NEAR), HASHED + 1, 3)), rng.normal(size=(3, 3)))
+    loss, grads = likelihood(field, x, near, y, 0.01)
+    # the loss itself: sums over all paths
+    from itertools import product
+
+    def path(s, tags):
+        return sum(s[t, k] for t, k in enumerate(tags)) + sum(field.move[a, b] for a, b in zip(tags, tags[1:]))
+
+    total = 0.0
+    for i in range(n):
+        s = field.scores(x[i].T, near[i].T)
+        total += np.log(sum(np.exp(path(s, tags)) for tags in product(range(3), repeat=length))) - path(s, y[i].tolist())
+    assert loss == pytest.approx(total / n + 0.005 * sum((w**2).sum() for w in (field.emit, field.words, field.move)))
+    for w, g, spots in ((field.emit, grads[0], [(0, 0), (3, 2)]), (field.words, grads[1], [(0, 5, 1), (3, HASHED, 0), (1, 9, 2)]), (field.move, grads[2], [(0, 1), (2, 2)])):
+        for at in spots:
+            old, step = w[at], 1e-5
+            w[at] = old + step
+            up = likelihood(field, x, near, y, 0.01)[0]
+            w[at] = old - step
+            down = likelihood(field, x, near, y, 0.01)[0]
+            w[at] = old
+            assert g[at] == pytest.approx((up - down) / (2 * step), abs=1e-6)
+
+
 def test_viterbi_cut_at_sure_tokens_is_exact():
     from heronry.llm.secret_crf import Field
 
     rng = np.random.default_rng(0)
-    field = Field(np.zeros((1, 3)), rng.normal(0, 1, (3, 3)))
+    field = Field(np.zeros((1, 3)), np.zeros((4, 1, 3)), rng.normal(0, 1, (3, 3)))
     scores = rng.normal(0, 2, (400, 3))
     scores[rng.random(400) < 0.6, 0] += 15
     text = np.sort(rng.integers(0, 7, 400))
