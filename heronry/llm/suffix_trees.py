@@ -36,7 +36,7 @@ from heronry.llm.store import bucketed, small_batches, written
 #: Bytes of text in a pack; a longer document is a pack of its own.
 PACK = 4_000_000
 #: Words of the prefixes that are counted first.
-PREFIX = 8
+PREFIX = 12
 #: Words that a sort key holds beyond ``depth``.
 REACH = 2
 #: Suffixes of a group, at most; each takes about 64 bytes.
@@ -45,6 +45,8 @@ GROUP = 1_000_000
 BUCKET = 1_000_000
 #: Bits of the first counted prefix, and by how many an overfull one grows.
 FIRST_BITS, MORE_BITS = 10, 6
+#: Ranges of prefixes whose counts are added up apart.
+SLICES = 16
 
 _U = np.uint64
 _NO_ID = (1 << 63) - 1
@@ -273,11 +275,26 @@ def _count(depth: int, low_bits: int, bucket_bits: int, bits: int, only: np.ndar
             for n_bits, found in ((bits, short[~more]), (bits + MORE_BITS, lead[more] >> _U(64 - bits - MORE_BITS if len(deep) else 0))):
                 for p, n in zip(*(x.tolist() for x in np.unique(found, return_counts=True)), strict=True):
                     sums[p, n_bits] = sums.get((p, n_bits), 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in sums], pa.uint64()).view(pa.int64()), pa.array([b for _, b in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["prefix", "bits", "n"])
+        # one row for each of SLICES ranges of prefixes: a task's counts travel as lists
+        prefix, n_bits, n = (np.array(v, t) for v, t in (([p for p, _ in sums], _U), ([b for _, b in sums], np.uint8), (list(sums.values()), np.int64)))
+        part = (prefix << (_U(64) - n_bits.astype(_U))) // _U((1 << 64) // SLICES)
+        for k in np.unique(part).tolist():
+            mine = part == k
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([squeeze(v[mine])], pa.binary()) for v in (prefix, n_bits, n))], ["slice", "prefix", "bits", "n"])
 
     return run
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of all tasks' counts of the slices that this task has."""
+    sums: dict[tuple[int, int], int] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            for p, b, n in zip(stretch(row["prefix"], _U).tolist(), stretch(row["bits"], np.uint8).tolist(), stretch(row["n"], np.int64).tolist(), strict=True):
+                sums[p, b] = sums.get((p, b), 0) + n
+    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in sums], pa.uint64()).view(pa.int64()), pa.array([b for _, b in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["prefix", "bits", "n"])
+
+
 def cut_groups(cells: list[tuple[int, int, int]], group: int) -> tuple[np.ndarray, np.ndarray]:
     """Lower bounds of the groups (64 bits), and into how many parts each is dealt, from (prefix, bits, suffixes)."""
     bounds, parts, held = [], [], 0
@@ -467,7 +484,8 @@ def drop_repeats(docs: DataFrame, *, depth: int = 20, pack: int = PACK, group: i
     only, bits = None, FIRST_BITS
     deep = np.array([r.bucket for r in guess if 2 * r.n > size], np.int64).astype(_U)
     while only is None or len(only):
-        counts = open_.mapInArrow(_count(depth, low_bits, bucket_bits, bits, only, deep), "prefix long, bits int, n long").groupBy("prefix", "bits").agg(F.sum("n").alias("n")).collect()
+        counts = open_.mapInArrow(_count(depth, low_bits, bucket_bits, bits, only, deep), "slice int, prefix binary, bits binary, n binary")
+        counts = counts.repartition(SLICES, "slice").mapInArrow(_add_up, "prefix long, bits int, n long").collect()
         over = [r for r in counts if r.n > size and r.bits + MORE_BITS <= 64]
         cells += [(r.prefix % (1 << r.bits), r.bits, r.n) for r in counts if not (r.n > size and r.bits + MORE_BITS <= 64)]
         # those counted at once by more bits were twice as long already; shorter ones catch up with them
