@@ -41,9 +41,7 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
 lines AS (SELECT doc_id, host, t, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
 real AS (SELECT *, {_KEY.format(x="line")} AS k, len({_WORDS.format(x="line")}) AS w FROM lines),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM real WHERE w > 0 GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT t) AS n_all FROM d GROUP BY host),
-often AS (SELECT host, k, count(DISTINCT t) AS n FROM real WHERE w > 0 GROUP BY host, k),
-over_limit AS (SELECT host, k FROM often JOIN hosts USING (host) WHERE n >= 10 AND n >= 0.05 * n_all),
+over_limit AS (SELECT host, k FROM real WHERE w > 0 GROUP BY host, k HAVING count(DISTINCT doc_id) >= 10),
 common AS (SELECT doc_id, sum(w)::BIGINT AS n_common_words FROM real JOIN over_limit USING (host, k) WHERE w > 0 GROUP BY doc_id),
 wins AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS p, ws FROM d WHERE len(ws) >= 8),
 keyed AS (SELECT doc_id, p, array_to_string(ws[p:p + 7], ' ') AS g FROM wins),

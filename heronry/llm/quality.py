@@ -101,7 +101,7 @@ def _content(text_col: str) -> tuple:
     return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
-def _judged(docs: DataFrame, *, min_docs: int = 10, max_share: float = 0.05, min_left: float = 0.3, min_words: int = 20, max_repeat_percent: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def _judged(docs: DataFrame, *, min_docs: int = 10, min_left: float = 0.3, min_words: int = 20, max_repeat_percent: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """:func:`quality_table`, and ``bad``: the keys of a text's lines over the limit, or null."""
     small_batches(docs.sparkSession)
     k1, k2 = _content(text_col)
@@ -111,9 +111,8 @@ def _judged(docs: DataFrame, *, min_docs: int = 10, max_share: float = 0.05, min
     texts = stats.where(F.size("line_keys") > 0).select("host", "k1", "k2", "line_keys", "line_words").dropDuplicates(["host", "k1", "k2"])
     lines = texts.select("host", "k1", "k2", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).groupBy("host", "k1", "k2", F.col("l.line_keys").alias("line")).agg(F.sum("l.line_words").alias("w"))
     lines = written(lines, "quality-lines")
-    hosts = stats.select("host", "k1", "k2").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    over = often.join(hosts, "host").where(F.col("n") >= F.lit(max_share) * F.col("all")).select("host", "line")
+    held = stats.groupBy("host", "k1", "k2").agg((F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("docs"))
+    over = lines.join(held, ["host", "k1", "k2"]).groupBy("host", "line").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("host", "line")
     removed = lines.join(over, ["host", "line"]).groupBy("host", "k1", "k2").agg(F.sum("w").alias("n_common_words"), F.collect_set("line").alias("bad"))
     out = stats.drop("line_keys", "line_words").join(removed, ["host", "k1", "k2"], "left")
     common = F.coalesce(F.col("n_common_words"), F.lit(0)).cast("long")
@@ -127,13 +126,13 @@ def quality_table(docs: DataFrame, **rules) -> DataFrame:
     """One row per row of ``docs``: doc_id, host, k1, k2, the base counts, n_common_words, base_failed, kept.
 
     Line frequency: lines are normalised (blanks at the ends stripped, A-Z lowered), hashed, and counted by host over
-    documents with different texts, so that exact copies count once. A line is over the limit when it is in at least
-    ``min_docs`` documents and at least ``max_share`` of the documents of its host. Lines over the limit count as removed
-    (:func:`keep_good` removes them); a document of which fewer than ``min_words`` words or less than ``min_left`` of the words remain is rejected. One
-    that loses no line isn't.
+    distinct documents. A line is over the limit when ``min_docs`` documents of its host or more have it, whatever the
+    host's size. Lines over the limit count as removed (:func:`keep_good` removes them); a document of which fewer than
+    ``min_words`` words or less than ``min_left`` of the words remain is depleted and rejected. One that loses no line isn't.
 
-    Defined cases: a null text has no words and fails the base rules; the null host is a host; rows with equal or null
-    ids are judged each by its own text; an empty table gives an empty table.
+    Defined cases: a null text has no words and fails the base rules; the null host is a host; rows with equal ids and
+    texts are one document when documents are counted, and so are rows with a null id and equal texts; each row is
+    judged by its own text; an empty table gives an empty table; other columns are left out.
 
     Texts are read once, in Arrow batches; line hashes are written to the shared folder with the counts, and all joins
     after that move hashes only. Counts are sums that combine before each shuffle, so a line, a text or a host may have
@@ -172,7 +171,8 @@ def _cleaned(text_col: str):
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules: float) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_table` keeps, with their own columns and without lines over the limit.
 
-    Verdict and lines depend on host and text alone, so both are joined by hashes of these.
+    Verdict and lines depend on host and text alone, so both are joined by hashes of these. Defined cases are those of
+    :func:`quality_table`; other columns pass through.
     """
     verdicts = _judged(docs, id_col=id_col, text_col=text_col, host_col=host_col, **rules)
     changed = verdicts.where(~F.col("kept") | F.col("bad").isNotNull()).select(F.col("host").alias("__h"), F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("kept").alias("__kept"), F.col("bad").alias("__bad")).dropDuplicates(["__h", "__a", "__b"])
