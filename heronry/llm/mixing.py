@@ -76,4 +76,6 @@ def mix_sources(docs: DataFrame, *, exponent: float = 0.5, weights: Mapping[str,
     n = poisson_count(F.col("__rate"), seed, F.col(id_col))
     repeated = joined.withColumn("__n", n).where(F.col("__n") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col("__copy").cast("string")))
-    return repeated.withColumn("__order", order).orderBy("__order").select(*docs.columns, "__rate", "__copy", "__order")
+    # written first: a range sort reads its input twice, once for a sample
+    drawn = written(repeated.withColumn("__order", order).select(*docs.columns, "__rate", "__copy", "__order"), "drawn")
+    return drawn.orderBy("__order")
