@@ -38,8 +38,8 @@ def simhash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         first, where, tf = np.unique(sums.get(at, width), return_index=True, return_counts=True)
         lanes = np.stack((first, sums.get(at[where], width, 1)), axis=1)
         bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, BITS // 8), axis=1)
-        weight = (1 + np.log(tf)).astype(np.float32)
-        out[i] = np.packbits(2 * (weight @ bits.astype(np.float32)) > weight.sum())
+        weight = np.rint((1 + np.log(tf)) * 1024)  # whole numbers, so that sums are the same in any order
+        out[i] = np.packbits(2 * (weight @ bits.astype(np.float64)) > weight.sum())
     return out
 
 
@@ -59,11 +59,10 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
-def _compare(ids: list, texts: list[str], nexts: list[str], part: int, prints: np.ndarray | None = None) -> pa.RecordBatch:
-    raw = [t.encode() for t in texts]
-    own = simhash_texts(raw) if prints is None else prints
+def _compare(ids: pa.Array, texts: list[str], nexts: list[str], own: np.ndarray, after: np.ndarray, part: int) -> pa.RecordBatch:
+    """The rows of texts, given their fingerprints and those of the next ones."""
     new = [edited(t, x).encode() for t, x in zip(texts, nexts, strict=True)]
-    other, after = simhash_texts(new), simhash_texts([x.encode() for x in nexts])
+    other = simhash_texts(new)
     columns = [
         pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(x).hexdigest() for x in new]),
@@ -93,15 +92,15 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, end, data, offsets in B.pieces(batch.column("text")):
             raw, edges = data.tobytes(), offsets.tolist()
             texts = [raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            ids = batch.column("doc_id").slice(at, end - at)
+            ids, prints = batch.column("doc_id").slice(at, end - at), simhash(data, offsets)
             if last is None:
                 yield bare(1, ids.slice(0, 1), texts[0])
             else:
-                ids, texts = pa.concat_arrays([last[0], ids]), [last[1], *texts]
+                ids, texts, prints = pa.concat_arrays([last[0], ids]), [last[1], *texts], np.concatenate((last[2], prints))
             if len(texts) > 1:
-                done = _compare(ids.slice(0, len(texts) - 1), texts[:-1], texts[1:], part)
+                done = _compare(ids.slice(0, len(texts) - 1), texts[:-1], texts[1:], prints[:-1], prints[1:], part)
                 yield pa.RecordBatch.from_arrays([*done.columns, pa.array(np.zeros(len(done), np.int32)), pa.nulls(len(done), pa.string())], names)
-            last = (ids.slice(len(texts) - 1), texts[-1], None)
+            last = (ids.slice(len(texts) - 1), texts[-1], prints[-1:])
     if last is not None:
         yield bare(2, last[0], last[1])
 
@@ -110,25 +109,26 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(len(batch)):
             row = batch.slice(k, 1)
-            yield _compare(row.column("doc_id"), row.column("text").to_pylist(), row.column("following").to_pylist(), row.column("part")[0].as_py())
+            text, following = row.column("text").to_pylist(), row.column("following").to_pylist()
+            yield _compare(row.column("doc_id"), text, following, *(simhash_texts([x.encode() for x in t]) for t in (text, following)), row.column("part")[0].as_py())
 
 
 def fingerprint_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The next document is the one with the next smaller id; after the smallest the largest. Null ids come last and rows
-    of equal ids stand in the order of their texts. A single row is its own next. A null text counts as empty; an empty
+    of equal ids stand in the order of a hash of their texts. A single row is its own next. A null text counts as empty; an empty
     table gives an empty table; other columns are left out.
 
-    Documents are range-partitioned by id, so each task sees its documents in order and holds two at a time. What
+    Documents are range-partitioned by id and that hash, so an id that many rows share is split and each task sees its documents in order and holds two at a time. What
     crosses a border is the last text of one partition and the first of the next: a row of each for each partition.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    walked = narrow.repartitionByRange(parts, *order[:1]).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    walked = narrow.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
     walked = written(walked.mapInArrow(_walk, _COLUMNS.format(id=kind) + ", kind int, text string"), "walk")
     firsts = walked.where("kind = 1").select("part", F.col("text").alias("following"))
     # a row for each partition: its number, that of the next with rows, and the first one's for the last
