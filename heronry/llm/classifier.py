@@ -163,7 +163,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``; labels of held-out ids are never learned."""
+    """(doc_id, held_out, score, predicted) for each row of ``docs``; labels of held-out ids are never learned.
+
+    Defined cases: null and empty texts score what the bias alone gives; a null id isn't held out and teaches nothing;
+    rows with equal ids are scored each by its own text, and all of them are learned with the id's label; a score equal
+    to ``threshold`` predicts 1; without labels every score is 0.5; an empty table gives an empty table; other columns of
+    both tables are left out.
+    """
     model = fit(docs, labels.where(~held_out(id_col)), sample=sample, id_col=id_col, text_col=text_col)
     out = score(docs, model, id_col=id_col, text_col=text_col)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -325,28 +325,26 @@ def likelihood(field: Field, x: np.ndarray, near: np.ndarray, y: np.ndarray, dec
     """
     n, length, width = x.shape
     kind = field.emit.dtype
-    flat = x.reshape(-1, width).astype(kind)
+    flat = x.reshape(-1, width).astype(kind, copy=False)
     s = flat @ field.emit
     for k, table in enumerate(field.words):
         s += table[near[:, :, k].reshape(-1)]
     s = s.reshape(n, length, 3)
-    fwd, bwd = np.empty_like(s), np.zeros_like(s)
-    fwd[:, 0] = s[:, 0]
-    for t in range(1, length):
-        z = fwd[:, t - 1, :, None] + field.move
-        top = z.max(axis=1)
-        fwd[:, t] = top + np.log(np.exp(z - top[:, None]).sum(axis=1)) + s[:, t]
+    top = s.max(axis=2)
+    e, move = np.exp(s - top[..., None]), np.exp(field.move)
+    fwd, bwd, scale = np.empty_like(e), np.ones_like(e), np.empty_like(top)
+    for t in range(length):  # scaled to sum to 1, so that long chains don't underflow
+        now = e[:, t] * (fwd[:, t - 1] @ move) if t else e[:, 0]
+        scale[:, t] = now.sum(axis=1)
+        fwd[:, t] = now / scale[:, t, None]
     for t in range(length - 2, -1, -1):
-        z = field.move + (s[:, t + 1] + bwd[:, t + 1])[:, None]
-        top = z.max(axis=2)
-        bwd[:, t] = top + np.log(np.exp(z - top[..., None]).sum(axis=2))
-    top = fwd[:, -1].max(axis=1)
-    norm = top + np.log(np.exp(fwd[:, -1] - top[:, None]).sum(axis=1))
+        bwd[:, t] = (e[:, t + 1] * bwd[:, t + 1]) @ move.T / scale[:, t + 1, None]
     truth = np.eye(3, dtype=kind)[y]
     path = (s * truth).sum(axis=(1, 2)) + field.move[y[:, :-1], y[:, 1:]].sum(axis=1)
-    loss = float((norm - path).mean() + decay / 2 * sum((w * w).sum() for w in (field.emit, field.words, field.move)))
-    wrong = (np.exp(fwd + bwd - norm[:, None, None]) - truth).reshape(-1, 3)
-    edge = np.exp(fwd[:, :-1, :, None] + field.move + (s + bwd)[:, 1:, None] - norm[:, None, None, None]).sum(axis=(0, 1))
+    loss = float((np.log(scale).sum(axis=1) + top.sum(axis=1) - path).mean() + decay / 2 * sum((w * w).sum() for w in (field.emit, field.words, field.move)))
+    wrong = (fwd * bwd - truth).reshape(-1, 3)
+    after = e[:, 1:] * bwd[:, 1:] / scale[:, 1:, None]
+    edge = fwd[:, :-1].reshape(-1, 3).T @ after.reshape(-1, 3) * move
     seen = np.zeros((3, 3), kind)
     np.add.at(seen, (y[:, :-1].reshape(-1), y[:, 1:].reshape(-1)), 1)
     words = np.stack([np.stack([np.bincount(near[:, :, k].reshape(-1), wrong[:, c], HASHED + 1) for c in range(3)], axis=1) for k in range(len(NEAR))])
@@ -356,6 +354,7 @@ def likelihood(field: Field, x: np.ndarray, near: np.ndarray, y: np.ndarray, dec
 def train(x: np.ndarray, near: np.ndarray, y: np.ndarray, *, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Field:
     """Maximum likelihood with an L2 penalty, by Adam over all windows."""
     field = Field(np.zeros((x.shape[2], 3), np.float32), np.zeros((len(NEAR), HASHED + 1, 3), np.float32), np.zeros((3, 3), np.float32))
+    x = x.astype(np.float32)
     weights = (field.emit, field.words, field.move)
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     for step in range(1, rounds + 1):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -155,21 +156,20 @@ def test_mixing_counts_follow_the_inverse_distribution(spark, docs, rows):
 # --- op4
 
 
-def quality_brute(rows, min_docs=10, share=0.05):
+def quality_brute(rows, min_docs=10):
     key = lambda line: re.sub(f"^{BLANK}+|{BLANK}+$", "", line).translate({c: c + 32 for c in range(65, 91)})
-    held, all_ = {}, {}
-    for _, t, _, s, _ in rows:
-        all_.setdefault(s or "", set()).add(t or "")
+    held = {}
+    for i, t, _, s, _ in rows:
         for line in (t or "").split("\n"):
             if words(line):
-                held.setdefault((s or "", key(line)), set()).add(t)
+                held.setdefault((s or "", key(line)), set()).add(i)
     out = []
     for i, t, _, s, _ in rows:
         ws, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
         grams = [tuple(ws[k : k + 8]) for k in range(len(ws) - 7)]
-        twice = {g for g in grams if grams.count(g) > 1} if len(grams) < 400 else set()
+        twice = {g for g, n in Counter(grams).items() if n > 1}
         hit = {k + j for k, g in enumerate(grams) if g in twice for j in range(8)}
-        common = sum(len(words(x)) for x in lines if len(held[s or "", key(x)]) >= max(min_docs, share * len(all_[s or ""])))
+        common = sum(len(words(x)) for x in lines if len(held[s or "", key(x)]) >= min_docs)
         left = len(ws) - common
         base = len(ws) < 20 or 100 * len(hit) > 30 * len(ws)
         kept = not base and not (common and (left < 20 or left < 0.3 * len(ws)))
@@ -183,6 +183,19 @@ def test_quality_rules(spark, docs, rows):
     for least in (2, 10):
         out = quality_table(docs, min_docs=least).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
         assert sorted(map(tuple, out.collect())) == quality_brute(rows, least)
+    long = [(9001, " ".join(f"w{k % 900}" for k in range(2000)), "en", "s", 1), (9002, " ".join(f"v{k}" for k in range(60_000)) + " a b c d e f g h" * 2, "en", "s", 1)]
+    out = quality_table(spark.createDataFrame(long, SCHEMA)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert sorted(map(tuple, out.collect())) == quality_brute(long)
+    # a line in ten documents of a host, also where the host has many: those that hold little else are depleted
+    prose = lambda k: " ".join(f"u{k}x{j}" for j in range(30))
+    banner = " ".join(f"banner{j}" for j in range(40))
+    site = [(k, prose(k) if k >= 24 else banner + "\n" + prose(k) if k >= 12 else banner + "\nlast words", "en", "big", 1) for k in range(400)]
+    site += [(1000 + k, banner + "\nlast words", "en", "small", 1) for k in range(9)] + [(2000, banner + "\nlast words", "en", "small", 1)]
+    verdict = {r.doc_id: r for r in quality_table(spark.createDataFrame(site[:-1], SCHEMA)).collect()}
+    assert all(verdict[k].kept == (k >= 12) and verdict[k].n_common_words == (42 if k < 12 else 40 if k < 24 else 0) for k in range(400))
+    assert all(verdict[1000 + k].kept for k in range(9))
+    assert not any(r.kept for r in quality_table(spark.createDataFrame(site, SCHEMA)).where("host = 'small'").collect())
+    assert {r.doc_id: r.text for r in keep_good(spark.createDataFrame(site, SCHEMA)).collect() if r.doc_id < 40} == {k: prose(k) for k in range(12, 40)}
     kept = {r[0] for r in quality_brute(rows) if r[-1]}
     good = keep_good(docs)
     assert {r["doc_id"] for r in good.collect()} == kept and good.columns == docs.columns
