@@ -12,7 +12,7 @@ room left in each open sequence. A superstep
 5. updates the gaps. A gap that holds any piece left several times takes as many at once.
 
 Supersteps go on until no piece is left. All tables between them are written. The driver holds a few numbers for each
-range and superstep.
+range and superstep. Joins are by sort: both sides grow with the corpus, so neither is broadcast.
 """
 
 from __future__ import annotations
@@ -271,14 +271,14 @@ def place(pieces: DataFrame, size: int, parts: int) -> DataFrame | None:
         unplaced = swept.where("kind = 1").select("key", "size")
         if meets:
             met = swept.where("kind > 0").mapInArrow(_number(meets), "kind int, key long, size long, sequence long, nth int, match long")
-            across = met.where("kind = 1").select("key", "size", "match").join(met.where("kind = 2").select("sequence", "nth", "match"), "match")
+            across = met.where("kind = 1").select("key", "size", "match").join(met.where("kind = 2").select("sequence", "nth", "match").hint("merge"), "match")
             here = here.unionByName(across.select("key", "size", "sequence", F.lit(step).alias("step"), "nth"))
         here = written(here, "placed")
         if meets:
-            unplaced = unplaced.join(here.select("key"), "key", "left_anti")
+            unplaced = unplaced.join(here.select("key").hint("merge"), "key", "left_anti")
         left = written(unplaced, "left")
         taken = here.groupBy("sequence").agg(F.sum("size").alias("taken"))
-        gaps = gaps.join(taken, "sequence", "left").select("sequence", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room"))
+        gaps = gaps.join(taken.hint("merge"), "sequence", "left").select("sequence", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room"))
         done.append(here)
         n_left, longest, shortest = left.agg(F.count(F.lit(1)), F.max("size"), F.min("size")).first()
         if n_left:
@@ -312,4 +312,5 @@ def pack(docs: DataFrame, *, size: int = 2048, end_id: int = 0, tokenizer: str |
         return spark.createDataFrame([], f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     # a sequence holds ``size`` pieces at most
     offset = F.sum("size").over(Window.partitionBy("sequence").orderBy("step", "nth")) - F.col("size")
-    return cut.join(placed.select("key", F.col("sequence").alias("sequence_id"), offset.alias("offset")), "key").drop("key")
+    placed = placed.select("key", F.col("sequence").alias("sequence_id"), offset.alias("offset"))
+    return cut.join(placed.hint("merge"), "key").drop("key")
