@@ -696,3 +696,78 @@ def test_viterbi_cut_at_sure_tokens_is_exact():
     text = np.sort(rng.integers(0, 7, 400))
     want = np.concatenate([field.viterbi(scores[text == k]) for k in range(7)])
     assert (field.decode(scores, text) == want).all()
+
+
+# --- very long texts and hot keys, by values
+
+
+def test_a_text_of_several_steps_and_a_hot_text(spark):
+    """A text far beyond one array step, and one that a third of all rows hold: every operator against brute force."""
+    from heronry.llm.fingerprints import fingerprint_with_edits, simhash_texts
+    from heronry.llm.lines import drop_frequent_lines
+    from heronry.llm.near_simhash import simhash_components
+    from heronry.llm.packing import pack
+    from heronry.llm.quality import quality_table
+    from heronry.llm.suffix_trees import drop_repeats
+
+    rng = random.Random(12)
+    vocab = [f"{rng.choice('bcdfgh')}{k:x}" for k in range(5000)]
+    prose = lambda k: " ".join(rng.choice(vocab) for _ in range(k))
+    hot = prose(60) + "\nsame line\n" + prose(30)
+    shared = prose(200)
+    long = prose(40_000) + "\n" + shared + "\nsame line\n" + prose(20_000)
+    assert len(long) > B.STEP_BYTES
+    texts = [long, prose(100) + " " + shared, long[:-50], *[hot] * 20, *[prose(rng.randint(5, 80)) for _ in range(37)]]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert sorted(map(tuple, drop_repeats(docs).collect())) == windows_brute(rows)
+    out = quality_table(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert sorted(map(tuple, out.collect())) == quality_brute(rows)
+    out = drop_frequent_lines(docs).select("doc_id", "__n_lines", "__n_dropped", F.sha2("text", 256))
+    assert sorted(map(tuple, out.collect())) == lines_brute(rows)
+    out = simhash_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("f"), "component_id").collect()
+    assert {r[0]: (r[1], r[2]) for r in out} == components_brute(rows)
+    got = {r.doc_id: r for r in fingerprint_with_edits(docs).collect()}
+    assert all(got[i].fingerprint == simhash_texts([t.encode()])[0].tobytes().hex() and got[i].n_chars == len(t) for i, t, *_ in rows)
+    pieces = pack(docs).collect()
+    assert sum(r.doc_id == 0 for r in pieces) > 1 and {r.doc_id for r in pieces} == set(range(len(rows)))
+    assert len({r.ids_crc32 for r in pieces if 3 <= r.doc_id < 23}) == 1
+
+
+def test_rows_without_ids_or_with_the_same(spark):
+    """Values, not only counts, where ids are null or repeated and columns clash."""
+    from heronry.llm.fingerprints import fingerprint_with_edits
+    from heronry.llm.near_simhash import simhash_components
+    from heronry.llm.packing import pack
+    from heronry.llm.suffix_trees import drop_repeats
+
+    long = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, long, "en", "s", 3), (1, long, "en", "s", 3), (1, "c d", "en", "s", 3), (None, long, None, None, 3), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("row", "k1", "k2", "key", "part", "kind", "pack", "host", "fp", "bucket", "n", "size", "sequence", "lists"):
+        docs = docs.withColumn(name, F.lit("x"))
+    assert sorted((r.doc_id or 9, r.n_words, r.n_removed) for r in drop_repeats(docs).collect()) == [(1, 2, 0), (1, 30, 0), (1, 30, 0), (9, 0, 0), (9, 30, 30)]
+    groups = simhash_components(docs).collect()
+    assert sorted((r.doc_id or 9, r.component_id or 9) for r in groups) == [(1, 1), (1, 1), (1, 1), (9, 1), (9, 9)]
+    assert sorted((r.doc_id or 9, r.n_chars) for r in fingerprint_with_edits(docs).collect()) == [(1, 3), (1, len(long)), (1, len(long)), (9, 0), (9, len(long))]
+    assert sorted((r.doc_id or 9, r.piece) for r in pack(docs).collect()) == [(1, 0), (1, 0), (1, 0), (9, 0), (9, 0)]
+
+
+def test_classifier_scores_by_brute_force(spark):
+    """Scores of a model against sums over each text's words and character grams, ties at the threshold, equal ids, null texts."""
+    from heronry.llm import classifier as Q
+
+    rng = np.random.default_rng(4)
+    model = Q.Model(rng.normal(size=Q.BUCKETS + 2).astype(np.float32), 0.25)
+    texts = ["one", "Two words here", "", None, "ß é " * 9, "one"]
+    docs = spark.createDataFrame([(min(i, 4), t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = Q.score(docs, model).collect()
+    for t in texts:
+        pairs = [(int(b), int(d)) for buckets, owner in Q._features([t or ""]) for b, d in zip(buckets, owner)]
+        z = (sum(float(model.table[b]) for b, _ in pairs) / max(1, len(pairs))) + 0.25
+        assert any(r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6) for r in got), t
+    assert len(got) == len(texts) and len({round(r.score, 9) for r in got if r.doc_id in (2, 3)}) == 1
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    flat = Q.score_quality(docs, none, threshold=0.5).collect()
+    assert all(r.score == 0.5 and r.predicted == 1 for r in flat)  # a score at the threshold predicts 1
+    assert all(r.predicted == 0 for r in Q.score_quality(docs, none, threshold=0.7).collect())

@@ -84,3 +84,33 @@ def test_first_stage_removes_lines_over_the_limit(spark):
     for i, r in out.items():
         own = rows[i][1].split("\n")
         assert r.text == "\n".join([own[0], own[1], own[3]]) and r.n_chars == len(r.text)
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls in any column, repeated rows and ids, ties, and columns whose names are used inside."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, b, None, None, None), (None, c, "en", "s", 1), (None, None, None, None, None), (5, "", "en", "s", 0), (6, a, "en", "t", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    names = ("host", "k1", "k2", "fp", "key", "n", "bad", "rate", "size", "sequence", "part", "bucket", "row", "line", "a", "b")
+    for name in names:
+        docs = docs.withColumn(name, F.lit("x"))
+    stage = dict(corpus_pipeline.STAGES)
+    seen = lambda d: sorted((r.doc_id or 0, r.text or "") for r in d.collect())
+    all_ = [(0, ""), (0, c), (1, a), (1, a), (1, b), (5, ""), (6, a)]
+    want = {"quality rules": [(0, c), (1, a), (1, a), (1, b), (6, a)], "line dedup": all_, "near dedup": [(0, c), (1, a), (1, b), (5, "")]}
+    for name, rows_ in want.items():
+        out = stage[name](spark, docs, "")
+        assert seen(out) == rows_, name
+        assert out.columns == docs.columns and all(r[n] == "x" for r in out.collect() for n in names), name
+    mixed = stage["mixing"](spark, docs, "").collect()
+    assert {(r.doc_id or 0, r.text or "") for r in mixed} <= set(all_) and all(r[n] == "x" for r in mixed for n in names)
+    counts = {}
+    for r in mixed:
+        if (r.doc_id, r.source) == (1, "s"):
+            counts[r.text] = counts.get(r.text, 0) + 1
+    assert all(n % 2 == 0 for n in counts.values())  # rows of one id and source are drawn alike
+    packed = stage["packing"](spark, docs, "").collect()
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sorted(((r.doc_id or 0), r.length) for r in packed) == sorted((i, len(tok.encode(t, add_special_tokens=False).ids) + 1) for i, t in all_)
