@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numeric import clean, ratio
+from heronry.shared import written
 
 
 # --- pairs and groups
@@ -47,18 +48,16 @@ def compare_pairs(pairs: DataFrame, series: DataFrame, trains: DataFrame, *, poi
 def components(nodes: DataFrame, edges: DataFrame, *, most_rounds: int = 100) -> DataFrame:
     """(num, root): the smallest node that links reach. Smallest labels spread along edges and jump to their label's label.
 
-    Each round is checkpointed to the session's shared folder and ends when no label falls.
+    Each round is written to the session's shared folder and ends when no label falls.
     """
-    spark = nodes.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}")
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = nodes.select("num", F.col("num").alias("root"))
     for _ in range(most_rounds):
         beside = both.join(labels.select(F.col("num").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
         step = labels.join(beside, labels.num == beside.a, "left").select("num", F.least("root", F.coalesce("r", "root")).alias("root"), F.col("root").alias("was"))
         jump = step.alias("s").join(step.select(F.col("num").alias("k"), F.col("root").alias("rr")), F.col("s.root") == F.col("k"), "left")
-        step = jump.select("num", F.least("root", F.coalesce("rr", "root")).alias("root"), "was").checkpoint()
+        step = jump.select("num", F.least("root", F.coalesce("rr", "root")).alias("root"), "was")
+        step = written(step, "labels")
         labels = step.select("num", "root")
         if step.where("root < was").isEmpty():
             return labels

@@ -27,9 +27,7 @@ def path_lengths(sample: np.ndarray, points: np.ndarray, rng: np.random.Generato
     out = np.zeros(len(points))
     todo = [(sample, np.arange(len(points)), 0)]
     while todo:
-        s, at, depth = todo.pop()
-        if not len(at):
-            continue
+        s, at, depth = todo.pop()  # also where no point is left: draws are the same for any block of points
         lo, hi = s.min(axis=0), s.max(axis=0)
         free = np.flatnonzero(hi > lo)
         if depth >= limit or len(s) <= 1 or not len(free):
@@ -42,26 +40,38 @@ def path_lengths(sample: np.ndarray, points: np.ndarray, rng: np.random.Generato
     return out
 
 
-def isolation_forest(series: DataFrame, layouts: DataFrame, *, trees: int = 200, sample: int = 256, group: int = 25, seed: int = 7) -> DataFrame:
+def features_used(max_features: int | float, w: int) -> int:
+    """How many of w features a tree sees: an integer is that many (1 is one), a fraction that share of them (1.0 is all)."""
+    n = max_features if isinstance(max_features, int) else int(max_features * w)
+    if not 1 <= n <= w:
+        raise ValueError(f"max_features {max_features!r} of {w} features")
+    return n
+
+
+def isolation_forest(series: DataFrame, layouts: DataFrame, *, trees: int = 200, sample: int = 256, max_features: int | float = 1.0, group: int = 25, block: int = 4096, seed: int = 7) -> DataFrame:
     """(series_id, idx, score): 2^(-mean path / expected path) of windows, trained on those inside [0, te).
 
-    A window's score stands at its middle; the first and last score fill the edges.
+    A window's score stands at its middle; the first and last score fill the edges. A task grows ``group`` trees on the
+    training part and follows a block of windows through them.
     """
     tasks = layouts.join(pack(series), "series_id").where("te >= w").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(-(-trees // group) - 1))))
-    narrow = tasks.select("series_id", "w", "te", "xs", "g").repartition("series_id", "g")
+    tasks = tasks.withColumn("first", F.explode(F.expr(f"sequence(0, size(xs) - int(w), {block})")))
+    m = F.col("w").cast("int")
+    narrow = tasks.select("series_id", "w", "g", "first", F.expr("slice(xs, 1, int(te))").alias("train"), F.slice("xs", F.col("first") + 1, F.least(F.lit(block) + m - 1, F.size("xs") - F.col("first"))).alias("part")).repartition("series_id", "g", "first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                x, w = np.asarray(r.xs, float), int(r.w)
-                v = np.lib.stride_tricks.sliding_window_view(x, w)
-                train = v[: int(r.te) - w + 1]
+                w = int(r.w)
+                train, v = (np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), w) for x in (r.train, r.part))
                 total = np.zeros(len(v))
-                size = min(sample, len(train))
+                size, used = min(sample, len(train)), features_used(max_features, w)
                 for t in range(r.g * group, min((r.g + 1) * group, trees)):
                     rng = np.random.default_rng([seed, int(r.series_id) if str(r.series_id).lstrip("-").isdigit() and int(r.series_id) >= 0 else 0, t])
-                    total += path_lengths(train[rng.choice(len(train), size, replace=False)], v, rng, int(np.ceil(np.log2(max(size, 2)))))
-                yield pd.DataFrame({"series_id": r.series_id, "start": np.arange(len(v)), "total": total, "size": size})
+                    chosen = train[rng.choice(len(train), size, replace=False)]
+                    seen = np.sort(rng.choice(w, used, replace=False)) if used < w else slice(None)
+                    total += path_lengths(chosen[:, seen], v[:, seen], rng, int(np.ceil(np.log2(max(size, 2)))))
+                yield pd.DataFrame({"series_id": r.series_id, "start": np.arange(r.first, r.first + len(v)), "total": total, "size": size})
 
     kind = series.schema["series_id"].dataType.simpleString()
     sums = narrow.mapInPandas(run, f"series_id {kind}, start long, total double, size long").groupBy("series_id", "start").agg(F.sum("total").alias("t"), F.max("size").alias("m"))

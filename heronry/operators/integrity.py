@@ -10,62 +10,94 @@ from pyspark.sql import functions as F
 from heronry.functions.numeric import close, ratio
 
 # Wording that marks advice and projection, in Korean and English.
-ADVISORY = r"(?iu)매수|매도|추천|투자하|\bbuy\b|\bsell\b|\bshould invest\b|\brecommend"
-PROJECTED = r"(?iu)전망|예상|추정|\bforecast|\bproject(?:ed|ion)|\bexpected to\b|\bestimate"
+ADVISORY_WORDING = (
+    r"매수|매도|사세요|파세요|사야|팔아야|비중\s*확대|비중\s*축소",
+    r"\b(buy|sell|hold|overweight|underweight)\b",
+    r"목표\s*주가|target\s*price",
+    r"추천(합니다|한다|드립니다)?",
+)
+PROJECTION_WORDING = (
+    r"할\s*것(이다|으로|입니다)|예상|전망|기대|겠(다|습니다)|될\s*것",
+    r"\b(will|expect|forecast|project|likely|outlook)\b",
+)
+ADVISORY = "(?iuU)" + "|".join(ADVISORY_WORDING)
+PROJECTED = "(?iuU)" + "|".join(PROJECTION_WORDING)
 VERIFIABLE = ("measured", "derived", "sourced")
 
 
 # --- retrieval
 
 
-def occurrences(text: Column, term: Column) -> Column:
-    """How often a term stands in a text, without overlap; 0 for an empty term."""
-    return F.when(F.length(term) > 0, F.floor((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term))).otherwise(F.lit(0)).cast("long")
+#: Questions that one pass over the documents answers.
+ASKED = 500
 
 
-def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, block: int = ASKED) -> DataFrame:
     """(query_id, doc_id, score, rn): documents by how often the query's words occur in them; a word asked twice counts twice.
 
-    ``docs``: (doc_id, text); ``queries``: (query_id, query), a list that the driver holds, as it is what a user asks.
-    Substrings count, case doesn't, zero scores are dropped, equal scores go by id. Each text is searched once for
-    all words of all queries; a batch of texts only passes on its best k rows of each query, which hold the best k.
+    ``docs``: (doc_id, text); ``queries``: (query_id, query). Substrings count, without overlap, case doesn't, zero scores
+    are dropped, equal scores go by id. Queries are dealt in blocks, and each block is one pass over the documents. As
+    no word holds a blank, an occurrence lies in one word of the text: each different word of a batch is searched once
+    for all words asked. A batch only passes on its best k rows of each query, which hold the best k.
     """
+    terms = queries.select("query_id", F.explode(F.split(F.lower(F.trim("query")), r"\s+")).alias("term")).where("term <> ''").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("m"))
+    blocks = 1 + queries.count() // block
+    out = None
+    for at in range(blocks):
+        asked = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).collect()  # about `block` queries
+        part = _best_of_block(docs, queries, [(t.query_id, t.term, t.m) for t in asked], k)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long")).where(F.col("rn") <= k)
+
+
+def _best_of_block(docs: DataFrame, queries: DataFrame, asked: list[tuple], k: int) -> DataFrame:
+    """(query_id, doc_id, score): the best k documents of each batch for each query of a block of (query_id, term, times)."""
     import numpy as np
     import pandas as pd
 
-    terms = queries.select("query_id", F.explode(F.split(F.lower(F.trim("query")), r"\s+")).alias("term")).where("term <> ''").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("m")).collect()
-    words, ids = sorted({t.term for t in terms}), sorted({t.query_id for t in terms})
-    weight = np.zeros((len(words), len(ids)), np.int64)
+    words, ids = sorted({t for _, t, _ in asked}), sorted({q for q, _, _ in asked})
     at_word, at_id = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
-    for t in terms:
-        weight[at_word[t.term], at_id[t.query_id]] = t.m
+    by_word: list[list[tuple[int, int]]] = [[] for _ in words]  # the queries of each word
+    for q, t, m in asked:
+        by_word[at_word[t]].append((at_id[q], m))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         if not words:
             return
-        tree = ahocorasick.Automaton()  # all words in one pass over a text
+        tree = ahocorasick.Automaton()
         for i, w in enumerate(words):
             tree.add_word(w, (i, len(w)))
         tree.make_automaton()
+
+        def weights(word: str) -> np.ndarray:
+            """What the word adds to each query's score."""
+            out = np.zeros(len(ids), np.float32)
+            ends: dict[int, int] = {}
+            for end, (i, n) in tree.iter(word):
+                if end - n >= ends.get(i, -1):  # without overlap, from the left
+                    ends[i] = end
+                    for q, m in by_word[i]:
+                        out[q] += m
+            return out
+
         for batch in batches:
             batch = batch.sort_values("doc_id", kind="stable")
-            counts = np.zeros((len(batch), len(words)), np.int64)
-            for row, text in zip(counts, batch["text"].fillna(""), strict=True):
-                ends: dict[int, int] = {}
-                for end, (i, n) in tree.iter(text):
-                    if end - n >= ends.get(i, -1):  # without overlap, from the left
-                        ends[i] = end
-                        row[i] += 1
-            scores = counts @ weight
+            seen: dict[str, int] = {}
+            texts = [np.array([seen.setdefault(w, len(seen)) for w in text.split()], np.int64) for text in batch["text"].fillna("")]
+            table = np.stack([weights(w) for w in seen]) if seen else np.zeros((1, len(ids)), np.float32)
+            scores = np.zeros((len(batch), len(ids)), np.int64)
+            for row, at in zip(scores, texts, strict=True):
+                if len(at):
+                    which, times = np.unique(at, return_counts=True)
+                    row[:] = np.rint(times.astype(np.float64) @ table[which])
             order = np.argsort(-scores, axis=0, kind="stable")[:k]
             rows = pd.DataFrame({"query_id": np.repeat(np.array(ids, dtype=object)[None], len(order), axis=0).ravel(), "doc_id": batch["doc_id"].to_numpy()[order].ravel(), "score": np.take_along_axis(scores, order, axis=0).ravel()})
             yield rows[rows["score"] > 0]
 
     kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", F.lower("text").alias("text")).mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score long")
-    return found.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long")).where(F.col("rn") <= k)
+    return docs.select("doc_id", F.lower("text").alias("text")).mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score long")
 
 
 def retrieval_scores(gold: DataFrame) -> DataFrame:
@@ -113,9 +145,9 @@ def claim_audit(claims: DataFrame, *, advisory_allowed: bool = False) -> DataFra
         F.array(
             F.when(verifiable & (F.coalesce(F.size("support"), F.lit(0)) <= 0), "unsupported_fact"),
             F.when((F.col("kind") == "projected") & ~F.coalesce("labeled", F.lit(False)), "unlabeled_projection"),
-            F.when((F.col("kind") == "advisory") & F.lit(not advisory_allowed), "advisory_not_allowed"),
+            F.when((F.col("kind") == "advisory") & F.lit(not advisory_allowed), "advisory_output"),
             F.when((said == "advisory") & (F.col("kind") != "advisory"), "misclassified_advisory").when((said == "projected") & verifiable, "misclassified_projection"),
-            F.when(verifiable & F.col("as_of").isNull(), "missing_as_of"),
+            F.when(verifiable & (F.coalesce(F.col("as_of").cast("string"), F.lit("")) == ""), "missing_as_of"),
         )
     )
     return claims.select("id", F.explode(issues).alias("issue"))

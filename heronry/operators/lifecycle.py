@@ -24,12 +24,16 @@ def resolve(requests: DataFrame, versions: DataFrame, fallback: str) -> DataFram
 def skill_search(skills: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, skill, score, rn): usable skills by how many different query words their text holds; none with 0.
 
-    Skills are a catalogue: few, and broadcast behind Spark's size check.
+    Words hold no blanks, so a word stands in a text if it is a part of one of the text's words: the parts of all words,
+    of the lengths that are asked for, meet the words asked for in an equi-join.
     """
-    words = queries.select("query_id", F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")).alias("ws"))
-    usable = skills.where(F.col("status").isin("active", "deprecated")).select("skill", F.lower("text").alias("t"))
-    hit = words.join(usable, F.exists("ws", lambda w: F.contains(F.col("t"), w)))
-    scored = hit.select("query_id", "skill", F.size(F.filter("ws", lambda w: F.contains(F.col("t"), w))).alias("score"))
+    split = lambda text: F.explode(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")))
+    asked = queries.select("query_id", split(F.col("query")).alias("part"))
+    held = skills.where(F.col("status").isin("active", "deprecated")).select("skill", split(F.col("text")).alias("word"))
+    lengths = asked.select(F.length("part").alias("n")).distinct()  # as many as words have lengths
+    parts = held.select("word").distinct().join(F.broadcast(lengths), F.col("n") <= F.length("word")).select("word", F.explode(F.expr("transform(sequence(1, length(word) - n + 1), p -> substring(word, p, n))")).alias("part")).distinct()
+    met = asked.join(parts, "part").join(held, "word").select("query_id", "skill", "part").distinct()
+    scored = met.groupBy("query_id", "skill").agg(F.count(F.lit(1)).cast("int").alias("score"))
     return scored.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "skill")).cast("long")).where(F.col("rn") <= k)
 
 

@@ -134,21 +134,26 @@ def reconstruct(points: DataFrame, *, where: str = "test") -> DataFrame:
 
 
 def context_reconstruct(points: DataFrame) -> DataFrame:
-    """(series_id, j): training window most like, z-normalised, the w points before the region; what follows it fills the region, levelled."""
-    w6 = Window.partitionBy("series_id").orderBy("idx")
-    m = 6
-    vec = F.collect_list("x").over(w6.rowsBetween(0, m - 1))
-    wins = points.withColumn("v", vec).where(F.size("v") == m).withColumn("mu", F.aggregate("v", F.lit(0.0), lambda p, q: p + q) / m)
+    """(series_id, j): training window most like, z-normalised, the w points before the region; what follows it fills the region, levelled.
+
+    w is each series' own. Series without w points before the region, or without a training window of w points and what
+    follows it, have no rows.
+    """
+    packed = points.groupBy("series_id", "a", "b", "te", "n", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda p: p["x"]).alias("xs"))
+    starts = packed.where("a >= w").withColumn("j", F.explode(F.expr("sequence(0L, n - w)")))
+    m = F.col("w").cast("int")
+    wins = starts.select("series_id", "a", "b", "te", "n", "w", "j", F.expr("slice(xs, int(j) + 1, int(w))").alias("v")).withColumn("mu", F.aggregate("v", F.lit(0.0), lambda p, q: p + q) / m)
     wins = wins.withColumn("sd", F.sqrt(F.aggregate("v", F.lit(0.0), lambda p, q: p + (q - F.col("mu")) * (q - F.col("mu"))) / m)).withColumn("flat", F.array_max("v") == F.array_min("v"))
     z = F.transform("v", lambda q: F.when(F.col("flat"), F.lit(0.0)).otherwise((q - F.col("mu")) / F.col("sd")))
-    wins = wins.select("series_id", F.col("idx").alias("j"), z.alias("z"), "flat", "a", "b", "te", "n")
-    query = wins.where(F.col("j") == F.col("a") - m).select("series_id", F.col("z").alias("zq"), F.col("flat").alias("fq"))
-    ref = wins.where((F.col("j") + m + F.col("b") - F.col("a") <= F.col("te")))
-    d = ref.join(query, "series_id").withColumn("d", F.when(F.col("flat") & F.col("fq"), 0.0).when(F.col("flat") | F.col("fq"), F.lit(float(m))).otherwise(F.aggregate(F.zip_with("z", "zq", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda p, q: p + q)))
+    wins = wins.select("series_id", "j", z.alias("z"), "flat", "a", "b", "te", "n", "w")
+    query = wins.where(F.col("j") == F.col("a") - F.col("w")).select("series_id", F.col("z").alias("zq"), F.col("flat").alias("fq"))
+    ref = wins.where((F.col("j") + F.col("w") + F.col("b") - F.col("a") <= F.col("te")))
+    d = ref.join(query, "series_id").withColumn("d", F.when(F.col("flat") & F.col("fq"), 0.0).when(F.col("flat") | F.col("fq"), m.cast("double")).otherwise(F.aggregate(F.zip_with("z", "zq", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda p, q: p + q)))
     best = d.groupBy("series_id").agg(F.min_by("j", F.struct(F.round("d", 9), "j")).alias("j"))
-    wanted = points.join(best, "series_id").withColumn("_from", F.when(inside(), F.col("j") + m + F.col("idx") - F.col("a")))
+    w = F.col("w")
+    wanted = points.join(best, "series_id").withColumn("_from", F.when(inside(), F.col("j") + w + F.col("idx") - F.col("a")))
     values = points.select("series_id", F.col("idx").alias("_from"), F.col("x").alias("_v"))
     level = points.where(F.col("idx") == F.col("a") - 1).select("series_id", F.col("x").alias("_end"))
-    there = points.select("series_id", (F.col("idx") - m + 1).alias("j"), F.col("x").alias("_there"))
+    there = points.select("series_id", (F.col("idx") - w + 1).alias("j"), F.col("x").alias("_there"))
     out = wanted.join(values, ["series_id", "_from"], "left").join(level, "series_id").join(there, ["series_id", "j"])
     return out.withColumn("masked", F.when(inside(), F.col("_v") + F.col("_end") - F.col("_there")).otherwise(F.col("x"))).drop("_from", "_v", "_end", "_there", "j")

@@ -4,9 +4,10 @@ The distance of a window is the least Euclidean distance to any window of the re
 "z") or of plain ones (kind "raw"). Under "z" two constant windows are 0 apart, and one constant window is sqrt(m) away
 from any other; a window is constant when its largest value equals its smallest.
 
-Series are packed, queries are dealt out in blocks of windows, and each block is one array job against its series'
-reference: one long series spreads over as many tasks as it has blocks. Distances are sums of squared differences, not
-dot products, so that exact matches are exactly 0.
+Series are packed and dealt out in pairs of a block of query windows and a block of reference windows, each with its own
+two slices only: one long series spreads over as many tasks as it has pairs, and a task never holds a whole series. The
+least over the reference blocks is a grouped minimum. Within a pair one matrix product finds the candidates of each
+window; their distances are then sums of squared differences, so that exact matches are exactly 0 and ties are true ones.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from pyspark.sql import functions as F
 
 from heronry.operators.series import pack
 
-#: Query windows of a block, and reference windows compared at a time.
+#: Windows of a block.
 BLOCK = 2048
-STEP = 4096
 
 
 def _windows(x: np.ndarray, m: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -35,30 +35,40 @@ def _windows(x: np.ndarray, m: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.where(constant[:, None], 0.0, (v - v.mean(axis=1)[:, None]) / sd[:, None]), constant
 
 
-def nearest(query: np.ndarray, reference: np.ndarray, m: int, *, kind: str = "z", first: int = 0, exclusion: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def nearest(query: np.ndarray, reference: np.ndarray, m: int, *, kind: str = "z", first: int = 0, first_ref: int = 0, exclusion: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distance of each window of ``query`` to its nearest one in ``reference``, and where that one starts (the first of equals).
 
-    With ``exclusion`` e, windows whose starts (``first`` added on the query's side) are e or less apart are no neighbours.
+    ``first`` and ``first_ref`` are where the slices begin in their series. With ``exclusion`` e, windows whose starts are
+    e or less apart are no neighbours. A window without a neighbour has an infinite distance.
     """
     a, ca = _windows(query, m, kind)
     b, cb = _windows(reference, m, kind)
+    if not len(a) or not len(b):
+        return np.full(len(a), np.inf), np.full(len(a), -1)
+    middle = b.mean() if kind == "raw" else 0.0  # products of smaller numbers lose less
+    p, q = a - middle, b - middle
+    size_a, size_b = (p * p).sum(axis=1), (q * q).sum(axis=1)
+    d = size_a[:, None] + size_b[None] - 2 * (p @ q.T)
+    slack = 1e-9 * (size_a + size_b.max())[:, None] + 1e-300
+    if kind == "z":
+        d[ca[:, None] != cb[None]] = m
+        d[ca[:, None] & cb[None]] = 0.0
+    if exclusion is not None:
+        apart = np.abs(np.arange(first, first + len(a))[:, None] - np.arange(first_ref, first_ref + len(b))[None])
+        d[apart <= exclusion] = np.inf
+    least = d.min(axis=1)
+    rows, cols = np.nonzero((d <= least[:, None] + slack) & np.isfinite(d))
+    exact = np.zeros(len(rows))
+    for k in range(m):
+        diff = a[rows, k] - b[cols, k]
+        exact += diff * diff
+    if kind == "z":
+        exact[ca[rows] != cb[cols]] = m
+        exact[ca[rows] & cb[cols]] = 0.0
     best, where = np.full(len(a), np.inf), np.full(len(a), -1)
-    for lo in range(0, len(b), STEP):
-        part, cp = b[lo : lo + STEP], cb[lo : lo + STEP]
-        d = np.zeros((len(a), len(part)))
-        for k in range(m):
-            diff = a[:, k, None] - part[None, :, k]
-            d += diff * diff
-        if kind == "z":
-            d[ca[:, None] != cp[None]] = m
-            d[ca[:, None] & cp[None]] = 0.0
-        if exclusion is not None:
-            apart = np.abs(np.arange(first, first + len(a))[:, None] - np.arange(lo, lo + len(part))[None])
-            d[apart <= exclusion] = np.inf
-        j = d.argmin(axis=1)
-        v = d[np.arange(len(a)), j]
-        less = v < best
-        best[less], where[less] = v[less], j[less] + lo
+    order = np.lexsort((cols, exact, rows))
+    lead = order[np.append(True, rows[order][1:] != rows[order][:-1])[: len(order)]]
+    best[rows[lead]], where[rows[lead]] = exact[lead], cols[lead] + first_ref
     return np.sqrt(best), where
 
 
@@ -78,18 +88,24 @@ def matrix_profile(series: DataFrame, layouts: DataFrame, *, mode: str = "ab_joi
         blocks = blocks.withColumnRenamed("start", "q0").join(wanted, ["series_id", "q0"])
     else:
         blocks = blocks.withColumnRenamed("start", "q0").withColumn("lo", F.col("q0")).withColumn("hi", F.expr(f"least(q0 + {block - 1}, size(xs) - int(w))"))
-    narrow = blocks.select("series_id", "w", "lo", "hi", F.slice("xs", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("w").cast("int")).alias("q"), (F.expr("slice(xs, 1, int(te))") if mode == "ab_join" else F.col("xs")).alias("ref"))
+    last = F.expr("int(te)") if mode == "ab_join" else F.size("xs")  # where the reference ends
+    pairs = blocks.withColumn("ref_end", last).where(F.col("ref_end") >= F.col("w")).withColumn("r0", F.explode(F.expr(f"sequence(0, ref_end - int(w), {block})")))
+    m = F.col("w").cast("int")
+    narrow = pairs.select("series_id", "w", "lo", "r0", F.slice("xs", F.col("lo") + 1, F.col("hi") - F.col("lo") + m).alias("q"), F.slice("xs", F.col("r0") + 1, F.least(F.lit(block) + m - 1, F.col("ref_end") - F.col("r0"))).alias("ref"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for r in batch.itertuples():
                 m = int(r.w)
-                d, j = nearest(np.asarray(r.q, float), np.asarray(r.ref, float), m, kind=kind, first=int(r.lo), exclusion=-(-m // 4) if mode == "self_join" else None)
-                yield pd.DataFrame({"series_id": r.series_id, "start": np.arange(r.lo, r.lo + len(d)), "dist": d, "nearest": j})
+                d, j = nearest(np.asarray(r.q, float), np.asarray(r.ref, float), m, kind=kind, first=int(r.lo), first_ref=int(r.r0), exclusion=-(-m // 4) if mode == "self_join" else None)
+                out.append((np.full(len(d), r.series_id), np.arange(r.lo, r.lo + len(d)), d, j))
+            if out:
+                yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("series_id", "start", "dist", "nearest"), zip(*out, strict=True), strict=True)})
 
     kind_of = series.schema["series_id"].dataType.simpleString()
-    out = narrow.mapInPandas(run, f"series_id {kind_of}, start long, dist double, nearest long")
-    out = out.where(F.col("dist") < float("inf"))
+    out = narrow.mapInPandas(run, f"series_id {kind_of}, start long, dist double, nearest long").where(F.col("dist") < float("inf"))
+    out = out.groupBy("series_id", "start").agg(F.min(F.struct("dist", "nearest")).alias("m")).select("series_id", "start", "m.dist", "m.nearest")
     return out.join(layouts, "series_id").where(starts).select(*out.columns) if starts is not None else out
 
 
@@ -106,12 +122,16 @@ def touched(a: Column, b: Column) -> Column:
     return (F.col("start") > a - F.col("w")) & (F.col("start") < b)
 
 
-def incremental(base: DataFrame, changed: DataFrame, layouts: DataFrame, *, kind: str = "z") -> DataFrame:
-    """The profile of ``changed``, which differs from the series of ``base`` in [a, b) of the layout only.
+def incremental(base: DataFrame, original: DataFrame, changed: DataFrame, layouts: DataFrame, *, kind: str = "z") -> DataFrame:
+    """The profile of ``changed``, which differs from ``original``, the series of ``base``, in [a, b) of the layout only.
 
-    Windows that meet [a, b) are computed; all others are taken from ``base``.
+    Windows that meet [a, b) are computed; all others are taken from ``base``. A change outside [a, b) is an error.
     """
-    new = matrix_profile(changed, layouts, kind=kind, starts=touched(F.col("a"), F.col("b")))
+    spans = layouts.select("series_id", "a", "b")
+    both = changed.select("series_id", "idx", "x").join(original.select("series_id", "idx", F.col("x").alias("_x")), ["series_id", "idx"], "left").join(spans, "series_id")
+    outside = ((F.col("idx") < F.col("a")) | (F.col("idx") >= F.col("b"))) & ~F.col("x").eqNullSafe(F.col("_x"))
+    held = both.select("series_id", "idx", F.when(outside, F.raise_error(F.format_string("series %s is changed outside its region", F.col("series_id").cast("string"))).cast("double")).otherwise(F.col("x")).alias("x"))
+    new = matrix_profile(held, layouts, kind=kind, starts=touched(F.col("a"), F.col("b")))
     old = base.join(layouts.select("series_id", "w", "a", "b"), "series_id").where(~touched(F.col("a"), F.col("b"))).select(*base.columns)
     return old.unionByName(new)
 

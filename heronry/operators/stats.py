@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numeric import average_rank, portable_random, ratio
+from heronry.operators.tables import ranked
 
 
 def spearman_pairs(values: DataFrame, *, rater: str = "rater", item: str = "item", value: str = "value") -> DataFrame:
@@ -79,12 +80,12 @@ def draws(spark, units: DataFrame, replicates: int, *, seed: int = 7, unit: str
 
     One index stream for everything that is resampled: join facts to it once. A unit's place is its rank by id.
     """
-    numbered = units.select(unit).distinct().withColumn("_k", F.row_number().over(Window.orderBy(unit)) - 1)
+    numbered = ranked(units.select(unit).distinct(), [unit], "_k")
     n = numbered.count()
     if not n:
         return units.select(F.lit(0).cast("long").alias("b"), unit).limit(0)
     picks = spark.range(replicates * n).select((F.col("id") / n).cast("long").alias("b"), F.pmod(F.col("id"), F.lit(n)).alias("_d"))
-    picks = picks.withColumn("_k", F.floor(portable_random(F.lit(seed), F.col("b"), F.col("_d")) * n).cast("int"))
+    picks = picks.withColumn("_k", F.floor(portable_random(F.lit(seed), F.col("b"), F.col("_d")) * n).cast("long"))
     return picks.join(numbered, "_k").select("b", unit)
 
 
@@ -147,7 +148,3 @@ def nnls3(facts: DataFrame, x: tuple[str, str, str], y: str) -> tuple[float, flo
             if (w >= 0).all() and loss < best[0] - 1e-12:
                 best = (loss, tuple(w.tolist()))
     return best[1]
-
-
-def share(hits: Column, n: Column) -> Column:
-    return ratio(hits, n)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numeric import portable_random
+from heronry.shared import written
 
 
 def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,3 +56,17 @@ def pivot_strict(df: DataFrame, row: str, column: str, value: str, names: Sequen
     """Wide form; several values for a cell are an error."""
     cell = F.when(F.count(value) > 1, F.raise_error(F.lit("several values in a cell")).cast("double")).otherwise(F.max(value))
     return df.groupBy(row).pivot(column, list(names)).agg(cell)
+
+
+def ranked(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """The rows with their rank (from 0) in the whole order, which should have no ties.
+
+    Rows are range-sorted; a row's rank is its rank in its range plus the rows of earlier ranges. No task sees more than
+    a range, and what is summed over one window is one row a range.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranges = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_range")) - F.col("_n")).alias("_before"))
+    local = ranges.withColumn(name, (F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).cast("long"))
+    return local.join(before, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")

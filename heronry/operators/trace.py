@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numeric import ratio
+from heronry.operators.tables import ranked
+from heronry.shared import written
 
 MODEL_KIND, CONTROL_KINDS = "model", ("control", "selection")
 
@@ -65,20 +67,24 @@ def system_summary(spans: DataFrame) -> DataFrame:
     return spans.where(F.col("component").isNotNull()).groupBy("component").agg(F.max_by("component_version", "seq").alias("version"), F.count(F.lit(1)).alias("calls"), F.sum(F.when(root, F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).otherwise(0)).alias("root_tokens"))
 
 
-def ancestors(spans: DataFrame, *, depth: int = 64) -> DataFrame:
-    """(trace_id, span_id, ancestor): every span with itself and all above it. Trees are acyclic; ``depth`` guards against one that isn't.
+def ancestors(spans: DataFrame, *, most_rounds: int = 40) -> DataFrame:
+    """(trace_id, span_id, ancestor): every span with itself and all above it, however deep. A cycle is an error.
 
-    Distances double each round (a span's ancestors' ancestors), so a chain of length d takes log2 d joins.
+    Distances double each round (a span's ancestors' ancestors), so a chain of length d takes log2 d joins. Each round is
+    written to the shared folder, so plans don't grow.
     """
     up = spans.where(F.col("parent_id").isNotNull()).select("trace_id", "span_id", F.col("parent_id").alias("ancestor"))
-    closure, step, reach = up, up, 1
-    while reach < depth:
-        hop = step.alias("s").join(step.alias("t"), (F.col("s.trace_id") == F.col("t.trace_id")) & (F.col("s.ancestor") == F.col("t.span_id"))).select("s.trace_id", "s.span_id", "t.ancestor")
-        further = closure.alias("s").join(step.alias("t"), (F.col("s.trace_id") == F.col("t.trace_id")) & (F.col("s.ancestor") == F.col("t.span_id"))).select("s.trace_id", "s.span_id", "t.ancestor")
-        closure, step, reach = closure.union(further), hop, reach * 2
-        if step.isEmpty():
-            break
-    return closure.distinct().union(spans.select("trace_id", "span_id", F.col("span_id").alias("ancestor")))
+    closure = step = written(up, "ancestors")
+    met = (F.col("s.trace_id") == F.col("t.trace_id")) & (F.col("s.ancestor") == F.col("t.span_id"))
+    for _ in range(most_rounds):  # 2 ** 40 levels: deeper than any tree
+        hop = written(step.alias("s").join(step.alias("t"), met).select("s.trace_id", "s.span_id", "t.ancestor"), "ancestors")
+        closure = written(closure.union(closure.alias("s").join(step.alias("t"), met).select("s.trace_id", "s.span_id", "t.ancestor")).distinct(), "ancestors")
+        if not closure.where("span_id = ancestor").isEmpty():
+            raise ValueError("a span is its own ancestor")
+        if hop.isEmpty():
+            return closure.union(spans.select("trace_id", "span_id", F.col("span_id").alias("ancestor")))
+        step = hop
+    raise ValueError("spans are nested too deeply")
 
 
 def usage_rollup(spans: DataFrame) -> DataFrame:
@@ -182,7 +188,7 @@ def quorum(panel: DataFrame, present: DataFrame) -> DataFrame:
     at all halts; too few of a role degrade.
     """
     have = present.groupBy("case_id", "role").agg(F.count(F.lit(1)).alias("have"))
-    j = present.select("case_id").distinct().join(F.broadcast(panel)).join(have, ["case_id", "role"], "left").fillna({"have": 0})
+    j = present.select("case_id").distinct().crossJoin(panel).join(have, ["case_id", "role"], "left").fillna({"have": 0})
     none = F.col("have") == 0
     out = j.groupBy("case_id").agg(F.max(none & F.col("required") & F.col("halts")).alias("h1"), F.max(none & ~F.col("required") & (F.col("need") > 0)).alias("h2"), F.max(F.col("have") < F.col("need")).alias("short"))
     return out.select("case_id", F.when(F.col("h1") | F.col("h2"), "halted").when(F.col("short"), "degraded").otherwise("full").alias("decision"))
@@ -213,9 +219,8 @@ def distill(examples: DataFrame, *, holdout: float = 0.2) -> DataFrame:
     """Verified examples, the first of each key, with ``part``: the first fifth (one at least) is for evaluation."""
     key = F.substring(F.sha2(F.to_json(F.struct("input", "output")), 256), 1, 16)
     first = examples.where("verified").withColumn("key", key).withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("seq"))).where("_r = 1").drop("_r")
-    w = Window.partitionBy(F.lit(1))
-    rank, n = F.row_number().over(w.orderBy("seq")), F.count(F.lit(1)).over(w)
-    return first.withColumn("part", F.when(rank <= F.greatest(F.lit(1), F.floor(n * F.lit(holdout))), "eval").otherwise("train"))
+    n = first.count()
+    return ranked(first, ["seq"], "_rank").withColumn("part", F.when(F.col("_rank") < max(1, int(n * holdout)), "eval").otherwise("train")).drop("_rank")
 
 
 def distill_entry(calls: DataFrame, *, least_calls: int = 100, least_variety: int = 10) -> DataFrame:

@@ -81,9 +81,10 @@ SELECT q.series_id, q.start, round(min({DIST}), 6) AS dist FROM zw2 q JOIN zw2 f
 def incremental_mp(spark: SparkSession, d: str) -> DataFrame:
     """The profile after a region is zeroed: windows that meet it anew, the rest from the profile before."""
     reg = A.regions(spark, d)
-    base = P.matrix_profile(A.series(spark, d), reg)
+    series = A.series(spark, d)
+    base = P.matrix_profile(series, reg)
     changed = M.mask(A.points(spark, d), "zero").select("series_id", "idx", F.col("masked").alias("x"))
-    return P.incremental(base, changed, reg).select("series_id", "start", r6(F.col("dist")).alias("dist"))
+    return P.incremental(base, series, changed, reg).select("series_id", "start", r6(F.col("dist")).alias("dist"))
 
 
 @query(f"""{DETECTION}, sv AS (SELECT dt.*, z.zmax FROM dt JOIN (SELECT series_id, arg_min(idx, {{'a': -round(abs((x - mu) / sd), 9), 'b': idx}}) AS zmax FROM (SELECT s.series_id, s.idx, s.x, avg(x) FILTER (WHERE idx < te) OVER w AS mu, nullif(stddev_pop(x) FILTER (WHERE idx < te) OVER w, 0) AS sd, te FROM s JOIN l USING (series_id) WINDOW w AS (PARTITION BY s.series_id)) WHERE idx >= te GROUP BY 1) z USING (series_id))
@@ -245,11 +246,12 @@ def recording_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("a", "b", "reason", r6(F.col("corr")).alias("corr"), "same")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09), bi AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS num, a AS root FROM bi UNION SELECT bi.b, r.root FROM r JOIN bi ON bi.a = r.num)
-SELECT num, min(root) AS root, count(*) OVER (PARTITION BY min(root)) AS group_size FROM r GROUP BY num""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem), bi AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+lab(num, root) USING KEY (num) AS (SELECT DISTINCT a, a FROM bi UNION (SELECT bi.b, min(r.root) FROM lab r JOIN bi ON bi.a = r.num JOIN recurring.lab c ON c.num = bi.b WHERE r.root < c.root GROUP BY bi.b))
+SELECT num, root, count(*) OVER (PARTITION BY root) AS group_size FROM lab""")
 def content_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Connected groups of parts and suppliers over large discounted lines."""
-    e = table(spark, d, "lineitem").where("l_quantity >= 49 AND l_discount >= 0.09").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
+    """Connected groups of parts and suppliers over all lines."""
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
     nodes = e.select(F.col("a").alias("num")).union(e.select("b")).distinct()
     return E.group_labels(E.components(nodes, e)).select("num", "root", "group_size")
 

@@ -23,14 +23,14 @@ def _effects(spark: SparkSession, d: str) -> DataFrame:
     return l.groupBy(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("op"), F.concat(F.lit("am"), F.month("l_shipdate") % 4).alias("am")).agg(F.avg(F.col("l_discount") - 0.05).alias("v"))
 
 
-@query(f"""WITH {A.S_SQL}, c AS (SELECT series_id, list(x ORDER BY idx) FILTER (WHERE idx < 11) AS morf, list(x ORDER BY idx) FILTER (WHERE idx >= 11 AND idx < 22) AS lerf, stddev_pop(x) AS sc FROM s GROUP BY 1),
-e AS (SELECT series_id, sc, list_transform(range(0, 11), lambda i: pow((11 - i) / 11.0::DOUBLE, 3.0)) AS w, list_transform(range(1, 12), lambda i: lerf[i] - morf[i]) AS df FROM c WHERE len(morf) = 11 AND len(lerf) = 11)
+@query(f"""WITH {A.S_SQL}, z AS (SELECT *, count(*) OVER (PARTITION BY series_id) // 2 AS h FROM s), c AS (SELECT series_id, any_value(h) AS h, list(x ORDER BY idx) FILTER (WHERE idx < h) AS morf, list(x ORDER BY idx) FILTER (WHERE idx >= h AND idx < 2 * h) AS lerf, stddev_pop(x) AS sc FROM z GROUP BY 1),
+e AS (SELECT series_id, sc, list_transform(range(0, h), lambda i: pow((h - i) / h::DOUBLE, 3.0)) AS w, list_transform(range(1, h + 1), lambda i: lerf[i] - morf[i]) AS df FROM c WHERE h >= 2)
 SELECT series_id, round((list_inner_product(df, w) / list_sum(w)) / (sc * (list_sum(w) - 1.0) / list_sum(w)), 6) AS dds FROM e""")
 def dds(spark: SparkSession, d: str) -> DataFrame:
-    """Each series' first eleven points as one curve, the next eleven as the other."""
-    packed = A.series(spark, d).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("p"), F.stddev_pop("x").alias("sc"))
-    xs = F.transform("p", lambda q: q["x"])
-    out = packed.select("series_id", F.slice(xs, 1, 11).alias("m"), F.slice(xs, 12, 11).alias("l"), "sc").where("size(m) = 11 AND size(l) = 11")
+    """Each series' first half as one curve, its second half as the other (of an odd number the last point has none)."""
+    packed = A.series(spark, d).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("p"), F.stddev_pop("x").alias("sc")).where("size(p) >= 4")
+    xs, half = F.transform("p", lambda q: q["x"]), F.floor(F.size("p") / 2).cast("int")
+    out = packed.select("series_id", F.slice(xs, 1, half).alias("m"), F.slice(xs, half + 1, half).alias("l"), "sc")
     return out.select("series_id", r6(X.dds(F.col("m"), F.col("l"), F.col("sc"))).alias("dds"))
 
 
@@ -102,12 +102,16 @@ def fisher_mean(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("k").agg(r6(N.fisher_mean(F.col("r"))).alias("r"), F.count("r").alias("n"))
 
 
-BOOT = 200
-DRAW_SQL = f"""un AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS k FROM (SELECT DISTINCT unit FROM dd)), nn AS (SELECT count(*) AS n FROM un),
-dr AS (SELECT (i // n)::BIGINT AS b, i % n AS j, n FROM nn, range(0, {BOOT} * 100000) r(i) WHERE i < {BOOT} * n), pk AS (SELECT b, floor(('0x' || substr(md5('7:' || b || ':' || j), 1, 12))::BIGINT / 281474976710656.0 * n)::BIGINT AS k FROM dr), dw AS (SELECT b, unit FROM pk JOIN un USING (k))"""
+BOOT = 2000
 
 
-@query(f"""WITH {D_SQL}, {DRAW_SQL}, st AS (SELECT b, op, am, avg(v) AS m FROM dw JOIN dd USING (unit) GROUP BY ALL)
+def draw_sql(name: str, units: str, replicates: int, seed: int = 7) -> str:
+    """Draws (b, unit) of the different units of a table, as :func:`heronry.operators.stats.draws` makes them."""
+    return f"""{name}_u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS k FROM (SELECT DISTINCT unit FROM {units})), {name}_n AS (SELECT count(*) AS n FROM {name}_u),
+{name}_k AS (SELECT b, floor(('0x' || substr(md5('{seed}:' || b || ':' || j), 1, 12))::BIGINT / 281474976710656.0 * n)::BIGINT AS k FROM (SELECT b, unnest(range(0, n)) AS j, n FROM {name}_n, (SELECT unnest(range(0, {replicates})) AS b))), {name} AS (SELECT b, unit FROM {name}_k JOIN {name}_u USING (k))"""
+
+
+@query(f"""WITH {D_SQL}, {draw_sql('dw', 'dd', BOOT)}, st AS (SELECT b, op, am, avg(v) AS m FROM dw JOIN dd USING (unit) GROUP BY ALL)
 SELECT op, am, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, count(m) AS n_rep FROM st GROUP BY ALL""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Percentile intervals of mean effects, units resampled once for all cells."""
@@ -115,13 +119,13 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return T.bootstrap(e, T.draws(spark, e, BOOT), ["op", "am"], F.avg("v")).select("op", "am", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n_rep")
 
 
-@query(f"""WITH {D_SQL}, {DRAW_SQL}, st AS (SELECT b, avg(CASE WHEN op = 'A' THEN v END) - avg(CASE WHEN op = 'R' THEN v END) AS m FROM dw JOIN dd USING (unit) GROUP BY b)
+@query(f"""WITH {D_SQL}, ga AS (SELECT * FROM dd WHERE op = 'A'), gr AS (SELECT * FROM dd WHERE op = 'R'), {draw_sql('da', 'ga', BOOT)}, {draw_sql('dr', 'gr', BOOT, 8)}, sa AS (SELECT b, avg(v) AS m FROM da JOIN ga USING (unit) GROUP BY b), sr AS (SELECT b, avg(v) AS m FROM dr JOIN gr USING (unit) GROUP BY b), st AS (SELECT sa.m - sr.m AS m FROM sa JOIN sr USING (b))
 SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, count(m) AS n_rep FROM st""")
 def stratified_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Interval of the difference between two groups under the same resampling."""
+    """Interval of the difference between two groups, each resampled within itself."""
     e = _effects(spark, d)
-    part = lambda o: F.avg(F.when(F.col("op") == o, F.col("v")))
-    reps = T.draws(spark, e, BOOT).join(e, "unit").groupBy("b").agg((part("A") - part("R")).alias("m"))
+    mean = lambda op, seed, name: T.draws(spark, e.where(F.col("op") == op), BOOT, seed=seed).join(e.where(F.col("op") == op), "unit").groupBy("b").agg(F.avg("v").alias(name))
+    reps = mean("A", 7, "a").join(mean("R", 8, "r"), "b").select((F.col("a") - F.col("r")).alias("m"))
     return reps.agg(r6(F.percentile("m", F.lit(0.025))).alias("lo"), r6(F.percentile("m", F.lit(0.975))).alias("hi"), F.count("m").alias("n_rep"))
 
 
@@ -196,9 +200,9 @@ def feature_ablation(spark: SparkSession, d: str) -> DataFrame:
     return X.ablation(f0, masked).select("series_id", "seg", r6(F.col("value")).alias("value"))
 
 
-@query()
+@query(f"WITH {A.S_SQL}, {A.L_SQL}, {SEG_SQL} SELECT sg.series_id, seg::BIGINT AS seg, round(sum(x), 4) AS value FROM sg JOIN s ON s.series_id = sg.series_id AND idx >= a AND idx < b GROUP BY ALL")
 def kernel_shap(spark: SparkSession, d: str) -> DataFrame:
-    """Shapley values of a sum over segments, which are the segments' own values: no SQL, tested for that identity."""
+    """Shapley values of a sum over segments, which are the segments' own values."""
     segs = S.segments(A.layouts(spark, d))
     val = segs.join(A.series(spark, d), "series_id").where("idx >= a AND idx < b").groupBy("series_id", "seg").agg(F.sum("x").alias("v"))
     packed = val.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "v"))), lambda p: p["v"]).alias("v"), F.count(F.lit(1)).alias("k"))

@@ -44,13 +44,13 @@ def checked_join(spark: SparkSession, d: str) -> DataFrame:
     return B.join_checked(n, table(spark, d, "region").withColumnRenamed("r_regionkey", "k"), ["k"], validate="m:1").select("n_nationkey", "n_name", "r_name")
 
 
-@query("WITH k AS (SELECT n_nationkey AS k, s.s AS seg FROM nation, (SELECT DISTINCT c_mktsegment AS s FROM customer) s), f AS (SELECT c_nationkey AS k, c_mktsegment AS seg, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY ALL) SELECT k, seg, n FROM k LEFT JOIN f USING (k, seg)")
+@query("WITH k AS (SELECT n_nationkey AS k, s.s AS seg FROM nation, (SELECT DISTINCT c_mktsegment AS s FROM customer UNION SELECT 'NONE') s), f AS (SELECT c_nationkey AS k, c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY ALL) SELECT k, seg, n FROM k LEFT JOIN f USING (k, seg)")
 def aligned_grid(spark: SparkSession, d: str) -> DataFrame:
-    """A fixed grid of keys, NULL where there is nothing. The grid is nations times segments."""
+    """A fixed grid of keys, NULL where there is nothing. The grid is nations times segments, and one segment that nobody has."""
     c = table(spark, d, "customer")
-    segs = c.select(F.col("c_mktsegment").alias("seg")).distinct().agg(F.collect_list("seg").alias("s"))
-    keys = table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).join(F.broadcast(segs)).select("k", F.explode("s").alias("seg"))
-    return B.align(c.where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("seg")).agg(F.count(F.lit(1)).alias("n")), keys)
+    segs = c.select(F.col("c_mktsegment").alias("seg")).union(spark.createDataFrame([("NONE",)], "seg string")).distinct()
+    keys = table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).crossJoin(segs)  # a grid is what is asked for
+    return B.align(c.groupBy(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("seg")).agg(F.count(F.lit(1)).alias("n")), keys)
 
 
 @query("WITH h AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY ('0x' || substr(md5('7:' || p_partkey), 1, 12))::BIGINT, p_partkey) AS r FROM part) SELECT p_brand, p_partkey FROM h WHERE r = 1")

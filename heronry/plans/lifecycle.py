@@ -14,7 +14,7 @@ from heronry.plans.registry import query, table
 @query("WITH v AS (SELECT p_brand AS c, max(p_type) AS version FROM part WHERE p_size % 5 <> 0 AND p_brand <> 'Brand#11' GROUP BY 1), r AS (SELECT p_partkey AS request_id, p_brand AS c FROM part), f AS (SELECT version AS fv FROM v WHERE c = 'Brand#12') SELECT request_id, CASE WHEN version IS NULL THEN 'Brand#12' ELSE c END AS component, coalesce(version, fv) AS version, version IS NULL AS fell_back FROM r LEFT JOIN v USING (c), f")
 def registry_resolve(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    v = p.where("p_brand <> 'Brand#11'").select(F.col("p_brand").alias("component"), F.col("p_type").alias("version"), (F.col("p_size") % 5 == 0).alias("deprecated"))
+    v = p.select(F.col("p_brand").alias("component"), F.col("p_type").alias("version"), ((F.col("p_size") % 5 == 0) | (F.col("p_brand") == "Brand#11")).alias("deprecated"))
     return L.resolve(p.select(F.col("p_partkey").alias("request_id"), F.col("p_brand").alias("component")), v, "Brand#12")
 
 
@@ -50,11 +50,11 @@ _WS = "list_filter(list_distinct(regexp_extract_all(lower({x}), '[0-9a-z가-힣]
 
 @query(f"WITH c AS (SELECT conv_id * 100 + turn AS id, conv_id, turn, text FROM conversations WHERE turn > 0), k AS (SELECT c.id, b.text IS NOT NULL AS known, coalesce(len(list_intersect({_WS.format(x='c.text')}, {_WS.format(x='b.text')})) / nullif(len({_WS.format(x='c.text')}), 0)::DOUBLE >= 0.2, false) AS ent FROM c LEFT JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1 AND b.turn % 3 <> 1) SELECT id, CASE WHEN NOT known THEN 'unsupported' WHEN NOT ent THEN 'not_entailed' ELSE 'ok' END AS verdict FROM k")
 def grounding(spark: SparkSession, d: str) -> DataFrame:
-    """Turns that cite the one before; every third of those is unknown."""
+    """Turns that cite the one before; every third cites one that there isn't."""
     c = table(spark, d, "conversations")
     key = F.concat_ws(":", "conv_id", "turn")
-    claims = c.where("turn > 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", F.array(F.concat_ws(":", "conv_id", F.col("turn") - 1)).alias("ids"))
-    return L.grounding(claims, c.where("turn % 3 <> 1").select(key.alias("source_id"), "text"), least=0.2)
+    claims = c.where("turn > 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", F.array(F.concat_ws(":", "conv_id", F.when(F.col("turn") % 3 == 2, -1).otherwise(F.col("turn") - 1))).alias("ids"))
+    return L.grounding(claims, c.select(key.alias("source_id"), "text"), least=0.2)
 
 
 @query("WITH s AS (SELECT o_orderkey AS id, CASE WHEN o_totalprice <= 1000 THEN 'price' WHEN o_orderstatus = 'P' THEN 'status' END AS cheap, o_custkey % 2 = 0 AS odd FROM orders) SELECT id, coalesce(cheap, CASE WHEN odd THEN 'judge' ELSE 'ok' END) AS verdict FROM s")

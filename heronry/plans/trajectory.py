@@ -181,16 +181,18 @@ def lexical_entailment(spark: SparkSession, d: str) -> DataFrame:
     return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.size(I.word_set(F.col("text"))).cast("long").alias("n_words"), I.entails(F.col("text"), F.col("before"), 0.1).alias("entailed"))
 
 
-CL_SQL = """cl AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_partkey % 6 WHEN 0 THEN 'Analysts recommend it' WHEN 1 THEN '매출 전망 상향' WHEN 2 THEN 'expected to grow' WHEN 3 THEN '지금 매수 하라' ELSE 'revenue rose' END AS text,
-CASE l_suppkey % 5 WHEN 0 THEN 'measured' WHEN 1 THEN 'derived' WHEN 2 THEN 'projected' WHEN 3 THEN 'advisory' ELSE 'opinion' END AS kind, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 1 END AS n_support, l_tax > 0.04 AS labeled, CASE WHEN l_discount > 0.02 THEN '2024-01-01' END AS as_of FROM lineitem),
-sd AS (SELECT *, CASE WHEN regexp_matches(text, '매수|매도|추천|투자하|\\bbuy\\b|\\bsell\\b|\\bshould invest\\b|\\brecommend', 'i') THEN 'advisory' WHEN regexp_matches(text, '전망|예상|추정|\\bforecast|\\bproject(ed|ion)|\\bexpected to\\b|\\bestimate', 'i') THEN 'projected' END AS said FROM cl)"""
+CL_SQL = f"""cl AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_partkey % 9 WHEN 0 THEN 'Analysts recommend it' WHEN 1 THEN '매출 전망 상향' WHEN 2 THEN 'expected to grow' WHEN 3 THEN '지금 매수 하라' WHEN 4 THEN 'Sales will grow' WHEN 5 THEN 'Hold the stock' WHEN 6 THEN '목표 주가 상향' WHEN 7 THEN '개선을 기대' ELSE 'revenue rose' END AS text,
+CASE l_suppkey % 5 WHEN 0 THEN 'measured' WHEN 1 THEN 'derived' WHEN 2 THEN 'projected' WHEN 3 THEN 'advisory' ELSE 'opinion' END AS kind, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 1 END AS n_support, l_tax > 0.04 AS labeled, CASE WHEN l_discount > 0.04 THEN '2024-01-01' WHEN l_discount > 0.02 THEN '' END AS as_of FROM lineitem),
+sd AS (SELECT *, CASE WHEN regexp_matches(text, '{"|".join(I.ADVISORY_WORDING)}', 'i') THEN 'advisory' WHEN regexp_matches(text, '{"|".join(I.PROJECTION_WORDING)}', 'i') THEN 'projected' END AS said FROM cl)"""
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
-    k, s = F.col("l_partkey") % 6, F.col("l_suppkey") % 5
-    text = F.when(k == 0, "Analysts recommend it").when(k == 1, "매출 전망 상향").when(k == 2, "expected to grow").when(k == 3, "지금 매수 하라").otherwise("revenue rose")
+    k, s = F.col("l_partkey") % 9, F.col("l_suppkey") % 5
+    text = F.lit("revenue rose")
+    for n, said in enumerate(("Analysts recommend it", "매출 전망 상향", "expected to grow", "지금 매수 하라", "Sales will grow", "Hold the stock", "목표 주가 상향", "개선을 기대")):
+        text = F.when(k == n, said).otherwise(text)
     kind = F.when(s == 0, "measured").when(s == 1, "derived").when(s == 2, "projected").when(s == 3, "advisory").otherwise("opinion")
-    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("text"), kind.alias("kind"), F.when(F.col("l_linenumber") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("support"), (F.col("l_tax") > 0.04).alias("labeled"), F.when(F.col("l_discount") > 0.02, "2024-01-01").alias("as_of"))
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("text"), kind.alias("kind"), F.when(F.col("l_linenumber") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("support"), (F.col("l_tax") > 0.04).alias("labeled"), F.when(F.col("l_discount") > 0.04, "2024-01-01").when(F.col("l_discount") > 0.02, "").alias("as_of"))
 
 
 @query(f"WITH {CL_SQL} SELECT said, kind, count(*) AS n FROM sd GROUP BY ALL")
@@ -198,8 +200,8 @@ def claim_classify(spark: SparkSession, d: str) -> DataFrame:
     return _claims(spark, d).groupBy(I.claim_kind(F.col("text")).alias("said"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {CL_SQL}, i AS (SELECT id, unnest(list_filter([CASE WHEN kind IN ('measured', 'derived', 'sourced') AND n_support = 0 THEN 'unsupported_fact' END, CASE WHEN kind = 'projected' AND NOT labeled THEN 'unlabeled_projection' END, CASE WHEN kind = 'advisory' THEN 'advisory_not_allowed' END,
-CASE WHEN said = 'advisory' AND kind <> 'advisory' THEN 'misclassified_advisory' WHEN said = 'projected' AND kind IN ('measured', 'derived', 'sourced') THEN 'misclassified_projection' END, CASE WHEN kind IN ('measured', 'derived', 'sourced') AND as_of IS NULL THEN 'missing_as_of' END], lambda y: y IS NOT NULL)) AS issue FROM sd) SELECT id, issue FROM i""")
+@query(f"""WITH {CL_SQL}, i AS (SELECT id, unnest(list_filter([CASE WHEN kind IN ('measured', 'derived', 'sourced') AND n_support = 0 THEN 'unsupported_fact' END, CASE WHEN kind = 'projected' AND NOT labeled THEN 'unlabeled_projection' END, CASE WHEN kind = 'advisory' THEN 'advisory_output' END,
+CASE WHEN said = 'advisory' AND kind <> 'advisory' THEN 'misclassified_advisory' WHEN said = 'projected' AND kind IN ('measured', 'derived', 'sourced') THEN 'misclassified_projection' END, CASE WHEN kind IN ('measured', 'derived', 'sourced') AND coalesce(as_of, '') = '' THEN 'missing_as_of' END], lambda y: y IS NOT NULL)) AS issue FROM sd) SELECT id, issue FROM i""")
 def claim_audit(spark: SparkSession, d: str) -> DataFrame:
     return I.claim_audit(_claims(spark, d))
 

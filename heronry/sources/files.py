@@ -23,14 +23,22 @@ def parse_filename(name: Column) -> Column:
     return F.when(name.rlike(FILENAME), F.struct(got(1).cast("int").alias("num"), n.alias("name"), got(4).cast("long").alias("train_end"), got(5).cast("long").alias("begin"), got(6).cast("long").alias("end"), variant.alias("variant"), F.regexp_replace(n, "^(DISTORTED|NOISE)", "").alias("base_name")))
 
 
-def read_series(spark: SparkSession, paths: str | Sequence[str], *, strict: bool = True) -> DataFrame:
+def _named(raw: DataFrame) -> Column:
+    """The name of a row's file: what a folder ``filename=...`` says, as :func:`write_series` leaves it, or the path's last part."""
+    return F.col("filename").cast("string") if "filename" in raw.columns else base_name(F.col("_metadata.file_path"))
+
+
+def read_series(spark: SparkSession, paths: str | Sequence[str], *, strict: bool = True, limit: int | None = None) -> DataFrame:
     """(path, filename, idx, x): values separated by any white space, one file a series.
 
     An empty file or a token that is no number is an error when it is read; without ``strict`` such files are left out
-    (see :func:`inventory` for which).
+    (see :func:`inventory` for which). ``limit`` keeps the first files by name.
     """
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    tokens = raw.select("path", base_name(F.col("path")).alias("filename"), F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "").alias("t"))
+    raw = spark.read.text(paths, wholetext=True)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), _named(raw).alias("filename"), "value")
+    if limit is not None:
+        raw = raw.join(raw.select("filename").orderBy("filename").limit(limit), "filename", "left_semi")
+    tokens = raw.select("path", "filename", F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "").alias("t"))
     if strict:
         checked = F.when(F.size("t") > 0, F.col("t")).otherwise(F.raise_error(F.format_string("empty series file %s", F.col("path"))))
         return tokens.select("path", "filename", F.posexplode(checked).alias("idx", "v")).select("path", "filename", F.col("idx").cast("long").alias("idx"), F.col("v").cast("double").alias("x"))
@@ -45,7 +53,7 @@ def inventory(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     lines = F.size(F.filter(F.split(text, "\n"), lambda v: F.trim(F.replace(v, F.lit("\r"), F.lit(""))) != ""))
     return raw.select(
         F.col("path"),
-        base_name(F.col("path")).alias("filename"),
+        _named(raw).alias("filename"),
         F.col("length").alias("bytes"),
         lines.cast("long").alias("n_lines"),
         F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")).cast("long").alias("n_tokens"),
@@ -53,7 +61,7 @@ def inventory(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         F.contains(text, F.lit("\t")).alias("has_tab"),
         (lines <= 1).alias("single_line"),
         F.sha2("content", 256).alias("sha256"),
-        parse_filename(base_name(F.col("path"))).alias("meta"),
+        parse_filename(_named(raw)).alias("meta"),
     )
 
 
@@ -84,7 +92,7 @@ def read_labelled_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     """(filename, idx, x, label) of two-column CSV files with a header."""
     raw = spark.read.schema("x double, label int").csv(paths, header=True)
     order = F.row_number().over(_by_file())
-    return raw.select(base_name(F.col("_metadata.file_path")).alias("filename"), F.monotonically_increasing_id().alias("_id"), "x", "label").withColumn("idx", order - 1).drop("_id")
+    return raw.select(_named(raw).alias("filename"), F.monotonically_increasing_id().alias("_id"), "x", "label").withColumn("idx", order - 1).drop("_id")
 
 
 def _by_file():
@@ -93,6 +101,99 @@ def _by_file():
     return Window.partitionBy("filename").orderBy("_id")
 
 
+def one_anomaly(series: DataFrame) -> DataFrame:
+    """(filename, segments): labelled series whose label isn't a single run."""
+    found = describe_labelled(series)
+    return found.where("segments <> 1").select("filename", "segments")
+
+
+def read_scores(spark: SparkSession, path: str, condition: str) -> DataFrame:
+    """(series_id, idx, score) of one condition of a score store; only that partition is read."""
+    return spark.read.parquet(path).where(F.col("cond") == condition).drop("cond")
+
+
+def read_table(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
+    """CSV, plain or gzipped, with a header, read by the schema given and never by guesses; NA is NULL.
+
+    A column of tags such as 1 and 1.0, which are two variants, is read as a string.
+    """
+    return spark.read.schema(schema).option("enforceSchema", False).csv(paths, header=True, nullValue="NA", mode="FAILFAST")
+
+
+def load_config(text: str) -> dict:
+    """Nested settings from indented ``key: value`` lines: maps, lists in brackets or of "- " lines, numbers, booleans, null, text."""
+
+    def scalar(v: str) -> object:
+        v = v.strip()
+        if v.startswith("[") and v.endswith("]"):
+            return [scalar(x) for x in v[1:-1].split(",") if x.strip()]
+        if v[:1] in "\"'" and v[-1:] == v[:1] and len(v) > 1:
+            return v[1:-1]
+        plain = {"true": True, "false": False, "null": None, "~": None, "": None}
+        if v.lower() in plain:
+            return plain[v.lower()]
+        for kind in (int, float):
+            try:
+                return kind(v)
+            except ValueError:
+                pass
+        return v
+
+    root: dict = {}
+    stack: list[tuple[int, dict, str | None]] = [(-1, root, None)]
+    for line in text.splitlines():
+        bare = line.split(" #")[0].rstrip() if not line.lstrip().startswith("#") else ""
+        if not bare.strip():
+            continue
+        depth, item = len(bare) - len(bare.lstrip()), bare.strip()
+        if item.startswith("- "):
+            _, parent, key = stack[-1]
+            if not isinstance(parent.get(key), list):
+                parent[key] = []
+            parent[key].append(scalar(item[2:]))
+            continue
+        if ":" not in item:
+            raise ValueError(f"no key in {line!r}")
+        while stack[-1][0] >= depth:
+            stack.pop()
+        _, parent, key = stack[-1]
+        if key is not None:
+            if not isinstance(parent.get(key), dict):
+                parent[key] = {}
+            parent = parent[key]
+        key, _, value = item.partition(":")
+        parent[key.strip()] = scalar(value)
+        stack.append((depth, parent, key.strip()))
+    return root
+
+
+def settings(spark: SparkSession, path: str, root: str = "") -> DataFrame:
+    """(key, value): a configuration file's settings by dotted key; values of keys that end in _dir are resolved below ``root``."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file
+
+    def walk(d: dict, before: str = ""):
+        for k, v in d.items():
+            if isinstance(v, dict):
+                yield from walk(v, f"{before}{k}.")
+            else:
+                resolved = f"{root.rstrip('/')}/{v}" if root and k.endswith("_dir") and not str(v).startswith("/") else v
+                yield before + k, None if v is None else str(resolved)
+
+    return spark.createDataFrame(list(walk(load_config(text))), "key string, value string")
+
+
+def is_litter(path: Column) -> Column:
+    """Whether a path is a file that systems leave behind: hidden ones, ._ twins, __MACOSX, Thumbs.db, desktop.ini."""
+    return path.rlike(r"(^|/)(\.[^/]*|__MACOSX(/.*)?|Thumbs\.db|desktop\.ini)$")
+
+
+def anchor(paths: DataFrame, name: str) -> DataFrame:
+    """(folder): the one folder of that name among ``paths`` (path), litter left out; none or several are an error."""
+    found = paths.where(~is_litter(F.col("path"))).select(F.regexp_extract("path", f"^(.*?(?:^|/){name})/", 1).alias("folder")).where("folder <> ''").distinct()
+    n = F.count(F.lit(1))
+    return found.agg(F.when(n == 1, F.max("folder")).otherwise(F.raise_error(F.format_string("%d folders", n))).alias("folder"))
+
+
 def describe_labelled(series: DataFrame) -> DataFrame:
     """Per file: length, share of labelled points, number of labelled segments, the shortest, and where the last one ends."""
     from heronry.operators.series import islands
@@ -136,6 +237,12 @@ def table_from_markdown(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- sinks
 
 
+def write_series(series: DataFrame, path: str) -> None:
+    """Series (filename, idx, x) as text, one value a line, one file a series in a folder ``filename=<name>``."""
+    rows = series.select("filename", "idx", F.col("x").cast("string").alias("value")).repartition("filename").sortWithinPartitions("filename", "idx")
+    rows.select("filename", "value").write.partitionBy("filename").text(path)
+
+
 def write_csv(df: DataFrame, path: str, *, digits: int | None = None) -> None:
     """Gzipped CSV with a header and NA for NULL; doubles to so many significant digits."""
     out = df
@@ -159,8 +266,8 @@ def fan_out(df: DataFrame, paths: Mapping[str, str]) -> None:
         df.write.mode("append").format(kind).save(path)
 
 
-def write_missing(df: DataFrame, path: str, partition: str) -> list:
-    """Write only the partitions that aren't there yet, each of them as a whole; returns their values. Safe to run again."""
+def write_missing(df: DataFrame, path: str, partition: str) -> int:
+    """Write only the partitions that aren't there yet, each of them as a whole; returns how many. Safe to run again."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -168,7 +275,7 @@ def write_missing(df: DataFrame, path: str, partition: str) -> list:
         df = df.join(done, F.col(partition).cast("string") == F.col("_p"), "left_anti")
     except AnalysisException:
         pass
-    new = [r[0] for r in df.select(partition).distinct().collect()]
+    new = df.select(partition).distinct().count()
     if new:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     return new

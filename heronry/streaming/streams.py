@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from heronry.shared import shared_path
 from heronry.sources.files import SPAN_SCHEMA
 
 
@@ -73,23 +74,28 @@ def memory_state(log: DataFrame, *, late: str = "1 hour") -> DataFrame:
     return log.withWatermark("ts", late).groupBy("subject", "key").applyInPandasWithState(step, "subject string, key string, value string, alive boolean", "value string, seq long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(df: DataFrame, name: str, *, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All input there is through a stream into a memory table, which is returned; for tests and for queries."""
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    q = writer.start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
-
-
-def upsert(sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that skips a batch it has written before."""
-    seen: set[int] = set()
+def write_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps each batch in a folder of its own number: one that comes again replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch_id not in seen:
-            sink(batch, batch_id)
-            seen.add(batch_id)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+def run_available(df: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
+    """All input there is through a stream into a table in the shared folder, which is returned.
+
+    State checkpoints lie in the shared folder too. Under "complete" the last batch is the result.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    writer = df.writeStream.outputMode(mode).foreachBatch(write_batch(f"{path}/rows")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    query = writer.start()
+    query.awaitTermination()
+    if not query.recentProgress:
+        return spark.createDataFrame([], df.schema)
+    rows = spark.read.schema(df.schema.add("batch", "long")).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == query.recentProgress[-1]["batchId"])
+    return rows.drop("batch")

@@ -68,9 +68,12 @@ def test_incremental_equals_full(spark, xs):
     series, lay = make(spark, xs)
     base = P.matrix_profile(series, lay)
     changed = M.mask(series.join(lay, "series_id"), "zero").select("series_id", "idx", F.col("masked").alias("x"))
-    inc = P.incremental(base, changed, lay).orderBy("series_id", "start").toPandas()
+    inc = P.incremental(base, series, changed, lay).orderBy("series_id", "start").toPandas()
     full = P.matrix_profile(changed, lay).orderBy("series_id", "start").toPandas()
     assert np.allclose(inc.dist, full.dist, atol=1e-12) and len(inc) == len(full)
+    elsewhere = changed.withColumn("x", F.when(F.col("idx") == 2, 99.0).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="outside its region"):
+        P.incremental(base, series, elsewhere, lay).collect()
 
 
 def test_padding_and_detection(spark, xs):
@@ -338,3 +341,66 @@ def test_queries_run_the_references_parameters(spark, monkeypatch):
     (sized, drawn), = held
     k, n = {r.series_id: r.k for r in sized.collect()}, {r.series_id: r["count"] for r in drawn.groupBy("series_id").count().collect()}
     assert n == {i: 2 + (2 * x + 2048 if x > 1 else 0) for i, x in k.items()}
+
+
+def test_ancestors_of_deep_chains_and_cycles(spark):
+    """Chains longer than any fixed number of rounds would reach, and one that isn't a tree."""
+    n = 150
+    rows = [("t", i, i - 1 if i else None) for i in range(n)] + [("u", i, i // 3 if i else None) for i in range(20)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id long, parent_id long")
+    up = {}
+    for t, i, p in rows:
+        up[t, i] = {(t, i, i)} | ({(t, i, a) for _, _, a in up[t, p]} if p is not None else set())
+    assert {tuple(r) for r in R.ancestors(spans).collect()} == set.union(*up.values())
+    for length in (1, 2, 3, 5):
+        ring = spark.createDataFrame([("t", i, (i + 1) % length) for i in range(length)], "trace_id string, span_id long, parent_id long")
+        with pytest.raises(ValueError, match="its own ancestor"):
+            R.ancestors(ring)
+
+
+def test_context_reconstruction_takes_each_series_width(spark):
+    rng = np.random.default_rng(5)
+    xs = {1: rng.normal(size=100), 2: np.round(rng.normal(size=100), 1)}
+    for w in (4, 9):
+        series, lay = make(spark, xs, w=w)
+        out = M.context_reconstruct(series.join(lay, "series_id")).orderBy("idx").toPandas()
+        for k, x in xs.items():
+            z = lambda v: (v - v.mean()) / v.std() if np.ptp(v) else v * 0
+            cost = [round(float(((z(x[j : j + w]) - z(x[45 - w : 45])) ** 2).sum()), 9) for j in range(30 - w - 3 + 1)]
+            j = int(np.argmin(cost))
+            want = x.copy()
+            want[45:48] = x[j + w : j + w + 3] + x[44] - x[j + w - 1]
+            assert np.allclose(out[out.series_id == k].masked, want), (w, k)
+
+
+def test_claim_wording_and_issues(spark):
+    said = {"Sales will grow": "projected", "hold the stock": "advisory", "목표 주가 상향": "advisory", "목표주가": "advisory", "개선을 기대": "projected", "Analysts recommend it": None, "expected to grow": None, "지금 사세요": "advisory", "추천합니다": "advisory", "성장할 것으로 본다": "projected", "a goodwill item": None, "BUY now": "advisory", "좋아지겠습니다": "projected"}
+    t = spark.createDataFrame([(k,) for k in said], "text string")
+    assert {r.text: r.k for r in t.select("text", I.claim_kind(F.col("text")).alias("k")).collect()} == said
+    rows = [("a", "x", "advisory", [], "", False), ("b", "buy", "opinion", [], None, False), ("c", "it will rise", "measured", ["s"], "", False), ("d", "rose", "measured", ["s"], "2024", False), ("e", "x", "projected", [], None, False)]
+    claims = spark.createDataFrame(rows, "id string, text string, kind string, support array<string>, as_of string, labeled boolean")
+    assert sorted(map(tuple, I.claim_audit(claims).collect())) == [("a", "advisory_output"), ("b", "misclassified_advisory"), ("c", "misclassified_projection"), ("c", "missing_as_of"), ("e", "unlabeled_projection")]
+    assert "advisory_output" not in {r.issue for r in I.claim_audit(claims, advisory_allowed=True).collect()}
+
+
+def test_keyword_search_in_blocks(spark):
+    docs = {1: "Banana band", 2: "an ANt and ananas", 3: None, 4: "nothing else", 5: "band band"}
+    asked = {"q1": "an an", "q2": "band", "q3": "", "q4": "ananas zzz", "q5": "th"}
+    count = lambda t, w: (t or "").lower().count(w)
+    want = set()
+    for q, text in asked.items():
+        ws = text.split()
+        scores = sorted(((-sum(count(t, w) for w in ws), i) for i, t in docs.items()))
+        want |= {(q, i, -s, k + 1) for k, (s, i) in enumerate(scores[:2]) if s < 0}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    a = spark.createDataFrame(list(asked.items()), "query_id string, query string")
+    for block in (1, 500):
+        assert {tuple(r) for r in I.keyword_topk(d, a, 2, block=block).select("query_id", "doc_id", "score", "rn").collect()} == want
+
+
+def test_ranks_over_ranges(spark):
+    from heronry.operators.tables import ranked
+
+    t = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"))
+    out = ranked(t, ["v"]).collect()
+    assert [r["rank"] for r in sorted(out, key=lambda r: r.v)] == list(range(1000))

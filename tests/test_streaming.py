@@ -44,9 +44,12 @@ def test_memory_state(spark, tmp_path):
     assert out == {("s", "a", "2", True), ("s", "b", None, False), ("s", "c", "y", True), ("s", "c", "y", False), ("z", "a", "9", True)}
 
 
-def test_upsert_skips_a_batch_seen(spark):
-    seen = []
-    write = T.upsert(lambda df, i: seen.append(i))
-    for i in (0, 1, 1):
-        write(spark.range(1), i)
-    assert seen == [0, 1]
+def test_a_batch_that_comes_again_replaces_itself(spark, tmp_path):
+    path = f"{tmp_path}/rows"
+    for batch_id, n in ((0, 3), (1, 2), (1, 2)):  # the second time as after a restart: a new function
+        T.write_batch(path)(spark.range(n), batch_id)
+    assert spark.read.parquet(path).count() == 5
+    empty = spark.createDataFrame([], "trace_id string, ts timestamp, n long")
+    empty.write.parquet(f"{tmp_path}/none")
+    stream = spark.readStream.schema(empty.schema).parquet(f"{tmp_path}/none")
+    assert T.run_available(stream, "none").columns == empty.columns
