@@ -171,3 +171,51 @@ def fitted_to_length(scores: DataFrame, layouts: DataFrame) -> DataFrame:
 
     same = F.size("v") == F.col("n")
     return packed.select("series_id", F.posexplode(F.when(same, F.col("v")).otherwise(F.transform(at, value))).alias("idx", "score")).withColumn("idx", F.col("idx").cast("long"))
+
+
+def hyperparameters(spark, conditions: Mapping[str, Mapping[str, object]], detector: str) -> DataFrame:
+    """(condition, detector, window, tag, settings): one row a condition; the window is its own or 100, the tag says the variant of max_features."""
+    rows = []
+    for name, given in conditions.items():
+        features = given.get("max_features")
+        tag = "none" if features is None else f"mf{features}" if isinstance(features, int) else f"mf{float(features):.1f}f"
+        rows.append((name, detector, int(given.get("window", 100)), tag, ",".join(f"{k}={given[k]}" for k in sorted(given))))
+    return spark.createDataFrame(rows, "condition string, detector string, window int, tag string, settings string")
+
+
+def zero_class(predictions: DataFrame) -> DataFrame:
+    """Per operator, from rows (op, before, after: arrays of class scores): how many change their class, and how many then fall into class 0."""
+    top = lambda v: F.array_position(v, F.array_max(v)) - 1
+    c = predictions.select("op", top(F.col("before")).alias("b"), top(F.col("after")).alias("a"))
+    return c.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("changed"), F.count_if((F.col("a") != F.col("b")) & (F.col("a") == 0)).alias("to_zero"), F.count_if(F.col("a") == 0).alias("zero"))
+
+
+def footprints(layouts: DataFrame, length: Column) -> DataFrame:
+    """(series_id, a, b, reach_a, reach_b): each region of that length in the certainly normal stretches, and the points its change can reach."""
+    from heronry.operators.series import admissible, influence
+
+    starts = layouts.withColumn("_len", length.cast("long")).withColumn("_r", F.explode(admissible(F.col("_len"))))
+    at = starts.withColumn("a", F.explode(F.sequence(F.col("_r.lo"), F.col("_r.hi")))).withColumn("b", F.col("a") + F.col("_len"))
+    lo, hi = influence(F.col("a"), F.col("b"), F.col("w"))
+    return at.select("series_id", "a", "b", lo.alias("reach_a"), hi.alias("reach_b"))
+
+
+def effect_plan(layouts: DataFrame, lengths: Sequence[int], *, least: int = 10, enough: int = 20) -> DataFrame:
+    """(series_id, region, len, n, status): the anomaly, and normal regions of each length that fit without overlap.
+
+    Fewer than ``least`` normal ones and the length is dropped; fewer than ``enough`` and it is short.
+    """
+    from heronry.operators.series import max_disjoint
+
+    k = layouts.withColumn("len", F.explode(F.array(*[F.lit(int(v)).cast("long") for v in lengths]))).withColumn("n", F.least(F.lit(enough).cast("long"), max_disjoint(F.col("len"))))
+    status = F.when(F.col("n") < least, "dropped").when(F.col("n") < enough, "short").otherwise("full")
+    normal = k.select("series_id", F.lit("normal").alias("region"), "len", "n", status.alias("status"))
+    return normal.union(layouts.select("series_id", F.lit("anomaly"), (F.col("s1") - F.col("s0")), F.lit(1).cast("long"), F.lit("full")))
+
+
+def dominant_period(series: DataFrame, low: int, high: int) -> DataFrame:
+    """(series_id, period, corr): the lag from ``low`` to ``high`` with the largest correlation of a series with itself; the smallest of equals."""
+    later = series.select("series_id", F.col("idx").alias("_i"), F.col("x").alias("_y"))
+    lagged = series.select("series_id", "idx", "x", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag")).withColumn("_i", F.col("idx") + F.col("lag"))
+    r = lagged.join(later, ["series_id", "_i"]).groupBy("series_id", "lag").agg(F.when((F.count(F.lit(1)) > 2) & (F.max("x") > F.min("x")) & (F.max("_y") > F.min("_y")), F.round(F.corr("x", "_y"), 6)).alias("corr"))
+    return r.where("corr IS NOT NULL").groupBy("series_id").agg(F.min_by("lag", F.struct(-F.col("corr"), "lag")).alias("period"), F.max("corr").alias("corr"))

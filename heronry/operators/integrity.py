@@ -225,6 +225,14 @@ def guardrails(rows: DataFrame, rails: Mapping[str, tuple[Column, int]]) -> Data
     return out.withColumn("tolerated", (F.col("hits") > 0) & (F.col("hits") <= F.col("tolerance"))).withColumn("breaches", F.when(F.col("hits") > F.col("tolerance"), F.col("hits")).otherwise(F.lit(0).cast("long")))
 
 
+def reasoned(rails: Mapping[str, tuple[Column, int]], reasons: Mapping[str, str]) -> Mapping[str, tuple[Column, int]]:
+    """The rails; one that tolerates hits without a reason why is an error."""
+    bare = [n for n, (_, tolerance) in rails.items() if tolerance > 0 and not reasons.get(n, "").strip()]
+    if bare:
+        raise ValueError(f"no reason given for tolerating hits of {', '.join(sorted(bare))}")
+    return rails
+
+
 def missing_slots(rows: DataFrame, key: str, slots: Sequence[str]) -> DataFrame:
     """(key, missing): required text slots that are NULL or empty."""
     return rows.select(key, F.array_compact(F.array(*[F.when(F.coalesce(F.col(s).cast("string"), F.lit("")).isin("", "[]", "{}"), F.lit(s)) for s in slots])).alias("missing"))

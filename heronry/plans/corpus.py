@@ -285,3 +285,10 @@ def turn_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Lines of each turn; sentence ends are taken out first, so that only line feeds split."""
     c = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.regexp_replace("text", r"[.!?]", "").alias("text"))
     return L.sentences(c).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'late' AS rail, count_if(l_tax > 0.07) AS hits, count_if(l_tax > 0.07) > 0 AND count_if(l_tax > 0.07) <= 1000000 AS tolerated FROM lineitem UNION ALL SELECT 'huge', count_if(l_quantity > 49.5), false FROM lineitem")
+def reasoned_rails(spark: SparkSession, d: str) -> DataFrame:
+    """Rails that tolerate hits say why."""
+    rails = I.reasoned({"late": (F.col("l_tax") > 0.07, 1_000_000), "huge": (F.col("l_quantity") > 49.5, 0)}, {"late": "old rates are being replaced"})
+    return I.guardrails(table(spark, d, "lineitem"), rails).select("rail", "hits", "tolerated")

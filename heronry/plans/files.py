@@ -191,3 +191,13 @@ def litter_files(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(k % 9 != 0, F.concat(k, F.lit(".txt"))).when(k % 2 == 0, F.concat(F.lit("._"), k)).when(k % 5 == 0, "Thumbs.db").otherwise(".DS_Store")
     p = table(spark, d, "part").select("p_brand", F.concat(F.lit("a/"), "p_brand", F.lit("/"), name).alias("path"))
     return p.groupBy(F.col("p_brand").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.count_if(R.is_litter(F.col("path"))).alias("litter"))
+
+
+@query("SELECT unnest(['json', 'parquet']) AS sink, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders")
+def fanned_out(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows to two sinks."""
+    paths = {k: shared_path(spark, f"sink-{k}") for k in ("json", "parquet")}
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    R.fan_out(rows, {p: k for k, p in paths.items()})
+    back = [spark.read.schema(rows.schema).format(k).load(p).withColumn("sink", F.lit(k)) for k, p in paths.items()]
+    return back[0].unionByName(back[1]).groupBy("sink").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

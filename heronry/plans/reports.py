@@ -388,6 +388,57 @@ def synthetic_series(spark: SparkSession, d: str) -> DataFrame:
     return _r6(R.synthetic(spark, 4000, [900, 2100, 3300]), "x")
 
 
+@query("SELECT * FROM (VALUES ('one', 'forest', 100, 'mf1', 'max_features=1,trees=200'), ('all', 'forest', 50, 'mf1.0f', 'max_features=1.0,trees=200,window=50'), ('plain', 'forest', 100, 'none', 'trees=50')) t(condition, detector, \"window\", tag, settings)")
+def hyperparameters(spark: SparkSession, d: str) -> DataFrame:
+    """Settings by condition: one feature and all features are two variants."""
+    given = {"one": {"max_features": 1, "trees": 200}, "all": {"max_features": 1.0, "trees": 200, "window": 50}, "plain": {"trees": 50}}
+    return C.hyperparameters(spark, given, "forest")
+
+
+@query("WITH e AS (SELECT vec_id, label % 3 AS op, embedding AS b, list_transform(embedding, lambda v, i: CASE WHEN i > 4 AND i <= len(embedding) // 2 THEN 0.0::FLOAT ELSE v END) AS a FROM embeddings), c AS (SELECT op, list_position(b, list_max(b)) - 1 AS b, list_position(a, list_max(a)) - 1 AS a FROM e) SELECT op, count(*) AS n, count_if(a <> b) AS changed, count_if(a <> b AND a = 0) AS to_zero, count_if(a = 0) AS zero FROM c GROUP BY 1")
+def zero_class(spark: SparkSession, d: str) -> DataFrame:
+    """Largest entries of vectors before and after a part is zeroed."""
+    e = table(spark, d, "embeddings")
+    after = F.transform("embedding", lambda v, i: F.when((i >= 4) & (i < F.floor(F.size("embedding") / 2)), F.lit(0.0).cast("float")).otherwise(v))
+    return C.zero_class(e.select((F.col("label") % 3).alias("op"), F.col("embedding").alias("before"), after.alias("after")))
+
+
+_ADM_SQL = "e AS (SELECT series_id, w, len, unnest([{'lo': te + w - 1, 'hi': least(s0 - w, n) - len - w + 1}, {'lo': greatest(s1 + w, te) + w - 1, 'hi': n - len - w + 1}]) AS r FROM (SELECT *, unnest([LENS]) AS len FROM l))"
+
+
+@query(f"WITH {A.S_SQL}, {A.L_SQL}, {_ADM_SQL.replace('LENS', '2')}, a AS (SELECT series_id, w, unnest(range(r.lo, r.hi + 1)) AS a FROM e WHERE r.hi >= r.lo) SELECT series_id, a, a + 2 AS b, a - w + 1 AS reach_a, a + 2 + w - 1 AS reach_b FROM a")
+def footprints(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of two points in normal stretches, and how far a change of each reaches."""
+    return C.footprints(A.layouts(spark, d), F.lit(2))
+
+
+@query(f"WITH {A.S_SQL}, {A.L_SQL}, {_ADM_SQL.replace('LENS', '1, 2, 4')}, n AS (SELECT series_id, len, least(4, coalesce(sum((r.hi - r.lo) // len + 1) FILTER (WHERE r.hi >= r.lo), 0))::BIGINT AS n FROM e GROUP BY ALL) SELECT series_id, 'normal' AS region, len::BIGINT AS len, n, CASE WHEN n < 2 THEN 'dropped' WHEN n < 4 THEN 'short' ELSE 'full' END AS status FROM n UNION ALL SELECT series_id, 'anomaly', s1 - s0, 1, 'full' FROM l")
+def effect_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Which regions of each length a series has room for."""
+    return C.effect_plan(A.layouts(spark, d), [1, 2, 4], least=2, enough=4)
+
+
+@query(f"WITH RECURSIVE {A.S_SQL}, c AS (SELECT series_id, idx AS a, row_number() OVER (PARTITION BY series_id ORDER BY ('0x' || substr(md5('7:' || series_id || ':' || idx), 1, 12))::BIGINT, idx) AS r FROM s WHERE event_type <> 'error'), t AS (SELECT DISTINCT series_id, 0::BIGINT AS r, []::BIGINT[] AS taken FROM c UNION ALL SELECT c.series_id, c.r, CASE WHEN len(taken) < 4 AND len(list_filter(taken, lambda y: c.a < y + 5 AND y < c.a + 5)) = 0 THEN list_append(taken, c.a) ELSE taken END FROM t JOIN c ON c.series_id = t.series_id AND c.r = t.r + 1) SELECT series_id, unnest(arg_max(taken, r)) AS a, 5::BIGINT AS len FROM t GROUP BY 1")
+def disjoint_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Four regions of five points a series in seeded order, none overlapping: the number is the feature."""
+    c = A.series(spark, d).where("event_type <> 'error'").select("series_id", F.col("idx").alias("a"), F.lit(5).cast("long").alias("len"))
+    return T.disjoint(c, 4)
+
+
+@query(f"WITH {A.S_SQL}, j AS (SELECT a.series_id, b.idx - a.idx AS lag, a.x AS x, b.x AS y FROM s a JOIN s b ON a.series_id = b.series_id AND b.idx - a.idx BETWEEN 2 AND 12), r AS (SELECT series_id, lag, round(corr(x, y), 6) AS c FROM j GROUP BY ALL HAVING count(*) > 2 AND max(x) > min(x) AND max(y) > min(y)) SELECT series_id, arg_min(lag, {{'a': -c, 'b': lag}})::INT AS period, max(c) AS corr FROM r GROUP BY 1")
+def dominant_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The lag at which each series is most like itself."""
+    return C.dominant_period(A.series(spark, d), 2, 12)
+
+
+@query("SELECT 3.0::DOUBLE AS a, 0.0::DOUBLE AS b, 2.0::DOUBLE AS c")
+def nonnegative_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Weights, none below zero, of three measures in a sum made with 3, 0 and 2."""
+    f = table(spark, d, "lineitem").select("l_quantity", "l_tax", "l_discount", (F.col("l_quantity") * 3 + F.col("l_discount") * 2).alias("y"))
+    a, b, c = T.nnls3(f, ("l_quantity", "l_tax", "l_discount"), "y")
+    return spark.createDataFrame([tuple(round(float(v), 4) + 0.0 for v in (a, b, c))], "a double, b double, c double")
+
+
 # --- operators of series without a query of their own
 
 

@@ -83,3 +83,26 @@ def test_settings_and_anchors(spark, tmp_path):
     assert S.anchor(paths, "data").first().folder == "z/data"
     with pytest.raises(Exception, match="2 folders"):
         S.anchor(paths.union(spark.createDataFrame([("y/data/b.txt",)], "path string")), "data").collect()
+
+
+def test_reasons_features_and_periods(spark):
+    from heronry.operators import forest as O
+    from heronry.operators import integrity as I
+
+    with pytest.raises(ValueError, match="no reason"):
+        I.reasoned({"x": (F.lit(True), 3)}, {"x": " "})
+    assert (O.features_used(1, 6), O.features_used(1.0, 6), O.features_used(0.5, 6)) == (1, 6, 3)
+    with pytest.raises(ValueError):
+        O.features_used(7, 6)
+    wave = spark.createDataFrame([(1, i, float(i % 7)) for i in range(80)], "series_id long, idx long, x double")
+    assert C.dominant_period(wave, 2, 12).first().period == 7
+    lay = spark.createDataFrame([(1, 80, 40, 60, 63, 4)], "series_id long, n long, te long, s0 long, s1 long, w long")
+    spiky = wave.withColumn("x", F.when(F.col("idx") == 61, 90.0).otherwise(F.col("x")))
+    scores = {}
+    for block in (16, 4096):
+        for features in (1, 1.0):
+            out = O.isolation_forest(spiky, lay, trees=50, max_features=features, block=block).orderBy("idx").toPandas()
+            scores[block, repr(features)] = out.score.tolist()
+            assert 57 <= int(out.score.idxmax()) <= 63
+    assert scores[16, "1"] == pytest.approx(scores[4096, "1"]) and scores[16, "1.0"] == pytest.approx(scores[4096, "1.0"])
+    assert scores[16, "1"] != pytest.approx(scores[16, "1.0"])
