@@ -1,35 +1,17 @@
-"""Tables that cut lineage, in the folder all executors share.
-
-``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset (tests, a laptop) a folder of this
-session's own is set instead. Tables are Parquet, so a lost executor costs a reread and not a recomputation.
-"""
+"""Tables and Arrow batches of this subpackage, on top of :mod:`heronry.shared`."""
 
 from __future__ import annotations
 
 import atexit
-import os
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folder that is set where a session on one machine names none.
-OWN_DIR = "file:///tmp/checkpoints"
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of this session. Only a session on one machine (master ``local``) gets one set; others must name it."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"{OWN_DIR}/{sc.applicationId}"
-        sc.setCheckpointDir(found)
-    return found
+from heronry.shared import checkpoint_dir, written
 
+__all__ = ["bucketed", "checkpoint_dir", "small_batches", "written"]
 
-#: Rows that go to Python at once. Texts are long, and a worker holds a few batches of them.
+#: Rows and bytes that go to Python at once. Texts are long, and a worker holds a few batches of them.
 ROWS = 2500
 BATCH_BYTES = "16m"
 
@@ -43,28 +25,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the session may be gone; then the cluster's own clean-up applies
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back; removed when the driver's Python ends."""
-    spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _drop_table(spark: SparkSession, name: str) -> None:
     try:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # noqa: BLE001 - as above
+    except Exception:  # noqa: BLE001 - the session may be gone; then the cluster's own clean-up applies
         pass
 
 
