@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heronry.llm.store import written
+
 #: ASCII white space, as in ``[\\x20\\x09-\\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -15,9 +17,8 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, UPPER.lower())
 
 
-def _hash(line: Column) -> Column:
-    """128 bits of the key, as two lanes: at 10^12 distinct lines 64 bits would collide."""
-    key = line_key(line)
+def _hash(key: Column) -> Column:
+    """128 bits of a key, as two lanes: at 10^12 distinct lines 64 bits would collide."""
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
@@ -36,17 +37,24 @@ def drop_frequent_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int =
     document when documents are counted, and each keeps its row; rows with a null id count together as one document;
     an empty table gives an empty table; further columns pass through untouched.
 
-    Keys are exploded as hashes, once per document, so a line that a third of all documents holds is counted by
-    partial sums. The list of dropped keys is joined by hash and then by id; nothing is broadcast unless Spark sees a
-    size below its own threshold. Dropping looks at keys alone, so a repeated id can't change a result.
+    Lines are exploded once, as position and hash of the key; the table is written and read for the counts and for the
+    positions to drop. A line that a third of all documents hold is counted by partial sums and met in a join that Spark
+    can split. Positions come back by id and text, so rows without an id are spread by their texts. The text is put
+    together again from the positions that stay.
     """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    narrow = docs.select(F.col(id_col).alias("__id"), text.alias("__text"))
+    keys = F.transform(split_lines(F.col("__text")), line_key)
+    hashes = F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, _hash(k)))
+    held = narrow.select("__id", F.xxhash64("__text").alias("__t"), F.posexplode(hashes).alias("__pos", "__k")).where("__k IS NOT NULL").select("__id", "__t", "__pos", F.col("__k.a").alias("__a"), F.col("__k.b").alias("__b"))
+    held = written(held, "lines")
+    common = held.select("__id", "__a", "__b").distinct().groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_docs).select("__a", "__b")
+    bad = held.join(common, ["__a", "__b"]).groupBy("__id", "__t").agg(F.collect_list("__pos").alias("__bad"))
+    bad = bad.select(F.col("__id").alias("__i"), F.col("__t").alias("__h"), "__bad")
+    out = docs.join(bad, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__h")), "left")
     lines = split_lines(F.col(text_col))
-    long_enough = F.filter(lines, lambda x: F.char_length(line_key(x)) >= min_chars)
-    held = docs.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.transform(long_enough, _hash))).alias("k")).select("__id", "k.a", "k.b").distinct()
-    common = held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
-    hits = held.join(common, ["a", "b"]).groupBy("__id").agg(F.collect_list(F.struct("a", "b")).alias("__bad"))
-    out = docs.withColumn("__id", F.col(id_col)).alias("d").join(hits.alias("h"), F.col("d.__id").eqNullSafe(F.col("h.__id")), "left").drop(F.col("h.__id"), F.col("d.__id"))
-    kept = F.when(F.col("__bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__bad"), _hash(x))))
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    kept = F.when(F.col("__bad").isNull(), lines).otherwise(F.transform(F.array_except(places, F.col("__bad")), lambda p: F.get(lines, p)))
     out = out.withColumn("__lines", F.size(lines).cast("long")).withColumn("__kept", kept)
     return out.select(
         F.col("__lines").alias("__n_lines"),
