@@ -88,17 +88,23 @@ def _edges(values: DataFrame, layouts: DataFrame) -> DataFrame:
     return at.join(values, ["series_id", "start"]).select("series_id", "idx", F.col("v").alias("score"))
 
 
-def kmeans_distance(series: DataFrame, layouts: DataFrame, *, k: int = 4, rounds: int = 20, seed: int = 7) -> DataFrame:
-    """(series_id, idx, score): distance of z-scaled windows to the nearest of k centres of the training part."""
+def kmeans_distance(series: DataFrame, layouts: DataFrame, *, k: int = 4, rounds: int = 20, block: int = 4096, seed: int = 7) -> DataFrame:
+    """(series_id, idx, score): distance of z-scaled windows to the nearest of k centres of the training part.
+
+    Centres are found on the training part, a task a series; windows are then dealt out in blocks with the centres.
+    """
     packed = layouts.join(pack(series), "series_id").where("te >= w").select("series_id", "w", "te", "xs")
+    kind = series.schema["series_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows(x: list[float], w: int, mean: float, sd: float) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view((np.asarray(x, float) - mean) / sd, w)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                x, w, te = np.asarray(r.xs, float), int(r.w), int(r.te)
-                sd = x[:te].std() or 1.0
-                v = np.lib.stride_tricks.sliding_window_view((x - x[:te].mean()) / sd, w)
-                train = v[: te - w + 1]
+                x = np.asarray(r.train, float)
+                mean, sd = float(x.mean()), float(x.std() or 1.0)
+                train = windows(r.train, int(r.w), mean, sd)
                 rng = np.random.default_rng(seed)
                 centres = train[rng.choice(len(train), min(k, len(train)), replace=False)].copy()
                 for _ in range(rounds):
@@ -106,13 +112,23 @@ def kmeans_distance(series: DataFrame, layouts: DataFrame, *, k: int = 4, rounds
                     for j in range(len(centres)):
                         if (near == j).any():
                             centres[j] = train[near == j].mean(axis=0)
+                yield pd.DataFrame({"series_id": [r.series_id], "mean": [mean], "sd": [sd], "centres": [centres.ravel().tolist()]})
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                w = int(r.w)
+                v = windows(r.part, w, r.mean, r.sd)
                 d = np.full(len(v), np.inf)
-                for c in centres:
+                for c in np.asarray(r.centres, float).reshape(-1, w):
                     d = np.minimum(d, ((v - c) ** 2).sum(axis=1))
-                yield pd.DataFrame({"series_id": r.series_id, "start": np.arange(len(v)), "v": np.sqrt(d)})
+                yield pd.DataFrame({"series_id": r.series_id, "start": np.arange(r.first, r.first + len(v)), "v": np.sqrt(d)})
 
-    kind = series.schema["series_id"].dataType.simpleString()
-    return _edges(packed.mapInPandas(run, f"series_id {kind}, start long, v double"), layouts)
+    centres = packed.select("series_id", "w", F.expr("slice(xs, 1, int(te))").alias("train")).mapInPandas(fit, f"series_id {kind}, mean double, sd double, centres array<double>")
+    m = F.col("w").cast("int")
+    blocks = packed.withColumn("first", F.explode(F.expr(f"sequence(0, size(xs) - int(w), {block})"))).select("series_id", "w", "first", F.slice("xs", F.col("first") + 1, F.least(F.lit(block) + m - 1, F.size("xs") - F.col("first"))).alias("part"))
+    dist = blocks.join(centres, "series_id").select("series_id", "w", "first", "part", "mean", "sd", "centres").mapInPandas(measure, f"series_id {kind}, start long, v double")
+    return _edges(dist, layouts)
 
 
 def nearest_difference(windows: DataFrame, profile: DataFrame, layouts: DataFrame) -> DataFrame:

@@ -42,6 +42,15 @@ def file_inventory(spark: SparkSession, d: str) -> DataFrame:
     return R.inventory(spark, _series_files(spark, d)).select("filename", "n_tokens", "n_lines", "has_tab", "has_crlf", "single_line", F.col("meta.num").cast("long").alias("num"), *[F.col("meta")[c].alias(c) for c in ("name", "train_end", "begin", "end", "variant", "base_name")])
 
 
+@query(f"WITH {A.S_SQL}, {A.L_SQL}, {NAME_SQL} SELECT filename, any_value(n) AS n_tokens, CASE WHEN series_id % 5 <> 0 THEN count(*) END AS n_values, CASE WHEN series_id % 5 <> 0 THEN round(min(x), 6) END AS least, CASE WHEN series_id % 5 <> 0 THEN round(max(x), 6) END AS largest FROM s JOIN nm USING (series_id) GROUP BY filename, series_id")
+def inventory_values(spark: SparkSession, d: str) -> DataFrame:
+    """Files with what they hold; those with a bad token have no values."""
+    rows = A.series(spark, d).withColumn("x", F.when((F.col("series_id") % 5 == 0) & (F.col("idx") == 3), "bad").otherwise(F.col("x").cast("string")))
+    path = _series_files(spark, d, rows)
+    out = R.with_values(R.inventory(spark, path), R.read_series(spark, path, strict=False))
+    return out.select("filename", "n_tokens", "n_values", r6(F.col("least")).alias("least"), r6(F.col("largest")).alias("largest"))
+
+
 @query(f"WITH {A.S_SQL}, {A.L_SQL}, g AS (SELECT max(user_id) AS m FROM events), w AS (SELECT unnest(range(1, m + 1)) AS num FROM g) SELECT num, 'missing' AS problem FROM w ANTI JOIN l ON l.series_id = num")
 def file_numbering(spark: SparkSession, d: str) -> DataFrame:
     """Numbers that no file has."""

@@ -65,6 +65,12 @@ def inventory(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
+def with_values(files: DataFrame, series: DataFrame) -> DataFrame:
+    """An inventory with what its files hold: (n_values, least, largest); NULL for a file without values."""
+    got = series.groupBy("filename").agg(F.count(F.lit(1)).alias("n_values"), F.min("x").alias("least"), F.max("x").alias("largest"))
+    return files.join(got, "filename", "left")
+
+
 def numbering_gaps(files: DataFrame, n: int) -> DataFrame:
     """(num, problem): numbers 1..n that are missing, and those that several files have."""
     spark = files.sparkSession

@@ -53,3 +53,13 @@ def test_a_batch_that_comes_again_replaces_itself(spark, tmp_path):
     empty.write.parquet(f"{tmp_path}/none")
     stream = spark.readStream.schema(empty.schema).parquet(f"{tmp_path}/none")
     assert T.run_available(stream, "none").columns == empty.columns
+
+
+def test_streams_join_within_a_time(spark, tmp_path):
+    schema = "k string, ts string, v long"
+    for name, rows in (("left", [("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 01:00:00", 2), ("b", "2024-01-01 00:00:00", 3)]), ("right", [("a", "2024-01-01 00:05:00", 10), ("b", "2024-01-01 05:00:00", 20)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/{name}")
+    read = lambda name: spark.readStream.schema(schema).json(f"{tmp_path}/{name}").withColumn("ts", F.to_timestamp("ts"))
+    right = read("right").select(F.col("k").alias("k2"), F.col("ts").alias("ts2"), F.col("v").alias("v2"))
+    out = T.joined(read("left"), right, F.expr("k = k2 AND ts2 >= ts AND ts2 <= ts + INTERVAL 10 MINUTES"))
+    assert [(r.v, r.v2) for r in T.run_available(out, "joined").collect()] == [(1, 10)]
