@@ -148,11 +148,11 @@ def masked_runs(spark: SparkSession, d: str) -> DataFrame:
     return R.mask_runs(points, runs, "linear").select("series_id", "idx", F.round("masked", 4).alias("masked"))
 
 
-@query(f"WITH {A.S_SQL}, {A.L_SQL}, g AS (SELECT *, n - 3 AS a, n AS b FROM l), e AS (SELECT series_id, any_value(a) AS a, any_value(b) AS b, avg(CASE WHEN idx < te THEN x END) AS mean, max(CASE WHEN idx = a - 1 THEN x END) AS lf FROM s JOIN g USING (series_id) GROUP BY 1) SELECT s.series_id, idx, round(CASE WHEN idx >= a THEN lf + (mean - lf) * (idx - a + 1) / (b - a + 1)::DOUBLE ELSE x END, 4) AS masked FROM s JOIN e USING (series_id)")
+@query(f"WITH {A.S_SQL}, {A.L_SQL}, g AS (SELECT *, n - 3 AS a, n AS b FROM l), e AS (SELECT series_id, any_value(a) AS a, any_value(b) AS b, avg(CASE WHEN idx < te THEN x END) AS mean, max(CASE WHEN idx = a - 1 THEN x END) AS lf FROM s JOIN g USING (series_id) GROUP BY 1) SELECT s.series_id, idx, round(CASE WHEN idx >= a THEN lf + (mean - lf) * (idx - a + 1) / (b - a + 1)::DOUBLE ELSE x END, 10) AS masked FROM s JOIN e USING (series_id)")
 def bridged_edges(spark: SparkSession, d: str) -> DataFrame:
     """A region at the end of each series: the line goes to the training mean. What lies outside is checked to be as it was."""
     lay = A.layouts(spark, d).withColumn("a", F.col("n") - 3).withColumn("b", F.col("n"))
-    return R.erased(R.linear_from_mean(A.series(spark, d).join(lay, "series_id"))).select("series_id", "idx", F.round("masked", 4).alias("masked"))
+    return R.erased(R.linear_from_mean(A.series(spark, d).join(lay, "series_id"))).select("series_id", "idx", F.round("masked", 10).alias("masked"))  # ten places: values end before, so none lies between two
 
 
 @query(f"WITH {A.S_SQL}, {A.L_SQL}, {A.R_SQL}, p AS (SELECT s.series_id, max(CASE WHEN idx > a - w AND idx < b + w THEN x END) AS before, max(CASE WHEN idx > a - w AND idx < b + w THEN CASE WHEN idx >= a AND idx < b THEN 0.0 ELSE x END END) AS after, stddev_pop(CASE WHEN idx < te THEN x END) AS sd FROM s JOIN r USING (series_id) GROUP BY 1) SELECT series_id, round(before, 6) AS before, round(after, 6) AS after, round((after - before) / nullif(sd, 0), 6) AS ai FROM p")
