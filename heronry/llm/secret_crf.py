@@ -26,8 +26,7 @@ from heronry.llm.store import small_batches
 # Fixed patterns and their least lengths.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-HEX = re.compile(rb"[0-9a-f]+")
-HEX_LONG = re.compile(rb"[0-9a-f]{24,}")
+HEX = "0123456789abcdef"  # runs of these
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "crf")
 
@@ -48,6 +47,7 @@ def _class(*chars: str) -> np.ndarray:
 _DIGIT, _UPPER, _LOWER = _class("0123456789"), _class("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _class("abcdefghijklmnopqrstuvwxyz")
 _WIDE = np.arange(256) >= 128
 _MARK = _class("_+/.-")
+_HEX = _class(HEX)
 _TOKEN = _DIGIT | _UPPER | _LOWER | _WIDE | _MARK
 _LENGTHS = np.array([4, 8, 12, 16, 20, 24, 32, 48])
 _CUES = np.sort(B.span_hashes(np.frombuffer("".join(CUES).encode(), np.uint8), *(np.cumsum([0, *map(len, CUES)])[k : len(CUES) + k] for k in (0, 1))))
@@ -135,18 +135,46 @@ def neighbours(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, file_edge
     return out
 
 
+def _places(data: bytes, words: tuple[bytes, ...]) -> list[int]:
+    """Where any of the words begins, in order."""
+    out = []
+    for w in words:
+        at = data.find(w)
+        while at >= 0:
+            out.append(at)
+            at = data.find(w, at + 1)
+    return sorted(out)
+
+
+def _matches(pattern: re.Pattern, data: bytes, places: list[int]) -> Iterator[re.Match]:
+    """The matches that a search from the left finds, which begin at one of ``places``."""
+    end = 0
+    for at in places:
+        if at >= end and (m := pattern.match(data, at)):
+            yield m
+            end = m.end()
+
+
+def assigned(data: bytes) -> list[re.Match]:
+    """Matches of the pattern of assignments whose value is long enough; each begins with one of its words."""
+    return [m for m in _matches(ASSIGN, data, _places(data.lower(), (b"passw", b"secret", b"token", b"api"))) if m.end(2) - m.start(2) >= LEAST_VALUE]
+
+
 def base_spans(data: bytes) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the fixed patterns in bytes, leftmost and without overlap in each kind, by start and kind."""
-    out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(data) if m.end(2) - m.start(2) >= LEAST_VALUE]
-    out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(data) if m.end() - m.start() >= LEAST_ACCESS]
-    out += [(m.start(), m.end(), 2) for m in HEX_LONG.finditer(data)]  # of maximal runs, those long enough
-    return sorted(out)
+    out = [(m.start(), m.end(), 0) for m in assigned(data)]
+    out += [(m.start(), m.end(), 1) for m in _matches(ACCESS, data, _places(data, (b"AKIA",))) if m.end() - m.start() >= LEAST_ACCESS]
+    ink = np.concatenate(([False], _HEX[np.frombuffer(data, np.uint8)], [False]))
+    change = np.flatnonzero(ink[1:] != ink[:-1])
+    a, b = change[::2], change[1::2]
+    long = b - a >= LEAST_HEX
+    return sorted(out + [(i, j, 2) for i, j in zip(a[long].tolist(), b[long].tolist(), strict=True)])
 
 
 def _tags(starts: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
     """Tags that the fixed patterns give: the tokens of an assigned value, of a key and of a hex run."""
     tags = np.zeros(len(starts), np.int8)
-    spans = [m.span(2) for m in ASSIGN.finditer(data) if m.end(2) - m.start(2) >= LEAST_VALUE]
+    spans = [m.span(2) for m in assigned(data)]
     spans += [(a, b) for a, b, kind in base_spans(data) if kind]
     for a, b in sorted(spans):
         i, j = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b)
@@ -275,10 +303,12 @@ class Field:
 
     def scores(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Tokens x 3, of features x tokens and NEAR x tokens."""
-        out = x.T.astype(self.emit.dtype) @ self.emit
+        out = self.emit.T @ x.astype(self.emit.dtype)
         for table, at in zip(self.words, near, strict=True):
-            out += table[at]
-        return out
+            at = at.astype(np.intp)
+            for row, column in zip(out, table.T, strict=True):
+                row += np.take(column, at)
+        return out.T
 
     def viterbi(self, scores: np.ndarray) -> np.ndarray:
         """Best tags of one chain."""
