@@ -65,7 +65,12 @@ def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
-def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, file_edges: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the tokens with A-Z lowered."""
+    return B.span_hashes(B.lower_ascii(data), starts, ends)
+
+
+def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, file_edges: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of N_FEATURES each token has, as booleans. ``file_edges``: where each text begins, and the end."""
     n, size = len(starts), ends - starts
     x = np.zeros((N_FEATURES, n), bool)
@@ -93,8 +98,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, file_edges:
     one, two, after = char(starts - 1), char(starts - 2), char(ends)
     quote = (one == 34) | (one == 39)
     start = np.clip(np.searchsorted(file_edges, starts, "right") - 1, 0, len(file_edges) - 2)
-    lowered = B.lower_ascii(data)
-    cue = np.isin(B.span_hashes(lowered, starts, ends), _CUES)
+    cue = np.isin(hashes, _CUES)
     mixed = d & (size >= 6)
 
     def shifted(v: np.ndarray, by: int) -> np.ndarray:
@@ -118,11 +122,10 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, file_edges:
     return x
 
 
-def neighbours(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, file_edges: np.ndarray) -> np.ndarray:
+def neighbours(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, file_edges: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The bucket of each token's neighbouring words (NEAR x tokens), HASHED where the text has none there."""
     n = len(starts)
-    low = B.lower_ascii(data)
-    word = (B.span_hashes(low, starts, ends) >> np.uint64(40)).astype(np.int64) % HASHED
+    word = (hashes >> np.uint64(40)).astype(np.int64) % HASHED
     # a word that looks like a code is told by its looks: it won't be met again
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
     word[digits[ends] > digits[starts]] = 0
@@ -262,7 +265,8 @@ def _tagged(raw: bytes, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.nd
         tags[i:j] = 2
         tags[i : i + 1] = 1
     edges = np.array([0, len(data)])
-    return features(data, starts, ends, edges), neighbours(data, starts, ends, edges), tags, np.stack((starts, ends))
+    hashes = word_hashes(data, starts, ends)
+    return features(data, starts, ends, edges, hashes), neighbours(data, starts, ends, edges, hashes), tags, np.stack((starts, ends))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,7 +429,8 @@ def scan_texts(texts: list[bytes], field: Field | None) -> list[list[tuple[int,
         starts, ends = tokens(data)
         if len(starts):
             text = np.searchsorted(edges, starts, "right") - 1
-            tags = field.decode(field.scores(features(data, starts, ends, edges), neighbours(data, starts, ends, edges)), text)
+            hashes = word_hashes(data, starts, ends)
+            tags = field.decode(field.scores(features(data, starts, ends, edges, hashes), neighbours(data, starts, ends, edges, hashes)), text)
             # an inside tag without a beginning starts a span too
             same = np.append(False, text[1:] == text[:-1])
             goes_on = (tags == 2) & same & np.append(False, tags[:-1] > 0)
