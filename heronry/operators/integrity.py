@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numeric import close, ratio
+from heronry.shared import spread
 
 # Wording that marks advice and projection, in Korean and English.
 ADVISORY_WORDING = (
@@ -30,6 +31,8 @@ VERIFIABLE = ("measured", "derived", "sourced")
 
 #: Questions that one pass over the documents answers.
 ASKED = 500
+#: Texts whose words are held at once.
+TEXTS = 1000
 
 
 def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, block: int = ASKED) -> DataFrame:
@@ -57,9 +60,10 @@ def _best_of_block(docs: DataFrame, queries: DataFrame, asked: list[tuple], k: i
 
     words, ids = sorted({t for _, t, _ in asked}), sorted({q for q, _, _ in asked})
     at_word, at_id = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
-    by_word: list[list[tuple[int, int]]] = [[] for _ in words]  # the queries of each word
+    lists: list[list[tuple[int, int]]] = [[] for _ in words]
     for q, t, m in asked:
-        by_word[at_word[t]].append((at_id[q], m))
+        lists[at_word[t]].append((at_id[q], m))
+    by_word = [(np.array([q for q, _ in x]), np.array([m for _, m in x], np.float32)) for x in lists]  # the queries of each word
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
@@ -78,11 +82,11 @@ def _best_of_block(docs: DataFrame, queries: DataFrame, asked: list[tuple], k: i
             for end, (i, n) in tree.iter(word):
                 if end - n >= ends.get(i, -1):  # without overlap, from the left
                     ends[i] = end
-                    for q, m in by_word[i]:
-                        out[q] += m
+                    q, m = by_word[i]
+                    out[q] += m
             return out
 
-        for batch in batches:
+        for batch in (whole.iloc[k : k + TEXTS] for whole in batches for k in range(0, len(whole), TEXTS)):
             batch = batch.sort_values("doc_id", kind="stable")
             seen: dict[str, int] = {}
             texts = [np.array([seen.setdefault(w, len(seen)) for w in text.split()], np.int64) for text in batch["text"].fillna("")]
@@ -97,7 +101,7 @@ def _best_of_block(docs: DataFrame, queries: DataFrame, asked: list[tuple], k: i
             yield rows[rows["score"] > 0]
 
     kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.lower("text").alias("text")).mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score long")
+    return spread(docs.select("doc_id", F.lower("text").alias("text"))).mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score long")
 
 
 def retrieval_scores(gold: DataFrame) -> DataFrame:

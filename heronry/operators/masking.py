@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numeric import portable_random
-from heronry.operators.series import normal_test  # noqa: F401  (re-exported for callers that mask normal stretches)
 
 def _all():
     return Window.partitionBy("series_id")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronry.functions.numeric import average_rank, portable_random, ratio
+from heronry.functions.numeric import average_rank, portable_random
 from heronry.operators.tables import ranked
 
 

@@ -51,3 +51,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan in as many partitions as there are cores, at least: a small file may come in one.
+
+    A table with enough of them, and anything whose plan moves rows already, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

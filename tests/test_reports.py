@@ -106,3 +106,26 @@ def test_reasons_features_and_periods(spark):
             assert 57 <= int(out.score.idxmax()) <= 63
     assert scores[16, "1"] == pytest.approx(scores[4096, "1"]) and scores[16, "1.0"] == pytest.approx(scores[4096, "1.0"])
     assert scores[16, "1"] != pytest.approx(scores[16, "1.0"])
+
+
+def test_calls_registries_and_boards(spark):
+    from heronry.operators import rollups as L
+
+    assert L.timed(lambda: 3)[:2] == (3, None)
+    result, error, seconds = L.timed(lambda: 1 / 0)
+    assert result is None and error.startswith("ZeroDivisionError") and seconds >= 0
+    reg = spark.createDataFrame([("a", "1", "r", 2), ("a", "2", "r", 6), ("b", "1", "s", 0)], "component string, version string, role string, rung int")
+    out = {r.component: tuple(r)[1:] for r in L.registry_report(reg, reg.where("component = 'a'").select("component")).collect()}
+    assert out == {"a": ("r", 2, "2", 2, True), "b": ("s", 1, "1", 0, False)}
+    with pytest.raises(Exception, match="registered twice"):
+        L.registry_report(reg.union(reg.where("component = 'b'")), reg.select("component")).collect()
+    cal = spark.createDataFrame([("j", True), ("k", False)], "judge string, usable boolean")
+    cases = spark.createDataFrame([(j, 1, True) for j in "jkx"], "judge string, case_id long, passed boolean")
+    assert {r.judge: r.verdict for r in L.judged(cases, cal).collect()} == {"j": True, "k": None, "x": None}
+    pts = spark.createDataFrame([(1, i, float(i), 3, 2, 4) for i in range(6)], "series_id long, idx long, x double, te long, a long, b long")
+    assert [r.masked for r in L.erased(pts.withColumn("masked", F.col("x"))).collect()] == [0, 1, 2, 3, 4, 5]
+    with pytest.raises(Exception, match="changed outside"):
+        L.erased(pts.withColumn("masked", F.lit(1.0))).collect()
+    view = spark.createDataFrame([(1, 2.0)], "key long, value double")
+    with pytest.raises(Exception, match="isn't known"):
+        L.required_at(view, spark.createDataFrame([(1,), (2,)], "key long")).collect()
