@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from heronry.llm import buffers as B
 from heronry.llm.store import small_batches
+from heronry.shared import spread
 
 BUCKETS = 1 << 17
 #: Buckets of the two words that mark repetition.
@@ -154,7 +155,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             for at, end, texts in _steps(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), pa.array(model.score(texts))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def held_out(id_col: str = "doc_id"):

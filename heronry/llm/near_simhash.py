@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from heronry.llm import buffers as B
 from heronry.llm.components import component_roots, local_roots
 from heronry.llm.store import small_batches, written
+from heronry.shared import spread
 
 #: Fingerprints of one bucket that a task holds; a bucket with more is dealt out, and its questions go to each part.
 BLOCK = 1000
@@ -184,7 +185,7 @@ def simhash_components(docs: DataFrame, *, radius: int = 4, id_col: str = "doc_i
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), *_content(text_col), F.col(text_col).cast("string").alias("text"))
-    prints = written(narrow.mapInArrow(_fingerprint_batches, f"doc_id {kind}, k1 long, k2 long, fp long"), "prints")
+    prints = written(spread(narrow).mapInArrow(_fingerprint_batches, f"doc_id {kind}, k1 long, k2 long, fp long"), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
     roots = component_roots(written(hamming_links(distinct, radius=radius), "links"), "simhash-stars")
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class_fp", F.coalesce("root", "fp"))

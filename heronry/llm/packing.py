@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from heronry.llm import buffers as B
 from heronry.llm.store import small_batches, written
+from heronry.shared import spread
 
 LITTLE = sys.byteorder == "little"
 
@@ -306,7 +307,7 @@ def pack(docs: DataFrame, *, size: int = 2048, end_id: int = 0, tokenizer: str |
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = written(narrow.mapInArrow(_cut(tokenizer, size, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, key long"), "pieces")
+    cut = written(spread(narrow).mapInArrow(_cut(tokenizer, size, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, key long"), "pieces")
     placed = place(cut.select("key", F.col("length").alias("size")), size, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if placed is None:
         return spark.createDataFrame([], f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

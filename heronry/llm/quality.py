@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from heronry.llm import buffers as B
 from heronry.llm.store import small_batches, written
+from heronry.shared import spread
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -107,7 +108,7 @@ def _judged(docs: DataFrame, *, min_docs: int = 10, min_left: float = 0.3, min_w
     k1, k2 = _content(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).cast("string").alias("text"))
-    stats = written(narrow.mapInArrow(_measure_batches, _SCHEMA.format(id=kind)), "quality")
+    stats = written(spread(narrow).mapInArrow(_measure_batches, _SCHEMA.format(id=kind)), "quality")
     texts = stats.where(F.size("line_keys") > 0).select("host", "k1", "k2", "line_keys", "line_words").dropDuplicates(["host", "k1", "k2"])
     lines = texts.select("host", "k1", "k2", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).groupBy("host", "k1", "k2", F.col("l.line_keys").alias("line")).agg(F.sum("l.line_words").alias("w"))
     lines = written(lines, "quality-lines")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from heronry.llm import buffers as B
 from heronry.llm.store import small_batches
+from heronry.shared import spread
 
 # Fixed patterns and their least lengths.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -476,4 +477,4 @@ def find_secrets(docs: DataFrame, *, field: Field | None = None, sample: int = 2
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), *counts, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base]), pa.array([",".join(x) for x in listed])], ["doc_id", "n_assign", "n_access", "n_hex", "n_crf", "base_sha256", "spans"])
 
     schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_crf long, base_sha256 string, spans string"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)

@@ -32,6 +32,7 @@ from pyspark.sql.types import IntegralType
 
 from heronry.llm import buffers as B
 from heronry.llm.store import bucketed, small_batches, written
+from heronry.shared import spread
 
 #: Bytes of text in a pack; a longer document is a pack of its own.
 PACK = 4_000_000
@@ -467,7 +468,7 @@ def drop_repeats(docs: DataFrame, *, depth: int = 20, pack: int = PACK, group: i
     kind = docs.schema[id_col].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packs = bucketed(narrow.mapInArrow(_pack_up(kind, pack), f"pack long, ids array<{kind}>, text binary, lengths binary, ranks binary, marks binary, n_words long"), "packs", "pack", parts)
+    packs = bucketed(spread(narrow).mapInArrow(_pack_up(kind, pack), f"pack long, ids array<{kind}>, text binary, lengths binary, ranks binary, marks binary, n_words long"), "packs", "pack", parts)
     total = packs.agg(F.sum("n_words")).first()[0] or 0
 
     low_bits = min(46, max(16, total.bit_length() + 2))
