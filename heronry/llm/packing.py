@@ -215,7 +215,7 @@ def sweep_ranges(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int
 
 
 def _number(meets: list[tuple[int, int, int, int, int]]):
-    """Gives each piece left and each taken place of a gap left the number of its match."""
+    """Gives each taken place of a gap left the number of its match, and so each piece left, NULL if it has none."""
     table = np.array(meets, np.int64).reshape(-1, 5)
     first = np.cumsum(table[:, 4]) - table[:, 4]
 
@@ -225,6 +225,7 @@ def _number(meets: list[tuple[int, int, int, int, int]]):
         for batch in batches:
             kind, span, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "span", "rank"))
             nth, tokens = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("nth", "tokens"))
+            alone = kind == 1
             for (pieces, p, gaps, g, n), at in zip(table.tolist(), first.tolist(), strict=True):
                 mine = np.flatnonzero((kind == 1) & (span == pieces) & (rank >= p) & (rank < p + n))
                 low = np.maximum(rank, g)
@@ -232,11 +233,14 @@ def _number(meets: list[tuple[int, int, int, int, int]]):
                 theirs = np.repeat(np.arange(len(held)), held)
                 place = low[theirs] + np.arange(len(theirs)) - np.repeat(np.cumsum(held) - held, held)
                 both = np.concatenate((mine, theirs))
+                alone[mine] = False
                 if len(both):
                     match = np.concatenate((at + rank[mine] - p, at + place - g))
                     number = np.concatenate((nth[mine], nth[theirs] + place - rank[theirs])).astype(np.int32)
                     took = batch.take(pa.array(both))
                     yield pa.RecordBatch.from_arrays([*(took.column(c) for c in names[:4]), pa.array(number), pa.array(match)], names)
+            rest = batch.filter(pa.array(alone))
+            yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in names[:5]), pa.nulls(len(rest), pa.int64())], names)
 
     return run
 
@@ -269,15 +273,12 @@ def place(pieces: DataFrame, size: int, parts: int) -> DataFrame | None:
         counts = {r.span: (r.p or 0, r.g or 0) for r in swept.where("kind > 0").groupBy("span").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("p"), F.sum("tokens").alias("g")).collect()}
         meets = sweep_ranges(counts)
         here = swept.where("kind = 0").select("key", "size", "sequence", F.lit(step).alias("step"), "nth")
-        unplaced = swept.where("kind = 1").select("key", "size")
+        left = swept.where("kind = 1").select("key", "size")
         if meets:
-            met = swept.where("kind > 0").mapInArrow(_number(meets), "kind int, key long, size long, sequence long, nth int, match long")
-            across = met.where("kind = 1").select("key", "size", "match").join(met.where("kind = 2").select("sequence", "nth", "match").hint("merge"), "match")
-            here = here.unionByName(across.select("key", "size", "sequence", F.lit(step).alias("step"), "nth"))
-        here = written(here, "placed")
-        if meets:
-            unplaced = unplaced.join(here.select("key").hint("merge"), "key", "left_anti")
-        left = written(unplaced, "left")
+            met = written(swept.where("kind > 0").mapInArrow(_number(meets), "kind int, key long, size long, sequence long, nth int, match long"), "met")
+            left = met.where("kind = 1 AND match IS NULL").select("key", "size")
+            across = met.where("kind = 1 AND match IS NOT NULL").select("key", "size", "match").join(met.where("kind = 2").select("sequence", "nth", "match").hint("merge"), "match")
+            here = written(here.unionByName(across.select("key", "size", "sequence", F.lit(step).alias("step"), "nth")), "placed")
         taken = here.groupBy("sequence").agg(F.sum("size").alias("taken"))
         gaps = gaps.join(taken.hint("merge"), "sequence", "left").select("sequence", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room"))
         done.append(here)
