@@ -81,6 +81,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), sample=4000, threshold=0.7)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.turns import repair_report
+
+    return repair_report(_read(spark, sf_dir, "conversations"))
+
+
+def op13_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.flac import media_digests
+
+    return media_digests(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
