@@ -49,15 +49,16 @@ def drop_frequent_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int =
     held = narrow.select("__id", F.xxhash64("__text").alias("__t"), F.posexplode(hashes).alias("__pos", "__k")).where("__k IS NOT NULL").select("__id", "__t", "__pos", F.col("__k.a").alias("__a"), F.col("__k.b").alias("__b"))
     held = written(held, "lines")
     common = held.select("__id", "__a", "__b").distinct().groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_docs).select("__a", "__b")
-    bad = held.join(common, ["__a", "__b"]).groupBy("__id", "__t").agg(F.collect_list("__pos").alias("__bad"))
+    bad = held.join(common, ["__a", "__b"]).groupBy("__id", "__t").agg(F.collect_set("__pos").alias("__bad"))
     bad = bad.select(F.col("__id").alias("__i"), F.col("__t").alias("__h"), "__bad")
     out = docs.join(bad, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__h")), "left")
     lines = split_lines(F.col(text_col))
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.when(F.col("__bad").isNull(), lines).otherwise(F.transform(F.array_except(places, F.col("__bad")), lambda p: F.get(lines, p)))
-    out = out.withColumn("__lines", F.size(lines).cast("long")).withColumn("__kept", kept)
+    # what a lambda refers to is evaluated for each element unless it is an element itself
+    once = F.array(F.struct(lines.alias("lines"), F.sequence(F.lit(0), F.size(lines) - 1).alias("places"), F.col("__bad").alias("bad")))
+    kept = F.transform(once, lambda s: F.array_join(F.transform(F.array_except(s["places"], s["bad"]), lambda p: F.get(s["lines"], p)), "\n"))
+    whole = F.when(F.col("__bad").isNull(), text).otherwise(F.get(kept, 0))
     return out.select(
-        F.col("__lines").alias("__n_lines"),
-        (F.col("__lines") - F.size("__kept")).cast("long").alias("__n_dropped"),
-        *[F.array_join("__kept", "\n").alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
+        F.size(lines).cast("long").alias("__n_lines"),
+        F.coalesce(F.size("__bad"), F.lit(0)).cast("long").alias("__n_dropped"),
+        *[whole.alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
     )

@@ -21,15 +21,21 @@ def uniform(*parts: Column) -> Column:
 
 def _inverse(mean: Column, u: Column) -> Column:
     """The number of k with P(X <= k) < u: the inverse Poisson distribution, for a mean of at most PART_MEAN."""
-    start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("c"))
 
-    def step(s: Column, i: Column) -> Column:
-        p = s["p"] * mean / i
-        return F.when(u > s["c"], F.struct((s["k"] + 1).alias("k"), p.alias("p"), (s["c"] + p).alias("c"))).otherwise(s)
+    def found(v: Column) -> Column:
+        mean, u = v["mean"], v["u"]
+        start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("c"))
 
-    # beyond this bound less probability is left than one step of u
-    most = F.ceil(mean + F.lit(12.0) * F.sqrt(mean) + F.lit(20.0)).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
+        def step(s: Column, i: Column) -> Column:
+            p = s["p"] * mean / i
+            return F.when(u > s["c"], F.struct((s["k"] + 1).alias("k"), p.alias("p"), (s["c"] + p).alias("c"))).otherwise(s)
+
+        # beyond this bound less probability is left than one step of u
+        most = F.ceil(mean + F.lit(12.0) * F.sqrt(mean) + F.lit(20.0)).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
+
+    # as elements of an array mean and u are evaluated once, not at each step
+    return F.get(F.transform(F.array(F.struct(mean.alias("mean"), u.alias("u"))), found), 0)
 
 
 def poisson_count(mean: Column, seed: int, *key: Column) -> Column:

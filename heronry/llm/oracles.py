@@ -69,3 +69,22 @@ left_ AS (SELECT words.doc_id, string_agg(w, ' ' ORDER BY q) AS kept, count(*) A
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN left_ USING (doc_id)
 """
+
+SQL["op11_phrase_mining"] = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+ws AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM ws, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND a >= 30),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+scores AS (SELECT u.lang, u.phrase, u.a, u.j, p.a AS l, q.a AS r, ((2000000::HUGEINT * u.a) // (p.a + q.a))::BIGINT AS score
+           FROM cuts u JOIN f p ON p.lang = u.lang AND p.phrase = array_to_string(u.ws[1:u.j], ' ') JOIN f q ON q.lang = u.lang AND q.phrase = array_to_string(u.ws[u.j + 1:u.k], ' ')),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+subs AS (SELECT lang, a, ws, k, unnest(range(2, k)) AS m FROM c),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM subs) GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN sizes USING (lang)
+QUALIFY rank <= 2000
+"""

@@ -81,6 +81,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), sample=4000, threshold=0.7)
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.phrases import collocations
+
+    return collocations(_read(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronry.llm.turns import repair_report
 
