@@ -6,7 +6,9 @@ windows, which add up by window. A long series so spreads over as many tasks as
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.operators.series import pack
+from heronry.shared import dealt
 
 
 def expected_path(n: np.ndarray | float) -> np.ndarray:
@@ -22,22 +25,62 @@ def expected_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def path_lengths(sample: np.ndarray, points: np.ndarray, rng: np.random.Generator, limit: int) -> np.ndarray:
-    """Depth at which one random tree over ``sample`` isolates each of ``points``."""
-    out = np.zeros(len(points))
-    todo = [(sample, np.arange(len(points)), 0)]
+@dataclass
+class Tree:
+    """A random tree as arrays over its nodes, the root first; ``feature`` is -1 at a leaf, ``value`` the path length there."""
+
+    size: int
+    used: np.ndarray
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+
+    def depths(self, points: np.ndarray) -> np.ndarray:
+        """Path length of each point (rows of all features)."""
+        seen = points[:, self.used]
+        at = np.zeros(len(points), np.int64)
+        open_ = np.arange(len(points))
+        while len(open_):
+            node = at[open_]
+            inner = self.feature[node] >= 0
+            open_, node = open_[inner], node[inner]
+            goes_left = seen[open_, self.feature[node]] < self.cut[node]
+            at[open_] = np.where(goes_left, self.left[node], self.right[node])
+        return self.value[at]
+
+
+def grow(sample: np.ndarray, used: np.ndarray, rng: np.random.Generator, limit: int) -> Tree:
+    """A random tree that isolates the rows of ``sample``, of features ``used``."""
+    nodes: list[list[float]] = [[-1, 0.0, -1, -1, 0.0]]
+    todo = [(sample, 0, 0)]
     while todo:
-        s, at, depth = todo.pop()  # also where no point is left: draws are the same for any block of points
+        s, at, depth = todo.pop()
         lo, hi = s.min(axis=0), s.max(axis=0)
         free = np.flatnonzero(hi > lo)
         if depth >= limit or len(s) <= 1 or not len(free):
-            out[at] = depth + expected_path(len(s))
+            nodes[at][4] = depth + float(expected_path(len(s)))
             continue
         f = rng.choice(free)
         cut = rng.uniform(lo[f], hi[f])
-        left, mine = s[:, f] < cut, points[at, f] < cut
-        todo += [(s[left], at[mine], depth + 1), (s[~left], at[~mine], depth + 1)]
-    return out
+        left = s[:, f] < cut
+        nodes[at][:4] = [int(f), float(cut), len(nodes), len(nodes) + 1]
+        nodes += [[-1, 0.0, -1, -1, 0.0], [-1, 0.0, -1, -1, 0.0]]
+        todo += [(s[left], len(nodes) - 2, depth + 1), (s[~left], len(nodes) - 1, depth + 1)]
+    feature, cut, left, right, value = zip(*nodes, strict=True)
+    return Tree(len(sample), used, np.array(feature, np.int64), np.array(cut, float), np.array(left, np.int64), np.array(right, np.int64), np.array(value, float))
+
+
+def grow_tree(train: np.ndarray, series_id: object, t: int, *, sample: int, max_features: int | float, seed: int) -> Tree:
+    """Tree number ``t`` of a series, from its training windows; the draws are fixed by seed, series and number."""
+    w, size = train.shape[1], min(sample, len(train))
+    n = features_used(max_features, w)
+    text = str(series_id)
+    rng = np.random.default_rng([seed, int(text) if text.isdigit() else zlib.crc32(text.encode()), t])
+    chosen = train[rng.choice(len(train), size, replace=False)]
+    used = np.sort(rng.choice(w, n, replace=False)) if n < w else np.arange(w)
+    return grow(chosen[:, used], used, rng, int(np.ceil(np.log2(max(size, 2)))))
 
 
 def features_used(max_features: int | float, w: int) -> int:
@@ -57,24 +100,22 @@ def isolation_forest(series: DataFrame, layouts: DataFrame, *, trees: int = 200,
     tasks = layouts.join(pack(series), "series_id").where("te >= w").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(-(-trees // group) - 1))))
     tasks = tasks.withColumn("first", F.explode(F.expr(f"sequence(0, size(xs) - int(w), {block})")))
     m = F.col("w").cast("int")
-    narrow = tasks.select("series_id", "w", "g", "first", F.expr("slice(xs, 1, int(te))").alias("train"), F.slice("xs", F.col("first") + 1, F.least(F.lit(block) + m - 1, F.size("xs") - F.col("first"))).alias("part")).repartition("series_id", "g", "first")
+    narrow = dealt(tasks.select("series_id", "w", "g", "first", F.expr("slice(xs, 1, int(te))").alias("train"), F.slice("xs", F.col("first") + 1, F.least(F.lit(block) + m - 1, F.size("xs") - F.col("first"))).alias("part")), "series_id", "g", "first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                w = int(r.w)
-                train, v = (np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), w) for x in (r.train, r.part))
-                total = np.zeros(len(v))
-                size, used = min(sample, len(train)), features_used(max_features, w)
-                for t in range(r.g * group, min((r.g + 1) * group, trees)):
-                    rng = np.random.default_rng([seed, int(r.series_id) if str(r.series_id).lstrip("-").isdigit() and int(r.series_id) >= 0 else 0, t])
-                    chosen = train[rng.choice(len(train), size, replace=False)]
-                    seen = np.sort(rng.choice(w, used, replace=False)) if used < w else slice(None)
-                    total += path_lengths(chosen[:, seen], v[:, seen], rng, int(np.ceil(np.log2(max(size, 2)))))
-                yield pd.DataFrame({"series_id": r.series_id, "start": np.arange(r.first, r.first + len(v)), "total": total, "size": size})
+                train, v = (np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), int(r.w)) for x in (r.train, r.part))
+                grown = [grow_tree(train, r.series_id, t, sample=sample, max_features=max_features, seed=seed) for t in range(r.g * group, min((r.g + 1) * group, trees))]
+                yield pd.DataFrame({"series_id": r.series_id, "start": np.arange(r.first, r.first + len(v)), "total": sum(t.depths(v) for t in grown), "size": grown[0].size})
 
     kind = series.schema["series_id"].dataType.simpleString()
-    sums = narrow.mapInPandas(run, f"series_id {kind}, start long, total double, size long").groupBy("series_id", "start").agg(F.sum("total").alias("t"), F.max("size").alias("m"))
+    return forest_scores(narrow.mapInPandas(run, f"series_id {kind}, start long, total double, size long"), layouts, trees)
+
+
+def forest_scores(parts: DataFrame, layouts: DataFrame, trees: int) -> DataFrame:
+    """(series_id, idx, score) from path lengths (series_id, start, total, size) of groups of trees."""
+    sums = parts.groupBy("series_id", "start").agg(F.sum("total").alias("t"), F.max("size").alias("m"))
     log = F.log((F.col("m") - 1).cast("double")) + 0.5772156649015329
     c = F.when(F.col("m") > 2, 2 * log - F.lit(2.0) * (F.col("m") - 1) / F.col("m")).otherwise(F.lit(1.0))
     return _edges(sums.select("series_id", "start", F.pow(F.lit(2.0), -F.col("t") / trees / c).alias("v")), layouts)
@@ -88,23 +129,20 @@ def _edges(values: DataFrame, layouts: DataFrame) -> DataFrame:
     return at.join(values, ["series_id", "start"]).select("series_id", "idx", F.col("v").alias("score"))
 
 
-def kmeans_distance(series: DataFrame, layouts: DataFrame, *, k: int = 4, rounds: int = 20, block: int = 4096, seed: int = 7) -> DataFrame:
-    """(series_id, idx, score): distance of z-scaled windows to the nearest of k centres of the training part.
+def _scaled(x: list[float], w: int, mean: float, sd: float) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view((np.asarray(x, float) - mean) / sd, w)
 
-    Centres are found on the training part, a task a series; windows are then dealt out in blocks with the centres.
-    """
-    packed = layouts.join(pack(series), "series_id").where("te >= w").select("series_id", "w", "te", "xs")
-    kind = series.schema["series_id"].dataType.simpleString()
 
-    def windows(x: list[float], w: int, mean: float, sd: float) -> np.ndarray:
-        return np.lib.stride_tricks.sliding_window_view((np.asarray(x, float) - mean) / sd, w)
+def kmeans_centres(series: DataFrame, layouts: DataFrame, *, k: int = 4, rounds: int = 20, seed: int = 7) -> DataFrame:
+    """(series_id, w, mean, sd, centres): k centres of the z-scaled windows of each training part, a task a series."""
+    packed = layouts.join(pack(series), "series_id").where("te >= w").select("series_id", "w", F.expr("slice(xs, 1, int(te))").alias("train"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 x = np.asarray(r.train, float)
                 mean, sd = float(x.mean()), float(x.std() or 1.0)
-                train = windows(r.train, int(r.w), mean, sd)
+                train = _scaled(r.train, int(r.w), mean, sd)
                 rng = np.random.default_rng(seed)
                 centres = train[rng.choice(len(train), min(k, len(train)), replace=False)].copy()
                 for _ in range(rounds):
@@ -112,23 +150,37 @@ def kmeans_distance(series: DataFrame, layouts: DataFrame, *, k: int = 4, rounds
                     for j in range(len(centres)):
                         if (near == j).any():
                             centres[j] = train[near == j].mean(axis=0)
-                yield pd.DataFrame({"series_id": [r.series_id], "mean": [mean], "sd": [sd], "centres": [centres.ravel().tolist()]})
+                yield pd.DataFrame({"series_id": [r.series_id], "w": [int(r.w)], "mean": [mean], "sd": [sd], "centres": [centres.ravel().tolist()]})
+
+    kind = series.schema["series_id"].dataType.simpleString()
+    return packed.mapInPandas(fit, f"series_id {kind}, w long, mean double, sd double, centres array<double>")
+
+
+def centre_distances(blocks: DataFrame, centres: DataFrame, layouts: DataFrame, id_type: str) -> DataFrame:
+    """(series_id, idx, score) of blocks (series_id, w, first, part) of windows, by the centres of their series."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                w = int(r.w)
-                v = windows(r.part, w, r.mean, r.sd)
+                v = _scaled(r.part, int(r.w), r.mean, r.sd)
                 d = np.full(len(v), np.inf)
-                for c in np.asarray(r.centres, float).reshape(-1, w):
+                for c in np.asarray(r.centres, float).reshape(-1, int(r.w)):
                     d = np.minimum(d, ((v - c) ** 2).sum(axis=1))
                 yield pd.DataFrame({"series_id": r.series_id, "start": np.arange(r.first, r.first + len(v)), "v": np.sqrt(d)})
 
-    centres = packed.select("series_id", "w", F.expr("slice(xs, 1, int(te))").alias("train")).mapInPandas(fit, f"series_id {kind}, mean double, sd double, centres array<double>")
+    each = dealt(blocks.join(centres.drop("w"), "series_id").select("series_id", "w", "first", "part", "mean", "sd", "centres"), "series_id", "first")
+    return _edges(each.mapInPandas(measure, f"series_id {id_type}, start long, v double"), layouts)
+
+
+def kmeans_distance(series: DataFrame, layouts: DataFrame, *, k: int = 4, rounds: int = 20, block: int = 4096, seed: int = 7) -> DataFrame:
+    """(series_id, idx, score): distance of z-scaled windows to the nearest of k centres of the training part.
+
+    Centres are found on the training part, a task a series; windows are then dealt out in blocks with the centres.
+    """
     m = F.col("w").cast("int")
+    packed = layouts.join(pack(series), "series_id").where("te >= w").select("series_id", "w", "xs")
     blocks = packed.withColumn("first", F.explode(F.expr(f"sequence(0, size(xs) - int(w), {block})"))).select("series_id", "w", "first", F.slice("xs", F.col("first") + 1, F.least(F.lit(block) + m - 1, F.size("xs") - F.col("first"))).alias("part"))
-    dist = blocks.join(centres, "series_id").select("series_id", "w", "first", "part", "mean", "sd", "centres").mapInPandas(measure, f"series_id {kind}, start long, v double")
-    return _edges(dist, layouts)
+    return centre_distances(blocks, kmeans_centres(series, layouts, k=k, rounds=rounds, seed=seed), layouts, series.schema["series_id"].dataType.simpleString())
 
 
 def nearest_difference(windows: DataFrame, profile: DataFrame, layouts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numeric import average_rank, composite, ratio
+from heronry.shared import dealt
 
 
 # --- curves
@@ -179,10 +180,15 @@ def coalitions(sized: DataFrame, draws: Column | int, *, seed: int = 7) -> DataF
     sizes = F.sequence(F.lit(1), (F.col("k") - 1).cast("int"))
     p = F.transform(sizes, lambda j: (F.col("k") - 1) / (j * (F.col("k") - j)).cast("double"))
     total = F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
-    drawn = sized.where("k > 1").withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    # draws are dealt out in blocks: a series has thousands, and their work is large for their bytes
+    blocks = dealt(sized.where("k > 1").withColumn("m", F.lit(draws).cast("long")).withColumn("b", F.explode(F.expr("sequence(0L, m - 1, 256L)"))), "series_id", "b")
+    drawn = blocks.withColumn("d", F.explode(F.expr("sequence(b, least(b + 255, m - 1))"))).drop("b", "m")
     u = portable_random(F.lit(seed), F.col("series_id"), F.col("d")) * total
-    size = F.aggregate(p, F.struct(F.lit(0.0).alias("c"), F.lit(1).alias("j")), lambda s, q: F.struct((s["c"] + q).alias("c"), F.when(s["c"] + q <= u, s["j"] + 1).otherwise(s["j"]).alias("j")), lambda s: F.least(s["j"], F.col("k").cast("int") - 1))
-    keys = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("k").cast("int") - 1), lambda i: F.struct(portable_random(F.lit(seed + 1), F.col("series_id"), F.col("d"), i).alias("r"), i.alias("i"))))
+    k = F.col("k").cast("int")
+    # u, and the chosen segments below, are elements of arrays: what else a lambda refers to is evaluated for each element
+    drawn_size = lambda v: F.aggregate(p, F.struct(F.lit(0.0).alias("c"), F.lit(1).alias("j")), lambda s, q: F.struct((s["c"] + q).alias("c"), F.when(s["c"] + q <= v, s["j"] + 1).otherwise(s["j"]).alias("j")), lambda s: F.least(s["j"], k - 1))
+    size = F.get(F.transform(F.array(u), drawn_size), 0)
+    keys = F.array_sort(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(portable_random(F.lit(seed + 1), F.col("series_id"), F.col("d"), i).alias("r"), i.alias("i"))))
     chosen = F.transform(F.slice(keys, F.lit(1), size), lambda t: t["i"])
-    z = F.transform(F.sequence(F.lit(0), F.col("k").cast("int") - 1), lambda i: F.array_contains(chosen, i).cast("int"))
+    z = F.get(F.transform(F.array(chosen), lambda c: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.array_contains(c, i).cast("int"))), 0)
     return ends.unionByName(drawn.select("series_id", "d", z.alias("z"), F.lit(1.0).alias("weight")))

@@ -20,21 +20,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronry.operators.series import pack
+from heronry.shared import dealt
 
 #: Windows of a block.
 BLOCK = 2048
 
 
-def _windows(x: np.ndarray, m: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    v = np.lib.stride_tricks.sliding_window_view(x, m) if len(x) >= m else np.zeros((0, m))
-    constant = v.max(axis=1) == v.min(axis=1) if len(v) else np.zeros(0, bool)
+def normalised(v: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (rows) as the kind compares them, and which are constant under "z"."""
     if kind == "raw":
         return v, np.zeros(len(v), bool)
+    constant = v.max(axis=1) == v.min(axis=1) if len(v) else np.zeros(0, bool)
     sd = v.std(axis=1)
     sd = np.where(constant | (sd == 0), 1.0, sd)
     return np.where(constant[:, None], 0.0, (v - v.mean(axis=1)[:, None]) / sd[:, None]), constant
 
 
+def _windows(x: np.ndarray, m: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    return normalised(np.lib.stride_tricks.sliding_window_view(x, m) if len(x) >= m else np.zeros((0, m)), kind)
+
+
 def nearest(query: np.ndarray, reference: np.ndarray, m: int, *, kind: str = "z", first: int = 0, first_ref: int = 0, exclusion: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distance of each window of ``query`` to its nearest one in ``reference``, and where that one starts (the first of equals).
 
@@ -43,8 +48,18 @@ def nearest(query: np.ndarray, reference: np.ndarray, m: int, *, kind: str = "z"
     """
     a, ca = _windows(query, m, kind)
     b, cb = _windows(reference, m, kind)
+    far = None
+    if exclusion is not None:
+        far = np.abs(np.arange(first, first + len(a))[:, None] - np.arange(first_ref, first_ref + len(b))[None]) <= exclusion
+    dist, where = least(a, ca, b, cb, kind=kind, apart=far)
+    return dist, np.where(where >= 0, where + first_ref, -1)
+
+
+def least(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray, *, kind: str = "z", apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of each window of ``a`` to its nearest in ``b``, and which that is; pairs marked in ``apart`` are none."""
     if not len(a) or not len(b):
         return np.full(len(a), np.inf), np.full(len(a), -1)
+    m = a.shape[1]
     middle = b.mean() if kind == "raw" else 0.0  # products of smaller numbers lose less
     p, q = a - middle, b - middle
     size_a, size_b = (p * p).sum(axis=1), (q * q).sum(axis=1)
@@ -53,11 +68,10 @@ def nearest(query: np.ndarray, reference: np.ndarray, m: int, *, kind: str = "z"
     if kind == "z":
         d[ca[:, None] != cb[None]] = m
         d[ca[:, None] & cb[None]] = 0.0
-    if exclusion is not None:
-        apart = np.abs(np.arange(first, first + len(a))[:, None] - np.arange(first_ref, first_ref + len(b))[None])
-        d[apart <= exclusion] = np.inf
-    least = d.min(axis=1)
-    rows, cols = np.nonzero((d <= least[:, None] + slack) & np.isfinite(d))
+    if apart is not None:
+        d[apart] = np.inf
+    lowest = d.min(axis=1)
+    rows, cols = np.nonzero((d <= lowest[:, None] + slack) & np.isfinite(d))
     exact = np.zeros(len(rows))
     for k in range(m):
         diff = a[rows, k] - b[cols, k]
@@ -68,7 +82,7 @@ def nearest(query: np.ndarray, reference: np.ndarray, m: int, *, kind: str = "z"
     best, where = np.full(len(a), np.inf), np.full(len(a), -1)
     order = np.lexsort((cols, exact, rows))
     lead = order[np.append(True, rows[order][1:] != rows[order][:-1])[: len(order)]]
-    best[rows[lead]], where[rows[lead]] = exact[lead], cols[lead] + first_ref
+    best[rows[lead]], where[rows[lead]] = exact[lead], cols[lead]
     return np.sqrt(best), where
 
 
@@ -93,20 +107,26 @@ def matrix_profile(series: DataFrame, layouts: DataFrame, *, mode: str = "ab_joi
     m = F.col("w").cast("int")
     narrow = pairs.select("series_id", "w", "lo", "r0", F.slice("xs", F.col("lo") + 1, F.col("hi") - F.col("lo") + m).alias("q"), F.slice("xs", F.col("r0") + 1, F.least(F.lit(block) + m - 1, F.col("ref_end") - F.col("r0"))).alias("ref"))
 
+    out = against(narrow, kind=kind, id_type=series.schema["series_id"].dataType.simpleString(), self_join=mode == "self_join")
+    return out.join(layouts, "series_id").where(starts).select(*out.columns) if starts is not None else out
+
+
+def against(pairs: DataFrame, *, kind: str, id_type: str, self_join: bool = False) -> DataFrame:
+    """(series_id, start, dist, nearest) from pairs of blocks (series_id, w, lo, q, r0, ref), each pair dealt out by itself."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples():
                 m = int(r.w)
-                d, j = nearest(np.asarray(r.q, float), np.asarray(r.ref, float), m, kind=kind, first=int(r.lo), first_ref=int(r.r0), exclusion=-(-m // 4) if mode == "self_join" else None)
+                d, j = nearest(np.asarray(r.q, float), np.asarray(r.ref, float), m, kind=kind, first=int(r.lo), first_ref=int(r.r0), exclusion=-(-m // 4) if self_join else None)
                 out.append((np.full(len(d), r.series_id), np.arange(r.lo, r.lo + len(d)), d, j))
             if out:
                 yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("series_id", "start", "dist", "nearest"), zip(*out, strict=True), strict=True)})
 
-    kind_of = series.schema["series_id"].dataType.simpleString()
-    out = narrow.mapInPandas(run, f"series_id {kind_of}, start long, dist double, nearest long").where(F.col("dist") < float("inf"))
-    out = out.groupBy("series_id", "start").agg(F.min(F.struct("dist", "nearest")).alias("m")).select("series_id", "start", "m.dist", "m.nearest")
-    return out.join(layouts, "series_id").where(starts).select(*out.columns) if starts is not None else out
+    each = dealt(pairs.select("series_id", "w", "lo", "r0", "q", "ref"), "series_id", "lo", "r0")
+    out = each.mapInPandas(run, f"series_id {id_type}, start long, dist double, nearest long").where(F.col("dist") < float("inf"))
+    return out.groupBy("series_id", "start").agg(F.min(F.struct("dist", "nearest")).alias("m")).select("series_id", "start", "m.dist", "m.nearest")
 
 
 def pad(profile: DataFrame, layouts: DataFrame) -> DataFrame:

@@ -62,3 +62,12 @@ def spread(df: DataFrame) -> DataFrame:
     if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
         return df
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out by keys to as many partitions as a shuffle has, and as there are cores at least.
+
+    For rows whose work is large and whose bytes are few: left to itself, adaptive execution puts such rows together.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
