@@ -248,3 +248,8 @@ def four_cells(rows: DataFrame, flags: Sequence[str]) -> DataFrame:
     n = rows.groupBy(*flags).agg(F.count(F.lit(1)).alias("n"))
     out = grid.join(n, list(flags), "left").fillna({"n": 0})
     return out.withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))
+
+
+def united(lists: DataFrame, key: str, values: str) -> DataFrame:
+    """(key, values): the sorted union of a key's lists of indices, each index once; null lists and indices are left out."""
+    return lists.select(key, F.explode(values).alias("_v")).where("_v IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_set("_v")).alias(values))

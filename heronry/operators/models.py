@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from heronry.operators import forest as O
 from heronry.operators import profile as P
-from heronry.operators.series import pack
+from heronry.operators.series import fit_part, pack
 from heronry.shared import dealt
 
 
@@ -155,16 +155,15 @@ def score_kmeans(model: Model, series: DataFrame, *, block: int = 4096) -> DataF
 # --- matrix profile
 
 
-def fit_profile(series: DataFrame, layouts: DataFrame, folder: str, name: str, *, kind: str = "z", block: int = P.BLOCK) -> Model:
-    """The training part of each series as blocks of reference windows."""
-    train = series.join(layouts.select("series_id", "w", "te"), "series_id").where("idx < te").select("series_id", "idx", "x")
-    parts = _blocks(train, layouts.select("series_id", "w"), block)
+def fit_profile(series: DataFrame, layouts: DataFrame, folder: str, name: str, *, kind: str = "z", on: str = "train", block: int = P.BLOCK) -> Model:
+    """The training part of each series, or with ``on="full"`` all of it, as blocks of reference windows."""
+    parts = _blocks(fit_part(series, layouts, on), layouts.select("series_id", "w"), block)
     v = F.transform(F.sequence(F.lit(1), F.size("part") - F.col("w").cast("int") + 1), lambda i: F.slice("part", i, F.col("w").cast("int")))
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda p, q: p + q)
     windows = parts.withColumn("v", v).withColumn("mean", F.transform("v", lambda a: add(a) / F.size(a)))
     deviation = F.zip_with("v", "mean", lambda a, mu: F.sqrt(add(F.transform(a, lambda x: (x - mu) * (x - mu))) / F.size(a)))
     reference = windows.select("series_id", "w", F.col("first").cast("long").alias("r0"), F.col("part").alias("ref"), "mean", deviation.alias("sd"))
-    return _kept({"reference": reference}, "profile", folder, name, {"kind": kind, "block": block})
+    return _kept({"reference": reference}, "profile", folder, name, {"kind": kind, "on": on, "block": block})
 
 
 def score_profile(model: Model, series: DataFrame, *, block: int = P.BLOCK) -> DataFrame:

@@ -86,8 +86,9 @@ def tie_replicates(rows: DataFrame, keys: Sequence[str], seq: str, replicates: i
     """(k, keys, rest of the row): of rows that share ``keys`` one in each replicate k, by seeded hash; replicate 0 takes the first, as was stored."""
     many = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     order = F.when(F.col("k") == 0, F.lit(0.0)).otherwise(portable_random(F.lit(seed), F.col("k"), F.col(seq)))
-    first = F.row_number().over(Window.partitionBy("k", *keys).orderBy(order, seq))
-    return many.withColumn("_r", first).where("_r = 1").drop("_r")
+    rest = [c for c in rows.columns if c not in (*keys, seq)]
+    best = many.groupBy("k", *keys).agg(F.min(F.struct(order.alias("_o"), seq, *rest)).alias("_s"))
+    return best.select("k", *keys, f"_s.{seq}", *[f"_s.{c}" for c in rest])
 
 
 def replicate_summary(cells: DataFrame, baseline: str) -> DataFrame:

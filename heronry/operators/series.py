@@ -119,3 +119,11 @@ def resample(packed: DataFrame, n: int) -> DataFrame:
         return F.get("xs", low) + (F.get("xs", high) - F.get("xs", low)) * (p - low)
 
     return packed.select("series_id", F.transform(at, value).alias("xs"))
+
+
+def fit_part(series: DataFrame, layouts: DataFrame, on: str = "train") -> DataFrame:
+    """The points that a detector is fitted on: those before ``te``, or with "full" all of them."""
+    if on not in ("train", "full"):
+        raise ValueError(f"unknown part {on!r}")
+    known = series.join(layouts.select("series_id", "te"), "series_id")
+    return (known.where("idx < te") if on == "train" else known).select("series_id", "idx", "x")

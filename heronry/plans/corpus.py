@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numeric import r6
@@ -149,27 +149,35 @@ def finance_rails(spark: SparkSession, d: str) -> DataFrame:
     return I.guardrails(rows, {k: (v, 0) for k, v in rails.items()}).select("rail", "hits")
 
 
-_AN_SQL = "an AS (SELECT o_orderkey AS answer_id, CASE WHEN o_orderkey % 5 = 0 THEN 'no form' WHEN o_orderkey % 5 = 1 THEN '- it rose [s1, s9]' WHEN o_orderkey % 5 = 2 THEN '- unknown [none]' WHEN o_orderkey % 5 = 3 THEN '- it rose []' ELSE '- a [s1]' || chr(10) || '- b [s2, s3]' END AS answer FROM orders)"
+#: Lines of assistants' turns: what has a comma cites two sources by its length, a sentence cites none, another line of an
+#: odd length cites nothing, and the rest is out of form. Known sources are the regions.
+_AN_SQL = """ln AS (SELECT conv_id * 100 + turn AS answer_id, unnest(string_split(text, chr(10))) AS raw FROM conversations WHERE role = 'assistant'),
+cl AS (SELECT answer_id, raw, length(raw) AS n, CASE WHEN contains(raw, ',') THEN 'cited' WHEN raw LIKE '%.' THEN 'none' WHEN length(raw) % 2 = 1 THEN 'bare' ELSE 'malformed' END AS form FROM ln WHERE trim(raw) <> '')"""
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey") % 5
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), F.when(k == 0, "no form").when(k == 1, "- it rose [s1, s9]").when(k == 2, "- unknown [none]").when(k == 3, "- it rose []").otherwise("- a [s1]\n- b [s2, s3]").alias("answer"))
+    def line(raw: Column) -> Column:
+        n = F.char_length(raw)
+        cited = F.concat(F.lit("- "), raw, F.lit(" [s"), (n % 7).cast("string"), F.lit(", s"), (n % 3).cast("string"), F.lit("]"))
+        return F.when(F.contains(raw, F.lit(",")), cited).when(F.endswith(raw, F.lit(".")), F.concat(F.lit("- "), raw, F.lit(" [none]"))).when(n % 2 == 1, F.concat(F.lit("- "), raw, F.lit(" []"))).otherwise(raw)
 
+    c = table(spark, d, "conversations").where("role = 'assistant'")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("answer"))
 
-@query(f"WITH {_AN_SQL} SELECT answer_id, CASE answer_id % 5 WHEN 0 THEN 'malformed' WHEN 1 THEN 'unknown_citation' ELSE 'no_citation' END AS signal, 1 AS n FROM an WHERE answer_id % 5 IN (0, 1, 3) UNION ALL SELECT answer_id, 'unknown_citation', 1 FROM an WHERE answer_id % 5 = 4")
+
+@query(f"""WITH {_AN_SQL} SELECT answer_id, signal, sum(k)::BIGINT AS n FROM (SELECT answer_id, CASE form WHEN 'malformed' THEN 'malformed' WHEN 'bare' THEN 'no_citation' ELSE 'unknown_citation' END AS signal, 1 AS k FROM cl WHERE form IN ('malformed', 'bare') OR (form = 'cited' AND n % 7 > 4)) GROUP BY ALL""")
 def answer_signals(spark: SparkSession, d: str) -> DataFrame:
-    """Lines out of form, claims that cite nothing, and citations of sources that aren't known."""
+    """Lines out of form, claims that cite nothing, and citations of sources that aren't known, in turns of assistants."""
     lines = I.claim_lines(_answers(spark, d))
-    known = spark.createDataFrame([("s1",), ("s2",)], "source_id string")
+    known = table(spark, d, "region").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("source_id"))
     return C.answer_signal(lines.where("malformed IS NULL"), lines.where("malformed IS NOT NULL"), known)
 
 
-@query(f"WITH {_AN_SQL} SELECT answer_id % 5 AS form, count(*) AS n, count_if(answer_id % 5 = 2) AS abstains FROM an GROUP BY 1")
+@query(f"WITH {_AN_SQL} SELECT answer_id, count_if(form <> 'malformed') AS n_claims, count_if(form <> 'malformed') = 1 AND bool_or(form = 'none') AS abstains FROM cl GROUP BY 1")
 def abstentions(spark: SparkSession, d: str) -> DataFrame:
-    """Answers that say they don't know."""
+    """Answers whose only claim says that nothing is known."""
     lines = I.claim_lines(_answers(spark, d)).groupBy("answer_id").agg(F.count("ids").alias("n_claims"), F.flatten(F.collect_list("ids")).alias("ids"))
-    return lines.groupBy((F.col("answer_id") % 5).alias("form")).agg(F.count(F.lit(1)).alias("n"), F.count_if(C.abstains(F.col("ids"), F.col("n_claims"))).alias("abstains"))
+    return lines.select("answer_id", "n_claims", C.abstains(F.col("ids"), F.col("n_claims")).alias("abstains"))
 
 
 @query("WITH r AS (SELECT l_orderkey AS item, l_linestatus = 'F' OR l_tax < 0.04 AS passed, 'line ' || l_linenumber AS locus FROM lineitem) SELECT item, bool_and(passed) AS passed, coalesce(array_to_string(list_sort(list(DISTINCT locus) FILTER (WHERE NOT passed)), ','), '') AS loci FROM r GROUP BY 1")
@@ -217,6 +225,17 @@ def orchestrated_workers(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
 
 
+#: Splitting after sentence marks and at line feeds, for SQL without lookbehind.
+SENTENCE_SQL = "string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(30), 'g'), chr(30) || '|\\n+')"
+
+
+@query(f"WITH s AS (SELECT doc_id, {SENTENCE_SQL} AS p FROM documents), x AS (SELECT DISTINCT doc_id, trim(unnest(p)) AS t FROM s) SELECT doc_id, count(*) AS n, max(length(t)) AS longest FROM x WHERE regexp_matches(t, '[|#]') AND t <> '' GROUP BY 1")
+def marked_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """How many different sentences of a document bear a mark, and the longest."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return C.source_sentences(t, [r"[|#]"]).groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("sentence")).alias("longest"))
+
+
 @query("WITH s AS (SELECT doc_id, text, string_split_regex(text, '\\n+') AS p FROM documents), x AS (SELECT doc_id, trim(unnest(p), ' ' || chr(9) || chr(13)) AS t FROM s) SELECT doc_id, count(DISTINCT t) AS n FROM x WHERE regexp_matches(t, '[|#]') AND t <> '' GROUP BY 1")
 def marked_lines(spark: SparkSession, d: str) -> DataFrame:
     """How many different lines of a document bear a mark; sentence ends are taken out first, so that lines are sentences."""
@@ -280,11 +299,11 @@ def replayed_answers(spark: SparkSession, d: str) -> DataFrame:
     return T.replay(req, tape).select("id", "answer")
 
 
-@query("WITH s AS (SELECT conv_id * 100 + turn AS id, string_split_regex(text, '\\n+') AS p FROM conversations) SELECT id, count(*) AS n FROM (SELECT id, unnest(p) AS t FROM s) WHERE trim(t) <> '' GROUP BY 1")
+@query(f"WITH s AS (SELECT conv_id * 100 + turn AS id, {SENTENCE_SQL} AS p FROM conversations) SELECT id, count(*) AS n, max(length(t)) AS longest FROM (SELECT id, unnest(p) AS t FROM s) WHERE trim(t) <> '' GROUP BY 1")
 def turn_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of each turn; sentence ends are taken out first, so that only line feeds split."""
-    c = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.regexp_replace("text", r"[.!?]", "").alias("text"))
-    return L.sentences(c).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    """Sentences of each turn, and the longest."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    return L.sentences(c).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("sentence")).alias("longest"))
 
 
 @query("SELECT 'late' AS rail, count_if(l_tax > 0.07) AS hits, count_if(l_tax > 0.07) > 0 AND count_if(l_tax > 0.07) <= 1000000 AS tolerated FROM lineitem UNION ALL SELECT 'huge', count_if(l_quantity > 49.5), false FROM lineitem")

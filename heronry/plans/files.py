@@ -36,7 +36,7 @@ def series_files(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("filename").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("x")).alias("total"), r6(F.min_by("x", "idx")).alias("first"), r6(F.max_by("x", "idx")).alias("last"))
 
 
-@query(f"WITH {A.S_SQL}, {A.L_SQL}, {NAME_SQL} SELECT filename, n AS n_tokens, n AS n_lines, false AS has_tab, false AS has_crlf, n <= 1 AS single_line, series_id AS num, split_part(split_part(filename, 'Anomaly_', 2), '_' || te || '_', 1) AS name, te AS train_end, s0 + 1 AS \"begin\", s1 AS \"end\", CASE series_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'DISTORTED' ELSE 'NOISE' END AS variant, 'user_' || series_id AS base_name FROM nm")
+@query(f"WITH {A.S_SQL}, {A.L_SQL}, {NAME_SQL} SELECT filename, n AS n_tokens, n AS n_lines, false AS has_tab, false AS has_crlf, n <= 1 AS single_line, series_id AS num, CASE series_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'DISTORTED' ELSE 'NOISE' END || 'user_' || series_id AS name, te AS train_end, s0 + 1 AS \"begin\", s1 AS \"end\", CASE series_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'DISTORTED' ELSE 'NOISE' END AS variant, 'user_' || series_id AS base_name FROM nm")
 def file_inventory(spark: SparkSession, d: str) -> DataFrame:
     """One row a file: its layout, and what its name says."""
     return R.inventory(spark, _series_files(spark, d)).select("filename", "n_tokens", "n_lines", "has_tab", "has_crlf", "single_line", F.col("meta.num").cast("long").alias("num"), *[F.col("meta")[c].alias(c) for c in ("name", "train_end", "begin", "end", "variant", "base_name")])

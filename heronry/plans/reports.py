@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from heronry.functions import numeric as N
 from heronry.operators import checks as C
+from heronry.operators import entity as E
 from heronry.operators import metrics as X
+from heronry.operators import profile as P
+from heronry.operators import replicates as Y
 from heronry.operators import reports as R
 from heronry.operators import series as S
 from heronry.operators import stats as T
 from heronry.operators import tables as B
 from heronry.plans import adapters as A
-from heronry.plans.detection import AI_SQL, _ai
+from heronry.plans.detection import AI_SQL, DETECTION, DIST, _ai
 from heronry.plans.evaluation import D_SQL, RANK_SQL, _effects, _ranks, draw_sql
-from heronry.plans.registry import query, table
+from heronry.plans.registry import SQL, query, table
+from heronry.shared import shared_path, written
 
 r6 = N.r6
 
@@ -59,11 +63,11 @@ def delta_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return _r6(R.quantiles(_deltas(spark, d), [], F.abs("delta"), [0.5, 0.9, 0.99]), "v")
 
 
-_POS_SQL = "ps AS (SELECT l_suppkey AS series_id, l_returnflag AS op, count(*) AS c FROM lineitem WHERE l_quantity > 40 GROUP BY ALL), fl AS (SELECT series_id, count(*)::INT AS n_kinds, sum(c)::INT AS n_positions, bool_or(c >= 10 AND c < 20) AS any_short, bool_or(c < 10) AS any_dropped FROM ps GROUP BY 1)"
+_POS_SQL = "ps AS (SELECT l_suppkey AS series_id, l_returnflag AS op, count(*) AS c FROM lineitem GROUP BY ALL), fl AS (SELECT series_id, count(*)::INT AS n_kinds, sum(c)::INT AS n_positions, bool_or(c >= 10 AND c < 20) AS any_short, bool_or(c < 10) AS any_dropped FROM ps GROUP BY 1)"
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "lineitem").where("l_quantity > 40").groupBy(F.col("l_suppkey").alias("series_id"), F.col("l_returnflag").alias("op")).agg(F.collect_list("l_orderkey").alias("p"))
+    p = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("series_id"), F.col("l_returnflag").alias("op")).agg(F.collect_list("l_orderkey").alias("p"))
     text = p.groupBy("series_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("op", "p")))).alias("positions"))
     return R.position_flags(text, "series_id", F.col("positions"))
 
@@ -155,13 +159,18 @@ def sanity_assertions(spark: SparkSession, d: str) -> DataFrame:
 
 # --- replicates and rankings
 
-_REP_SQL = "li AS (SELECT l_suppkey AS unit, l_returnflag AS op, 'am' || (month(l_shipdate) % 4) AS am, l_orderkey * 10 + l_linenumber AS seq, min(l_discount - 0.05) AS v FROM lineitem GROUP BY ALL), rp AS (SELECT *, unnest(range(0, 6)) AS k FROM li), ch AS (SELECT *, row_number() OVER (PARTITION BY k, unit, op, am ORDER BY CASE WHEN k = 0 THEN 0.0 ELSE ('0x' || substr(md5('7:' || k || ':' || seq), 1, 12))::BIGINT / 281474976710656.0 END, seq) AS r FROM rp), cl AS (SELECT k, op, am, count(v) AS n, round(avg(v), 9) AS mean, round(avg(sign(v)), 9) AS pes FROM ch WHERE r = 1 GROUP BY ALL), ck AS (SELECT *, CASE WHEN mean * pes <= 0 THEN 0.0 ELSE 2 / (1 / abs(mean) + 1 / abs(pes)) END AS cmi, CASE WHEN mean = 0 OR pes = 0 THEN 'zero' WHEN mean > 0 AND pes > 0 THEN '(+,+)' WHEN mean < 0 AND pes < 0 THEN '(-,-)' ELSE 'conflict' END AS sign_type, rank() OVER (PARTITION BY k, op ORDER BY mean DESC) + (count(*) OVER (PARTITION BY k, op, mean) - 1) / 2.0::DOUBLE AS rank FROM cl)"
+_REP_SQL = "li AS (SELECT l_suppkey AS unit, l_returnflag AS op, 'am' || (month(l_shipdate) % 4) AS am, l_orderkey * 10 + l_linenumber AS seq, min(l_discount - 0.05) AS v FROM lineitem GROUP BY ALL), rp AS (SELECT *, unnest(range(0, 21)) AS k FROM li), ch AS (SELECT *, row_number() OVER (PARTITION BY k, unit, op, am ORDER BY CASE WHEN k = 0 THEN 0.0 ELSE ('0x' || substr(md5('7:' || k || ':' || seq), 1, 12))::BIGINT / 281474976710656.0 END, seq) AS r FROM rp), cl AS (SELECT k, op, am, count(v) AS n, round(avg(v), 9) AS mean, round(avg(sign(v)), 9) AS pes FROM ch WHERE r = 1 GROUP BY ALL), ck AS (SELECT *, CASE WHEN mean * pes <= 0 THEN 0.0 ELSE 2 / (1 / abs(mean) + 1 / abs(pes)) END AS cmi, CASE WHEN mean = 0 OR pes = 0 THEN 'zero' WHEN mean > 0 AND pes > 0 THEN '(+,+)' WHEN mean < 0 AND pes < 0 THEN '(-,-)' ELSE 'conflict' END AS sign_type, rank() OVER (PARTITION BY k, op ORDER BY mean DESC) + (count(*) OVER (PARTITION BY k, op, mean) - 1) / 2.0::DOUBLE AS rank FROM cl)"
 
 
-def _replicates(spark: SparkSession, d: str) -> DataFrame:
+def _ties(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a supplier with the same flag and month: several of which one counts."""
     l = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("op"), F.concat(F.lit("am"), F.month("l_shipdate") % 4).alias("am"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_discount") - 0.05).alias("v"))  # noqa: E741
     l = l.groupBy("unit", "op", "am", "seq").agg(F.min("v").alias("v"))  # noqa: E741
-    return R.replicate_cells(R.tie_replicates(l, ["unit", "op", "am"], "seq", 5))
+    return l
+
+
+def _replicates(spark: SparkSession, d: str) -> DataFrame:
+    return R.replicate_cells(R.tie_replicates(_ties(spark, d), ["unit", "op", "am"], "seq", 20))
 
 
 @query(f"WITH {_REP_SQL} SELECT k::INT AS k, op, am, n, round(mean, 6) AS mean, round(pes, 6) AS pes, round(cmi, 6) AS cmi, sign_type, rank FROM ck")
@@ -170,6 +179,17 @@ def tie_replicates(spark: SparkSession, d: str) -> DataFrame:
     return _r6(_replicates(spark, d), "mean", "pes", "cmi")
 
 
+@query(SQL["tie_replicates"])
+def resumed_replicates(spark: SparkSession, d: str) -> DataFrame:
+    """The same by replicates that are committed one by one: a run that ends after the seventh, and one that goes on."""
+    rows, keys = written(_ties(spark, d), "ties"), ["unit", "op", "am"]
+    stored = written(R.tie_replicates(rows, keys, "seq", 0).drop("k"), "stored")
+    folder = shared_path(spark, "replicates")
+    Y.run_replicates(rows, keys, "seq", folder, stored, replicates=20, stop_after=7)
+    held = Y.run_replicates(rows, keys, "seq", folder, stored, replicates=20)
+    return _r6(R.replicate_cells(held.read()), "mean", "pes", "cmi")
+
+
 @query(f"WITH {_REP_SQL}, b AS (SELECT op, max(mean) AS base FROM ck WHERE k > 0 AND am = 'am0' GROUP BY 1) SELECT op, am, count_if(rank = 1) AS firsts, count_if(rank > 1 AND rank < 2) AS tied_firsts, round(min(mean), 6) AS least, round(median(mean), 6) AS med, round(max(mean), 6) AS most, count_if(mean > base) AS above_baseline FROM ck LEFT JOIN b USING (op) WHERE k > 0 GROUP BY ALL")
 def replicate_summary(spark: SparkSession, d: str) -> DataFrame:
     """How often each method comes first over replicates, and whether it beats the baseline's best."""
@@ -252,11 +272,20 @@ def score_status(spark: SparkSession, d: str) -> DataFrame:
     return C.score_status(s.select("series_id", "idx", score.alias("score")), A.layouts(spark, d), constant="error")
 
 
-@query("SELECT true AS same")
+@query("WITH h AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY ('0x' || substr(md5('7:' || c_custkey), 1, 12))::BIGINT, c_custkey) AS r FROM customer) SELECT 'pick' AS operator, count(*) AS n, true AS same FROM h WHERE r <= 2 UNION ALL SELECT 'collapse', count(DISTINCT c_nationkey), true FROM customer UNION ALL SELECT 'draws', 50 * count(DISTINCT c_nationkey), true FROM customer")
 def determinism(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a seeded operator gives the same rows twice."""
-    run = lambda: T.pick(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", 2, key="c_custkey")
-    return spark.createDataFrame([(C.same_rows_twice(run),)], "same boolean")
+    """Whether seeded operators give the same rows twice, and how many: on another partitioning the second time."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    runs = {
+        "pick": lambda t: T.pick(t, "c_nationkey", 2, key="c_custkey"),
+        "collapse": lambda t: B.one_of_each(t, "c_nationkey", "c_custkey"),
+        "draws": lambda t: T.draws(spark, t.select(F.col("c_nationkey").alias("unit")), 50),
+    }
+    rows = []
+    for name, run in runs.items():
+        inputs = iter([c, c.repartition(7, "c_custkey")])
+        rows.append((name, run(c).count(), C.same_rows_twice(lambda run=run, inputs=inputs: run(next(inputs)))))
+    return spark.createDataFrame(rows, "operator string, n long, same boolean")
 
 
 @query(f"WITH {A.S_SQL}, {A.L_SQL} SELECT series_id, (te * (n - te))::BIGINT AS estimate, te * (n - te) <= 1000 AS admitted FROM l")
@@ -312,11 +341,13 @@ def approvals(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in made], "text string")
 
 
-@query(f"WITH {A.S_SQL}, {A.L_SQL}, w AS (SELECT series_id, max(x) AS self_match_max FROM s GROUP BY 1) SELECT l.series_id, round(max(CASE WHEN idx >= s0 - w AND idx < s1 + w THEN x END), 6) AS support_max, round(max(self_match_max), 6) AS self_match_max, round(quantile_cont(CASE WHEN idx < te THEN x END, 0.99), 6) AS train_p99 FROM s JOIN l USING (series_id) JOIN w ON w.series_id = l.series_id GROUP BY 1")
+@query(f"""{DETECTION}, sj AS (SELECT series_id, max(dist) AS self_match_max FROM (SELECT q.series_id, q.start, min({DIST}) AS dist FROM zw q JOIN zw f USING (series_id) JOIN l USING (series_id) WHERE abs(q.start - f.start) > 2 GROUP BY ALL) GROUP BY 1)
+SELECT sc.series_id, round(max(CASE WHEN idx >= s0 - w AND idx < s1 + w THEN score END), 6) AS support_max, round(max(self_match_max), 6) AS self_match_max, round(quantile_cont(CASE WHEN idx < te THEN score END, 0.99), 6) AS train_p99 FROM sc JOIN l USING (series_id) LEFT JOIN sj ON sj.series_id = sc.series_id GROUP BY 1""")
 def score_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    """Largest scores about the interval and anywhere, and the training tail."""
-    s = A.series(spark, d).select("series_id", "idx", F.col("x").alias("score"))
-    return _r6(C.score_diagnostics(s, s, A.layouts(spark, d)), "support_max", "self_match_max", "train_p99")
+    """Largest scores of the profile about the interval, of the profile against the whole series, and the training tail."""
+    s, lay = A.series(spark, d).select("series_id", "idx", "x"), A.layouts(spark, d)
+    own = P.matrix_profile(s, lay, mode="self_join").select("series_id", F.col("dist").alias("score"))
+    return _r6(C.score_diagnostics(P.pad(P.matrix_profile(s, lay), lay), own, lay), "support_max", "self_match_max", "train_p99")
 
 
 @query(f"WITH {A.S_SQL}, {A.L_SQL} SELECT 'level' AS detector, count(*) AS n, round(sum(x), 6) AS total FROM s JOIN l USING (series_id) UNION ALL SELECT 'flat', count(*), 0.0 FROM s JOIN l USING (series_id)")
@@ -481,11 +512,12 @@ def outside_region(spark: SparkSession, d: str) -> DataFrame:
     return test.join(inside, ["series_id", "idx"], "left_anti")
 
 
-@query("WITH u AS (SELECT user_id, event_type, min(event_id) AS e FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL) SELECT user_id, array_to_string(list_sort(list(DISTINCT e % 50)), ',') AS idxs FROM u GROUP BY 1")
+@query("WITH u AS (SELECT DISTINCT user_id, dayofyear(ts) AS i FROM events WHERE event_type IN ('error', 'signup', 'click')) SELECT user_id, array_to_string(list(i ORDER BY i), ',') AS idxs FROM u GROUP BY 1")
 def united_indices(spark: SparkSession, d: str) -> DataFrame:
-    """The sorted union of each user's lists of indices."""
-    e = table(spark, d, "events").where(F.col("event_type").isin("error", "signup")).groupBy("user_id", "event_type").agg((F.min("event_id") % 50).alias("e"))
-    return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("e")), lambda x: x.cast("string")), ",").alias("idxs"))
+    """The sorted union of each user's lists of days, one list a type of event."""
+    e = table(spark, d, "events").where(F.col("event_type").isin("error", "signup", "click"))
+    lists = e.groupBy("user_id", "event_type").agg(F.collect_list(F.dayofyear("ts")).alias("idxs"))
+    return E.united(lists, "user_id", "idxs").select("user_id", F.array_join(F.transform("idxs", lambda x: x.cast("string")), ",").alias("idxs"))
 
 
 @query("WITH c AS (SELECT o_orderpriority AS k, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY ALL), j AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, m) AS r FROM c) SELECT k, m::INT AS m, n FROM j WHERE r = 1")

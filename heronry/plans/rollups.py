@@ -15,7 +15,7 @@ from heronry.operators import stats as T
 from heronry.operators import trace as Q
 from heronry.plans import adapters as A
 from heronry.plans.detection import AI_SQL, _ai
-from heronry.plans.evaluation import CELL_SQL, D_SQL, _effects, draw_sql
+from heronry.plans.evaluation import BOOT, CELL_SQL, D_SQL, _effects, draw_sql
 from heronry.plans.registry import query, table
 from heronry.plans.trajectory import AS_OF, CL_SQL, _claims
 
@@ -163,12 +163,12 @@ def response_change(spark: SparkSession, d: str) -> DataFrame:
     return _r6(R.response_change(score(p, "x"), score(p, "masked"), A.regions(spark, d)), "before", "after", "ai")
 
 
-@query(f"""WITH {D_SQL}, {draw_sql('dw', 'dd', 200)}, st AS (SELECT b, op, avg(v) AS m, median(v) AS q FROM dw JOIN dd USING (unit) GROUP BY ALL), ci AS (SELECT op, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, quantile_cont(q, 0.025) AS mlo, quantile_cont(q, 0.975) AS mhi FROM st GROUP BY 1)
+@query(f"""WITH {D_SQL}, {draw_sql('dw', 'dd', BOOT)}, st AS (SELECT b, op, avg(v) AS m, median(v) AS q FROM dw JOIN dd USING (unit) GROUP BY ALL), ci AS (SELECT op, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, quantile_cont(q, 0.025) AS mlo, quantile_cont(q, 0.975) AS mhi FROM st GROUP BY 1)
 SELECT op, round(lo, 6) AS lo, round(hi, 6) AS hi, round(mlo, 6) AS med_lo, round(mhi, 6) AS med_hi, CASE WHEN lo > 0 THEN 'GO' WHEN hi < 0 THEN 'NO-GO' ELSE 'undecided' END AS verdict FROM ci""")
 def interval_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Intervals of means and medians, and whether the means decide."""
     e = _effects(spark, d)
-    drawn = T.draws(spark, e, 200)
+    drawn = T.draws(spark, e, BOOT)
     mean = T.bootstrap(e, drawn, ["op"], F.avg("v")).select("op", "lo", "hi")
     med = T.bootstrap(e, drawn, ["op"], F.median("v")).select("op", F.col("lo").alias("med_lo"), F.col("hi").alias("med_hi"))
     return _r6(mean.join(med, "op").withColumn("verdict", R.gate_verdict(F.col("lo"), F.col("hi"))), "lo", "hi", "med_lo", "med_hi")
