@@ -27,7 +27,7 @@ from heronry.operators.tables import ranked
 from heronry.shared import spread
 
 #: Bytes of text in a pack.
-PACK = 4_000_000
+PACK = 2_000_000
 #: Occurrences of a pivot in one partition.
 HOT = 1 << 17
 #: Words of the longest phrase.
@@ -40,7 +40,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[list(b".,;:!?\n\x0b\x0c\r")] = _BREAK
 _FOLD[9] = 32
-_NONE = np.int64(1) << 40
+_NONE = np.int32((1 << 31) - 1)
 
 
 # --- packs
@@ -57,18 +57,29 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np
         at = end
 
 
+def _found(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hash, start and end of each word of a buffer, and whether it begins a piece; a step at a time."""
+    parts, at = [], 0
+    for part, own in _cuts(data, offsets, B.STEP_BYTES):
+        starts, ends, doc = B.words(part, own)
+        piece = np.searchsorted(np.flatnonzero(part == _BREAK), starts)
+        new = np.append(True, (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1]))[: len(starts)]
+        parts.append((B.span_hashes(part, starts, ends), (starts + at).astype(np.int64), (ends + at).astype(np.int64), new))
+        at += len(part)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray] | None:
     """(tokens, words, counts) of a buffer of folded bytes; a token is a word's place + 1, 0 ends a piece."""
-    starts, ends, doc = B.words(data, offsets)
-    if not len(starts):
+    hashes, starts, ends, new = _found(data, offsets)
+    if not len(hashes):
         return None
-    _, first, inverse, counts = np.unique(B.span_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+    _, first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.int32)
     place[order] = np.arange(1, len(order) + 1)
-    piece = np.searchsorted(np.flatnonzero(data == _BREAK), starts)
-    new = np.append(False, (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1]))
-    tokens = np.zeros(len(starts) + int(new.sum()), np.int64)
+    new[0] = False
+    tokens = np.zeros(len(starts) + int(new.sum()), np.int32)
     tokens[np.arange(len(starts)) + np.cumsum(new)] = place[inverse]
     raw = data.tobytes()
     words = [raw[a:b].decode() for a, b in zip(starts[first[order]].tolist(), ends[first[order]].tolist(), strict=True)]
@@ -93,71 +104,71 @@ def _packs(docs: DataFrame, size: int) -> DataFrame:
                         small = tokens.astype("<u2" if len(words) < 1 << 16 else "<u4")
                         n += 1
                         yield pa.RecordBatch.from_pydict({
-                            "pack": pa.array([f"{task}-{n}"]), "lang": pa.array([lang]), "wide": pa.array([small.itemsize], pa.int32()), "tokens": pa.array([small.tobytes()], pa.binary()),
+                            "pack": pa.array([task << 32 | n]), "lang": pa.array([lang]), "wide": pa.array([small.itemsize], pa.int32()), "tokens": pa.array([small.tobytes()], pa.binary()),
                             "words": pa.array([words], pa.list_(pa.string())), "counts": pa.array([counts], pa.list_(pa.int64())),
                         })
 
-    return docs.mapInArrow(run, "pack string, lang string, wide int, tokens binary, words array<string>, counts array<long>")
+    return docs.mapInArrow(run, "pack long, lang string, wide int, tokens binary, words array<string>, counts array<long>")
 
 
 # --- fragments
 
 
 def _around(ranks: np.ndarray) -> np.ndarray:
-    """(fragments, 7): for each word with a neighbour to take along, up to three words before, it, up to three after.
+    """(7, fragments): for each word with a neighbour to take along, up to three words before, it, up to three after.
 
     ``ranks``: a rank from 1 for each token, _NONE where a piece ends or a word is rare; 0 stands for no word.
     """
-    r = np.concatenate(([_NONE] * 3, ranks, [_NONE] * 3))
+    r = np.concatenate(([_NONE] * 3, ranks, [_NONE] * 3)).astype(np.int32)
     n = len(ranks)
     p = r[3 : 3 + n]
-    out = np.zeros((7, n), np.int64)
-    out[3] = p
-    live = p < _NONE
-    for step in (1, 2, 3):
-        word = r[3 - step : 3 - step + n]
-        live = live & (word < p)
-        out[3 - step] = np.where(live, word, 0)
-    live = p < _NONE
-    for step in (1, 2, 3):
-        word = r[3 + step : 3 + step + n]
-        live = live & (word <= p)
-        out[3 + step] = np.where(live, word, 0)
-    return out[:, (out[2] > 0) | (out[4] > 0)].T
+    with_any = (p < _NONE) & ((r[2 : 2 + n] < p) | (r[4 : 4 + n] <= p))
+    at = np.flatnonzero(with_any) + 3
+    out = np.zeros((7, len(at)), np.int32)
+    p = out[3] = r[at]
+    for side, limit in ((-1, p - 1), (1, p)):
+        live = np.ones(len(at), bool)
+        for step in (1, 2, 3):
+            word = r[at + side * step]
+            live &= word <= limit
+            out[3 + side * step] = np.where(live, word, 0)
+    return out
 
 
 def _merged(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fragments once each, how often, and a hash of each."""
-    h = np.zeros(len(f), np.uint64)
+    """Fragments once each, in the order of their pivots; how often; a hash of each."""
+    h = np.zeros(f.shape[1], np.uint64)
     for j in range(7):
-        h = B.mix(h + f[:, j].astype(np.uint64) + np.uint64(j + 1))
+        h = B.mix(h + f[j].astype(np.uint64) + np.uint64(j + 1))
     order = np.argsort(h)
-    f, h = f[order], h[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (f[1:] != f[:-1]).any(axis=1))[: len(f)]
+    f, h = f[:, order], h[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (f[:, 1:] != f[:, :-1]).any(axis=0))[: len(h)]
     at = np.flatnonzero(new)
-    return f[at], np.diff(np.append(at, len(f))), h[at]
+    weight = np.diff(np.append(at, len(h)))
+    order = np.lexsort((f[2, at], f[4, at], f[3, at]))  # neighbours alike: rows that follow each other take fewer bytes
+    return f[:, at[order]], weight[order], h[at[order]]
 
 
 def _fragments(packs: DataFrame, frequent: DataFrame, hot: int) -> DataFrame:
     """(owner, x, y, z, w): a pivot's fragments with their weight; two ranks to a number. A hot pivot's owner is negative."""
     places = packs.select("pack", "lang", F.posexplode("words").alias("i", "word"))
-    known = places.join(frequent.select("lang", "word", "rank", "f"), ["lang", "word"]).groupBy("pack").agg(F.collect_list(F.struct("i", "rank", "f")).alias("known"))
-    held = packs.select("pack", "wide", "tokens", F.size("words").alias("n")).join(known, "pack")
-    held = held.select("wide", "tokens", "n", F.transform("known", lambda s: s["i"]).alias("i"), F.transform("known", lambda s: s["rank"]).alias("rank"), F.transform("known", lambda s: s["f"]).alias("f"))
+    parts = F.ceil(F.col("f") / hot).cast("int").alias("parts")
+    known = places.join(frequent.select("lang", "word", F.col("rank").cast("int").alias("rank"), parts), ["lang", "word"]).groupBy("pack").agg(F.collect_list(F.struct("i", "rank", "parts")).alias("k"))
+    held = packs.select("pack", "wide", "tokens", F.size("words").alias("n")).join(known, "pack").select("wide", "tokens", "n", "k.i", "k.rank", "k.parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 wide, tokens, n = (batch.column(c)[row] for c in range(3))
-                i, rank, f = (batch.column(c)[row].values.to_numpy() for c in range(3, 6))
+                i, rank, parts = (batch.column(c)[row].values.to_numpy() for c in range(3, 6))
                 table = np.full(n.as_py() + 1, _NONE)
                 table[i + 1] = rank
                 fragments, weight, h = _merged(_around(table[np.frombuffer(tokens.as_buffer(), f"<u{wide.as_py()}")]))
-                pivot = fragments[:, 3]
+                pivot = fragments[3].astype(np.int64)
                 order = np.argsort(rank)
-                parts = -(-f[order][np.searchsorted(rank[order], pivot)] // hot)
-                owner = np.where(parts > 1, -1 - ((h % parts.astype(np.uint64)).astype(np.int64) << 32 | pivot), pivot)
-                two = lambda a, b: pa.array(fragments[:, a] << 32 | fragments[:, b])  # noqa: E731, B023
+                split = parts[order][np.searchsorted(rank[order], pivot)].astype(np.uint64)
+                owner = np.where(split > 1, -1 - ((h % split).astype(np.int64) << 32 | pivot), pivot)
+                two = lambda a, b: pa.array(fragments[a].astype(np.int64) << 32 | fragments[b])  # noqa: E731, B023
                 yield pa.RecordBatch.from_pydict({"owner": pa.array(owner), "x": two(0, 1), "y": two(2, 4), "z": two(5, 6), "w": pa.array(weight.astype(np.int64))})
 
     return held.mapInArrow(run, "owner long, x long, y long, z long, w long")
@@ -246,7 +257,7 @@ def collocations(docs: DataFrame, *, least: int = 30, top: int = 2000, hot: int
     counted = written(counted, "phrase-words")
     sizes = written(counted.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-sizes")
     rank = F.col("rank") + 1
-    checked = F.when(rank >= 1 << 31, F.raise_error(F.lit("more than 2^31 frequent words")).cast("long")).otherwise(rank)
+    checked = F.when(rank >= (1 << 31) - 1, F.raise_error(F.lit("more than 2^31 frequent words")).cast("long")).otherwise(rank)
     frequent = written(ranked(counted.where(F.col("f") >= least), [F.desc("f"), F.asc("lang"), F.asc("word")]).withColumn("rank", checked), "phrase-ranks")
     mined = _mined(_fragments(packs, frequent, hot), least)
     g = _words()

@@ -71,7 +71,7 @@ def test_each_ngram_reaches_one_partition_once():
     ranks = rng.integers(1, 9, 4000)
     ranks[rng.random(4000) < 0.1] = P._NONE
     mine, plain = Counter(), Counter()
-    for f in P._around(ranks).tolist():
+    for f in P._around(ranks).T.tolist():
         left, p, right = [x for x in f[:3] if x], f[3], [x for x in f[4:] if x]
         for i in range(len(left) + 1):
             for j in range(len(right) + 1):
