@@ -30,9 +30,9 @@ class KeywordIndex:
 
 
 def _bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> str:
-    """``df`` in buckets of its keys, in the shared folder; the table's name."""
+    """``df`` in buckets of its keys, a file each, in the shared folder; the table's name."""
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, *keys).option("path", shared_path(df.sparkSession, name)).saveAsTable(table)
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).option("path", shared_path(df.sparkSession, name)).saveAsTable(table)
     return table
 
 

@@ -43,7 +43,7 @@ def _name_of(path: str) -> str:
     return folder.removeprefix("filename=") if folder.startswith("filename=") else name
 
 
-def _listed(path: str, suffix: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
+def _listed(path: str, suffix: str | tuple[str, ...]) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
     """The files of a folder with that suffix, by name."""
     system, root = fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri(f"file://{path}" if path.startswith("/") else path)
     infos = system.get_file_info(fs.FileSelector(root, recursive=True))
@@ -178,11 +178,11 @@ class _SpanReader(DataSourceStreamReader):
         return 0
 
     def latestOffset(self) -> dict:
-        system, files = _listed(self.path, ".jsonl")
+        system, files = _listed(self.path, (".json", ".jsonl"))
         return {"file": files[-1].path, "bytes": self._complete(system, files[-1])} if files else self.initialOffset()
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        system, files = _listed(self.path, ".jsonl")
+        system, files = _listed(self.path, (".json", ".jsonl"))
         out = []
         for info in files:
             if start["file"] <= info.path <= end["file"]:
@@ -231,7 +231,7 @@ class _SpanBatch(DataSourceReader):
 
 
 class SpanLog(DataSource):
-    """``span_log``: the lines (file, line) of the ``.jsonl`` files below the path, as a table or as a stream.
+    """``span_log``: the lines (file, line) of the ``.json`` and ``.jsonl`` files below the path, as a table or as a stream.
 
     Lines are JSON; :func:`spans` takes them apart. A line without its end isn't read yet. Large files are cut between
     tasks of ``taskBytes``.
