@@ -81,6 +81,12 @@ def approval_text(settings: Mapping[str, object]) -> str:
     return f"approved by {who} on {when}" if who and when else "not approved"
 
 
+def approval(by: Column, on: Column) -> Column:
+    """The same line for each row: a name and a date, either null or empty where nobody has signed."""
+    who, when = F.nullif(by.cast("string"), F.lit("")), F.nullif(on.cast("string"), F.lit(""))
+    return F.coalesce(F.concat(F.lit("approved by "), who, F.lit(" on "), when), F.lit("not approved"))
+
+
 def family_labels(entities: DataFrame, families: DataFrame, labels: Mapping[str, str], medical: Sequence[str]) -> DataFrame:
     """(entity, family, label, is_medical): an entity's family and its short label; a family without one is an error.
 

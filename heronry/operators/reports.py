@@ -168,9 +168,13 @@ def class_effects(windows: DataFrame) -> DataFrame:
 
 def synthetic(spark, n: int, bumps: Sequence[int], *, length: int = 40, height: float = 2.5, seed: int = 7) -> DataFrame:
     """(series_id, idx, x, label): a sine with seeded noise and bumps, labelled."""
-    idx = F.col("id")
-    inside = F.lit(False)
-    for b in bumps:
-        inside = inside | ((idx >= b) & (idx < b + length))
-    noise = (portable_random(F.lit(seed), idx) - 0.5) * 0.1
-    return spark.range(n).select(F.lit(0).cast("long").alias("series_id"), idx.alias("idx"), (F.sin(idx / F.lit(20.0)) + noise + F.when(inside, height).otherwise(0.0)).alias("x"), inside.cast("int").alias("label"))
+    one = spark.range(1).select(F.col("id").alias("series_id"), F.lit(n).cast("long").alias("n"), F.array(*[F.lit(int(b)).cast("long") for b in bumps]).cast("array<bigint>").alias("bumps"))
+    return synthetic_series(one, length=length, height=height, seed=seed)
+
+
+def synthetic_series(plans: DataFrame, *, length: int = 40, height: float = 2.5, seed: int = 7) -> DataFrame:
+    """(series_id, idx, x, label) of n points for each of ``plans`` (series_id, n, bumps: where bumps begin)."""
+    each = plans.where("n > 0").select("series_id", "bumps", F.explode(F.expr("sequence(0L, n - 1)")).alias("idx"))
+    inside = F.exists("bumps", lambda b: (F.col("idx") >= b) & (F.col("idx") < b + length))
+    noise = (portable_random(F.lit(seed), F.col("idx")) - 0.5) * 0.1
+    return each.select("series_id", "idx", (F.sin(F.col("idx") / F.lit(20.0)) + noise + F.when(inside, height).otherwise(0.0)).alias("x"), inside.cast("int").alias("label"))

@@ -168,28 +168,17 @@ def printed_table(spark: SparkSession, d: str) -> DataFrame:
     return back.join(p.withColumnRenamed("p_brand", "brand"), "brand").select("brand", F.col("price").cast("double").alias("printed"), printed_match(F.col("v"), F.col("price").cast("double"), F.lit(1)).alias("matches"))
 
 
-CONFIG = """# settings
-seed: 7
-paths:
-  data_dir: tables
-  cache_dir: /abs
-detectors:
-  forest:
-    trees: 200
-    max_features: [1, 1.0]
-  profile:
-    kind: "z"
-notes:
-  - first
-  - second
-"""
-
-
-@query("SELECT * FROM (VALUES ('seed', '7'), ('paths.data_dir', '/root/tables'), ('paths.cache_dir', '/abs'), ('detectors.forest.trees', '200'), ('detectors.forest.max_features', '[1, 1.0]'), ('detectors.profile.kind', 'z'), ('notes', '[''first'', ''second'']')) t(key, value)")
+@query("""WITH r AS (SELECT r_name, count(n_name) AS n, list(n_name ORDER BY n_nationkey) FILTER (WHERE n_name IS NOT NULL) AS names FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)
+SELECT 'regions.' || r_name || '.count' AS key, n::VARCHAR AS value FROM r UNION ALL SELECT 'regions.' || r_name || '.work_dir', '/root/' || lower(r_name) FROM r
+UNION ALL SELECT 'regions.' || r_name || '.nations', '[' || array_to_string(list_transform(names, lambda x: chr(39) || x || chr(39)), ', ') || ']' FROM r""")
 def settings_file(spark: SparkSession, d: str) -> DataFrame:
-    """Settings by dotted key, folders resolved."""
+    """A settings file made of regions and their nations, read back by dotted key, folders resolved."""
     path = shared_path(spark, "settings")
-    spark.createDataFrame([(CONFIG,)], "value string").coalesce(1).write.text(path)
+    n = table(spark, d, "region").join(table(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    r = n.groupBy("r_name").agg(F.count("n_name").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("      - "), x["n_name"])), "\n").alias("names"))
+    block = F.concat(F.lit("  "), "r_name", F.lit(":\n    count: "), F.col("n").cast("string"), F.lit("\n    work_dir: "), F.lower("r_name"), F.lit("\n    nations:\n"), "names")
+    text = r.groupBy().agg(F.concat(F.lit("# settings\nregions:\n"), F.array_join(F.sort_array(F.collect_list(block)), "\n")).alias("value"))
+    text.coalesce(1).write.text(path)
     return R.settings(spark, path, root="/root")
 
 

@@ -335,10 +335,12 @@ def family_labels(spark: SparkSession, d: str) -> DataFrame:
     return C.family_labels(n.select(F.col("n_name").alias("entity")), fam, {x: x[:2] for x in names}, ["ASIA", "EUROPE"])
 
 
-@query("SELECT 'approved by A. Person on 2024-05-01' AS text UNION ALL SELECT 'not approved'")
+@query("SELECT text, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'approved by customer ' || o_custkey || ' on ' || strftime(o_orderdate, '%Y-%m-%d') ELSE 'not approved' END AS text FROM orders) GROUP BY 1")
 def approvals(spark: SparkSession, d: str) -> DataFrame:
-    made = [C.approval_text(s) for s in ({"approved_by": "A. Person", "approved_on": "2024-05-01"}, {"approved_by": "A. Person"})]
-    return spark.createDataFrame([(t,) for t in made], "text string")
+    """Sign-off lines: finished orders are signed by their customer on their day, others by nobody."""
+    done = F.col("o_orderstatus") == "F"
+    by, on = F.when(done, F.concat(F.lit("customer "), F.col("o_custkey"))), F.when(done, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, d, "orders").select(C.approval(by, on).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""{DETECTION}, sj AS (SELECT series_id, max(dist) AS self_match_max FROM (SELECT q.series_id, q.start, min({DIST}) AS dist FROM zw q JOIN zw f USING (series_id) JOIN l USING (series_id) WHERE abs(q.start - f.start) > 2 GROUP BY ALL) GROUP BY 1)
@@ -413,16 +415,25 @@ def class_effects(spark: SparkSession, d: str) -> DataFrame:
     return _r6(R.class_effects(p.select("class", F.col("x").alias("before"), after.alias("after"), F.lit(80.0).alias("threshold"))), "mean_change")
 
 
-@query("WITH i AS (SELECT unnest(range(0, 4000)) AS idx), x AS (SELECT idx, (idx >= 900 AND idx < 940) OR (idx >= 2100 AND idx < 2140) OR (idx >= 3300 AND idx < 3340) AS inside, ('0x' || substr(md5('7:' || idx), 1, 12))::BIGINT / 281474976710656.0 AS u FROM i) SELECT 0::BIGINT AS series_id, idx, round(sin(idx / 20.0::DOUBLE) + (u - 0.5) * 0.1 + CASE WHEN inside THEN 2.5 ELSE 0 END, 6) AS x, inside::INT AS label FROM x")
+@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events), p AS (SELECT user_id AS series_id, 10 * count(*) AS n, coalesce(list(10 * k) FILTER (WHERE event_type = 'error'), []) AS bumps FROM e GROUP BY 1),
+x AS (SELECT series_id, bumps, unnest(range(0, n)) AS idx FROM p), y AS (SELECT series_id, idx, len(list_filter(bumps, lambda b: idx >= b AND idx < b + 40)) > 0 AS inside, ('0x' || substr(md5('7:' || idx), 1, 12))::BIGINT / 281474976710656.0 AS u FROM x)
+SELECT series_id, idx, round(sin(idx / 20.0::DOUBLE) + (u - 0.5) * 0.1 + CASE WHEN inside THEN 2.5 ELSE 0 END, 6) AS x, inside::INT AS label FROM y""")
 def synthetic_series(spark: SparkSession, d: str) -> DataFrame:
-    """A made series with three labelled bumps."""
-    return _r6(R.synthetic(spark, 4000, [900, 2100, 3300]), "x")
+    """A made series for each user, ten points an event, with a labelled bump at each error."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("user_id", "event_type", (F.row_number().over(w) - 1).cast("long").alias("k"))
+    plans = e.groupBy(F.col("user_id").alias("series_id")).agg((F.count(F.lit(1)) * 10).alias("n"), F.collect_list(F.when(F.col("event_type") == "error", F.col("k") * 10)).alias("bumps"))
+    return _r6(R.synthetic_series(plans), "x")
 
 
-@query("SELECT * FROM (VALUES ('one', 'forest', 100, 'mf1', 'max_features=1,trees=200'), ('all', 'forest', 50, 'mf1.0f', 'max_features=1.0,trees=200,window=50'), ('plain', 'forest', 100, 'none', 'trees=50')) t(condition, detector, \"window\", tag, settings)")
+@query("""WITH b AS (SELECT p_brand, min(p_size) AS least, max(p_size) AS most, count(DISTINCT p_type)::INT AS kinds FROM part GROUP BY 1)
+SELECT p_brand AS condition, 'forest' AS detector, CASE WHEN least % 2 = 1 THEN most ELSE 100 END AS "window", CASE least % 3 WHEN 0 THEN 'mf' || kinds WHEN 1 THEN 'mf1.0f' ELSE 'none' END AS tag,
+CASE least % 3 WHEN 0 THEN 'max_features=' || kinds || ',' WHEN 1 THEN 'max_features=1.0,' ELSE '' END || 'trees=200' || CASE WHEN least % 2 = 1 THEN ',window=' || most ELSE '' END AS settings FROM b""")
 def hyperparameters(spark: SparkSession, d: str) -> DataFrame:
-    """Settings by condition: one feature and all features are two variants."""
-    given = {"one": {"max_features": 1, "trees": 200}, "all": {"max_features": 1.0, "trees": 200, "window": 50}, "plain": {"trees": 50}}
+    """Settings by brand as a condition: a number of features and a share of them are two variants, some have their own window."""
+    given = {}
+    for r in table(spark, d, "part").groupBy("p_brand").agg(F.min("p_size").alias("least"), F.max("p_size").alias("most"), F.countDistinct("p_type").alias("kinds")).collect():  # a row a brand
+        given[r.p_brand] = {"trees": 200} | ({"max_features": int(r.kinds)} if r.least % 3 == 0 else {"max_features": 1.0} if r.least % 3 == 1 else {}) | ({"window": r.most} if r.least % 2 else {})
     return C.hyperparameters(spark, given, "forest")
 
 
@@ -552,12 +563,13 @@ def missing_slots(spark: SparkSession, d: str) -> DataFrame:
     return slots(n, "n_nationkey", ["supplier", "name"]).withColumn("missing", F.concat(F.lit("["), F.array_join("missing", ", "), F.lit("]")))
 
 
-@query("SELECT trees, kind FROM (SELECT unnest(['50', '200']) AS trees), (SELECT unnest(['z', 'raw']) AS kind)")
+@query("SELECT DISTINCT r_name AS region, o_orderpriority AS priority, l_returnflag AS flag FROM region, (SELECT DISTINCT o_orderpriority FROM orders), (SELECT DISTINCT l_returnflag FROM lineitem)")
 def condition_grid(spark: SparkSession, d: str) -> DataFrame:
-    """All combinations of a few parameters."""
+    """All combinations of regions, priorities and flags, whether they occur or not."""
     from heronry.operators.lifecycle import condition_grid as grid
 
-    return grid(spark, {"trees": [50, 200], "kind": ["z", "raw"]})
+    axes = {"region": ("region", "r_name"), "priority": ("orders", "o_orderpriority"), "flag": ("lineitem", "l_returnflag")}
+    return grid(spark, {a: [r[0] for r in table(spark, d, t).select(c).distinct().collect()] for a, (t, c) in axes.items()})
 
 
 @query("WITH RECURSIVE j AS (SELECT l_linenumber AS job, round(sum(l_quantity), 2) AS cost, row_number() OVER (ORDER BY round(sum(l_quantity), 2) DESC) AS r FROM lineitem GROUP BY 1), s AS (SELECT 0::BIGINT AS r, [0.0::DOUBLE, 0.0, 0.0] AS load UNION ALL SELECT j.r, list_append(list_sort(load)[2:], list_min(load) + cost) FROM s JOIN j ON j.r = s.r + 1) SELECT round(list_max(load), 2) AS makespan FROM s ORDER BY r DESC LIMIT 1")
