@@ -11,8 +11,9 @@ room left in each open sequence. A superstep
    left, the nearest first. The sweep needs two counts a range; pieces and gaps then join by the number of their match,
 5. updates the gaps. A gap that holds any piece left several times takes as many at once.
 
-Supersteps go on until no piece is left. All tables between them are written. The driver holds a few numbers for each
-range and superstep. Joins are by sort: both sides grow with the corpus, so neither is broadcast.
+Supersteps go on while pieces and gaps fill more than one range, which has a fixed size; what is left then is placed one
+by one in the task of that range. All tables between supersteps are written. The driver holds a few numbers for each range
+and superstep. Joins are by sort: both sides grow with the corpus, so neither is broadcast.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import re
 import sys
 import zlib
 from array import array
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,7 +145,7 @@ def _cut(path: str | None, size: int, end_id: int):
     return run
 
 
-#: Pieces and gaps of a range, about.
+#: Pieces and gaps of a range, about; where no more are left, one range holds them all and its task finishes the work.
 RANGE = 100_000
 _LEFT = "kind int, span int, rank long, key long, size long, sequence long, nth int, tokens long"
 _NAMES = [c.split()[0] for c in _LEFT.split(", ")]
@@ -217,7 +219,13 @@ def sweep_ranges(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int
 def _number(meets: list[tuple[int, int, int, int, int]]):
     """Gives each taken place of a gap left the number of its match, and so each piece left, NULL if it has none."""
     table = np.array(meets, np.int64).reshape(-1, 5)
-    first = np.cumsum(table[:, 4]) - table[:, 4]
+    table = np.column_stack((table, np.cumsum(table[:, 4]) - table[:, 4]))
+    of_gaps = table[np.argsort(table[:, 2], kind="stable")]
+
+    def concerned(spans: np.ndarray) -> list[list[int]]:
+        """The entries of the ranges of a batch, as pieces or as gaps, each once."""
+        found = [t[i:j] for t, c in ((table, 0), (of_gaps, 2)) for s in spans for i, j in [np.searchsorted(t[:, c], (s, s + 1))]]
+        return np.unique(np.concatenate(found), axis=0).tolist() if found else []
 
     names = ["kind", "key", "size", "sequence", "nth", "match"]
 
@@ -226,7 +234,7 @@ def _number(meets: list[tuple[int, int, int, int, int]]):
             kind, span, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "span", "rank"))
             nth, tokens = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("nth", "tokens"))
             alone = kind == 1
-            for (pieces, p, gaps, g, n), at in zip(table.tolist(), first.tolist(), strict=True):
+            for pieces, p, gaps, g, n, at in concerned(np.unique(span)):
                 mine = np.flatnonzero((kind == 1) & (span == pieces) & (rank >= p) & (rank < p + n))
                 low = np.maximum(rank, g)
                 held = np.where((kind == 2) & (span == gaps), np.minimum(rank + tokens, g + n) - low, 0).clip(min=0)
@@ -252,7 +260,43 @@ def _needed(left: DataFrame, least: int, size: int) -> int:
     return int(over.agg(F.coalesce(F.greatest(F.ceil(F.sum("size") / size), *fit), F.lit(0))).first()[0])
 
 
-def place(pieces: DataFrame, size: int, parts: int) -> DataFrame | None:
+def best_fit(sizes: list[int], rooms: list[tuple[int, int]], size: int, opened: int) -> list[int]:
+    """The sequence of each piece (longest first): the smallest room left that holds it, or a new one, numbered from ``opened``.
+
+    ``rooms``: (room, sequence) of the gaps there are.
+    """
+    held = sorted(rooms)
+    out = []
+    for n in sizes:
+        at = bisect_left(held, (n, -1))
+        if at < len(held):
+            room, sequence = held.pop(at)
+        else:
+            room, sequence, opened = size, opened, opened + 1
+        out.append(sequence)
+        if room > n:
+            insort(held, (room - n, sequence))
+    return out
+
+
+def _finish(size: int, opened: int, step: int):
+    """Places all pieces left, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: list[list] = [[], [], []]
+        for batch in batches:
+            for held, name in zip(table, ("size", "key", "sequence"), strict=True):
+                held += batch.column(name).to_pylist()
+        pieces = sorted(((n, k) for n, k, s in zip(*table, strict=True) if s is None), key=lambda p: (-p[0], p[1]))
+        sequences = best_fit([n for n, _ in pieces], [(n, s) for n, _, s in zip(*table, strict=True) if s is not None], size, opened)
+        m = len(pieces)
+        columns = [pa.array([k for _, k in pieces], pa.int64()), pa.array([n for n, _ in pieces], pa.int64()), pa.array(sequences, pa.int64()), pa.array([step] * m, pa.int32()), pa.array(range(m), pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "size", "sequence", "step", "nth"])
+
+    return run
+
+
+def place(pieces: DataFrame, size: int) -> DataFrame | None:
     """(key, size, sequence, step, nth) for each row of ``pieces`` (key, size); None if there are none."""
     spark = pieces.sparkSession
     left, gaps = pieces.select("key", "size"), spark.createDataFrame([], "sequence long, room long")
@@ -261,14 +305,19 @@ def place(pieces: DataFrame, size: int, parts: int) -> DataFrame | None:
     n_left, longest = left.agg(F.count(F.lit(1)), F.max("size")).first()
     n_gaps = 0
     while n_left:
+        rows = left.select("size", "key", F.lit(None).cast("long").alias("sequence"))
+        if n_left + n_gaps <= RANGE:
+            rest = rows.unionByName(gaps.select(F.col("room").alias("size"), F.lit(None).cast("long").alias("key"), "sequence"))
+            done.append(written(rest.repartition(1).mapInArrow(_finish(size, opened, step), "key long, size long, sequence long, step int, nth int"), "placed"))
+            break
         if longest > room:
             new = _needed(left, room, size)
             gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence"), F.lit(size).cast("long").alias("room")))
             opened, n_gaps = opened + new, n_gaps + new
         takes = F.greatest(F.lit(1), F.floor(F.col("room") / F.lit(longest))).cast("long")
-        rows = left.select("size", "key", F.lit(None).cast("long").alias("sequence"), F.lit(1).cast("long").alias("tokens")).unionByName(gaps.select(F.col("room").alias("size"), F.lit(None).cast("long").alias("key"), "sequence", takes.alias("tokens")))
+        rows = rows.withColumn("tokens", F.lit(1).cast("long")).unionByName(gaps.select(F.col("room").alias("size"), F.lit(None).cast("long").alias("key"), "sequence", takes.alias("tokens")))
         order = [F.col("size").desc(), F.col("sequence").asc_nulls_last(), F.col("key")]
-        ranges = min(parts, 1 + (n_left + n_gaps) // RANGE)
+        ranges = 1 + (n_left + n_gaps) // RANGE
         swept = written(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _LEFT), "swept")
         counts = {r.span: (r.p or 0, r.g or 0) for r in swept.where("kind > 0").groupBy("span").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("p"), F.sum("tokens").alias("g")).collect()}
         meets = sweep_ranges(counts)
@@ -282,10 +331,11 @@ def place(pieces: DataFrame, size: int, parts: int) -> DataFrame | None:
         taken = here.groupBy("sequence").agg(F.sum("size").alias("taken"))
         gaps = gaps.join(taken.hint("merge"), "sequence", "left").select("sequence", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room"))
         done.append(here)
-        n_left, longest, shortest = left.agg(F.count(F.lit(1)), F.max("size"), F.min("size")).first()
+        gaps = written(gaps.where("room > 0"), "gaps")
+        told = left.select("size", F.lit(None).cast("long").alias("room")).unionByName(gaps.select(F.lit(None).cast("long").alias("size"), "room"))
+        n_left, longest, shortest, n_gaps, room = told.agg(F.count("size"), F.max("size"), F.min("size"), F.count("room"), F.coalesce(F.max("room"), F.lit(0))).first()
         if n_left:
-            gaps = written(gaps.where(F.col("room") >= shortest), "gaps")
-            n_gaps, room = gaps.agg(F.count(F.lit(1)), F.coalesce(F.max("room"), F.lit(0))).first()
+            gaps = gaps.where(F.col("room") >= shortest)
         step += 1
     out = None
     for d in done:
@@ -309,7 +359,7 @@ def pack(docs: DataFrame, *, size: int = 2048, end_id: int = 0, tokenizer: str |
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cut = written(spread(narrow).mapInArrow(_cut(tokenizer, size, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, key long"), "pieces")
-    placed = place(cut.select("key", F.col("length").alias("size")), size, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = place(cut.select("key", F.col("length").alias("size")), size)
     if placed is None:
         return spark.createDataFrame([], f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     # a sequence holds ``size`` pieces at most
