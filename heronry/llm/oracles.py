@@ -88,3 +88,24 @@ kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN sizes USING (lang)
 QUALIFY rank <= 2000
 """
+
+_EITHER = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+
+SQL["secret_counts"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '({_EITHER})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 6))::BIGINT AS n_assign,
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20))::BIGINT AS n_access,
+       len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda v: length(v) >= 24))::BIGINT AS n_hex
+FROM d
+"""
+
+SQL["edited_texts"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS other FROM d)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(substr(t, 1, n - n // 3) || substr(other, 1, n // 3)) AS edited_sha256 FROM n
+"""
+
+SQL["media_payloads"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT *, strlen(t) AS b, greatest(192, 192 * ((strlen(t) + 191) // 192)) AS p FROM d)
+SELECT doc_id, b::BIGINT AS n_bytes, p::BIGINT AS payload_bytes, sha256(t || repeat(' ', (p - b)::INT)) AS payload_sha256 FROM n
+"""

@@ -99,9 +99,30 @@ def op13_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(_read(spark, sf_dir, "documents"))
 
 
+# --- columns of the queries above that SQL can express, by the same operators
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's counts of the fixed patterns."""
+    return op2_secret_crf(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's edited texts."""
+    from heronry.llm.fingerprints import fingerprint_with_edits
+
+    return fingerprint_with_edits(_read(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op13's payloads, read back from their streams."""
+    return op13_flac_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
-    return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
+    out = dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
+    return out | {f.__name__: f for f in (secret_counts, edited_texts, media_payloads)}
 
 
 def oracle_sql() -> dict[str, str]:
