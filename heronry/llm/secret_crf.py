@@ -316,40 +316,45 @@ class Field:
         return out.T
 
     def viterbi(self, scores: np.ndarray) -> np.ndarray:
-        """Best tags of one chain."""
-        best, back = scores[0], np.zeros(scores.shape, np.int8)
-        for t in range(1, len(scores)):
-            step = best[:, None] + self.move
-            back[t] = step.argmax(axis=0)
-            best = step.max(axis=0) + scores[t]
-        tags = np.empty(len(scores), np.int8)
-        tags[-1] = best.argmax()
-        for t in range(len(scores) - 1, 0, -1):
-            tags[t - 1] = back[t, tags[t]]
+        """Best tags of chains of one length: chains x tokens, of chains x tokens x 3."""
+        chains, length, _ = scores.shape
+        best, back = scores[:, 0], np.zeros(scores.shape, np.int8)
+        for t in range(1, length):
+            step = best[:, :, None] + self.move
+            back[:, t] = step.argmax(axis=1)
+            best = step.max(axis=1) + scores[:, t]
+        tags = np.empty((chains, length), np.int8)
+        tags[:, -1] = best.argmax(axis=1)
+        rows = np.arange(chains)
+        for t in range(length - 1, 0, -1):
+            tags[:, t - 1] = back[rows, t, tags[:, t]]
         return tags
 
     def decode(self, scores: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Viterbi tags of the chains of all texts.
 
         Where tag 0 leads by more than any two transitions can differ, the best chain holds tag 0 there; the chain is
-        cut at such tokens and only what lies between is searched, from one to the next. Tags are those of the whole.
+        cut at such tokens and only what lies between is searched, from one to the next, all stretches of a length at
+        once. Tags are those of the whole.
         """
-        sure = scores[:, 0] - scores[:, 1:].max(axis=1) > 2 * (self.move.max() - self.move.min())
-        tags = np.zeros(len(scores), np.int8)
+        n = len(scores)
+        sure = scores[:, 0] - np.maximum(scores[:, 1], scores[:, 2]) > 2 * (self.move.max() - self.move.min())
+        tags = np.zeros(n, np.int8)
         open_ = np.flatnonzero(~sure)
         if not len(open_):
             return tags
         cut = np.flatnonzero((np.diff(open_) > 1) | (text[open_[1:]] != text[open_[:-1]])) + 1
-        for run in np.split(open_, cut):
-            a, b = run[0], run[-1] + 1
-            lo = a - 1 if a and text[a - 1] == text[a] else a
-            hi = b + 1 if b < len(scores) and text[b] == text[b - 1] else b
-            s = scores[lo:hi].copy()
-            if lo < a:
-                s[0, 1:] = -1e9
-            if hi > b:
-                s[-1, 1:] = -1e9
-            tags[a:b] = self.viterbi(s)[a - lo : a - lo + b - a]
+        a, b = open_[np.append(0, cut)], open_[np.append(cut, len(open_)) - 1] + 1
+        # the tokens on either side, where they are of the same text, hold tag 0
+        before = (a > 0) & (text[a - 1] == text[a])
+        after = (b < n) & (text[np.minimum(b, n - 1)] == text[b - 1])
+        lo, length = a - before, b + after - a + before
+        for size in np.unique(length).tolist():
+            mine = np.flatnonzero(length == size)
+            s = scores[lo[mine, None] + np.arange(size)]
+            s[before[mine], 0, 1:] = -1e9
+            s[after[mine], -1, 1:] = -1e9
+            tags[lo[mine, None] + np.arange(size)] |= self.viterbi(s)
         return tags
 
 
