@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numeric import r6
+from heronry.operators import entity as E
 from heronry.operators import forest as O
+from heronry.operators import masking as M
 from heronry.operators import profile as P
 from heronry.operators import tables as B
 from heronry.plans import adapters as A
-from heronry.plans.detection import DIST, WIN_SQL
+from heronry.plans.detection import DIST, SUBSETS, WIN_SQL
 from heronry.plans.registry import query, table
 
 
@@ -65,3 +67,30 @@ def pivoted_means(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("op"), "l_linestatus").agg(r6(F.avg("l_tax")).alias("v"))
     wide = B.pivot_strict(cells, "op", "l_linestatus", "v", ["F", "O"])
     return wide.select("op", F.col("O").isNotNull().alias("has_o"), F.col("F").alias("f"), F.col("O").alias("o"))
+
+
+@query(f"WITH {A.S_SQL}, {A.L_SQL}, {A.META_SQL} SELECT num, domain, variant FROM meta WHERE domain IN ('click', 'view') AND variant NOT IN ('plain', 'NA') AND domain <> 'error'")
+def selected_subsets(spark: SparkSession, d: str) -> DataFrame:
+    """Series that are in two named subsets at once."""
+    return E.select_subsets(A.meta(spark, d), SUBSETS, ["clicks", "odd"]).select("num", "domain", "variant")
+
+
+@query("WITH g AS (SELECT c_custkey AS num, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS root FROM customer) SELECT num, root, printf('cg%03d', root) AS \"group\", count(*) OVER (PARTITION BY root) AS group_size FROM g")
+def group_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of groups by their smallest member: customers of one nation and segment."""
+    c = table(spark, d, "customer")
+    links = c.select(F.col("c_custkey").alias("num"), F.min("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment")).alias("root"))
+    return E.group_labels(links)
+
+
+_NOISE = """rr AS (SELECT s.*, te, a, b, avg(x) OVER w AS mean, stddev_pop(x) OVER w AS sd0, avg(x) FILTER (WHERE idx < te) OVER w AS mu, stddev_pop(x) FILTER (WHERE idx < te) OVER w AS tsd FROM s JOIN r USING (series_id) WINDOW w AS (PARTITION BY series_id)),
+dr AS (SELECT *, ('0x' || substr(md5('7:' || series_id || ':' || idx || ':u'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u, ('0x' || substr(md5('7:' || series_id || ':' || idx || ':v'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS v,
+       ('0x' || substr(md5('7:' || series_id || ':' || idx || ':n'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS e FROM rr WHERE idx >= a AND idx < b)"""
+
+
+@query(f"""WITH {A.S_SQL}, {A.L_SQL}, {A.R_SQL}, {_NOISE} SELECT series_id, idx, 'gaussian' AS op, round(mean + CASE WHEN sd0 > 0 THEN sd0 ELSE 1e-8 END * sqrt(-2.0 * ln(1.0 - u)) * cos(6.283185307179586 * v), 5) AS masked FROM dr
+UNION ALL SELECT series_id, idx, 'noise100', round((e * 200 - 100) * CASE WHEN tsd > 0 THEN tsd ELSE 1 END + mu, 5) FROM dr""")
+def masked_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded fills: normal numbers of the series' own spread, and even ones a hundred deviations wide."""
+    p = A.points(spark, d)
+    return M.mask_all(p, ("gaussian", "noise100")).join(p.select("series_id", "idx", "a", "b"), ["series_id", "idx"]).where("idx >= a AND idx < b").select("series_id", "idx", "op", F.round("masked", 5).alias("masked"))

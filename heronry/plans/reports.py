@@ -454,10 +454,10 @@ def footprints(spark: SparkSession, d: str) -> DataFrame:
     return C.footprints(A.layouts(spark, d), F.lit(2))
 
 
-@query(f"WITH {A.S_SQL}, {A.L_SQL}, {_ADM_SQL.replace('LENS', '1, 2, 4')}, n AS (SELECT series_id, len, least(4, coalesce(sum((r.hi - r.lo) // len + 1) FILTER (WHERE r.hi >= r.lo), 0))::BIGINT AS n FROM e GROUP BY ALL) SELECT series_id, 'normal' AS region, len::BIGINT AS len, n, CASE WHEN n < 2 THEN 'dropped' WHEN n < 4 THEN 'short' ELSE 'full' END AS status FROM n UNION ALL SELECT series_id, 'anomaly', s1 - s0, 1, 'full' FROM l")
+@query(f"WITH {A.S_SQL}, {A.L_SQL}, {_ADM_SQL.replace('LENS', '1, 2, 4')}, n AS (SELECT series_id, len, least(20, coalesce(sum((r.hi - r.lo) // len + 1) FILTER (WHERE r.hi >= r.lo), 0))::BIGINT AS n FROM e GROUP BY ALL) SELECT series_id, 'normal' AS region, len::BIGINT AS len, n, CASE WHEN n < 10 THEN 'dropped' WHEN n < 20 THEN 'short' ELSE 'full' END AS status FROM n UNION ALL SELECT series_id, 'anomaly', s1 - s0, 1, 'full' FROM l")
 def effect_plan(spark: SparkSession, d: str) -> DataFrame:
     """Which regions of each length a series has room for."""
-    return C.effect_plan(A.layouts(spark, d), [1, 2, 4], least=2, enough=4)
+    return C.effect_plan(A.layouts(spark, d), [1, 2, 4], least=10, enough=20)
 
 
 @query(f"WITH RECURSIVE {A.S_SQL}, c AS (SELECT series_id, idx AS a, row_number() OVER (PARTITION BY series_id ORDER BY ('0x' || substr(md5('7:' || series_id || ':' || idx), 1, 12))::BIGINT, idx) AS r FROM s WHERE event_type <> 'error'), t AS (SELECT DISTINCT series_id, 0::BIGINT AS r, []::BIGINT[] AS taken FROM c UNION ALL SELECT c.series_id, c.r, CASE WHEN len(taken) < 4 AND len(list_filter(taken, lambda y: c.a < y + 5 AND y < c.a + 5)) = 0 THEN list_append(taken, c.a) ELSE taken END FROM t JOIN c ON c.series_id = t.series_id AND c.r = t.r + 1) SELECT series_id, unnest(arg_max(taken, r)) AS a, 5::BIGINT AS len FROM t GROUP BY 1")
