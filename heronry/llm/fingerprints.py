@@ -147,12 +147,26 @@ def _hex_halves(col: Column) -> list[Column]:
     return halves
 
 
+def _flips(radius: int) -> int:
+    """In how many bits a query's block and an entry's may differ: wide radii need wide blocks, which stay selective."""
+    return 2 if radius >= 12 else 1
+
+
 def _blocks(radius: int) -> list[tuple[int, int]]:
-    """radius // 2 + 1 blocks of bits, as even as can be; within the radius one of them differs in one bit at most."""
-    edge = np.linspace(0, BITS, radius // 2 + 2).astype(int)
+    """radius // (flips + 1) + 1 blocks of bits, as even as can be; within the radius one of them differs in no more bits than that."""
+    edge = np.linspace(0, BITS, radius // (_flips(radius) + 1) + 2).astype(int)
     return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
 
 
+def _turned(width: int, flips: int) -> np.ndarray:
+    """All ways to turn at most so many of ``width`` bits: ways x width, the first turns none."""
+    ways = [()] + [(i,) for i in range(width)] + [(i, j) for i in range(width) for j in range(i) if flips > 1]
+    out = np.zeros((len(ways), width), np.uint8)
+    for row, way in zip(out, ways, strict=True):
+        row[list(way)] = 1
+    return out
+
+
 def _bits(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.stack((hi, lo), axis=1).astype(">i8").view(np.uint8).reshape(-1, BITS // 8), axis=1)
 
@@ -167,17 +181,18 @@ def _bucket(bits: np.ndarray, t: int) -> np.ndarray:
 
 
 def _permute(radius: int, probes: bool):
-    """A row for each table an entry is in, or, for queries, also for each bucket one bit of the block away."""
+    """A row for each table an entry is in, or, for queries, also for each bucket a few bits of the block away."""
+    turned = [_turned(b - a, _flips(radius)) if probes else np.zeros((1, b - a), np.uint8) for a, b in _blocks(radius)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = _bits(batch.column("hi").to_numpy(zero_copy_only=False), batch.column("lo").to_numpy(zero_copy_only=False))
-            for t, (a, b) in enumerate(_blocks(radius)):
-                for flip in range(-1, b - a if probes else 0):
-                    block = bits[:, a:b].copy()
-                    if flip >= 0:
-                        block[:, flip] ^= 1
-                    yield pa.RecordBatch.from_arrays([pa.array(_bucket(block, t)), pa.array(np.full(len(bits), t, np.int32)), *(batch.column(c) for c in ("hi", "lo", "n"))], ["bucket", "t", "hi", "lo", "n"])
+            for t, ((a, b), ways) in enumerate(zip(_blocks(radius), turned, strict=True)):
+                for at in range(0, len(bits), PAIRS // len(ways)):
+                    some = bits[at : at + PAIRS // len(ways), a:b]
+                    near = (some[:, None] ^ ways[None]).reshape(-1, b - a)
+                    rows = pa.array(np.repeat(np.arange(at, at + len(some)), len(ways)))
+                    yield pa.RecordBatch.from_arrays([pa.array(_bucket(near, t)), pa.array(np.full(len(near), t, np.int32)), *(batch.column(c).take(rows) for c in ("hi", "lo", "n"))], ["bucket", "t", "hi", "lo", "n"])
 
     return run
 
@@ -199,7 +214,7 @@ def _scan(radius: int):
         if not len(i):
             return i, j
         off = _bits(rows["hi"][i], rows["lo"][i]) ^ _bits(rows["hi"][j], rows["lo"][j])
-        meets = np.stack([off[:, a:b].sum(axis=1) <= 1 for a, b in blocks], axis=1)
+        meets = np.stack([off[:, a:b].sum(axis=1) <= _flips(radius) for a, b in blocks], axis=1)
         here = np.argmax(meets, axis=1) == rows["t"][i]  # a pair counts in its first table
         return i[here], j[here]
 
@@ -240,14 +255,17 @@ def _scan(radius: int):
     return run
 
 
-def count_near(prints: DataFrame, *, radius: int = 11, every: int = 50) -> DataFrame:
+def count_near(prints: DataFrame, *, radius: int = 17, every: int = 50) -> DataFrame:
     """(doc_id, n_near) for rows of ``prints`` (doc_id, fingerprint) whose id is divisible by ``every``.
 
     ``n_near`` counts the other rows within ``radius`` bits, equal fingerprints included. Fingerprints are dealt to one
-    table for each of radius // 2 + 1 blocks, permuted to the front; within the radius one block at least differs in no
-    more than one bit, so a query that looks into its own bucket of each table and into those one bit away finds all.
+    table for each block, permuted to the front: at radius 17 six blocks, of which one at least differs in no more than
+    two bits, so a query that looks into its own bucket of each table and into those at most two bits away finds all.
     Copies are one entry with a count. Buckets of more than DENSE entries are dealt out in parts, and their queries go to
-    each part. Null ids are no queries.
+    each part.
+
+    Defined cases: null ids are entries but no queries; rows of one id are queries each, by their own fingerprint; an
+    empty table gives an empty table.
     """
     hi, lo = _hex_halves(F.col("fingerprint"))
     asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))

@@ -65,7 +65,7 @@ def op8_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronry.llm.store import written
 
     out = written(fingerprint_with_edits(_read(spark, sf_dir, "documents")), "fingerprints")
-    near = count_near(out.select("doc_id", "fingerprint"), radius=11, every=50)
+    near = count_near(out.select("doc_id", "fingerprint"), radius=17, every=50)
     return out.join(near.groupBy("doc_id").agg(F.first("n_near").alias("n_near")), "doc_id", "left")
 
 

@@ -452,7 +452,7 @@ def test_fingerprints(spark, docs, rows):
 
 
 def test_search_finds_near_copies(spark, monkeypatch):
-    """Planted copies with one word replaced: the query's radius finds nine in ten, radius 3 under half."""
+    """Planted copies with three words replaced: the query's radius finds nine in ten, radius 3 next to none."""
     from heronry.llm import fingerprints, queries
 
     rng = random.Random(5)
@@ -461,16 +461,21 @@ def test_search_finds_near_copies(spark, monkeypatch):
     for k in range(60):
         base = [rng.choice(vocab) for _ in range(200)]
         copy = list(base)
-        copy[rng.randrange(200)] = "replaced"
+        for p in rng.sample(range(200), 3):
+            copy[p] = "replaced"
         texts += [(50 * k, " ".join(base)), (50 * k + 1, " ".join(copy))]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     monkeypatch.setattr(queries, "_read", lambda *_: docs)
     near = {r.doc_id: r.n_near for r in queries.op8_simhash_fingerprints(spark, "").where("n_near IS NOT NULL").select("doc_id", "n_near").collect()}
     assert len(near) == 60 and max(near.values()) == 1 and sum(near.values()) >= 54
     prints = fingerprints.fingerprint_with_edits(docs).select("doc_id", "fingerprint")
-    assert sum(r.n_near for r in fingerprints.count_near(prints, radius=3).collect()) < 30
+    assert sum(r.n_near for r in fingerprints.count_near(prints, radius=3).collect()) < 10
+    bits = {r.doc_id: int(r.fingerprint, 16) for r in prints.collect()}
+    for radius in (11, 17, 45):  # exact: as all pairs
+        want = {i: sum((a ^ b).bit_count() <= radius for j, b in bits.items() if j != i) for i, a in bits.items() if i % 50 == 0}
+        assert {r.doc_id: r.n_near for r in fingerprints.count_near(prints, radius=radius).collect()} == want
     monkeypatch.setattr(fingerprints, "DENSE", 2)  # every bucket of more entries in parts: same counts
-    assert {r.doc_id: r.n_near for r in fingerprints.count_near(prints, radius=11).collect()} == near
+    assert {r.doc_id: r.n_near for r in fingerprints.count_near(prints, radius=17).collect()} == near
 
 
 # --- op9
