@@ -238,6 +238,23 @@ def am_pair_tests(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["unit", "op"]).where("am_a < am_b").groupBy("op", "am_a", "am_b").agg(F.count(F.lit(1)).alias("n"), r6(F.median(F.col("va") - F.col("vb"))).alias("med_diff"))
 
 
+@query(f"""WITH {D_SQL}, df AS (SELECT x.op, x.am || ' - ' || y.am AS test, round(x.v - y.v, 9) AS d FROM dd x JOIN dd y ON x.unit = y.unit AND x.op = y.op AND x.am < y.am WHERE x.v IS NOT NULL AND y.v IS NOT NULL),
+z AS (SELECT op, test, d, abs(d) AS ad FROM df WHERE d <> 0), r AS (SELECT *, rank() OVER (PARTITION BY op, test ORDER BY ad) + (count(*) OVER (PARTITION BY op, test, ad) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY op, test, ad) AS t FROM z),
+s AS (SELECT op, test, count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END)::DOUBLE AS wp, sum(CASE WHEN d < 0 THEN rk ELSE 0 END)::DOUBLE AS wm, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY ALL),
+zz AS (SELECT *, (least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s), tt AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t FROM zz),
+tl AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))) AS tail FROM tt),
+ps AS (SELECT op, test, n, least(1.0, 2 * CASE WHEN z < 0 THEN tail ELSE 1 - tail END) AS p FROM tl), me AS (SELECT op, test, median(d) AS med FROM df GROUP BY ALL),
+ai AS (SELECT me.op, me.test, med, coalesce(n, 0) AS n, coalesce(p, 1.0) AS p FROM me LEFT JOIN ps ON ps.op = me.op AND ps.test = me.test), st AS (SELECT *, row_number() OVER (PARTITION BY op ORDER BY p, test) AS i, count(*) OVER (PARTITION BY op) AS k FROM ai)
+SELECT op, test, round(med, 6) AS med, n, round(p, 6) AS p, round(least(1.0, max((k - i + 1) * p) OVER (PARTITION BY op ORDER BY i)), 6) AS p_holm FROM st""")
+def am_pair_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
+    """Signed-rank tests of all pairs of methods within an operator, adjusted step by step."""
+    a, b = (_effects(spark, d).where("v IS NOT NULL").select("unit", "op", F.col("am").alias(f"am_{s}"), F.col("v").alias(f"v{s}")) for s in "ab")
+    pairs = a.join(b, ["unit", "op"]).where("am_a < am_b").select("op", F.concat("am_a", F.lit(" - "), "am_b").alias("test"), F.round(F.col("va") - F.col("vb"), 9).alias("d"))
+    tests = T.holm(T.wilcoxon(pairs, ["op", "test"]), ["op"])
+    middle = pairs.groupBy("op", "test").agg(F.median("d").alias("med"))
+    return tests.join(middle, ["op", "test"]).select("op", "test", r6(F.col("med")).alias("med"), "n", r6(F.col("p")).alias("p"), r6(F.col("p_holm")).alias("p_holm"))
+
+
 @query("""SELECT coalesce(l_returnflag, 'all') AS op, coalesce(l_linenumber::VARCHAR, 'all') AS len, count(*) AS n, round(quantile_cont(CASE WHEN l_tax > 0.04 THEN l_discount END, 0.5), 6) AS med_fa, round(quantile_cont(CASE WHEN l_tax <= 0.04 THEN l_discount END, 0.5), 6) AS med_other FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linenumber)""")
 def fa_ai_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Effects of false alarms and others by operator and length, with subtotals."""
