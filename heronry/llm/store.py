@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.shared import checkpoint_dir, written
+from heronry.shared import checkpoint_dir, shared_path, written
 
 __all__ = ["bucketed", "checkpoint_dir", "small_batches", "written"]
 
@@ -16,13 +16,13 @@ ROWS = 2500
 BATCH_BYTES = "16m"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches of this session to ROWS rows; a session that set fewer keeps its own."""
+def small_batches(spark: SparkSession, size: str = BATCH_BYTES) -> None:
+    """Hold Arrow batches of this session to ROWS rows and so many bytes; a session that set fewer rows keeps its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > ROWS:
         spark.conf.set(key, str(ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def _drop_table(spark: SparkSession, name: str) -> None:
@@ -33,9 +33,9 @@ def _drop_table(spark: SparkSession, name: str) -> None:
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """``df`` written once to the warehouse, in buckets of ``key``: joins on it move the other side only."""
+    """``df`` written once to the shared folder, in buckets of ``key``: joins on it move the other side only."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, key).saveAsTable(table)
+    df.write.format("parquet").bucketBy(buckets, key).option("path", shared_path(spark, name)).saveAsTable(table)
     atexit.register(_drop_table, spark, table)
     return spark.table(table)
