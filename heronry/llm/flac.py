@@ -24,7 +24,7 @@ from heronry.llm.store import small_batches
 #: Samples of a frame; the last frame of a stream may be shorter.
 BLOCK = 576
 #: Frames that one array step handles.
-LANES = 4096
+LANES = 2048
 #: Bytes of payload that go into one step, unless a single text is longer.
 STEP = 4_000_000
 #: Payloads are filled up to a multiple of this.

@@ -250,7 +250,7 @@ def collocations(docs: DataFrame, *, least: int = 30, top: int = 2000, hot: int
     task holds the vocabulary. Fragments of a pack are merged before the shuffle, and counted by hash aggregation, which
     spills. The last limit is taken within ``SALTS`` groups of a language first.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, "8m")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     packs = written(_packs(spread(docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))), pack), "phrase-packs")
     counted = packs.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
