@@ -26,6 +26,15 @@ def r6(x: Column) -> Column:
     return F.round(x.cast("double"), 6)
 
 
+def scaled_round(x: Column, places: int) -> Column:
+    """Rounded by scaling: the product is rounded, halves away from zero, and scaled back, as DuckDB rounds doubles.
+
+    Spark's own rounding goes by a double's decimal digits, which may show a half where the product is below or above it.
+    """
+    scale = F.lit(10.0**places)
+    return F.round(x.cast("double") * scale, 0) / scale
+
+
 def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5)).cast("long")
 

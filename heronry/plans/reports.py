@@ -122,14 +122,14 @@ _RES_SQL = "rs AS (SELECT l_returnflag AS op, l_orderkey, l_linenumber, round(l_
 
 def _residuals(spark: SparkSession, d: str) -> DataFrame:
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("op"), "l_orderkey", "l_linenumber", F.round(net, 2).alias("pred"), F.round(net * (F.lit(1) + F.when(F.col("l_tax") > 0.07, 0.0001).otherwise(0.0)), 2).alias("seen"))
+    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("op"), "l_orderkey", "l_linenumber", N.scaled_round(net, 2).alias("pred"), N.scaled_round(net * (F.lit(1) + F.when(F.col("l_tax") > 0.07, 0.0001).otherwise(0.0)), 2).alias("seen"))
 
 
 @query(f"WITH {_RES_SQL} SELECT op, count(r) AS cases, round(avg((r <= 0.5)::INT), 6) AS match_rate, count_if(r > 0.5) AS mismatches, round(max(r), 4) AS largest, round(quantile_cont(r, 0.99), 4) AS q99, round(median(r), 4) AS med, count_if(r = 0) AS zeros FROM rr GROUP BY 1")
 def prediction_check(spark: SparkSession, d: str) -> DataFrame:
     """Predicted against seen values: matches, and the residual's range."""
     out = R.residual_check(_residuals(spark, d), ["op"], F.col("pred"), F.col("seen"), 0.5)
-    return out.withColumn("match_rate", r6(F.col("match_rate"))).withColumns({c: F.round(c, 4) for c in ("largest", "q99", "med")})
+    return out.withColumn("match_rate", r6(F.col("match_rate"))).withColumns({c: N.scaled_round(F.col(c), 4) for c in ("largest", "q99", "med")})
 
 
 @query(f"WITH {_RES_SQL}, m AS (SELECT l_orderkey, l_linenumber FROM rr WHERE r > 0.5) SELECT *, (SELECT greatest(0, count(*) - 200) FROM m)::BIGINT AS more FROM m ORDER BY l_orderkey, l_linenumber LIMIT 200")

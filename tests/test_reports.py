@@ -129,3 +129,18 @@ def test_calls_registries_and_boards(spark):
     view = spark.createDataFrame([(1, 2.0)], "key long, value double")
     with pytest.raises(Exception, match="isn't known"):
         L.required_at(view, spark.createDataFrame([(1,), (2,)], "key long")).collect()
+
+
+def test_residuals_round_as_the_sql_does(spark, tmp_path):
+    """5051.50 less 1 %: the two rounded prices lie 0.5 and a little apart by scaled products, 0.5 and less by decimal digits."""
+    import duckdb
+
+    from heronry.plans import QUERIES, SQL
+
+    lines = [("A", 1, 1, 5051.5, 0.01, 0.08), ("A", 2, 1, 5064.5, 0.01, 0.08), ("A", 3, 1, 5064.5, 0.01, 0.0), ("A", 4, 1, 100.0, 0.1, 0.08)]
+    spark.createDataFrame(lines, "l_returnflag string, l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double, l_tax double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    names = ["op", "cases", "match_rate", "mismatches", "largest", "q99", "med", "zeros"]
+    want = con.execute(SQL["prediction_check"]).fetchall()
+    assert [tuple(r) for r in QUERIES["prediction_check"](spark, str(tmp_path)).select(*names).collect()] == want and want[0][3] == 2
