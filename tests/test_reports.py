@@ -144,3 +144,5 @@ def test_residuals_round_as_the_sql_does(spark, tmp_path):
     names = ["op", "cases", "match_rate", "mismatches", "largest", "q99", "med", "zeros"]
     want = con.execute(SQL["prediction_check"]).fetchall()
     assert [tuple(r) for r in QUERIES["prediction_check"](spark, str(tmp_path)).select(*names).collect()] == want and want[0][3] == 2
+    listed = QUERIES["prediction_mismatches"](spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "more")
+    assert [tuple(r) for r in listed.collect()] == con.execute(SQL["prediction_mismatches"]).fetchall() == [(1, 1, 0), (2, 1, 0)]
