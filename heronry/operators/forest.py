@@ -83,6 +83,94 @@ def grow_tree(train: np.ndarray, series_id: object, t: int, *, sample: int, max_
     return grow(chosen[:, used], used, rng, int(np.ceil(np.log2(max(size, 2)))))
 
 
+def _uniform(key: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) of 64-bit keys, mixed as splitmix64 does: the same whatever is drawn beside them."""
+    with np.errstate(over="ignore"):
+        z = key + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * (1.0 / (1 << 53))
+
+
+@dataclass
+class Trees:
+    """Many trees of one series: (tree, node) arrays, a right child beside the left one."""
+
+    size: int
+    used: np.ndarray
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+
+    def depths(self, points: np.ndarray) -> np.ndarray:
+        """Sum over the trees of each point's path length."""
+        tree = np.arange(len(self.feature))[:, None]
+        row = np.arange(len(points))[None]
+        at = np.zeros((len(self.feature), len(points)), np.int64)
+        while True:
+            f = self.feature[tree, at]
+            inner = f >= 0
+            if not inner.any():
+                return self.value[tree, at].sum(axis=0)
+            right = points[row, self.used[tree, np.maximum(f, 0)]] >= self.cut[tree, at]
+            at = np.where(inner, self.left[tree, at] + right, at)
+
+
+def grow_trees(train: np.ndarray, series_id: object, numbers: range, *, sample: int, max_features: int | float, seed: int) -> Trees:
+    """Trees ``numbers`` of a series at once, level by level over all of them.
+
+    A node's draws hang on seed, series, tree and node alone, so a tree is the same in any group. Where all training windows
+    or all features are taken there is nothing to draw for them.
+    """
+    w, size, count = train.shape[1], min(sample, len(train)), len(numbers)
+    n = features_used(max_features, w)
+    text = str(series_id)
+    ident = [seed, int(text) if text.isdigit() else zlib.crc32(text.encode())]
+    used = np.tile(np.arange(w), (count, 1)) if n == w else np.empty((count, n), np.int64)
+    rows = np.tile(np.arange(size), (count, 1)) if size == len(train) else np.empty((count, size), np.int64)
+    if n < w or size < len(train):
+        for i, t in enumerate(numbers):
+            rng = np.random.default_rng([*ident, t])
+            if size < len(train):
+                rows[i] = rng.choice(len(train), size, replace=False)
+            if n < w:
+                used[i] = np.sort(rng.choice(w, n, replace=False))
+    x = train[rows[:, :, None], used[:, None, :]].reshape(count * size, n)
+    base = np.random.SeedSequence(ident).generate_state(1, np.uint64)[0]
+    limit = int(np.ceil(np.log2(max(size, 2))))
+    nodes = 2 ** (limit + 1) - 1
+    feature, cut = np.full((count, nodes), -1, np.int64), np.zeros((count, nodes))
+    value = np.tile(np.floor(np.log2(np.arange(nodes) + 1.0)), (count, 1))  # of a node that no row reaches
+    at, tree = np.zeros(count * size, np.int64), np.repeat(np.arange(count), size)
+    for depth in range(limit + 1):
+        group = tree * nodes + at
+        order = np.argsort(group, kind="stable")
+        x, at, tree, group = x[order], at[order], tree[order], group[order]
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        many = np.diff(np.append(first, len(group)))
+        lo, hi = np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
+        free = hi > lo
+        choices = free.sum(axis=1)
+        split = (choices > 0) & (depth < limit)
+        t, node = tree[first], at[first]
+        value[t[~split], node[~split]] = depth + expected_path(many[~split])
+        if not split.any():
+            break
+        with np.errstate(over="ignore"):
+            key = base + (np.asarray(numbers, np.uint64)[t[split]] << np.uint64(32)) + np.uint64(2) * node[split].astype(np.uint64)
+        pick = np.minimum((_uniform(key) * choices[split]).astype(np.int64), choices[split] - 1)
+        f = (np.cumsum(free[split], axis=1) == pick[:, None] + 1).argmax(axis=1)
+        here = np.arange(len(f))
+        low, high = lo[split][here, f], hi[split][here, f]
+        feature[t[split], node[split]] = f
+        cut[t[split], node[split]] = low + (high - low) * _uniform(key + np.uint64(1))
+        goes_on = np.repeat(split, many)
+        x, at, tree = x[goes_on], at[goes_on], tree[goes_on]
+        at = 2 * at + 1 + (x[np.arange(len(x)), feature[tree, at]] >= cut[tree, at])
+    return Trees(size, used, feature, cut, np.where(feature >= 0, 2 * np.arange(nodes) + 1, -1), value)
+
+
 def features_used(max_features: int | float, w: int) -> int:
     """How many of w features a tree sees: an integer is that many (1 is one), a fraction that share of them (1.0 is all)."""
     n = max_features if isinstance(max_features, int) else int(max_features * w)
@@ -95,24 +183,39 @@ def isolation_forest(series: DataFrame, layouts: DataFrame, *, trees: int = 200,
     """(series_id, idx, score): 2^(-mean path / expected path) of windows, trained on those inside [0, te).
 
     A window's score stands at its middle; the first and last score fill the edges. A task grows ``group`` trees on the
-    training part and follows a block of windows through them.
+    training part, all trees where the series is one block, and follows a block of windows through them.
     """
-    tasks = layouts.join(pack(series), "series_id").where("te >= w").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(-(-trees // group) - 1))))
+    per = F.when(F.size("xs") - F.col("w") < block, trees).otherwise(group).alias("per")
+    tasks = layouts.join(pack(series), "series_id").where("te >= w").withColumn("per", per).withColumn("g", F.explode(F.expr(f"sequence(0, int(ceil({trees} / per)) - 1)")))
     tasks = tasks.withColumn("first", F.explode(F.expr(f"sequence(0, size(xs) - int(w), {block})")))
     m = F.col("w").cast("int")
-    narrow = dealt(tasks.select("series_id", "w", "g", "first", F.expr("slice(xs, 1, int(te))").alias("train"), F.slice("xs", F.col("first") + 1, F.least(F.lit(block) + m - 1, F.size("xs") - F.col("first"))).alias("part")), "series_id", "g", "first")
+    narrow = dealt(tasks.select("series_id", "w", "g", "per", "first", F.expr("slice(xs, 1, int(te))").alias("train"), F.slice("xs", F.col("first") + 1, F.least(F.lit(block) + m - 1, F.size("xs") - F.col("first"))).alias("part")), "series_id", "g", "first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out, held = [], 0
             for r in batch.itertuples():
                 train, v = (np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), int(r.w)) for x in (r.train, r.part))
-                grown = [grow_tree(train, r.series_id, t, sample=sample, max_features=max_features, seed=seed) for t in range(r.g * group, min((r.g + 1) * group, trees))]
-                yield pd.DataFrame({"series_id": r.series_id, "start": np.arange(r.first, r.first + len(v)), "total": sum(t.depths(v) for t in grown), "size": grown[0].size})
+                grown = grow_trees(train, r.series_id, range(r.g * r.per, min((r.g + 1) * r.per, trees)), sample=sample, max_features=max_features, seed=seed)
+                out.append((r.series_id, np.arange(r.first, r.first + len(v)), grown.depths(v), grown.size))
+                held += len(v)
+                if held >= 1 << 16:
+                    yield totals_table(out)
+                    out, held = [], 0
+            if out:
+                yield totals_table(out)
 
     kind = series.schema["series_id"].dataType.simpleString()
     return forest_scores(narrow.mapInPandas(run, f"series_id {kind}, start long, total double, size long"), layouts, trees)
 
 
+def totals_table(parts: list[tuple]) -> pd.DataFrame:
+    """(series_id, start, total, size) of (series_id, starts, totals, size)."""
+    ids, starts, totals, sizes = zip(*parts, strict=True)
+    many = [len(v) for v in starts]
+    return pd.DataFrame({"series_id": np.repeat(pd.Series(ids).to_numpy(), many), "start": np.concatenate(starts), "total": np.concatenate(totals), "size": np.repeat(sizes, many)})
+
+
 def forest_scores(parts: DataFrame, layouts: DataFrame, trees: int) -> DataFrame:
     """(series_id, idx, score) from path lengths (series_id, start, total, size) of groups of trees."""
     sums = parts.groupBy("series_id", "start").agg(F.sum("total").alias("t"), F.max("size").alias("m"))

@@ -182,3 +182,39 @@ def test_table_function(spark):
         spark.sql("SELECT * FROM profile_scores(TABLE(pts), 'other')")
     with pytest.raises(Exception, match="lacks te, w"):
         spark.sql("SELECT * FROM profile_scores(TABLE(SELECT series_id, idx, x FROM pts))")
+
+
+def test_trees_grown_together_are_those_grown_apart():
+    """Any group gives the same trees; leaves count the training windows they hold; 200 trees of a short series take milliseconds."""
+    import time
+
+    rng = np.random.default_rng(4)
+    train, points = rng.normal(size=(80, 6)), rng.normal(size=(50, 6))
+    for features, sample in ((1.0, 256), (3, 64)):
+        made = O.grow_trees(train, "s", range(40), sample=sample, max_features=features, seed=7)
+        some = O.grow_trees(train, "s", range(30, 40), sample=sample, max_features=features, seed=7)
+        assert (made.cut[30:] == some.cut).all() and (made.feature[30:] == some.feature).all() and (made.used[30:] == some.used).all()
+        assert len(np.unique(made.cut[:, 0])) == 40
+        apart = sum(O.grow_trees(train, "s", range(t, t + 1), sample=sample, max_features=features, seed=7).depths(points) for t in range(40))
+        assert np.allclose(made.depths(points), apart)
+
+    def leaf(p):
+        at, steps = 0, 0
+        while whole.feature[0, at] >= 0:
+            at, steps = whole.left[0, at] + int(p[whole.used[0, whole.feature[0, at]]] >= whole.cut[0, at]), steps + 1
+        return at, steps
+
+    whole = O.grow_trees(train, "s", range(1), sample=256, max_features=1.0, seed=7)
+    inside = [leaf(q)[0] for q in train]
+    for p in train:
+        at, steps = leaf(p)
+        assert whole.depths(p[None])[0] == pytest.approx(steps + float(O.expected_path(inside.count(at))))
+    flat = O.grow_trees(np.ones((30, 4)), 3, range(5), sample=256, max_features=1.0, seed=7)
+    assert (flat.feature < 0).all() and flat.depths(np.ones((2, 4))) == pytest.approx(5 * float(O.expected_path(30)))
+    one = time.process_time()
+    O.grow_trees(train[:21], 1, range(200), sample=256, max_features=1.0, seed=7)
+    together = time.process_time() - one
+    one = time.process_time()
+    for t in range(200):
+        O.grow_tree(train[:21], 1, t, sample=256, max_features=1.0, seed=7)
+    assert together < (time.process_time() - one) / 4
