@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ from heronry.operators import profile as P
 from heronry.operators.series import fit_part, pack
 from heronry.shared import dealt
 
+#: Windows of a block: a series of one block meets all its trees in one task.
+BLOCK = 4096
+
 
 def version_of(kind: str, settings: dict) -> str:
     """A hash of kind and settings, whatever their order."""
@@ -93,46 +97,80 @@ def fit_forest(series: DataFrame, layouts: DataFrame, folder: str, name: str, *,
     :func:`heronry.operators.forest.isolation_forest` with the same settings.
     """
     packed = layouts.where("te >= w").select("series_id", "w", "te").join(pack(series), "series_id")
-    tasks = dealt(packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(-(-trees // group) - 1)))).select("series_id", "w", "g", F.expr("slice(xs, 1, int(te))").alias("train")), "series_id", "g")
+    per = F.when(F.size("xs") - F.col("w") < BLOCK, trees).otherwise(group).alias("per")
+    each = packed.withColumn("per", per).withColumn("g", F.explode(F.expr(f"sequence(0, int(ceil({trees} / per)) - 1)")))
+    tasks = dealt(each.select("series_id", "w", "g", "per", F.expr("slice(xs, 1, int(te))").alias("train")), "series_id", "g")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples():
-                train = np.lib.stride_tricks.sliding_window_view(np.asarray(r.train, float), int(r.w))
-                rows = []
-                for t in range(r.g * group, min((r.g + 1) * group, trees)):
-                    tree = O.grow_tree(train, r.series_id, t, sample=sample, max_features=max_features, seed=seed)
-                    rows.append((t, tree.size, tree.used.tolist(), *(x.tolist() for x in (tree.feature, tree.cut, tree.left, tree.right, tree.value))))
-                out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _TREE.split(", ")])
-                out.insert(0, "series_id", r.series_id)
-                out.insert(1, "w", int(r.w))
-                yield out
+            for k in range(batch.num_rows):
+                series_id, w, g, count = (batch[c][k].as_py() for c in ("series_id", "w", "g", "per"))
+                train = np.lib.stride_tricks.sliding_window_view(batch["train"][k].values.to_numpy(zero_copy_only=False).astype(float), w)
+                numbers = range(g * count, min((g + 1) * count, trees))
+                yield _tree_rows(O.grow_trees(train, series_id, numbers, sample=sample, max_features=max_features, seed=seed), batch["series_id"][k], w, numbers)
 
     kind = series.schema["series_id"].dataType.simpleString()
-    grown = tasks.mapInPandas(run, f"series_id {kind}, w long, {_TREE}")
+    grown = tasks.mapInArrow(run, f"series_id {kind}, w long, {_TREE}")
     return _kept({"trees": grown}, "forest", folder, name, {"trees": trees, "sample": sample, "max_features": max_features, "seed": seed})
 
 
-def score_forest(model: Model, series: DataFrame, *, group: int = 25, block: int = 4096) -> DataFrame:
-    """(series_id, idx, score) of points, by the trees of the model; series without a model have no rows."""
+def _tree_rows(t: O.Trees, series_id: pa.Scalar, w: int, numbers: range) -> pa.RecordBatch:
+    """A row a tree, with the nodes that its rows reach."""
+    count, inner = len(numbers), t.feature >= 0
+    there = np.zeros_like(inner)
+    there[:, 0] = True
+    tree, node = np.nonzero(inner)
+    there[tree, t.left[tree, node]] = there[tree, t.left[tree, node] + 1] = True
+    place = np.cumsum(there, axis=1) - 1
+    left = np.full(t.left.shape, -1)
+    left[inner] = place[tree, t.left[inner]]
+    ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+    lists = lambda v, kind: pa.ListArray.from_arrays(ends, pa.array(v[there].astype(kind)))
+    used = pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * t.used.shape[1], pa.array(t.used.ravel().astype(np.int32)))
+    columns = [pa.repeat(series_id, count), pa.array(np.full(count, w)), pa.array(np.asarray(numbers, np.int32)), pa.array(np.full(count, t.size)), used]
+    columns += [lists(t.feature, np.int32), lists(t.cut, float), lists(left, np.int32), lists(np.where(left >= 0, left + 1, -1), np.int32), lists(t.value, float)]
+    return pa.RecordBatch.from_arrays(columns, ["series_id", "w", *(c.split(" ")[0] for c in _TREE.split(", "))])
+
+
+def _trees_of(r) -> O.Trees:
+    """Trees of a row with the arrays of several, one after the other."""
+    many = np.asarray(r.nodes)
+    tree, place = np.repeat(np.arange(len(many)), many), np.concatenate([np.arange(n) for n in many])
+
+    def filled(values: np.ndarray, empty: float, kind: type) -> np.ndarray:
+        out = np.full((len(many), many.max()), empty, kind)
+        out[tree, place] = values
+        return out
+
+    return O.Trees(int(r.size), np.asarray(r.used).reshape(len(many), -1), filled(r.feature, -1, np.int64), filled(r.cut, 0.0, float), filled(r.left, -1, np.int64), filled(r.value, 0.0, float))
+
+
+def score_forest(model: Model, series: DataFrame, *, group: int = 25, block: int = BLOCK) -> DataFrame:
+    """(series_id, idx, score) of points, by the trees of the model; series without a model have no rows.
+
+    A task has ``group`` trees and a block of windows, all trees where the series is one block.
+    """
     spark = series.sparkSession
     trees = model.table(spark, "trees")
     total = model.settings["trees"]
     kind = series.schema["series_id"].dataType.simpleString()
-    arrays = ("used", "feature", "cut", "left", "right", "value")
-    groups = trees.groupBy("series_id", (F.col("tree") / group).cast("int").alias("g")).agg(F.max("size").alias("size"), F.collect_list(F.struct(*arrays)).alias("t"))
-    groups = groups.select("series_id", "g", "size", *[F.col(f"t.{a}").alias(a) for a in arrays])
+    arrays = ("used", "feature", "cut", "left", "value")
     widths = trees.groupBy("series_id").agg(F.max("w").alias("w"))
-    tasks = dealt(_blocks(series, widths, block).join(groups, "series_id"), "series_id", "g", "first")
+    blocks = _blocks(series, widths, block)
+    long = blocks.where("first > 0").select("series_id").distinct().withColumn("long", F.lit(True))
+    number = F.when(F.col("long"), (F.col("tree") / group).cast("int")).otherwise(0)
+    groups = trees.join(long, "series_id", "left").groupBy("series_id", number.alias("g")).agg(F.max("size").alias("size"), F.collect_list(F.struct(*arrays)).alias("t"))
+    groups = groups.select("series_id", "g", "size", F.transform("t", lambda t: F.size(t["feature"])).alias("nodes"), *[F.flatten(F.col(f"t.{a}")).alias(a) for a in arrays])
+    tasks = dealt(blocks.join(groups, "series_id"), "series_id", "g", "first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for r in batch.itertuples():
                 v = np.lib.stride_tricks.sliding_window_view(np.asarray(r.part, float), int(r.w))
-                depth = np.zeros(len(v))
-                for parts in zip(*(getattr(r, a) for a in arrays), strict=True):
-                    depth += O.Tree(int(r.size), *(np.asarray(p) for p in parts)).depths(v)
-                yield pd.DataFrame({"series_id": r.series_id, "start": np.arange(r.first, r.first + len(v)), "total": depth, "size": r.size})
+                out.append((r.series_id, np.arange(r.first, r.first + len(v)), _trees_of(r).depths(v), int(r.size)))
+            if out:
+                yield O.totals_table(out)
 
     sums = tasks.mapInPandas(run, f"series_id {kind}, start long, total double, size long")
     return O.forest_scores(sums, _layout_of(series, widths), total)
