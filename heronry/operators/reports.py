@@ -83,12 +83,16 @@ def replicate_cells(values: DataFrame) -> DataFrame:
 
 
 def tie_replicates(rows: DataFrame, keys: Sequence[str], seq: str, replicates: int, *, seed: int = 7) -> DataFrame:
-    """(k, keys, rest of the row): of rows that share ``keys`` one in each replicate k, by seeded hash; replicate 0 takes the first, as was stored."""
-    many = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    order = F.when(F.col("k") == 0, F.lit(0.0)).otherwise(portable_random(F.lit(seed), F.col("k"), F.col(seq)))
+    """(k, keys, rest of the row): of rows that share ``keys`` one in each replicate k, by seeded hash; replicate 0 takes the first, as was stored.
+
+    Each row moves once, whatever the number of replicates, and before any are chosen: partial groups of few rows would hold
+    more than their rows. A group's rows are sorted and streamed by one task, which holds one row for each replicate.
+    """
     rest = [c for c in rows.columns if c not in (*keys, seq)]
-    best = many.groupBy("k", *keys).agg(F.min(F.struct(order.alias("_o"), seq, *rest)).alias("_s"))
-    return best.select("k", *keys, f"_s.{seq}", *[f"_s.{c}" for c in rest])
+    order = lambda k: F.lit(0.0) if k == 0 else portable_random(F.lit(seed), F.lit(k), F.col(seq))
+    best = rows.repartition(*keys).groupBy(*keys).agg(*[F.min(F.struct(order(k).alias("_o"), seq, *rest)).alias(f"_s{k}") for k in range(replicates + 1)])
+    each = best.select(*keys, F.posexplode(F.array(*[F.col(f"_s{k}") for k in range(replicates + 1)])).alias("k", "_s"))
+    return each.select("k", *keys, f"_s.{seq}", *[f"_s.{c}" for c in rest])
 
 
 def replicate_summary(cells: DataFrame, baseline: str) -> DataFrame:

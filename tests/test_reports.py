@@ -146,3 +146,16 @@ def test_residuals_round_as_the_sql_does(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["prediction_check"](spark, str(tmp_path)).select(*names).collect()] == want and want[0][3] == 2
     listed = QUERIES["prediction_mismatches"](spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "more")
     assert [tuple(r) for r in listed.collect()] == con.execute(SQL["prediction_mismatches"]).fetchall() == [(1, 1, 0), (2, 1, 0)]
+
+
+def test_replicates_move_each_row_once(spark):
+    """Rows aren't multiplied by the replicates before they are grouped, and each replicate is the one chosen alone."""
+    from heronry.operators import replicates as Y
+
+    rows = spark.range(200).select((F.col("id") % 7).alias("k1"), F.col("id").alias("seq"), F.when(F.col("id") % 5 > 0, F.col("id") * 0.5).alias("v"))
+    got = R.tie_replicates(rows, ["k1"], "seq", 4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.index("Generate")  # the deeper a node the later its line
+    assert got.columns == ["k", "k1", "seq", "v"] and dict(got.dtypes)["k"] == "int"
+    want = [(k, *r) for k in range(5) for r in Y.chosen(rows, ["k1"], "seq", k).select("k1", "seq", "v").collect()]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) == 35
