@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numeric import clean, ratio
-from heronry.shared import written
+from heronry.shared import dealt, written
 
 
 # --- pairs and groups
@@ -35,6 +37,56 @@ def candidate_pairs(refs: DataFrame, *, tolerance: float = 0.01) -> DataFrame:
     return same.union(other.select(F.col("num_a").alias("a"), F.col("num_b").alias("b"), F.lit("length").alias("reason")))
 
 
+def compare_candidates(refs: DataFrame, series: DataFrame, *, tolerance: float = 0.01, points: int = 5000, least: float = 0.95, parts: int = 4) -> DataFrame:
+    """(a, b, reason, corr, same): the pairs of :func:`candidate_pairs` as :func:`compare_pairs` compares them, where pairs are many.
+
+    ``refs`` also has ``te``; idx of a series runs from 0 without gaps. Training parts go along with the series, and a pair
+    is compared where it is made: what moves grows with the series, not with their pairs. A group or bucket is dealt in
+    ``parts``.
+    """
+    train = series.where(F.col("idx") < points).groupBy(F.col("series_id").alias("num")).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("p"))
+    held = refs.join(train, "num", "left").select("num", "name_group", "domain", "length", F.coalesce(F.slice(F.transform("p", lambda p: p["x"]), 1, F.greatest(F.least("te", F.lit(points)), F.lit(0)).cast("int")), F.array().cast("array<double>")).alias("xs"))
+    held = written(held, "training-parts")
+    a, b = (held.select(*[F.col(c).alias(f"{c}_{s}") for c in held.columns]) for s in "ab")
+    part, all_parts = F.pmod(F.xxhash64("num_a"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
+    a, b = a.select("*", part), b.select("*", all_parts)
+    by_name = dealt(a.where("name_group_a IS NOT NULL").withColumn("g", F.col("name_group_a")), "g", "part").join(dealt(b.withColumn("g", F.col("name_group_b")), "g", "part"), ["g", "part"]).where("num_a < num_b").withColumn("reason", F.lit("name"))
+    step = F.log(F.lit(1.0) / (F.lit(1.0) - F.lit(tolerance)))
+    bucket = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / step)
+    left = dealt(a.withColumn("g", F.col("domain_a")).withColumn("k", bucket("length_a")), "g", "k", "part")
+    right = dealt(b.withColumn("g", F.col("domain_b")).withColumn("k", F.explode(F.array(bucket("length_b") - 1, bucket("length_b"), bucket("length_b") + 1))), "g", "k", "part")
+    near = F.abs(F.col("length_a") - F.col("length_b")) <= F.lit(tolerance) * F.greatest("length_a", "length_b")
+    by_length = left.join(right, ["g", "k", "part"]).where((F.col("num_a") < F.col("num_b")) & (F.col("name_group_a") != F.col("name_group_b")) & near).withColumn("reason", F.lit("length"))
+    columns = [F.col("num_a").alias("a"), F.col("num_b").alias("b"), "reason", "xs_a", "xs_b"]
+    pairs = by_name.select(*columns).union(by_length.select(*columns))
+
+    def correlated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for c in ("xs_a", "xs_b"):
+                v = batch[c]
+                sides.append((v.offsets.to_numpy().astype(np.int64), v.values.to_numpy(zero_copy_only=False).astype(float)))
+            n = np.minimum(*(np.diff(o) for o, _ in sides))
+            corr = np.full(len(n), np.nan)
+            for size in np.unique(n[n >= 2]):
+                rows = np.flatnonzero(n == size)
+                for some in np.array_split(rows, -(-len(rows) * int(size) // (1 << 20))):
+                    x, y = (v[o[some][:, None] + np.arange(size)] for o, v in sides)
+                    both = ~(np.isnan(x) | np.isnan(y))
+                    with np.errstate(invalid="ignore", divide="ignore"), warnings.catch_warnings():
+                        warnings.simplefilter("ignore", RuntimeWarning)  # sides of nulls only
+                        varies = (np.nanmax(x, axis=1) > np.nanmin(x, axis=1)) & (np.nanmax(y, axis=1) > np.nanmin(y, axis=1))
+                        count = both.sum(axis=1, keepdims=True)
+                        x, y = (np.where(both, v - np.where(both, v, 0.0).sum(axis=1, keepdims=True) / count, 0.0) for v in (x, y))
+                        r = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+                    corr[some] = np.where(varies & np.isfinite(r), r, np.nan)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["reason"], pa.array(corr, mask=np.isnan(corr))], ["a", "b", "reason", "corr"])
+
+    kind = refs.schema["num"].dataType.simpleString()
+    out = pairs.mapInArrow(correlated, f"a {kind}, b {kind}, reason string, corr double")
+    return out.withColumn("same", F.coalesce(F.col("corr") >= least, F.lit(False)))
+
+
 def compare_pairs(pairs: DataFrame, series: DataFrame, trains: DataFrame, *, points: int = 5000, least: float = 0.95) -> DataFrame:
     """Pairs with ``corr`` over the first min(points, train of a, train of b) points and ``same``; constant or short ones are NULL and not the same."""
     x = lambda s: series.select(F.col("series_id").alias(s), "idx", F.col("x").alias(f"x{s}"))

@@ -241,8 +241,7 @@ SELECT a, b, reason, round(corr, 6) AS corr, coalesce(corr >= 0.3, false) AS sam
 def recording_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of series worth comparing and the correlation of their training parts."""
     refs = A.meta(spark, d)
-    pairs = E.candidate_pairs(refs)
-    out = E.compare_pairs(pairs, A.series(spark, d), refs.select(F.col("num").alias("series_id"), "te"), least=0.3)
+    out = E.compare_candidates(refs, A.series(spark, d), least=0.3)
     return out.select("a", "b", "reason", r6(F.col("corr")).alias("corr"), "same")
 
 

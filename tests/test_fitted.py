@@ -218,3 +218,21 @@ def test_trees_grown_together_are_those_grown_apart():
     for t in range(200):
         O.grow_tree(train[:21], 1, t, sample=256, max_features=1.0, seed=7)
     assert together < (time.process_time() - one) / 4
+
+
+def test_pairs_are_compared_where_they_are_made(spark):
+    """The pairs and correlations of the two steps; nothing that is dealt out for a join has a row a pair and point."""
+    from heronry.operators import entity as E
+
+    rng = np.random.default_rng(2)
+    points = [(i, k, None if i == 3 and k == 4 else 1.0 if i == 5 else float(v)) for i in range(40) for k, v in enumerate(rng.normal(size=60 + i % 3))]
+    series = spark.createDataFrame(points, "series_id long, idx long, x double")
+    refs = spark.createDataFrame([(i, i // 4, "ab"[i % 2], 60 + i % 3, (0, 1, 20, 30)[i % 4]) for i in range(40)] + [(99, 0, "a", 60, 5)], "num long, name_group long, domain string, length long, te long")
+    pairs = E.candidate_pairs(refs, tolerance=0.02)
+    want = sorted(map(tuple, E.compare_pairs(pairs, series, refs.select(F.col("num").alias("series_id"), "te"), points=25, least=0.1).select("a", "b", "reason", "corr", "same").collect()), key=str)
+    found = E.compare_candidates(refs, series, tolerance=0.02, points=25, least=0.1, parts=3)
+    got = sorted(map(tuple, found.select("a", "b", "reason", "corr", "same").collect()), key=str)
+    assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want] and {r[2] for r in got} == {"name", "length"}
+    assert all((g[3] is None) == (w[3] is None) and (g[3] is None or abs(g[3] - w[3]) < 1e-12) for g, w in zip(got, want, strict=True)) and any(g[3] is None for g in got)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")]
