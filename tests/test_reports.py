@@ -159,3 +159,11 @@ def test_replicates_move_each_row_once(spark):
     assert got.columns == ["k", "k1", "seq", "v"] and dict(got.dtypes)["k"] == "int"
     want = [(k, *r) for k in range(5) for r in Y.chosen(rows, ["k1"], "seq", k).select("k1", "seq", "v").collect()]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) == 35
+
+
+def test_replicate_summary_moves_each_row_once(spark):
+    """The query's lines aren't multiplied by its replicates before they are grouped."""
+    from heronry.plans import QUERIES
+
+    plan = QUERIES["replicate_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.rindex("Generate") :].count("Aggregate [") == 2  # that of equal lines, and the choice
