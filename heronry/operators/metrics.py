@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,40 +158,60 @@ def kernel_shap(evaluated: DataFrame) -> DataFrame:
     A series has at most 64 unknowns and a bounded number of draws, so its rows are packed into one and many series are
     solved in a batch; the evaluation of coalitions before it is plain joins.
     """
-    import numpy as np
-    import pandas as pd
-
     packed = evaluated.groupBy("series_id").agg(F.collect_list(F.struct("z", "weight", "f")).alias("r")).select("series_id", F.size(F.get("r", 0)["z"]).alias("k"), F.flatten(F.transform("r", lambda x: x["z"])).alias("z"), F.transform("r", lambda x: x["weight"]).alias("weight"), F.transform("r", lambda x: x["f"]).alias("f"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found = []
             for r in batch.itertuples():
                 z, w = np.asarray(r.z, float).reshape(-1, r.k), np.sqrt(np.asarray(r.weight, float))
                 a = np.column_stack((np.ones(len(z)), z)) * w[:, None]
                 beta = np.linalg.lstsq(a, np.asarray(r.f, float) * w, rcond=None)[0][1:]
-                yield pd.DataFrame({"series_id": r.series_id, "seg": np.arange(r.k), "value": beta})
+                found.append((r.series_id, beta))
+            if found:
+                size = [len(v) for _, v in found]
+                yield pd.DataFrame({"series_id": np.repeat([i for i, _ in found], size), "seg": np.concatenate([np.arange(n) for n in size]), "value": np.concatenate([v for _, v in found])})
 
     kind = evaluated.schema["series_id"].dataType.simpleString()
     return packed.mapInPandas(solve, f"series_id {kind}, seg long, value double")
 
 
+def merged(sets: DataFrame) -> DataFrame:
+    """(series_id, z, weight): equal sets of a series as one, with their weights added; the least squares are the same."""
+    return sets.groupBy("series_id", "z").agg(F.sum("weight").alias("weight"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes of 64-bit keys, by shifts and products (splitmix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _draws(key: int, k: int, first: int, last: int) -> np.ndarray:
+    """(draws, k) of 0 and 1: draws first to last of a series, each by hashes of the series' key and its number alone."""
+    size = np.arange(1, k)
+    p = np.cumsum((k - 1) / (size * (k - size)))
+    own = _mixed(np.uint64(key & 0xFFFFFFFFFFFFFFFF) + np.arange(first, last, dtype=np.uint64))
+    count = np.minimum(np.searchsorted(p, (own >> np.uint64(11)) * 2.0**-53 * p[-1], side="right"), k - 2)
+    order = _mixed(own[:, None] ^ (np.arange(1, k + 1, dtype=np.uint64) << np.uint64(32)))
+    return (order <= np.take_along_axis(np.sort(order, axis=1), count[:, None], axis=1)).astype(np.int32)
+
+
 def coalitions(sized: DataFrame, draws: Column | int, *, seed: int = 7) -> DataFrame:
     """(series_id, d, z, weight) from rows (series_id, k): all and none with weight 1e6, then draws of size j with p ~ (k - 1) / (j (k - j))."""
-    from heronry.functions.numeric import portable_random
-
     ends = sized.withColumn("e", F.explode(F.array(F.lit(1), F.lit(0)))).select("series_id", (-F.col("e") - 1).cast("long").alias("d"), F.array_repeat("e", F.col("k").cast("int")).alias("z"), F.lit(1e6).alias("weight"))
-    sizes = F.sequence(F.lit(1), (F.col("k") - 1).cast("int"))
-    p = F.transform(sizes, lambda j: (F.col("k") - 1) / (j * (F.col("k") - j)).cast("double"))
-    total = F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
     # draws are dealt out in blocks: a series has thousands, and their work is large for their bytes
-    blocks = dealt(sized.where("k > 1").withColumn("m", F.lit(draws).cast("long")).withColumn("b", F.explode(F.expr("sequence(0L, m - 1, 256L)"))), "series_id", "b")
-    drawn = blocks.withColumn("d", F.explode(F.expr("sequence(b, least(b + 255, m - 1))"))).drop("b", "m")
-    u = portable_random(F.lit(seed), F.col("series_id"), F.col("d")) * total
-    k = F.col("k").cast("int")
-    # u, and the chosen segments below, are elements of arrays: what else a lambda refers to is evaluated for each element
-    drawn_size = lambda v: F.aggregate(p, F.struct(F.lit(0.0).alias("c"), F.lit(1).alias("j")), lambda s, q: F.struct((s["c"] + q).alias("c"), F.when(s["c"] + q <= v, s["j"] + 1).otherwise(s["j"]).alias("j")), lambda s: F.least(s["j"], k - 1))
-    size = F.get(F.transform(F.array(u), drawn_size), 0)
-    keys = F.array_sort(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(portable_random(F.lit(seed + 1), F.col("series_id"), F.col("d"), i).alias("r"), i.alias("i"))))
-    chosen = F.transform(F.slice(keys, F.lit(1), size), lambda t: t["i"])
-    z = F.get(F.transform(F.array(chosen), lambda c: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.array_contains(c, i).cast("int"))), 0)
-    return ends.unionByName(drawn.select("series_id", "d", z.alias("z"), F.lit(1.0).alias("weight")))
+    blocks = sized.where("k > 1").select("series_id", F.col("k").cast("long").alias("k"), F.xxhash64(F.lit(seed), "series_id").alias("key"), F.lit(draws).cast("long").alias("m"))
+    blocks = dealt(blocks.withColumn("b", F.explode(F.expr("sequence(0L, m - 1, 4096L)"))), "series_id", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (k, key, m, b) in enumerate(zip(*(batch[c].to_pylist() for c in ("k", "key", "m", "b")), strict=True)):
+                z = _draws(key, k, b, min(b + 4096, m))
+                values = pa.ListArray.from_arrays(np.arange(0, z.size + 1, k, dtype=np.int32), z.ravel())
+                yield pa.RecordBatch.from_arrays([batch["series_id"].take(pa.array(np.full(len(z), i))), pa.array(np.arange(b, b + len(z))), values, pa.array(np.ones(len(z)))], ["series_id", "d", "z", "weight"])
+
+    drawn = blocks.mapInArrow(run, f"series_id {sized.schema['series_id'].dataType.simpleString()}, d long, z array<int>, weight double")
+    return ends.unionByName(drawn)

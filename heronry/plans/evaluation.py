@@ -207,7 +207,7 @@ def kernel_shap(spark: SparkSession, d: str) -> DataFrame:
     val = segs.join(A.series(spark, d), "series_id").where("idx >= a AND idx < b").groupBy("series_id", "seg").agg(F.sum("x").alias("v"))
     packed = val.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "v"))), lambda p: p["v"]).alias("v"), F.count(F.lit(1)).alias("k"))
     z = X.coalitions(packed.select("series_id", "k"), 2 * F.col("k") + 2048)
-    f = z.join(packed, "series_id").withColumn("f", F.aggregate(F.zip_with("z", "v", lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q))
+    f = X.merged(z).join(packed, "series_id").withColumn("f", F.aggregate(F.zip_with("z", "v", lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q))
     return X.kernel_shap(f.select("series_id", "z", "weight", "f")).select("series_id", "seg", F.round("value", 4).alias("value"))
 
 
