@@ -20,6 +20,8 @@ from heronry.shared import dealt, written
 
 #: Sets of segments that one task scores at a time, and windows that are compared at a time.
 SETS, WINDOWS = 256, 4096
+#: Sets of segments times points of the series in a block that is dealt out.
+BLOCK = 1 << 17
 
 
 def _overlaps(u: np.ndarray, size: int, x: int, y: int) -> np.ndarray:
@@ -98,10 +100,10 @@ def donors_of(table: DataFrame, runs: DataFrame, layouts: DataFrame, key: str) -
 class _Masked:
     """One series, its segments and donors, and the windows that count."""
 
-    def __init__(self, r) -> None:
+    def __init__(self, r, where: str) -> None:
         self.x, self.w, te = np.asarray(r.xs, float), int(r.w), int(r.te)
         self.a, self.b = [int(v) for v in r.a], [int(v) for v in r.b]
-        self.donors = {(int(a), int(b)): [int(v) for v in u] for a, b, u in zip(r.da, r.db, r.du, strict=True)} if r.da is not None else {}
+        self.layout, self.where, self.donors = r, where, {}
         half = self.w // 2
         self.starts = np.arange(max(int(r.s0) - half, 0), min(int(r.s1) - half, len(self.x) - self.w + 1))
         self.ref = P.normalised(np.lib.stride_tricks.sliding_window_view(self.x[:te], self.w), "z")
@@ -127,14 +129,24 @@ class _Masked:
                     out.append((a, b))
         return out
 
-    def filled(self, kept: int) -> np.ndarray | None:
+    def measure(self, runs: set[tuple[int, int]]) -> None:
+        """List the donors of runs that haven't been met yet."""
+        ends: dict[int, list[int]] = {}
+        for a, b in sorted(runs - self.donors.keys()):
+            ends.setdefault(a, []).append(b)
+            self.donors[a, b] = []
+        for a, bs in ends.items():
+            for b, u, _ in _candidates(self.x, a, bs, self.layout, self.where, (self.a[0], self.b[-1])):
+                self.donors[a, b] = u.tolist()
+
+    def filled(self, runs: list[tuple[int, int]]) -> np.ndarray | None:
         """The series with masked runs filled from their donors; None where a run has none."""
-        runs, x = self.runs(kept), self.x
+        x = self.x
         out = x.copy()
         for run in runs:
             size = run[1] - run[0]
             away = [f for o in runs if o != run for f in _forbidden(*o, self.w)]
-            u = next((u for u in self.donors.get(run, ()) if not any(u < y and u + size > z for z, y in away)), None)
+            u = next((u for u in self.donors[run] if not any(u < y and u + size > z for z, y in away)), None)
             if u is None:
                 return None
             out[run[0] : run[1]] = x[u : u + size]
@@ -143,7 +155,9 @@ class _Masked:
     def scores(self, sets: list[int]) -> list[float | None]:
         """The largest distance of windows around the label, for each set of kept segments (as bits)."""
         base = self.distances(self.x[self.views])
-        fills = {k: self.filled(k) for k in set(sets)}
+        runs = {k: self.runs(k) for k in set(sets)}
+        self.measure({run for found in runs.values() for run in found})
+        fills = {k: self.filled(found) for k, found in runs.items()}
         known = [k for k, f in fills.items() if f is not None]
         if not known:
             return [None] * len(sets)
@@ -164,23 +178,25 @@ def masked_scores(series: DataFrame, layouts: DataFrame, segments: DataFrame, se
     The detector is the profile against the training part. Windows that a mask doesn't change keep their distance, and
     windows that sets share are compared once. ``f`` is null where a run has no donor. Series with more than 64 segments
     are an error; series without a training window, or whose label no window has its middle in, have no rows. Sets are
-    dealt out in blocks, with the series.
+    dealt out in blocks, with the series: short series in one, long ones in up to 64. A block lists the donors of the runs
+    that its sets have, and no others.
     """
     id_type = series.schema["series_id"].dataType.simpleString()
     segs = segments.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s")).select("series_id", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-    donors = donor_table(series, layouts, segments, where=where).groupBy("series_id").agg(F.collect_list(F.struct("a", "b", "u")).alias("t")).select("series_id", F.col("t.a").alias("da"), F.col("t.b").alias("db"), F.col("t.u").alias("du"))
     half = F.floor(F.col("w") / 2)
     inside = (F.col("te") >= F.col("w")) & (F.col("s1") - half > 0) & (F.col("s0") - half <= F.col("n") - F.col("w"))
-    held = layouts.where(inside).select("series_id", "te", "s0", "s1", "w").join(segs, "series_id").join(S.pack(series), "series_id").join(donors, "series_id", "left")
+    held = layouts.where(inside).select("series_id", "te", "s0", "s1", "w").join(segs, "series_id").join(S.pack(series), "series_id")
     held = written(held, "masked-series")
     bits = F.when(F.size("z") > 64, F.raise_error(F.lit("more than 64 segments")).cast("long")).otherwise(F.aggregate(F.zip_with("z", F.sequence(F.lit(0), F.size("z") - 1), lambda v, i: F.when(v == 1, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda p, q: p.bitwiseOR(q)))
-    different = sets.select("series_id", bits.alias("kept")).distinct().withColumn("g", F.pmod(F.xxhash64("kept"), F.lit(64)))
-    grouped = different.groupBy("series_id", "g").agg(F.collect_list("kept").alias("sets"))
+    different = sets.select("series_id", bits.alias("kept")).distinct()
+    blocks = different.groupBy("series_id").agg(F.count(F.lit(1)).alias("c")).join(held.select("series_id", F.size("xs").alias("n")), "series_id")
+    blocks = blocks.select("series_id", F.least(F.ceil(F.col("c") * F.col("n") / BLOCK), F.lit(64)).alias("m"))
+    grouped = different.join(blocks, "series_id").groupBy("series_id", F.pmod(F.xxhash64("kept"), "m").alias("g")).agg(F.collect_list("kept").alias("sets"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                masked = _Masked(r)
+                masked = _Masked(r, where)
                 sets = [int(k) for k in r.sets]
                 for i in range(0, len(sets), SETS):
                     some = sets[i : i + SETS]
