@@ -112,7 +112,7 @@ def detector_shap(spark: SparkSession, d: str) -> DataFrame:
     brute force.
     """
     s, lay, segs, sized = _explained(spark, d)
-    sets = written(X.coalitions(sized, 2 * F.col("k") + 2046), "coalitions")
+    sets = written(X.merged(X.coalitions(sized, 2 * F.col("k") + 2046)), "coalitions")
     f = written(K.masked_scores(s, lay, segs, sets), "masked-scores")
     return X.kernel_shap(_whole(f).select("series_id", "z", "weight", "f")).select("series_id", "seg", F.round("value", 6).alias("value"))
 

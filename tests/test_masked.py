@@ -141,3 +141,23 @@ def test_shapley_values_of_a_detector(data, spark):
     near = X.kernel_shap(K.masked_scores(series, one, segments.where("series_id = 1"), drawn).select("series_id", "z", "weight", "f")).orderBy("seg").collect()
     assert np.allclose([r.value for r in near], exact, atol=0.2 * max(map(abs, exact)))
     assert sum(r.value for r in near) == pytest.approx(f[(1,) * k] - f[(0,) * k], abs=1e-3)
+
+
+def test_draws_are_merged_and_short_series_move_once(data, spark, monkeypatch):
+    """Equal draws count once with their weights added, and the sets of a short series are scored in one block that lists only its own runs."""
+    from heronry.plans import QUERIES
+
+    xs, series, lay, segments = data
+    sized = segments.groupBy("series_id").agg(F.count(F.lit(1)).alias("k"))
+    drawn = X.coalitions(sized, 2 * F.col("k") + 2046)
+    few = {(r.series_id, tuple(r.z)): r.weight for r in X.merged(drawn).collect()}
+    every = drawn.collect()
+    assert len(few) < len(every) / 2 and sum(few.values()) == sum(r.weight for r in every)
+    assert all(0 < sum(r.z) < len(r.z) for r in every if r.weight == 1)
+    monkeypatch.setattr(K, "donor_table", None)
+    plan = K.masked_scores(series, lay, segments, drawn)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(xxhash64" in plan and "% 64" not in plan and ", 64), " not in plan
+    held = []
+    monkeypatch.setattr(X, "kernel_shap", lambda rows, old=X.kernel_shap: held.append(rows) or old(rows))
+    QUERIES["detector_shap"](spark, "/root/testdata/sf0.001")
+    assert held[0].groupBy("series_id", "z").count().where("count > 1").isEmpty()
