@@ -14,8 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.functions.numeric import portable_random
 from heronry.operators.models import version_of
+from heronry.shared import shared_path
+
+#: Replicates that are chosen in one pass over the rows.
+AT_ONCE = 8
 
 
 class Replicates:
@@ -72,12 +75,27 @@ class Replicates:
         return out
 
 
+def _order(seq: str, k: int, seed: int):
+    """What replicate k sorts rows by: the digits of :func:`portable_random`, which sort as their numbers; nothing for 0."""
+    return F.lit("") if k == 0 else F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), F.col(seq).cast("string"))), 1, 12)
+
+
 def chosen(rows: DataFrame, keys: Sequence[str], seq: str, k: int, *, seed: int = 7) -> DataFrame:
     """Of rows that share ``keys`` the one that replicate k takes, by seeded hash; replicate 0 takes the first."""
-    order = F.lit(0.0) if k == 0 else portable_random(F.lit(seed), F.lit(k), F.col(seq))
+    return chosen_of_each(rows, keys, seq, [k], seed=seed).drop("k")
+
+
+def chosen_of_each(rows: DataFrame, keys: Sequence[str], seq: str, ks: Sequence[int], *, seed: int = 7, together: bool = False) -> DataFrame:
+    """(k, keys, rest of the row): what each of the replicates ``ks`` takes of rows that share ``keys``.
+
+    Each row moves once, whatever the number of replicates, and before any are chosen: partial groups of few rows would hold
+    more than their rows. A group's rows are sorted and streamed by one task, which holds one row for each replicate. Rows that
+    share ``keys`` and are ``together`` in a partition stay there.
+    """
     rest = [c for c in rows.columns if c not in (*keys, seq)]
-    best = rows.groupBy(*keys).agg(F.min(F.struct(order.alias("_o"), seq, *rest)).alias("_s"))
-    return best.select(*keys, f"_s.{seq}", *[f"_s.{c}" for c in rest])
+    best = (rows if together else rows.repartition(*keys)).groupBy(*keys).agg(*[F.min(F.struct(_order(seq, k, seed).alias("_o"), seq, *rest)).alias(f"_s{k}") for k in ks])
+    each = best.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_s{k}").alias("s")) for k in ks])).alias("_e"))
+    return each.select("_e.k", *keys, f"_e.s.{seq}", *[f"_e.s.{c}" for c in rest])
 
 
 def differences(rows: DataFrame, stored: DataFrame, keys: Sequence[str], values: Sequence[str], *, relative: float = 1e-14, absolute: float = 1e-15) -> DataFrame:
@@ -96,22 +114,29 @@ def run_replicates(rows: DataFrame, keys: Sequence[str], seq: str, folder: str,
     """Commit replicates 0 to ``replicates`` that aren't there yet; ``stored``: the rows replicate 0 has to equal.
 
     A replicate 0 that differs is an error, and so is going on with other rows than it was made of: it is compared again
-    at each start. ``stop_after`` leaves the rest for a later run.
+    at each start. Up to ``AT_ONCE`` replicates are chosen in one pass over the rows, kept beside, and committed one by one,
+    so a run that is stopped loses one pass at most. ``stop_after`` leaves the rest for a later run.
     """
     spark = rows.sparkSession
     values = [c for c in rows.columns if c not in keys]
     held = Replicates(spark, folder, {"keys": list(keys), "seq": seq, "seed": seed, "columns": rows.columns})
     there = set(held.done())
-    for k in range(replicates + 1):
-        if k == 0:
-            first = chosen(rows, keys, seq, 0, seed=seed).select(*rows.columns)
-            n = differences(first, stored, keys, values).count()
-            if n:
-                raise ValueError(f"replicate 0 differs from what is stored in {n} keys")
-            if 0 not in there:
-                held.commit(0, first)
-        elif k not in there:
-            held.commit(k, chosen(rows, keys, seq, k, seed=seed).select(*rows.columns))
-        if stop_after is not None and k >= stop_after:
-            break
+    last = replicates if stop_after is None else min(replicates, stop_after)
+    todo = [k for k in range(last + 1) if k == 0 or k not in there]
+    for i in range(0, len(todo), AT_ONCE):
+        ks = todo[i : i + AT_ONCE]
+        beside = shared_path(spark, "chosen")
+        chosen_of_each(rows, keys, seq, ks, seed=seed).write.partitionBy("k").parquet(beside)
+        for k in ks:
+            some = spark.read.schema(rows.schema).parquet(f"{beside}/k={k}") if _has(held, f"{beside}/k={k}") else rows.limit(0)
+            if k == 0:
+                n = differences(some, stored, keys, values).count()
+                if n:
+                    raise ValueError(f"replicate 0 differs from what is stored in {n} keys")
+            if k not in there:
+                held.commit(k, some)
     return held
+
+
+def _has(held: Replicates, path: str) -> bool:
+    return held.fs.exists(held.jvm.org.apache.hadoop.fs.Path(path))

@@ -153,6 +153,18 @@ def test_replicates_go_on_after_a_stop(spark, tmp_path):
         Y.Replicates(spark, str(tmp_path / "none"), {}).read()
 
 
+def test_replicates_are_chosen_in_few_passes(spark, tmp_path, monkeypatch):
+    """Eleven replicates in passes of four; one without rows is committed, too."""
+    rows = spark.createDataFrame([(k, i, float(i * k)) for k in range(6) for i in range(5)], "k1 long, seq long, v double")
+    passes, old = [], Y.chosen_of_each
+    monkeypatch.setattr(Y, "AT_ONCE", 4)
+    monkeypatch.setattr(Y, "chosen_of_each", lambda rows, keys, seq, ks, **o: passes.append(list(ks)) or old(rows, keys, seq, ks, **o))
+    held = Y.run_replicates(rows, ["k1"], "seq", str(tmp_path / "a"), rows.where("seq = 0"), replicates=10)
+    assert passes == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10]] and held.done() == list(range(11))
+    none = Y.run_replicates(rows.where("k1 > 9"), ["k1"], "seq", str(tmp_path / "b"), rows.where("k1 > 9"), replicates=1)
+    assert none.done() == [0, 1] and none.read().count() == 0
+
+
 # --- principal components
 
 
