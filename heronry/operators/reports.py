@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numeric import average_rank, composite, portable_random, ratio, sign_type
+from heronry.operators.replicates import chosen_of_each
 
 
 def conditional_signs(rows: DataFrame, keys: Sequence[str], reversal: str, negative: str) -> DataFrame:
@@ -82,17 +83,12 @@ def replicate_cells(values: DataFrame) -> DataFrame:
     return out.withColumn("rank", average_rank(F.col("mean"), ["k", "op"]))
 
 
-def tie_replicates(rows: DataFrame, keys: Sequence[str], seq: str, replicates: int, *, seed: int = 7) -> DataFrame:
+def tie_replicates(rows: DataFrame, keys: Sequence[str], seq: str, replicates: int, *, seed: int = 7, together: bool = False) -> DataFrame:
     """(k, keys, rest of the row): of rows that share ``keys`` one in each replicate k, by seeded hash; replicate 0 takes the first, as was stored.
 
-    Each row moves once, whatever the number of replicates, and before any are chosen: partial groups of few rows would hold
-    more than their rows. A group's rows are sorted and streamed by one task, which holds one row for each replicate.
+    ``together``: such rows share a partition already, and aren't moved again.
     """
-    rest = [c for c in rows.columns if c not in (*keys, seq)]
-    order = lambda k: F.lit(0.0) if k == 0 else portable_random(F.lit(seed), F.lit(k), F.col(seq))
-    best = rows.repartition(*keys).groupBy(*keys).agg(*[F.min(F.struct(order(k).alias("_o"), seq, *rest)).alias(f"_s{k}") for k in range(replicates + 1)])
-    each = best.select(*keys, F.posexplode(F.array(*[F.col(f"_s{k}") for k in range(replicates + 1)])).alias("k", "_s"))
-    return each.select("k", *keys, f"_s.{seq}", *[f"_s.{c}" for c in rest])
+    return chosen_of_each(rows, keys, seq, range(replicates + 1), seed=seed, together=together)
 
 
 def replicate_summary(cells: DataFrame, baseline: str) -> DataFrame:

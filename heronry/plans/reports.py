@@ -165,12 +165,11 @@ _REP_SQL = "li AS (SELECT l_suppkey AS unit, l_returnflag AS op, 'am' || (month(
 def _ties(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a supplier with the same flag and month: several of which one counts."""
     l = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("op"), F.concat(F.lit("am"), F.month("l_shipdate") % 4).alias("am"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_discount") - 0.05).alias("v"))  # noqa: E741
-    l = l.groupBy("unit", "op", "am", "seq").agg(F.min("v").alias("v"))  # noqa: E741
-    return l
+    return l.repartition("unit", "op", "am").groupBy("unit", "op", "am", "seq").agg(F.min("v").alias("v"))  # moved as the choice needs them
 
 
 def _replicates(spark: SparkSession, d: str) -> DataFrame:
-    return R.replicate_cells(R.tie_replicates(_ties(spark, d), ["unit", "op", "am"], "seq", 20))
+    return R.replicate_cells(R.tie_replicates(_ties(spark, d), ["unit", "op", "am"], "seq", 20, together=True))
 
 
 @query(f"WITH {_REP_SQL} SELECT k::INT AS k, op, am, n, round(mean, 6) AS mean, round(pes, 6) AS pes, round(cmi, 6) AS cmi, sign_type, rank FROM ck")

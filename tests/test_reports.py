@@ -167,3 +167,11 @@ def test_replicate_summary_moves_each_row_once(spark):
 
     plan = QUERIES["replicate_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan[plan.rindex("Generate") :].count("Aggregate [") == 2  # that of equal lines, and the choice
+
+
+def test_replicate_summary_shuffles_its_lines_once(spark):
+    """Equal lines and the choice among them need one exchange of lines, by supplier, flag and month."""
+    from heronry.plans import QUERIES
+
+    plan = QUERIES["replicate_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.rindex("Generate") :].count("Exchange ") == 1
