@@ -28,14 +28,26 @@ def _named(raw: DataFrame) -> Column:
     return F.col("filename").cast("string") if "filename" in raw.columns else base_name(F.col("_metadata.file_path"))
 
 
-def read_series(spark: SparkSession, paths: str | Sequence[str], *, strict: bool = True, limit: int | None = None) -> DataFrame:
+def _texts(spark: SparkSession, paths: str | Sequence[str], bundled: bool) -> DataFrame:
+    """(path, filename, length, content) of files, or of the files that bundles hold (see :func:`write_bundle`)."""
+    if bundled:
+        raw = spark.read.schema(BUNDLE).parquet(*([paths] if isinstance(paths, str) else paths))
+        return raw.select(F.col("_metadata.file_path").alias("path"), "filename", F.length("content").cast("long").alias("length"), "content")
+    raw = spark.read.format("binaryFile").load(paths)
+    return raw.select("path", _named(raw).alias("filename"), "length", "content")
+
+
+def read_series(spark: SparkSession, paths: str | Sequence[str], *, strict: bool = True, limit: int | None = None, bundled: bool = False) -> DataFrame:
     """(path, filename, idx, x): values separated by any white space, one file a series.
 
     An empty file or a token that is no number is an error when it is read; without ``strict`` such files are left out
-    (see :func:`inventory` for which). ``limit`` keeps the first files by name.
+    (see :func:`inventory` for which). ``limit`` keeps the first files by name. ``bundled``: ``paths`` hold many files each.
     """
-    raw = spark.read.text(paths, wholetext=True)
-    raw = raw.select(F.col("_metadata.file_path").alias("path"), _named(raw).alias("filename"), "value")
+    if bundled:
+        raw = _texts(spark, paths, True).select("path", "filename", F.decode("content", "UTF-8").alias("value"))
+    else:
+        raw = spark.read.text(paths, wholetext=True)
+        raw = raw.select(F.col("_metadata.file_path").alias("path"), _named(raw).alias("filename"), "value")
     if limit is not None:
         raw = raw.join(raw.select("filename").orderBy("filename").limit(limit), "filename", "left_semi")
     tokens = raw.select("path", "filename", F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "").alias("t"))
@@ -46,14 +58,14 @@ def read_series(spark: SparkSession, paths: str | Sequence[str], *, strict: bool
     return good.select("path", "filename", F.posexplode("t").alias("idx", "v")).select("path", "filename", F.col("idx").cast("long").alias("idx"), F.col("v").cast("double").alias("x"))
 
 
-def inventory(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def inventory(spark: SparkSession, paths: str | Sequence[str], *, bundled: bool = False) -> DataFrame:
     """One row a file, values never cast: bytes, lines, tokens, layout, sha256, and what the filename says."""
-    raw = spark.read.format("binaryFile").load(paths)
+    raw = _texts(spark, paths, bundled)
     text = F.decode("content", "UTF-8")
     lines = F.size(F.filter(F.split(text, "\n"), lambda v: F.trim(F.replace(v, F.lit("\r"), F.lit(""))) != ""))
     return raw.select(
         F.col("path"),
-        _named(raw).alias("filename"),
+        F.col("filename"),
         F.col("length").alias("bytes"),
         lines.cast("long").alias("n_lines"),
         F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")).cast("long").alias("n_tokens"),
@@ -61,7 +73,7 @@ def inventory(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         F.contains(text, F.lit("\t")).alias("has_tab"),
         (lines <= 1).alias("single_line"),
         F.sha2("content", 256).alias("sha256"),
-        parse_filename(_named(raw)).alias("meta"),
+        parse_filename(F.col("filename")).alias("meta"),
     )
 
 
@@ -94,8 +106,12 @@ def labels_from_name(series: DataFrame) -> DataFrame:
     return series.withColumn("label", F.coalesce(((F.col("idx") >= meta["begin"] - 1) & (F.col("idx") < meta["end"])).cast("int"), F.lit(0)))
 
 
-def read_labelled_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_labelled_csv(spark: SparkSession, paths: str | Sequence[str], *, bundled: bool = False) -> DataFrame:
     """(filename, idx, x, label) of two-column CSV files with a header."""
+    if bundled:
+        lines = F.filter(F.split(F.decode("content", "UTF-8"), r"\r?\n"), lambda v: v != "")
+        rows = _texts(spark, paths, True).select("filename", F.posexplode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("idx", "v"))
+        return rows.select("filename", "idx", F.from_csv("v", "x double, label int").alias("v")).select("filename", "v.x", "v.label", "idx")
     raw = spark.read.schema("x double, label int").csv(paths, header=True)
     order = F.row_number().over(_by_file())
     return raw.select(_named(raw).alias("filename"), F.monotonically_increasing_id().alias("_id"), "x", "label").withColumn("idx", order - 1).drop("_id")
@@ -249,6 +265,19 @@ def write_series(series: DataFrame, path: str) -> None:
     rows.select("filename", "value").write.partitionBy("filename").text(path)
 
 
+BUNDLE = "filename string, content binary"
+
+
+def write_bundle(lines: DataFrame, path: str, *, header: str | None = None) -> None:
+    """Files of lines (filename, idx, value) in bundles: Parquet with a row a file, its name and its bytes.
+
+    For many small files: a folder of its own for each, as :func:`write_series` makes, costs more than what it holds.
+    """
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("value", F.lit("")).alias("value")))), lambda v: F.concat(v["value"], F.lit("\n"))), "")
+    files = lines.groupBy("filename").agg(F.concat(F.lit("" if header is None else f"{header}\n"), text).alias("text"))
+    files.select("filename", F.encode("text", "UTF-8").alias("content")).write.parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, *, digits: int | None = None) -> None:
     """Gzipped CSV with a header and NA for NULL; doubles to so many significant digits."""
     out = df

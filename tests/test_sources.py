@@ -91,3 +91,19 @@ def test_sinks(spark, tmp_path):
 def test_markdown_table(spark):
     lines = spark.createDataFrame([("| op | v |",), ("|---|---|",), ("| a | 1.5 |",), ("text",), ("| b | 2 |",)], "value string")
     assert [tuple(r) for r in S.table_from_markdown(lines, ["op", "v"]).collect()] == [("a", "1.5"), ("b", "2")]
+
+
+def test_bundles_hold_what_files_do(spark, tmp_path):
+    """The same series as files of their own and in bundles: equal inventories and values; few files are written."""
+    rows = spark.createDataFrame([(f"{k:03d}_shop_Anomaly_u{k}_2_3_4.txt", i, None if (k, i) == (3, 2) else f"{k}.{i}") for k in range(40) for i in range(12)], "filename string, idx long, value string")
+    S.write_series(rows.withColumnRenamed("value", "x"), str(tmp_path / "files"))
+    S.write_bundle(rows, str(tmp_path / "bundles"))
+    assert len(list((tmp_path / "bundles").glob("*.parquet"))) <= 4 < len(list((tmp_path / "files").glob("filename=*")))
+    one, two = S.inventory(spark, str(tmp_path / "files")).drop("path"), S.inventory(spark, str(tmp_path / "bundles"), bundled=True).drop("path")
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and two.count() == 40
+    one, two = S.read_series(spark, str(tmp_path / "files")).drop("path"), S.read_series(spark, str(tmp_path / "bundles"), bundled=True).drop("path")
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and two.count() == 479
+    S.write_bundle(spark.createDataFrame([("a.csv", i, f"{i}.5,{int(i in (2, 3, 7))}") for i in range(9)], "filename string, idx long, value string"), str(tmp_path / "csv"), header="x,label")
+    back = S.read_labelled_csv(spark, str(tmp_path / "csv"), bundled=True)
+    assert [(r.idx, r.x, r.label) for r in back.orderBy("idx").collect()] == [(i, i + 0.5, int(i in (2, 3, 7))) for i in range(9)]
+    assert [tuple(r) for r in S.one_anomaly(back).collect()] == [("a.csv", 2)]
