@@ -14,6 +14,22 @@ from heronry.operators.masking import mask
 # --- rates
 
 
+def means_in_order(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+    """(keys, value): means of doubles added one by one in the stated order, whatever tasks the rows are in.
+
+    A mean near zero has the sign that this order gives it. NULLs are left out. Rows of a group may spill.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(*keys, *order, F.avg(value).over(w).alias("_so_far")).groupBy(*keys).agg(F.max_by("_so_far", F.struct(*order)).alias(value))
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """The columns of a Parquet scan, with ``_file``, the number of the row's file by name, and ``_row``, its place there."""
+    path = F.col("_metadata.file_path").alias("_path")
+    files = rows.select(path).distinct().withColumn("_file", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_path")))
+    return rows.select("*", path, F.col("_metadata.row_index").alias("_row")).join(F.broadcast(files), "_path").drop("_path")
+
+
 def over_seeds(rows: DataFrame, keys: Sequence[str], seed: str, hit: Column) -> DataFrame:
     """(keys, seeds, least, med, most): the rate of hits of each seed, and its range over seeds."""
     rates = rows.groupBy(*keys, seed).agg(F.avg(hit.cast("double")).alias("_r"))

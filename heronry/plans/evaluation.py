@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heronry.functions import numeric as N
 from heronry.operators import metrics as X
+from heronry.operators import rollups as U
 from heronry.operators import series as S
 from heronry.operators import stats as T
 from heronry.plans import adapters as A
@@ -23,6 +24,13 @@ def _effects(spark: SparkSession, d: str) -> DataFrame:
     return l.groupBy(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("op"), F.concat(F.lit("am"), F.month("l_shipdate") % 4).alias("am")).agg(F.avg(F.col("l_discount") - 0.05).alias("v"))
 
 
+def _ordered_effects(spark: SparkSession, d: str) -> DataFrame:
+    """The effects, added in the order of the file as one thread of the SQL adds them: their signs hang on it."""
+    l = U.in_file_order(table(spark, d, "lineitem"))  # noqa: E741
+    l = l.select(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("op"), F.concat(F.lit("am"), F.month("l_shipdate") % 4).alias("am"), (F.col("l_discount") - 0.05).alias("v"), "_file", "_row")  # noqa: E741
+    return U.means_in_order(l, ["unit", "op", "am"], "v", ["_file", "_row"])
+
+
 @query(f"""WITH {A.S_SQL}, z AS (SELECT *, count(*) OVER (PARTITION BY series_id) // 2 AS h FROM s), c AS (SELECT series_id, any_value(h) AS h, list(x ORDER BY idx) FILTER (WHERE idx < h) AS morf, list(x ORDER BY idx) FILTER (WHERE idx >= h AND idx < 2 * h) AS lerf, stddev_pop(x) AS sc FROM z GROUP BY 1),
 e AS (SELECT series_id, sc, list_transform(range(0, h), lambda i: pow((h - i) / h::DOUBLE, 3.0)) AS w, list_transform(range(1, h + 1), lambda i: lerf[i] - morf[i]) AS df FROM c WHERE h >= 2)
 SELECT series_id, round((list_inner_product(df, w) / list_sum(w)) / (sc * (list_sum(w) - 1.0) / list_sum(w)), 6) AS dds FROM e""")
@@ -41,7 +49,7 @@ cm AS (SELECT *, CASE WHEN mean * pes <= 0 THEN 0.0 ELSE 2 / (1 / abs(mean) + 1
 @query(f"""WITH {CELL_SQL} SELECT op, am, n, round(mean, 6) AS mean, pos, neg, zero, round(pes, 6) AS pes, round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75, round(q75 - q25, 6) AS iqr, round(cmi, 6) AS cmi,
 CASE WHEN mean = 0 OR pes = 0 THEN 'zero' WHEN mean > 0 AND pes > 0 THEN '(+,+)' WHEN mean < 0 AND pes < 0 THEN '(-,-)' ELSE 'conflict' END AS sign_type FROM cm""")
 def pes_cmi(spark: SparkSession, d: str) -> DataFrame:
-    out = X.cell_summary(_effects(spark, d), ["op", "am"], "v").withColumn("sign_type", N.sign_type(F.col("mean"), F.col("pes")))
+    out = X.cell_summary(_ordered_effects(spark, d), ["op", "am"], "v").withColumn("sign_type", N.sign_type(F.col("mean"), F.col("pes")))
     return out.select("op", "am", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "pes", "q25", "q50", "q75", "iqr", "cmi")], "pos", "neg", "zero", "sign_type")
 
 

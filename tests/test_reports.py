@@ -175,3 +175,33 @@ def test_replicate_summary_shuffles_its_lines_once(spark):
 
     plan = QUERIES["replicate_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan[plan.rindex("Generate") :].count("Exchange ") == 1
+
+
+def test_signs_of_means_go_by_the_order_of_the_file(spark, tmp_path):
+    """Effects that cancel out keep what is left of their sum in the rows' order, though the rows of a supplier are in two files."""
+    import random
+    from datetime import datetime
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from heronry.operators import rollups as U
+    from heronry.plans import QUERIES, SQL
+
+    rng = random.Random(3)
+    lines = [(unit, (5 + sign * j) / 100) for unit in range(300) for j in range(1, 6) for sign in (-1, 1)]
+    rng.shuffle(lines)
+    lines[7] = (lines[7][0], None)
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    (tmp_path / "lineitem.parquet").mkdir()
+    files = [str(tmp_path / "lineitem.parquet" / n) for n in ("a.parquet", "b.parquet")]
+    for path, some in zip(files, (lines[:2000], lines[2000:]), strict=True):
+        pq.write_table(pa.table({"l_suppkey": [s for s, _ in some], "l_discount": [x for _, x in some], "l_returnflag": ["A"] * len(some), "l_shipdate": [datetime(1995, 1, 1)] * len(some)}), path)
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet({files})")
+    got, want = QUERIES["pes_cmi"](spark, str(tmp_path)), con.execute(SQL["pes_cmi"]).fetchdf()
+    cell = want.iloc[0].to_dict()
+    assert cell["n"] == 300 and min(cell["pos"], cell["neg"], cell["zero"]) > 0 and got.collect()[0].asDict() == cell
+    rows = U.in_file_order(spark.read.parquet(str(tmp_path / "lineitem.parquet"))).orderBy("_file", "_row").select("l_suppkey", "l_discount")
+    assert [tuple(r) for r in rows.collect()] == lines
