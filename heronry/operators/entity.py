@@ -37,56 +37,97 @@ def candidate_pairs(refs: DataFrame, *, tolerance: float = 0.01) -> DataFrame:
     return same.union(other.select(F.col("num_a").alias("a"), F.col("num_b").alias("b"), F.lit("length").alias("reason")))
 
 
-def compare_candidates(refs: DataFrame, series: DataFrame, *, tolerance: float = 0.01, points: int = 5000, least: float = 0.95, parts: int = 4) -> DataFrame:
+def compare_candidates(refs: DataFrame, series: DataFrame, *, tolerance: float = 0.01, points: int | None = None, least: float = 0.95, parts: int = 4, block: int = 1000) -> DataFrame:
     """(a, b, reason, corr, same): the pairs of :func:`candidate_pairs` as :func:`compare_pairs` compares them, where pairs are many.
 
-    ``refs`` also has ``te``; idx of a series runs from 0 without gaps. Training parts go along with the series, and a pair
-    is compared where it is made: what moves grows with the series, not with their pairs. A group or bucket is dealt in
-    ``parts``.
+    Training parts are compared whole, or up to ``points``. ``refs`` also has ``te``; idx of a series runs from 0 without
+    gaps. Training parts go along with the series, in blocks, and a pair is compared where it is made: what moves grows with
+    the series, not with their pairs. Only where both parts are longer than a block do a pair's moments move, a row a block.
+    A group or bucket is dealt in ``parts``.
     """
-    train = series.where(F.col("idx") < points).groupBy(F.col("series_id").alias("num")).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("p"))
-    held = refs.join(train, "num", "left").select("num", "name_group", "domain", "length", F.coalesce(F.slice(F.transform("p", lambda p: p["x"]), 1, F.greatest(F.least("te", F.lit(points)), F.lit(0)).cast("int")), F.array().cast("array<double>")).alias("xs"))
-    held = written(held, "training-parts")
-    a, b = (held.select(*[F.col(c).alias(f"{c}_{s}") for c in held.columns]) for s in "ab")
-    part, all_parts = F.pmod(F.xxhash64("num_a"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
-    a, b = a.select("*", part), b.select("*", all_parts)
-    by_name = dealt(a.where("name_group_a IS NOT NULL").withColumn("g", F.col("name_group_a")), "g", "part").join(dealt(b.withColumn("g", F.col("name_group_b")), "g", "part"), ["g", "part"]).where("num_a < num_b").withColumn("reason", F.lit("name"))
+    used = series if points is None else series.where(F.col("idx") < points)
+    train = used.groupBy(F.col("series_id").alias("num"), F.floor(F.col("idx") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("p"))
+    te = F.col("te") if points is None else F.least("te", F.lit(points))
+    left_over = F.greatest(te - F.coalesce("block", F.lit(0)) * block, F.lit(0))
+    held = refs.join(train, "num", "left").withColumn("n", left_over).where("coalesce(block, 0) = 0 OR n > 0")
+    held = held.select("num", "name_group", "domain", "length", F.coalesce("block", F.lit(0)).cast("long").alias("block"), (F.max("block").over(Window.partitionBy("num")) > 0).alias("long"), F.coalesce(F.slice(F.transform("p", lambda p: p["x"]), 1, F.least("n", F.lit(block)).cast("int")), F.array().cast("array<double>")).alias("xs"))
+    held = written(held.withColumn("long", F.coalesce("long", F.lit(False))), "training-parts")
     step = F.log(F.lit(1.0) / (F.lit(1.0) - F.lit(tolerance)))
     bucket = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / step)
-    left = dealt(a.withColumn("g", F.col("domain_a")).withColumn("k", bucket("length_a")), "g", "k", "part")
-    right = dealt(b.withColumn("g", F.col("domain_b")).withColumn("k", F.explode(F.array(bucket("length_b") - 1, bucket("length_b"), bucket("length_b") + 1))), "g", "k", "part")
     near = F.abs(F.col("length_a") - F.col("length_b")) <= F.lit(tolerance) * F.greatest("length_a", "length_b")
-    by_length = left.join(right, ["g", "k", "part"]).where((F.col("num_a") < F.col("num_b")) & (F.col("name_group_a") != F.col("name_group_b")) & near).withColumn("reason", F.lit("length"))
-    columns = [F.col("num_a").alias("a"), F.col("num_b").alias("b"), "reason", "xs_a", "xs_b"]
-    pairs = by_name.select(*columns).union(by_length.select(*columns))
+
+    def met(rows: DataFrame, *also: str) -> DataFrame:
+        """The pairs of ``rows`` that are worth comparing and agree in the columns ``also``."""
+        a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c not in also], *also) for s in "ab")
+        a = a.withColumn("part", F.pmod(F.xxhash64("num_a"), F.lit(parts)))
+        b = b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        keys = ["g", "part", *also]
+        by_name = dealt(a.where("name_group_a IS NOT NULL").withColumn("g", F.col("name_group_a")), *keys).join(dealt(b.withColumn("g", F.col("name_group_b")), *keys), keys).where("num_a < num_b").withColumn("reason", F.lit("name"))
+        keys = ["g", "k", "part", *also]
+        left = dealt(a.withColumn("g", F.col("domain_a")).withColumn("k", bucket("length_a")), *keys)
+        right = dealt(b.withColumn("g", F.col("domain_b")).withColumn("k", F.explode(F.array(bucket("length_b") - 1, bucket("length_b"), bucket("length_b") + 1))), *keys)
+        by_length = left.join(right, keys).where((F.col("num_a") < F.col("num_b")) & (F.col("name_group_a") != F.col("name_group_b")) & near).withColumn("reason", F.lit("length"))
+        columns = [F.col("num_a").alias("a"), F.col("num_b").alias("b"), "reason", "long_a", "long_b", "xs_a", "xs_b", *also]
+        return by_name.select(*columns).union(by_length.select(*columns))
+
+    def moments(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+        """(rows, (count, means, sums of squares and products about them, ranges)) of the pairs of a length and their common beginning."""
+        sides = []
+        for c in ("xs_a", "xs_b"):
+            v = batch[c]
+            sides.append((v.offsets.to_numpy().astype(np.int64), v.values.to_numpy(zero_copy_only=False).astype(float)))
+        n = np.minimum(*(np.diff(o) for o, _ in sides))
+        for size in np.unique(n[n >= 1]):
+            rows = np.flatnonzero(n == size)
+            for some in np.array_split(rows, -(-len(rows) * int(size) // (1 << 20))):
+                x, y = (v[o[some][:, None] + np.arange(size)] for o, v in sides)
+                both = ~(np.isnan(x) | np.isnan(y))
+                with np.errstate(invalid="ignore", divide="ignore"), warnings.catch_warnings():
+                    warnings.simplefilter("ignore", RuntimeWarning)  # sides of nulls only
+                    ranges = [f(v, axis=1) for v in (x, y) for f in (np.nanmin, np.nanmax)]
+                    count = both.sum(axis=1)
+                    means = [np.where(both, v, 0.0).sum(axis=1) / count for v in (x, y)]
+                    x, y = (np.where(both, v - m[:, None], 0.0) for v, m in zip((x, y), means, strict=True))
+                    yield some, (count, *means, (x * x).sum(axis=1), (y * y).sum(axis=1), (x * y).sum(axis=1), *ranges)
 
     def correlated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for c in ("xs_a", "xs_b"):
-                v = batch[c]
-                sides.append((v.offsets.to_numpy().astype(np.int64), v.values.to_numpy(zero_copy_only=False).astype(float)))
-            n = np.minimum(*(np.diff(o) for o, _ in sides))
-            corr = np.full(len(n), np.nan)
-            for size in np.unique(n[n >= 2]):
-                rows = np.flatnonzero(n == size)
-                for some in np.array_split(rows, -(-len(rows) * int(size) // (1 << 20))):
-                    x, y = (v[o[some][:, None] + np.arange(size)] for o, v in sides)
-                    both = ~(np.isnan(x) | np.isnan(y))
-                    with np.errstate(invalid="ignore", divide="ignore"), warnings.catch_warnings():
-                        warnings.simplefilter("ignore", RuntimeWarning)  # sides of nulls only
-                        varies = (np.nanmax(x, axis=1) > np.nanmin(x, axis=1)) & (np.nanmax(y, axis=1) > np.nanmin(y, axis=1))
-                        count = both.sum(axis=1, keepdims=True)
-                        x, y = (np.where(both, v - np.where(both, v, 0.0).sum(axis=1, keepdims=True) / count, 0.0) for v in (x, y))
-                        r = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-                    corr[some] = np.where(varies & np.isfinite(r), r, np.nan)
+            corr = np.full(batch.num_rows, np.nan)
+            for some, (_, _, _, xx, yy, xy, x0, x1, y0, y1) in moments(batch):
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    r = xy / np.sqrt(xx * yy)
+                    corr[some] = np.where((x1 > x0) & (y1 > y0) & np.isfinite(r), r, np.nan)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["reason"], pa.array(corr, mask=np.isnan(corr))], ["a", "b", "reason", "corr"])
 
+    names = ["n", "mx", "my", "xx", "yy", "xy", "x0", "x1", "y0", "y1"]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full((len(names), batch.num_rows), np.nan)
+            for some, found in moments(batch):
+                out[:, some] = found
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["reason"], batch["block"], *[pa.array(v, mask=np.isnan(v)) for v in out]], ["a", "b", "reason", "block", *names])
+
     kind = refs.schema["num"].dataType.simpleString()
-    out = pairs.mapInArrow(correlated, f"a {kind}, b {kind}, reason string, corr double")
+    short = met(held.where("block = 0").drop("block")).where("NOT (long_a AND long_b)")
+    out = short.mapInArrow(correlated, f"a {kind}, b {kind}, reason string, corr double")
+    if points is None or points > block:
+        parted = met(held.where("long"), "block").mapInArrow(summed, f"a {kind}, b {kind}, reason string, block long, {', '.join(f'{c} double' for c in names)}")
+        out = out.union(_over_blocks(parted, names))
     return out.withColumn("same", F.coalesce(F.col("corr") >= least, F.lit(False)))
 
 
+def _over_blocks(parted: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(a, b, reason, corr) from moments of blocks, in the order of the blocks."""
+    out = parted.groupBy("a", "b", "reason").agg(F.array_sort(F.collect_list(F.struct("block", *names))).alias("p"), *[f(c).alias(c) for c, f in zip(("x0", "x1", "y0", "y1"), (F.min, F.max) * 2, strict=True)])
+    total = lambda of: F.aggregate(F.filter("p", lambda p: p["n"] > 0), F.lit(0.0), lambda t, p: t + of(p))
+    out = out.withColumn("mx", total(lambda p: p["n"] * p["mx"]) / F.nullif(total(lambda p: p["n"]), F.lit(0.0))).withColumn("my", total(lambda p: p["n"] * p["my"]) / F.nullif(total(lambda p: p["n"]), F.lit(0.0)))
+    dx, dy = (lambda p: p["mx"] - F.col("mx")), (lambda p: p["my"] - F.col("my"))
+    xx, yy, xy = total(lambda p: p["xx"] + p["n"] * dx(p) * dx(p)), total(lambda p: p["yy"] + p["n"] * dy(p) * dy(p)), total(lambda p: p["xy"] + p["n"] * dx(p) * dy(p))
+    r = clean(xy / F.nullif(F.sqrt(xx * yy), F.lit(0.0)))
+    return out.select("a", "b", "reason", F.when((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), r).alias("corr"))
+
+
 def compare_pairs(pairs: DataFrame, series: DataFrame, trains: DataFrame, *, points: int = 5000, least: float = 0.95) -> DataFrame:
     """Pairs with ``corr`` over the first min(points, train of a, train of b) points and ``same``; constant or short ones are NULL and not the same."""
     x = lambda s: series.select(F.col("series_id").alias(s), "idx", F.col("x").alias(f"x{s}"))

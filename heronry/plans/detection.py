@@ -239,7 +239,7 @@ def label_runs(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT a, b, CASE WHEN count(*) >= 2 AND max(p.x) > min(p.x) AND max(q.x) > min(q.x) THEN corr(p.x, q.x) END AS corr FROM pr JOIN meta u ON u.num = a JOIN meta v ON v.num = b JOIN s p ON p.series_id = a JOIN s q ON q.series_id = b AND q.idx = p.idx WHERE p.idx < least(5000, u.te, v.te) GROUP BY a, b)
 SELECT a, b, reason, round(corr, 6) AS corr, coalesce(corr >= 0.3, false) AS same FROM pr LEFT JOIN c USING (a, b)""")
 def recording_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of series worth comparing and the correlation of their training parts."""
+    """Pairs of series worth comparing and the correlation of their whole training parts; the SQL stops at 5,000 points."""
     refs = A.meta(spark, d)
     out = E.compare_candidates(refs, A.series(spark, d), least=0.3)
     return out.select("a", "b", "reason", r6(F.col("corr")).alias("corr"), "same")

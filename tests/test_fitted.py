@@ -251,3 +251,44 @@ def test_pairs_are_compared_where_they_are_made(spark):
     assert all((g[3] is None) == (w[3] is None) and (g[3] is None or abs(g[3] - w[3]) < 1e-12) for g, w in zip(got, want, strict=True)) and any(g[3] is None for g in got)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Join")]
+
+
+def test_training_parts_of_pairs_are_compared_whole(spark, tmp_path):
+    """Parts of several blocks give the correlation of all their points; the query's pairs of more than 5,000 training points too."""
+    import datetime as dt
+
+    import pandas as pd
+
+    from heronry.operators import entity as E
+    from heronry.plans import QUERIES
+
+    rng = np.random.default_rng(4)
+    points = [(i, k, None if i in (3, 6) and k % 5 == 0 or i == 7 and k >= 7 and k < 14 else 1.0 if i == 5 else 1e6 + float(v)) for i in range(16) for k, v in enumerate(rng.normal(size=60 + i % 3))]
+    series = spark.createDataFrame(points, "series_id long, idx long, x double")
+    refs = spark.createDataFrame([(i, i // 4, "ab"[i % 2], 60 + i % 3, (1, 5, 22, 30, 59, 61)[i % 6]) for i in range(16)] + [(99, 0, "a", 60, 50)], "num long, name_group long, domain string, length long, te long")
+    ends = {r.num: r.te for r in refs.collect()}
+    xs = {i: np.array([x for j, _, x in points if j == i], float) for i in ends}
+    for bound in (None, 33):
+        want = {}
+        for a, b, reason in E.candidate_pairs(refs, tolerance=0.02).collect():
+            k = min(ends[a], ends[b], bound or 1000, len(xs[a]), len(xs[b]))
+            x, y = xs[a][:k], xs[b][:k]
+            both = ~(np.isnan(x) | np.isnan(y))
+            varies = k >= 2 and both.sum() >= 2 and all(np.ptp(v[both]) > 0 for v in (x, y))
+            want[a, b, reason] = float(np.corrcoef(x[both], y[both])[0, 1]) if varies else None
+        found = E.compare_candidates(refs, series, tolerance=0.02, points=bound, least=0.1, parts=3, block=7).collect()
+        got = {(r.a, r.b, r.reason): r.corr for r in found}
+        assert len(got) == len(found) and got.keys() == want.keys() and {k[2] for k in got} == {"name", "length"}
+        assert all(got[k] is None if w is None else abs(got[k] - w) < 1e-9 for k, w in want.items())
+        assert all(r.same == (r.corr is not None and r.corr >= 0.1) for r in found)
+
+    n, te = 14_000, 5_600
+    x = rng.normal(size=(2, n))
+    x[1, :5000] += 0.2 * x[0, :5000]
+    x[1, 5000:te] += 20 * x[0, 5000:te]
+    at = [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k) for k in range(n)]
+    events = pd.concat([pd.DataFrame({"event_id": np.arange(n) + n * u, "ts": at, "user_id": u, "event_type": "click", "value": x[u]}) for u in (0, 1)])
+    events.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    (row,) = QUERIES["recording_pairs"](spark, str(tmp_path)).collect()
+    whole, cut = (np.corrcoef(x[:, :k])[0, 1] for k in (te, 5000))
+    assert (row.a, row.b, row.reason, row.same) == (0, 1, "name", True) and abs(row.corr - whole) < 1e-6 and cut < 0.3
